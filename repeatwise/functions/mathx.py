@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 _SMALL = 16
 
@@ -98,16 +102,16 @@ def chi_square_upper(score: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def poisson_p(x: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series(poisson_two_sided(x.to_numpy(), rate.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_p(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(binomial_upper(x.to_numpy(), n.to_numpy(), p.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(score: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi_square_upper(score.to_numpy(), df.to_numpy()))

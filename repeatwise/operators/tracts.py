@@ -8,15 +8,19 @@ rows per block). So one chromosome uses as many tasks as it has blocks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import seq as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 
 @dataclass(frozen=True)
 class Thresholds:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "tracts", "recoord", "profiles", "population", "cohort", "coverage"]
+MODULES = ["reads", "tracts", "recoord", "profiles", "population", "cohort", "coverage", "genotypes", "families"]
 
 
 def load_all() -> None:
