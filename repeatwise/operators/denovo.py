@@ -269,9 +269,13 @@ def comparison_pair(cases: DataFrame, loci: DataFrame, allele_cov: DataFrame) ->
     return df.select("locus_id", "family_id", "who", F.col("own_1").alias("compare_1"), F.when(F.col("own_1") != F.col("own_2"), F.col("own_2")).otherwise(other).alias("compare_2"))
 
 
-def other_coverage(pairs: DataFrame, allele_cov: DataFrame) -> DataFrame:
-    """Reads per (locus, person) on neither of the two compared alleles of the locus."""
-    joined = allele_cov.join(pairs, "locus_id")
+def other_coverage(pairs: DataFrame, allele_cov: DataFrame, person: DataFrame) -> DataFrame:
+    """Reads of every family member on neither of the two compared alleles.
+
+    The join key is (locus, person of the case's family), so a popular locus is not multiplied by all its cases.
+    """
+    members = pairs.select("locus_id", "family_id", "compare_1", "compare_2").distinct().join(person.select("person_id", "family_id"), "family_id")
+    joined = allele_cov.join(members, ["locus_id", "person_id"])
     pick = lambda c: F.sum(F.when(F.col("allele_len") == F.col(c), F.col("n")).otherwise(0))
     return joined.groupBy("locus_id", "family_id", "person_id", "compare_1", "compare_2").agg(
         pick("compare_1").alias("cov_1"), pick("compare_2").alias("cov_2"), F.sum("n").alias("total")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written
 from .cohort import ROLES, with_role
 from .genotype import NULL_ALLELE, best_pair, pair_list
 
@@ -108,7 +109,8 @@ def family_scores(post: DataFrame, person: DataFrame, most: int | None = MAX_ALL
     fam = likely_alleles(family_rows(post, person))
     for child in ("proband", "sibling"):
         fam = trio_scores(fam, child, most)
-    return fam.select("locus_id", "family_id", *SCORE_COLUMNS)
+    # stored once: later filters must not be pushed into (and repeat) the score expressions
+    return written(fam.select("locus_id", "family_id", *SCORE_COLUMNS), "family-scores")
 
 
 def mendel_triples(most: Column) -> Column:

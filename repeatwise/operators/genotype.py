@@ -165,6 +165,7 @@ def em(rows: DataFrame, loci: DataFrame, max_rounds: int = MAX_ROUNDS, delta: fl
     The driver only asks whether any locus is still moving.
     """
     model = written(start_model(loci), "model")
+    rows = written(rows, "person-rows")  # read once per round
     for turn in range(max_rounds + 1):
         moving = model.filter("active")
         step = maximised(pair_sums(pair_rows(scored(rows, moving))), moving)
@@ -216,7 +217,9 @@ def calls(rows: DataFrame, model: DataFrame) -> DataFrame:
         "total", "eps", "n_iter",
     )
     noise = F.when(F.col("total") > 0, binomial_p("rest_cov", "total", "eps")).otherwise(0.0)
-    return flat.withColumn("allele_fit", poisson_p("allele_1_cov", "rate1") * poisson_p("allele_2_cov", "rate2")).withColumn("noise_fit", noise).drop("rate1", "rate2")
+    full = flat.withColumn("allele_fit", poisson_p("allele_1_cov", "rate1") * poisson_p("allele_2_cov", "rate2")).withColumn("noise_fit", noise).drop("rate1", "rate2")
+    # stored once: every analysis reads this table, and filters on it must not repeat the likelihoods
+    return written(full, "genotypes")
 
 
 def called_counts(genotypes: DataFrame, allele_cov: DataFrame) -> DataFrame:

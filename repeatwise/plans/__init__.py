@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "tracts", "recoord", "profiles", "population", "cohort", "coverage", "genotypes", "families"]
+MODULES = ["reads", "tracts", "recoord", "profiles", "population", "cohort", "coverage", "genotypes", "families", "denovo", "statistics"]
 
 
 def load_all() -> None:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import signal
 import sys
 import time
 from decimal import Decimal
@@ -19,6 +20,14 @@ import duckdb  # noqa: E402
 from repeatwise.fixtures import BASE_TABLES  # noqa: E402
 
 DATA = "/root/testdata"
+LIMIT = 150  # seconds per query
+
+
+def _late(*_):
+    raise TimeoutError(f"over {LIMIT} s")
+
+
+signal.signal(signal.SIGALRM, _late)
 
 
 def cell(v):
@@ -93,10 +102,12 @@ def main(argv):
         if argv and not any(name.startswith(p) for p in argv):
             continue
         t0 = time.time()
+        signal.alarm(LIMIT)
         try:
             ok, message = compare(spark, con, sf_dir, name, run, oracles.get(name))
         except Exception as e:  # report and go on with the next query
             ok, message = False, f"{type(e).__name__}: {str(e)[:600]}"
+        signal.alarm(0)
         if not ok:
             failed.append(name)
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t0:.1f}s {message}", flush=True)
