@@ -133,12 +133,22 @@ def duck_ctes(*names: str) -> list[str]:
     return [f"{name} AS ({_text(name, 1)})" for name in _closure(names, 1)]
 
 
+_STORED: dict = {}
+
+
 class Views:
     """Lazy Spark frames over one data folder: base tables and the fixture views."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stored(self, label: str, make):
+        """Result of ``make()`` (written tables) shared by all queries of this application over the same data."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, label)
+        if key not in _STORED:
+            _STORED[key] = make()
+        return _STORED[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -18,7 +18,7 @@ KEYS = ["locus_id", "family_id"]
 
 
 def start_scores(v, most=FM.MAX_ALLELES):
-    return FM.family_scores(start_posteriors(v), v.person, most)
+    return v.stored(f"start-scores-{most}", lambda: FM.family_scores(start_posteriors(v), v.person, most))
 
 
 TRIPLES = """sz AS (SELECT DISTINCT least(k + 1, 6) AS n FROM kk), gp AS (SELECT n, a, b FROM sz, (SELECT unnest(range(1, 7)) AS a), (SELECT unnest(range(1, 7)) AS b) WHERE a <= b AND b <= n),

@@ -23,7 +23,7 @@ def start(v, eps: float = START_EPS):
 
 def start_genotypes(v):
     """Genotype records of the unfitted model: the input of the family, de novo and statistics queries."""
-    return G.calls(*start(v))
+    return v.stored("start-genotypes", lambda: G.calls(*start(v)))
 
 
 def start_posteriors(v):
@@ -116,9 +116,10 @@ EM = em_ctes()
 
 
 def fitted(v):
+    """Packed rows and the fitted model."""
     loci = G.ranked_alleles(v.allele_cov)
     rows = G.person_rows(v.allele_cov, v.expected, loci)
-    return rows, G.em(rows, loci)
+    return rows, v.stored("em-model", lambda: G.em(rows, loci))
 
 
 @query("gt12_em_models", oracle(VIEWS, "SELECT locus_id, CAST(k AS INT) AS k, CAST(locus_total AS BIGINT) AS locus_total, round(eps, 6) AS eps, CAST(n_iter AS INT) AS n_iter FROM m_end", EM))

@@ -80,14 +80,14 @@ def _(v):
 
 
 MEDS = ["confidence", "allele_fit", "noise_fit", "p_null"]
-MED_SQL = ", ".join(f"round(median(round({c}, 6)), 5) AS median_{c}" for c in MEDS)
+MED_SQL = ", ".join(f"round(median(round({c}, 6)), 8) AS median_{c}" for c in MEDS)
 
 
 @query("st09_medians", oracle(VIEWS, f"""SELECT 'all' AS level, NULL::BIGINT AS locus_id, NULL::BIGINT AS person_id, {MED_SQL} FROM geno UNION ALL SELECT 'locus', locus_id, NULL, {MED_SQL} FROM geno GROUP BY locus_id
   UNION ALL SELECT 'person', NULL, person_id, {MED_SQL} FROM geno GROUP BY person_id""", GENO))
 def _(v):
     m = ST.medians(start_genotypes(v), MEDS)
-    return m.select("level", "locus_id", "person_id", *[F.round(f"median_{c}", 5).alias(f"median_{c}") for c in MEDS])
+    return m.select("level", "locus_id", "person_id", *[F.round(f"median_{c}", 8).alias(f"median_{c}") for c in MEDS])
 
 
 @query("st10_coverage_by_context", oracle(VIEWS + " locus annotation", "SELECT person_id, context = 'exon' AS exonic, median(total) AS median_cov, CAST(COUNT(*) AS BIGINT) AS n_loci FROM geno JOIN ctx USING (locus_id) GROUP BY 1, 2", GENO + [CONTEXT]))
