@@ -6,6 +6,7 @@ One SQL text serves Spark and DuckDB; where the dialects differ the entry is a (
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -133,9 +134,24 @@ def duck_ctes(*names: str) -> list[str]:
     return [f"{name} AS ({_text(name, 1)})" for name in _closure(names, 1)]
 
 
+# columns the fixture views use; pruned before the spread
+COLUMNS_READ = {
+    "documents": ["doc_id", "text", "lang", "source"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"],
+    "part": ["p_partkey", "p_brand", "p_size"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
+    "events": ["user_id", "event_type", "value"],
+}
+
 _STORED: dict = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits than there are cores; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """Lazy Spark frames over one data folder: base tables and the fixture views."""
 
@@ -149,14 +165,21 @@ class Views:
             _STORED[key] = make()
         return _STORED[key]
 
+    def _view(self, table: str) -> str:
+        name = f"{table}_{zlib.crc32(self.sf_dir.encode()):08x}"
+        frame = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        columns = COLUMNS_READ.get(table)
+        spread(frame.select(*columns) if columns else frame).createOrReplaceTempView(name)
+        return name
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         if name not in VIEWS:
             raise AttributeError(name)
         views = _closure([name], 0)
         texts = " ".join(_text(v, 0) for v in views)
         tables = [t for t in BASE_TABLES if re.search(rf"\b{t}\b", texts)]
-        ctes = [f"{t} AS (SELECT * FROM parquet.`{self.sf_dir}/{t}.parquet`)" for t in tables]
+        ctes = [f"{t} AS (SELECT * FROM {self._view(t)})" for t in tables]
         ctes += [f"{v} AS ({_text(v, 0)})" for v in views]
         return self.spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")

@@ -1,4 +1,4 @@
-"""Discrete probability in the JVM and vectorised exact tests."""
+"""Vectorised genotype likelihoods and exact tests; all work on Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,21 +8,10 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
-_SMALL = 16
-
-
-def ln_factorial(x: Column) -> Column:
-    """ln(x!) for whole x >= 0: a short table, then Stirling's series (error below 1e-13)."""
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL)])
-    z = x.cast("double")
-    series = z * F.ln(z) - z + 0.5 * F.ln(z * F.lit(2 * math.pi)) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return F.when(x < _SMALL, F.get(table, F.greatest(x.cast("int"), F.lit(0)))).otherwise(series)
-
-
 def log_factorials(top: int) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, top + 1)))))
 
@@ -115,3 +104,138 @@ def binomial_p(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def chi_square_p(score: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi_square_upper(score.to_numpy(), df.to_numpy()))
+
+
+def pair_order(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second slot (from 0) of every pair over k alleles and the null allele, by (second, first)."""
+    second = np.repeat(np.arange(k + 1), np.arange(1, k + 2))
+    first = np.concatenate([np.arange(r + 1) for r in range(k + 1)])
+    return first, second
+
+
+def likelihoods(reads: np.ndarray, total: np.ndarray, expected: np.ndarray, bias: np.ndarray, eps: np.ndarray) -> np.ndarray:
+    """Log-likelihood of every pair for people (rows) at loci with the same number of alleles (columns).
+
+    One copy of an allele expects ``expected * bias`` reads, two copies twice that, the null allele none; reads on
+    other alleles are binomial errors.
+    """
+    rows, k = reads.shape
+    lf = log_factorials(int(total.max(initial=0)))
+    own = expected[:, None] * bias
+    fixed = lf[reads]
+    null = np.zeros((rows, 1))
+    single = np.hstack([reads * np.log(own) - own - fixed, null])
+    double = np.hstack([reads * np.log(2 * own) - 2 * own - fixed, null])
+    seen = np.hstack([reads, np.zeros((rows, 1), np.int64)])
+    first, second = pair_order(k)
+    het = first != second
+    good = seen[:, first] + np.where(het, seen[:, second], 0)
+    errors = total[:, None] - good
+    noise = lf[total][:, None] - lf[errors] - lf[good] + errors * np.log(eps)[:, None] + good * np.log(np.maximum(1 - eps, 1e-300))[:, None]
+    return np.where(het, single[:, first] + single[:, second], double[:, first]) + noise
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def pair_log_likelihood(n: pd.Series, total: pd.Series, expected: pd.Series, bias: pd.Series, eps: pd.Series) -> pd.Series:
+    sizes = n.map(len).to_numpy()
+    out = np.empty(len(n), object)
+    for k in np.unique(sizes):
+        at = np.flatnonzero(sizes == k)
+        step = max(1, _CELLS // ((k + 1) * (k + 2) // 2))
+        for lo in range(0, len(at), step):
+            rows = at[lo : lo + step]
+            table = likelihoods(
+                np.stack(n.iloc[rows].to_list()).astype(np.int64), total.iloc[rows].to_numpy(np.int64), expected.iloc[rows].to_numpy(float),
+                np.stack(bias.iloc[rows].to_list()).astype(float), eps.iloc[rows].to_numpy(float),
+            )
+            for row, values in zip(rows, table):
+                out[row] = values
+    return pd.Series(out)
+
+
+SUM_COLUMNS = ["people", "member", "err_sum", "tot_sum", "num1", "den1", "num2", "den2", "score"]
+
+
+def locus_sums(reads, total, expected, weight, bias, eps) -> dict[str, np.ndarray]:
+    """Membership sums per pair over the people of one locus in one batch (weights, biases and error rate are the locus's)."""
+    rows, k = reads.shape
+    ll = likelihoods(reads, total, expected, np.broadcast_to(bias, (rows, k)), np.full(rows, eps))
+    raw = weight * np.exp(ll)
+    z = raw.sum(axis=1, keepdims=True)
+    first, second = pair_order(k)
+    null_only = (first == k).astype(float)
+    p = np.where(z > 0, raw / np.where(z > 0, z, 1), null_only)
+    seen = np.hstack([reads, np.zeros((rows, 1), np.int64)])
+    het = (first != second) & (second < k)
+    copies = np.where(first == k, 0, np.where(first == second, 2, 1))
+    a1, a2 = seen[:, first], np.where(het, seen[:, second], 0)
+    return {
+        "people": np.full(len(first), float(rows)), "member": p.sum(axis=0), "err_sum": (p * (total[:, None] - a1 - a2)).sum(axis=0), "tot_sum": p.T @ total,
+        "num1": (p * a1).sum(axis=0), "den1": copies * (p.T @ expected), "num2": (p * a2).sum(axis=0), "den2": het * (p.T @ expected),
+        "score": np.where(weight > 0, weight * ll, 0.0).sum(axis=0),
+    }
+
+
+def batch_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pair sums of every locus met in a batch of packed person rows joined to their model."""
+    parts = []
+    for locus, group in pdf.groupby("locus_id", sort=False):
+        one = group.iloc[0]
+        k = len(one["n"])
+        step = max(1, _CELLS // ((k + 1) * (k + 2) // 2))
+        sums: dict[str, np.ndarray] = {}
+        for lo in range(0, len(group), step):
+            g = group.iloc[lo : lo + step]
+            part = locus_sums(
+                np.stack(g["n"].to_list()).astype(np.int64), g["total"].to_numpy(np.int64), g["exp_cov"].to_numpy(float),
+                np.asarray(one["w"], float), np.asarray(one["bias"], float), float(one["eps"]),
+            )
+            sums = part if not sums else {c: sums[c] + part[c] for c in SUM_COLUMNS}
+        first, second = pair_order(k)
+        parts.append(pd.DataFrame({"locus_id": locus, "pair_no": np.arange(len(first)), "r1": first + 1, "r2": second + 1, **sums}))
+    return pd.concat(parts) if parts else pd.DataFrame(columns=["locus_id", "pair_no", "r1", "r2", *SUM_COLUMNS])
+
+
+def obedience(mother: np.ndarray, father: np.ndarray, child: np.ndarray, holds: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Chance that the child inherits one allele of each parent; see the family operators for the closed form."""
+    m, f = mother @ holds, father @ holds
+    both = m[:, first] * f[:, second] + m[:, second] * f[:, first] - mother * father
+    return (child * np.where(first == second, m[:, first] * f[:, first], both)).sum(axis=1)
+
+
+def trio_table(mother: np.ndarray, father: np.ndarray, child: np.ndarray, k: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Obedience and kinship of trios (rows) at loci with ``k`` alleles, over the ``most`` commonest alleles of each trio."""
+    first, second = pair_order(k)
+    slots = np.zeros((len(first), k + 1))
+    np.add.at(slots, (np.arange(len(first)), first), 0.5)
+    np.add.at(slots, (np.arange(len(first)), second), 0.5)
+    if most is not None and most < k + 1:
+        share = np.round((mother + father + child) @ slots / 3, 9)
+        top = np.argsort(-share, axis=1, kind="stable")[:, :most]
+        allowed = np.zeros(share.shape, bool)
+        np.put_along_axis(allowed, top, True, axis=1)
+        keep = allowed[:, first] & allowed[:, second]
+        mother, father, child = mother * keep, father * keep, child * keep
+    holds = (slots > 0).astype(float)
+    swaps = obedience(child, father, mother, holds, first, second), obedience(mother, child, father, holds, first, second)
+    return obedience(mother, father, child, holds, first, second), np.maximum(*swaps)
+
+
+def trio_udf(most: int | None):
+    """Arrow UDF over the membership arrays of a trio; null where a member is missing."""
+
+    @F.pandas_udf(T.StructType([T.StructField("obedience", T.DoubleType()), T.StructField("kinship", T.DoubleType())]))
+    def score(k: pd.Series, mother: pd.Series, father: pd.Series, child: pd.Series) -> pd.DataFrame:
+        out = np.full((len(k), 2), np.nan)
+        whole = (mother.notna() & father.notna() & child.notna()).to_numpy()
+        sizes = k.to_numpy()
+        for size in np.unique(sizes[whole]):
+            at = np.flatnonzero(whole & (sizes == size))
+            step = max(1, _CELLS // ((size + 1) * (size + 2) // 2))
+            for lo in range(0, len(at), step):
+                rows = at[lo : lo + step]
+                out[rows, 0], out[rows, 1] = trio_table(*[np.stack(m.iloc[rows].to_list()) for m in (mother, father, child)], int(size), most)
+        table = pd.DataFrame(out, columns=["obedience", "kinship"]).astype(object)
+        return table.where(pd.notna(table), None)
+
+    return score

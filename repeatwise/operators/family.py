@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.mathx import trio_udf
 from ..session import written
 from .cohort import ROLES, with_role
 from .genotype import NULL_ALLELE, best_pair, pair_list
@@ -49,42 +50,10 @@ def trio_alleles(child: str, most: int | None = MAX_ALLELES) -> Column:
     return picked if most is None else F.slice(picked, 1, most)
 
 
-def _restricted(p: Column, allowed: Column) -> Column:
-    return F.zip_with("pairs", p, lambda s, x: F.when(F.array_contains(allowed, s["r1"]) & F.array_contains(allowed, s["r2"]), x).otherwise(0.0))
-
-
-def _carriers(p: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.col("k") + 1), lambda a: _sum(F.zip_with(
-        "pairs", p, lambda s, x: F.when((s["r1"] == a) | (s["r2"] == a), x).otherwise(0.0))))
-
-
-def _obedience(names: tuple[str, str, str]) -> Column:
-    """Score of (mother, father, child) given restricted arrays ``p_<name>`` and carrier arrays ``c_<name>``."""
-    m, f, c = names
-    terms = F.zip_with(
-        F.arrays_zip(F.col("pairs").alias("s"), F.col(f"p_{m}").alias("m"), F.col(f"p_{f}").alias("f")), F.col(f"p_{c}"),
-        lambda z, x: x * F.when(
-            z["s"]["r1"] == z["s"]["r2"], F.get(F.col(f"c_{m}"), z["s"]["r1"] - 1) * F.get(F.col(f"c_{f}"), z["s"]["r1"] - 1)
-        ).otherwise(
-            F.get(F.col(f"c_{m}"), z["s"]["r1"] - 1) * F.get(F.col(f"c_{f}"), z["s"]["r2"] - 1)
-            + F.get(F.col(f"c_{m}"), z["s"]["r2"] - 1) * F.get(F.col(f"c_{f}"), z["s"]["r1"] - 1) - z["m"] * z["f"]
-        ),
-    )
-    return _sum(terms)
-
-
 def trio_scores(fam: DataFrame, child: str, most: int | None = MAX_ALLELES) -> DataFrame:
     """Obedience of a trio and its kinship score: the best obedience after swapping the child with a parent."""
-    members = ("mother", "father", child)
-    df = fam.withColumn("allowed", trio_alleles(child, most))
-    for m in members:
-        df = df.withColumn(f"p_{m}", _restricted(F.col(m), F.col("allowed")))
-    for m in members:
-        df = df.withColumn(f"c_{m}", _carriers(F.col(f"p_{m}")))
-    mother, father = "mother", "father"
-    return df.withColumn(f"{child}_obedience", _obedience((mother, father, child))).withColumn(
-        f"{child}_kinship", F.greatest(_obedience((child, father, mother)), _obedience((mother, child, father)))
-    ).drop("allowed", *[f"{x}_{m}" for x in "pc" for m in members])
+    scored = fam.withColumn("trio", trio_udf(most)("k", "mother", "father", child))
+    return scored.withColumn(f"{child}_obedience", F.col("trio.obedience")).withColumn(f"{child}_kinship", F.col("trio.kinship")).drop("trio")
 
 
 def likely_alleles(fam: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.mathx import binomial_p, ln_factorial, poisson_p
+from ..functions.mathx import SUM_COLUMNS, batch_sums, binomial_p, pair_log_likelihood, poisson_p
 from ..session import written
 
 START_ERROR = 0.001
@@ -74,24 +74,6 @@ def _observed(r1: Column, r2: Column, k: Column) -> dict[str, Column]:
     return {"a1": a1, "a2": a2, "c1": c1, "c2": F.when(het, 1).otherwise(0), "err": F.col("total") - a1 - a2}
 
 
-def _poisson_log(a: Column, copies: Column, rate: Column) -> Column:
-    return F.when(copies == 0, F.lit(0.0)).otherwise(a * F.ln(rate) - rate - ln_factorial(a))
-
-
-def pair_log_likelihood(r1: Column, r2: Column, k: Column, bias: Column, eps: Column) -> Column:
-    """Poisson terms of both alleles plus the binomial term of the other reads."""
-    o = _observed(r1, r2, k)
-    exp = F.col("exp_cov")
-    b1, b2 = F.get(bias, F.least(r1, k) - 1), F.get(bias, F.least(r2, k) - 1)
-    good = F.col("total") - o["err"]
-    noise = (
-        ln_factorial(F.col("total")) - ln_factorial(o["err"]) - ln_factorial(good)
-        + F.when(o["err"] > 0, o["err"] * F.ln(eps)).otherwise(0.0)
-        + F.when(good > 0, good * F.ln(F.greatest(1 - eps, F.lit(1e-300)))).otherwise(0.0)
-    )
-    return _poisson_log(o["a1"], o["c1"], o["c1"] * exp * b1) + _poisson_log(o["a2"], o["c2"], o["c2"] * exp * b2) + noise
-
-
 def scored(rows: DataFrame, model: DataFrame, used: bool = False) -> DataFrame:
     """Rows with the log-likelihood of every pair (``ll``), the pair list (``pairs``) and the normaliser (``z``).
 
@@ -99,7 +81,7 @@ def scored(rows: DataFrame, model: DataFrame, used: bool = False) -> DataFrame:
     """
     tail = "_used" if used else ""
     both = rows.join(model, "locus_id").withColumn("pairs", pair_list(F.col("k")))
-    ll = F.transform("pairs", lambda s: pair_log_likelihood(s["r1"], s["r2"], F.col("k"), F.col("bias" + tail), F.col("eps" + tail)))
+    ll = pair_log_likelihood("n", "total", "exp_cov", "bias" + tail, "eps" + tail)
     return both.withColumn("ll", ll).withColumn(
         "z", F.aggregate(F.zip_with("w" + tail, "ll", lambda w, l: w * F.exp(l)), F.lit(0.0), lambda a, x: a + x)
     )
@@ -136,6 +118,22 @@ def pair_sums(pairs: DataFrame) -> DataFrame:
     )
 
 
+def batched_sums(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``pair_sums`` without a row per person and pair: every Arrow batch is summed per (locus, pair) where it is.
+
+    Only these partial sums are shuffled, so the share of one locus in the rows does not matter.
+    """
+    both = rows.join(model.select("locus_id", "w", "bias", "eps"), "locus_id").select("locus_id", "n", "total", "exp_cov", "w", "bias", "eps")
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield batch_sums(pdf)
+
+    fields = "locus_id INT, pair_no INT, r1 INT, r2 INT, " + ", ".join(f"{c} DOUBLE" for c in SUM_COLUMNS)
+    return both.mapInPandas(run, fields).groupBy("locus_id", "pair_no", "r1", "r2").agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
+
+
 def maximised(sums: DataFrame, loci: DataFrame) -> DataFrame:
     """New weights, error rate and biases per locus from the pair sums, and the score of the old model."""
     w = F.col("member") / F.col("people")
@@ -165,10 +163,10 @@ def em(rows: DataFrame, loci: DataFrame, max_rounds: int = MAX_ROUNDS, delta: fl
     The driver only asks whether any locus is still moving.
     """
     model = written(start_model(loci), "model")
-    rows = written(rows, "person-rows")  # read once per round
+    rows = written(rows.sortWithinPartitions("locus_id"), "person-rows")  # read once per round, batches hold few loci
     for turn in range(max_rounds + 1):
         moving = model.filter("active")
-        step = maximised(pair_sums(pair_rows(scored(rows, moving))), moving)
+        step = maximised(batched_sums(rows, moving), moving)
         both = moving.join(step, "locus_id")
         if turn == 0:
             go, old = F.lit(True), F.col("score") + 2 * delta

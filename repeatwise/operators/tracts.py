@@ -145,7 +145,7 @@ def detect(df: DataFrame, keys: list[str], seq: str, limits: Thresholds = Thresh
     ``block=None`` searches every row whole (reads: no shuffle at all). With ``block`` long sequences are split.
     """
     limits = limits.checked()
-    upper = df.select(*keys, F.upper(F.col(seq)).alias(seq)).filter(F.length(seq) > 0)
+    upper = df.select(*keys, F.upper(F.col(seq)).alias(seq))
     if block is None:
         rows = _tract_rows(
             upper.withColumn("ctx", F.lit(0)).withColumn("first", F.lit(1).cast("long")).withColumn("blk", F.lit(0)).withColumn("is_last", F.lit(True)),
