@@ -1,0 +1 @@
+"""Left empty: all sources are finite tables (see README)."""
