@@ -80,6 +80,7 @@ def _orthonormal(table: DataFrame, k: int) -> tuple[DataFrame, int]:
 
 def singular_vectors(cov: DataFrame, k: int, extra: int = 8, rounds: int = 6, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """Leading ``k`` right singular vectors (``person_id, v0..``) and singular values of the long matrix ``cov``."""
+    cov = written(cov, "cov")  # read twice per round
     n_people, n_loci = cov.select(F.count_distinct("person_id"), F.count_distinct("locus_id")).first()
     size = min(k + extra, n_people, n_loci)
     start = [(F.pmod(F.xxhash64(F.lit(seed + j), "person_id"), F.lit(2000003)) / 1000001.5 - 1).alias(f"v{j}") for j in range(size)]
@@ -115,10 +116,11 @@ def resampled(cov: DataFrame, seed: int) -> DataFrame:
 
 def choose_components(cov: DataFrame, draws: int = 5, most: int = MAX_COMPONENTS) -> int:
     """Largest k whose singular value beats the same value of every resampled matrix; at least 1."""
+    cov = written(cov, "cov")
     _, observed = singular_vectors(cov, most)
     beats = np.ones(len(observed), bool)
     for seed in range(draws):
-        _, random = singular_vectors(written(resampled(cov, seed), "resampled"), most)
+        _, random = singular_vectors(resampled(cov, seed), most)
         size = min(len(observed), len(random))
         beats[:size] &= observed[:size] > random[:size]
     hits = np.flatnonzero(beats)
@@ -130,6 +132,7 @@ def expected_coverage(cov: DataFrame, k: int) -> DataFrame:
 
     Negative values become the smallest positive one.
     """
+    cov = written(cov, "cov")
     vectors, _ = singular_vectors(cov, k)
     size = len(vectors.columns) - 1
     left = _apply(cov, vectors, size)

@@ -20,7 +20,7 @@ import duckdb  # noqa: E402
 from repeatwise.fixtures import BASE_TABLES  # noqa: E402
 
 DATA = "/root/testdata"
-LIMIT = 60  # seconds per query
+LIMIT = 120  # seconds per query
 
 
 def _late(*_):
