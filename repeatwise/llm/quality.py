@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 #: Transformed statistics. Length comes first: the verdict uses the distance of the others given the length.
 FEATURES = ["ln_words", "ln_word_length", "root_symbols", "root_dup_lines", "root_repeats"]
 #: Least spread of each statistic, so that one that hardly varies in a group rejects nobody for a trifle.
-LEAST_SPREAD = [0.3, 0.06, 0.05, 0.08, 0.08]
+LEAST_SPREAD = [0.3, 0.1, 0.04, 0.15, 0.15]
 P = len(FEATURES)
 BINS = 32  # of distances, for each factor of e
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -153,7 +153,7 @@ def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6)
 
     ``vectors`` holds distinct statistic vectors. Distances are binned (``BINS`` for each factor of e), so a step is one
     aggregation whose state is bounded, whatever share of the rows a stratum holds. Of the two starts the one with the smaller
-    determinant stays; ``scale`` makes the median squared distance that of a chi-square.
+    determinant stays; ``scale`` (1 or more, as the nearest vectors spread less than all) makes the median squared distance that of a chi-square.
     """
     model = written(_starts(vectors), "start")
     for step in range(steps):
@@ -161,7 +161,7 @@ def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6)
     best = model.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("log_det", "start"))).filter("place = 1").drop("place", "start")
     scored = _scores(vectors.join(best.drop("n"), "stratum")).select("stratum", _bin(_squares(1)).alias("bin"))
     middle = _quantile_bins(scored.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")), ["stratum"], 0.5, "middle")
-    scale = F.greatest(F.exp((F.col("middle") + 0.5) / BINS) / F.lit(chi_square_quantile(0.5, P - 1)), F.lit(0.25))
+    scale = F.greatest(F.exp((F.col("middle") + 0.5) / BINS) / F.lit(chi_square_quantile(0.5, P - 1)), F.lit(1.0))
     return best.join(middle, "stratum").withColumn("scale", scale).drop("middle")
 
 
