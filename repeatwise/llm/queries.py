@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat import conversation_digests, format_conversations
 from .exact import exact_copies
 from .mixing import mix_sources
+from .phrases import remove_repeats
+from .pieces import encoded_digests
 from .quality import quality_verdicts
 from .sharding import balanced_tree, shard_rows
+from .token_counts import section_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +30,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file; ``TOKENIZERS`` names another folder."""
+    folder = os.environ.get("TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,12 +50,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "rate", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op2_repeat_automata")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 @query("op3_hash_tree")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(table(spark, sf_dir, "documents"), balanced_tree(8), balanced_tree(9))
     return placed.withColumn("law", F.lit("key"))
 
 
+OP5_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')) AS wide,
+  length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?INST\]')) AS wide_role FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN 17 + wide ELSE 18 + wide_role + wide END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query("op5_chat_template", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    return conversation_digests(format_conversations(turns.unionByName(planted)))
+
+
 @query("op6_robust_outliers")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
@@ -57,3 +97,13 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("keep_key").alias("keep_id"), "group_size", "kept", "text_sha256")
+
+
+@query("op9_piece_offsets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op10_section_tokens")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
