@@ -36,3 +36,32 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     shifts = sizes.select(*keys, "range_no", F.coalesce(F.sum("rows_here").over(earlier), F.lit(0)).alias("shift"))
     inside = F.row_number().over(Window.partitionBy(*keys, "range_no").orderBy(*order)) - 1
     return ranged.withColumn("inside", inside).join(shifts, [*keys, "range_no"]).select(*df.columns, (F.col("inside") + F.col("shift")).cast("long").alias(name))
+
+
+def identified(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``_id`` (a number that identifies the row), the key and the columns.
+
+    The key serves as the number where it is unique and never null; else rows are numbered and written once.
+    """
+    narrow = df.select(df[key].cast("long").alias("_key"), *[df[c] for c in columns])
+    if narrow.groupBy("_key").count().filter("_key IS NULL OR count > 1").isEmpty():
+        return narrow.select(F.col("_key").alias("_id"), F.col("_key").alias(key), *columns)
+    return numbered(narrow, "_id").select("_id", F.col("_key").alias(key), *columns)
+
+
+def smallest_labels(edges: DataFrame) -> DataFrame:
+    """Connected components of the undirected edges ``a, b``: ``node, label``, the label being the smallest node of the component.
+
+    Labels go along edges and are then looked up once more (a node takes the label of its label), so long chains halve each round.
+    Each round is written to the shared folder, and the driver asks one yes/no question.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        passed = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head"))
+        moved = written(passed.join(heads, "label").select("node", "old", F.least("label", "head").alias("label")), "labels")
+        labels = moved.select("node", "label")
+        if moved.filter("old <> label").isEmpty():
+            return labels

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 from .common import parallelism
-from .words import Words, grams, mix, texts_of
+from .words import Words, grams, mix, text_slices
 
 WINDOW = 50
 PHRASE = 8
@@ -55,17 +55,6 @@ def window_keys(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarr
     return high, (low >> _U(32)).astype(np.uint32)
 
 
-def text_slices(batches, bytes_each: int):
-    """Row ranges of Arrow batches with about ``bytes_each`` bytes of text (column 1)."""
-    for batch in batches:
-        texts = texts_of(batch.column(1))
-        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset + 1 : texts.offset + len(texts) + 1] if len(texts) else np.zeros(0, np.int64)
-        cuts = np.flatnonzero(np.diff(ends // bytes_each)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(texts)]):
-            if b > a:
-                yield batch.slice(a, b - a), texts.slice(a, b - a)
-
-
 def _leaders(batches, window: int, phrase: int):
     for batch, texts in text_slices(batches, 16_000_000):
         words = Words(texts)

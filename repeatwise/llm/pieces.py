@@ -17,11 +17,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .words import ragged, texts_of
+from .words import ragged, text_slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE = 400_000  # distinct units kept between batches
+SLICE = 2_000_000  # bytes of text encoded before rows are given out
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -255,19 +256,9 @@ class Encoder:
         return source[ends - self.model.sizes[ids]], source[ends]
 
 
-def slices(batches, bytes_each: int = 2_000_000):
-    """Keys and texts of Arrow batches, some MB of text at a time."""
-    for batch in batches:
-        texts = texts_of(batch.column(1))
-        sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0)
-        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(sizes) // bytes_each)) + 1):
-            if len(part):
-                yield batch.column(0).slice(part[0], len(part)), texts.slice(part[0], len(part))
-
-
 def _pieces(batches, path: str):
     encoder = Encoder(path)
-    for keys, column in slices(batches):
+    for batch, column in text_slices(batches, SLICE):
         texts = column.to_pylist()
         ids, begins, ends, decoded = [], [], [], []
         for text, (i, d, normal, aligned) in zip(texts, encoder.batch(texts)):
@@ -275,7 +266,7 @@ def _pieces(batches, path: str):
             ids.append(i), begins.append(b.astype(np.int32)), ends.append(e.astype(np.int32)), decoded.append(d.decode())
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(x).astype(np.int32))) for x in (ids, begins, ends)]
-        yield pa.RecordBatch.from_arrays([keys, *lists, pa.array(decoded, pa.string())], ["key", "ids", "begins", "ends", "decoded"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(decoded, pa.string())], ["key", "ids", "begins", "ends", "decoded"])
 
 
 def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,13 +284,13 @@ def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str =
 
 def _digests(batches, path: str):
     encoder = Encoder(path)
-    for keys, column in slices(batches):
+    for batch, column in text_slices(batches, SLICE):
         n, ids_hex, text_hex = [], [], []
         for ids, decoded, _, _ in encoder.batch(column.to_pylist()):
             n.append(len(ids))
             ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
             text_hex.append(hashlib.sha256(decoded).hexdigest())
-        yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encoded_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

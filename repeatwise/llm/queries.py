@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .chat import conversation_digests, format_conversations
 from .exact import exact_copies
 from .mixing import mix_sources
+from .ngram_join import similar_sets
 from .phrases import remove_repeats
 from .pieces import encoded_digests
 from .quality import quality_verdicts
@@ -87,6 +88,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
+@query("op7_prefix_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
