@@ -38,15 +38,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     return ranged.withColumn("inside", inside).join(shifts, [*keys, "range_no"]).select(*df.columns, (F.col("inside") + F.col("shift")).cast("long").alias(name))
 
 
-def identified(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """``_id`` (a number that identifies the row), the key and the columns.
-
-    The key serves as the number where it is unique and never null; else rows are numbered and written once.
-    """
-    narrow = df.select(df[key].cast("long").alias("_key"), *[df[c] for c in columns])
-    if narrow.groupBy("_key").count().filter("_key IS NULL OR count > 1").isEmpty():
-        return narrow.select(F.col("_key").alias("_id"), F.col("_key").alias(key), *columns)
-    return numbered(narrow, "_id").select("_id", F.col("_key").alias(key), *columns)
+def identified(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a number ``_id`` that identifies the row: the key where it is unique and never null, else rows are numbered."""
+    if df.groupBy(df[key]).count().filter((F.col(key).isNull()) | (F.col("count") > 1)).isEmpty():
+        return df.withColumn("_id", df[key].cast("long"))
+    return numbered(df, "_id")
 
 
 def smallest_labels(edges: DataFrame) -> DataFrame:

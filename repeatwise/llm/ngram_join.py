@@ -295,15 +295,16 @@ def _visit(table: pa.Table) -> pa.Table:
 def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Returns ``<key>, n_shingles, component_id``, one row per row of ``df``; ``component_id`` is the smallest key that links reach.
+    Returns ``_id, <key>, n_shingles, component_id, first``, one row per row of ``df`` (``first``: the row with the smallest ``_id`` of its
+    component; ``_id`` identifies the row, see ``identified``, and may come with ``df``); ``component_id`` is the smallest key that links reach.
     Shingles are ``k`` consecutive words with A-Z lower-cased; a shorter text is one shingle; a text without words (null, empty) has an
     empty set and is linked with nothing. Repeated rows have equal sets and so one component; rows with null keys take part, and a
     component without any other key has a null id. Other columns are ignored; empty tables give no rows. All links between different sets
     count: candidates have no cap, and every set of a bucket is compared with every other unless the two are already connected.
     """
     spark = df.sparkSession
-    docs = identified(df, key, text).select("_id", F.col(text).alias("_text"), F.col(key).alias("_key"))
-    texts = docs.select("_id", F.col("_text").alias("text"))
+    docs = df if "_id" in df.columns else identified(df.select(key, text), key)
+    texts = docs.select("_id", F.col(text).alias("text"))
     described = written(texts.mapInArrow(lambda b: _describe(b, k), "_id long, n long, digest binary, block int, counts binary"), "sets")
     blocks = described.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
     sketch = np.zeros(WIDTH, np.int64)
@@ -343,6 +344,13 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     labels = smallest_labels(edges.union(across))
     placed = nodes.join(labels.withColumnRenamed("label", "component"), "node", "left").select("_id", "n", F.coalesce("component", "node").alias("component"))
-    named = placed.join(docs.select("_id", "_key"), "_id")
-    least = named.groupBy("component").agg(F.min("_key").alias("component_id"))
-    return named.join(least, "component").select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    named = placed.join(docs.select("_id", F.col(key).alias("key")), "_id")
+    least = named.groupBy("component").agg(F.min("key").alias("component_id"), F.min("_id").alias("head"))
+    return named.join(least, "component").select("_id", F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("head")).alias("first"))
+
+
+def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df`` without all but the first of each component, with all their columns."""
+    marked = identified(df, key)
+    dropped = similar_sets(marked.select("_id", key, text), key, text).filter(~F.col("first")).select("_id")
+    return marked.join(dropped, "_id", "left_anti").select(*df.columns)

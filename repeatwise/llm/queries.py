@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import conversation_digests, format_conversations
 from .exact import exact_copies
+from .interpolation import score_texts
 from .mixing import mix_sources
 from .ngram_join import similar_sets
 from .phrases import remove_repeats
@@ -62,6 +63,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("key"))
 
 
+@query("op4_deleted_interpolation")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,7 +96,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_prefix_tree")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets(table(spark, sf_dir, "documents"))
+    return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = r"""
