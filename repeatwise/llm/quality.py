@@ -19,6 +19,7 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ["ln_words", "ln_word_length", "root_symbols", "root_dup_lines", "root_repeats"]
 #: Least spread of each statistic, so that one that hardly varies in a group rejects nobody for a trifle.
 LEAST_SPREAD = [0.3, 0.1, 0.04, 0.15, 0.15]
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 P = len(FEATURES)
 BINS = 32  # of distances, for each factor of e
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -159,24 +160,28 @@ def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6)
     for step in range(steps):
         model = written(_concentrate(vectors, model, coverage), f"step{step}")
     best = model.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("log_det", "start"))).filter("place = 1").drop("place", "start")
+    best = written(best, "best")  # of known size: the vectors of a large stratum need not meet in one task to be joined with it
     scored = _scores(vectors.join(best.drop("n"), "stratum")).select("stratum", _bin(_squares(1)).alias("bin"))
     middle = _quantile_bins(scored.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")), ["stratum"], 0.5, "middle")
     scale = F.greatest(F.exp((F.col("middle") + 0.5) / BINS) / F.lit(chi_square_quantile(0.5, P - 1)), F.lit(1.0))
     return best.join(middle, "stratum").withColumn("scale", scale).drop("middle")
 
 
-def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", coverage: float = 0.75, least_rows: int = 200, tail: float = 1e-9) -> DataFrame:
+def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", coverage: float = 0.75, least_rows: int = 200, tail: float = 1e-9, carry: list[str] | None = None) -> DataFrame:
     """``df`` with its statistics, ``base_failed``, ``distance`` (robust, squared, null if the base rules failed) and ``kept``.
 
     A text that fails the base rules is rejected. Others are judged by the estimate of their (language, source), or of their
     language, or of all texts, whichever first has ``least_rows`` distinct vectors; with fewer than that in all they are
     kept. Rejected is a text whose distance given its length exceeds the chi-square quantile that leaves ``tail``. Each distinct
     vector counts once, so copies do not pull an estimate. Null languages and sources are values of their own, null and empty texts
-    fail the base rules, repeated rows get equal verdicts, empty tables give no rows. Texts are read once: rows and their statistics
-    are written to the shared folder. Columns of ``df`` named as a result column or starting with ``_`` are replaced.
+    fail the base rules, repeated rows get equal verdicts, empty tables give no rows. Texts are read once: the columns to ``carry``
+    (default: all) and the statistics are written to the shared folder. Columns of ``df`` named as a result column or starting with
+    ``_`` are replaced.
     """
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     rows = statistics(df, text).withColumns(transformed()).withColumns({"base_failed": base_failed(), "_lang": known(lang), "_source": known(source)})
+    if carry is not None:
+        rows = rows.select(*carry, *STATISTICS, *FEATURES, "base_failed", "_lang", "_source")
     rows = written(rows, "statistics")
     levels = F.array(F.concat_ws(" ", F.lit("source"), "_lang", "_source"), F.concat_ws(" ", F.lit("lang"), "_lang"), F.lit("all"))
     vectors = rows.filter(~F.col("base_failed")).select(F.explode(levels).alias("stratum"), *FEATURES).distinct()

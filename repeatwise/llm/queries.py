@@ -90,7 +90,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_robust_outliers")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = quality_verdicts(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
