@@ -3,8 +3,9 @@
 1. A first pass makes each document's set of shingles; equal sets are one node. A counting sketch of fixed size estimates how
    many documents hold a shingle.
 2. All sets are ordered alike, rare shingles first. Two sets with enough in common share a shingle among the first of each (its
-   prefix). Every slice of documents asks key ranges for the smallest document that shares each of its prefix shingles: that leader's
-   bucket is where the document is compared. Slices ask once for a key, so a frequent one is no burden.
+   prefix). Slices of documents send their prefix shingles to key ranges, which find the smallest document that has each: that leader's
+   bucket is where the documents with the shingle are compared. A slice sends a shingle once, with its own smallest document, and its
+   other documents join the leader by key, so no range gathers a frequent shingle's documents.
 3. The sets of a bucket are stored in a prefix tree, in one order for the bucket. Each set walks the tree: what a path has in common
    with it is counted once for all sets below, and subtrees are left out when their remaining length cannot reach the bound or
    when all their sets are already connected with it. Buckets over ``CHUNK`` sets are split; sets the leader does not reach
@@ -17,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
@@ -69,7 +70,7 @@ def _describe(batches, k: int):
         none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *none], names)
     if sketch.any():
-        blocks = [b.tobytes() for b in np.split(sketch, WIDTH // BLOCK)]
+        blocks = [zstandard.compress(b.tobytes()) for b in np.split(sketch, WIDTH // BLOCK)]
         none = pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.binary())
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names)
 
@@ -78,93 +79,66 @@ def _add_blocks(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
+            sums[block] = sums.get(block, 0) + np.frombuffer(zstandard.decompress(counts), np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
 
 
 def _prefixes(batches, sketch: np.ndarray, k: int):
-    """One row for each slice of documents: ids, and the prefix of each. Equal sets of a slice are there once, with the smallest id."""
-    number = TaskContext.get().partitionId() << 32
+    """For each slice of documents its ids and their prefixes. Equal sets of a slice are there once, with the smallest id."""
     for batch, texts in text_slices(batches, SLICE):
         first: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(texts, lower=True), k)):
             if len(s) and i < first.get(d := hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (i + 1,))[0]:
                 first[d] = i, s
-        ids, keys = [], []
-        for i, s in first.values():
-            order = np.lexsort((s, sketch[(s & _U(WIDTH - 1)).astype(np.int64)]))
-            ids.append(i), keys.append(s[order[: prefix_length(len(s))]])
-        if ids:
-            counts = np.array([len(x) for x in keys], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, np.int64), counts, np.concatenate(keys))]], ["slice", "ids", "counts", "keys"])
-            number += 1
-
-
-def _shared(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a slice in order, and the ids and key places of all its prefix entries."""
-    ids, counts, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["keys"], _U)
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.repeat(ids, counts), place
-
-
-def _ask(batches, ranges: int):
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys, ids, place = _shared(row)
-            least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-            np.minimum.at(least, place, ids)
-            np.maximum.at(most, place, ids)
-            which = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
-            cuts = np.searchsorted(which, np.arange(ranges + 1))
-            full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["slice"]] * len(full), pa.int64()), pa.array([r for r, _, _ in full], pa.int32()), pa.array([a for _, a, _ in full], pa.int64())]
-                + [pa.array([x[a:b].tobytes() for _, a, b in full], pa.binary()) for x in (keys, least, (least < most).astype(np.uint8))],
-                ["slice", "range", "at", "keys", "least", "several"],
-            )
+        if first:
+            keys = [s[np.lexsort((s, sketch[(s & _U(WIDTH - 1)).astype(np.int64)]))[: prefix_length(len(s))]] for _, s in first.values()]
+            yield np.repeat(np.array([i for i, _ in first.values()], np.int64), [len(x) for x in keys]), np.concatenate(keys)
+
+
+def _ask(batches, sketch: np.ndarray, k: int, ranges: int):
+    """Distinct keys of each slice by range, each with its smallest document and whether the slice holds others."""
+    for ids, keys in _prefixes(batches, sketch, k):
+        order = np.lexsort((ids, keys))
+        ids, keys = ids[order], keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        several = np.diff(np.append(np.flatnonzero(new), len(keys))) > 1
+        keys, least = keys[new], ids[new]
+        which = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+        cuts = np.searchsorted(which, np.arange(ranges + 1))
+        full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r for r, _, _ in full], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in full], pa.binary()) for x in (keys, least, several)],
+            ["range", "keys", "least", "several"],
+        )
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each slice, the places of its keys that several documents hold, and the smallest of those documents."""
-    parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", _U), ("least", np.int64), ("several", np.uint8))]
+    """Distinct (leader, member) pairs of a range's keys with several documents, and the leader of each key that a slice holds more than once."""
+    parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", _U), ("least", np.int64), ("several", bool))]
     keys, least, several = (np.concatenate(x) for x in parts)
-    sizes = np.array([len(x) for x in parts[0]])
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((least, keys))
+    keys, least, several = keys[order], least[order], several[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    group = np.empty(len(keys), np.int64)
-    group[order] = np.cumsum(new) - 1
-    leader = np.full(int(new.sum()), np.iinfo(np.int64).max)
-    np.minimum.at(leader, group, least)
-    held = (np.bincount(group) > 1) | (np.bincount(group, weights=several) > 0)
-    begins = np.cumsum(sizes) - sizes
-    places = np.arange(len(keys)) - np.repeat(begins - np.array(table.column("at").to_pylist()), sizes)
-    out = []
-    for a, n in zip(begins, sizes):
-        mine = np.flatnonzero(held[group[a : a + n]]) + a
-        out.append((places[mine].tobytes(), leader[group[mine]].tobytes()))
-    return pa.table({"slice": table.column("slice"), "places": pa.array([x for x, _ in out], pa.binary()), "leaders": pa.array([x for _, x in out], pa.binary())})
-
-
-def _route(batches):
-    """Distinct (leader, member) pairs of a slice."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys, ids, place = _shared(row)
-            leader = np.full(len(keys), np.iinfo(np.int64).min)
-            for answer in row["answers"]:
-                leader[np.frombuffer(answer["places"], np.int64)] = np.frombuffer(answer["leaders"], np.int64)
-            led = leader[place]
-            pairs = np.stack([led, ids], axis=1)[(led != np.iinfo(np.int64).min) & (led != ids)]
-            if len(pairs):
-                pairs = np.unique(pairs, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["leader", "member"])
-
-
-def _sets(batches, k: int):
-    for batch, texts in text_slices(batches, SLICE):
-        sets = shingle_sets(Words(texts, lower=True), k)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+    new[1:] = keys[1:] != keys[:-1]
+    leader = least[new][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([leader, least], axis=1)[leader != least], axis=0).reshape(-1, 2)
+    more = np.unique(np.stack([keys.view(np.int64), leader], axis=1)[several], axis=0).reshape(-1, 2)
+    return pa.table({
+        "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more[:, 0].copy())]),
+        "leader": pa.array(np.concatenate([pairs[:, 0], more[:, 1]])),
+        "member": pa.concat_arrays([pa.array(pairs[:, 1].copy()), pa.nulls(len(more), pa.int64())]),
+    })
+
+
+def _others(batches, sketch: np.ndarray, k: int):
+    """Further documents of the keys that a slice holds more than once."""
+    for ids, keys in _prefixes(batches, sketch, k):
+        order = np.lexsort((ids, keys))
+        ids, keys = ids[order], keys[order]
+        again = np.zeros(len(keys), bool)
+        again[1:] = keys[1:] == keys[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[again].view(np.int64)), pa.array(ids[again])], ["key", "member"])
 
 
 # -- prefix trees
@@ -275,18 +249,23 @@ def connect(sets: list[np.ndarray], groups: np.ndarray, asking: np.ndarray) -> n
     return out
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _sets(table: pa.Table, k: int) -> list[np.ndarray]:
+    """Sets of a chunk. Texts travel rather than sets: they are smaller."""
+    return shingle_sets(Words(table.column("text").combine_chunks(), lower=True), k)
+
+
+def _compare(table: pa.Table, k: int) -> pa.Table:
     """Group of each set of a chunk: the smallest connected id."""
     ids = table.column("node").to_numpy()
-    sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+    sets = _sets(table, k)
     groups = connect(sets, ids, np.ones(len(ids), bool))
     return pa.table({"leader": table.column("leader"), "chunk": table.column("chunk"), "node": table.column("node"), "head": pa.array(groups, pa.int64())})
 
 
-def _visit(table: pa.Table) -> pa.Table:
+def _visit(table: pa.Table, k: int) -> pa.Table:
     """Links between visitors from other chunks and the sets of a chunk, as (a, b)."""
     heads = table.column("head").to_numpy()
-    sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+    sets = _sets(table, k)
     groups = connect(sets, heads, table.column("visitor").to_numpy(zero_copy_only=False))
     moved = np.unique(np.stack([groups, heads], axis=1)[groups != heads], axis=0).reshape(-1, 2)
     return pa.table({"a": pa.array(moved[:, 0].copy(), pa.int64()), "b": pa.array(moved[:, 1].copy(), pa.int64())})
@@ -317,30 +296,29 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     nodes = written(rows.join(heads, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")), "nodes")
 
     ranges = parallelism(df)
-    slices = written(texts.mapInArrow(lambda b: _prefixes(b, shared_sketch.value, k), "slice long, ids binary, counts binary, keys binary"), "prefixes")
-    questions = slices.mapInArrow(lambda b: _ask(b, ranges), "slice long, range int, at long, keys binary, least binary, several binary")
-    answers = questions.groupBy("range").applyInArrow(_answer, "slice long, places binary, leaders binary")
-    gathered = answers.groupBy("slice").agg(F.collect_list(F.struct("places", "leaders")).alias("answers"))
-    pairs = slices.join(gathered, "slice").mapInArrow(_route, "leader long, member long")
+    questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, least binary, several binary")
+    answers = written(questions.groupBy("range").applyInArrow(_answer, "key long, leader long, member long"), "answers")
+    others = texts.mapInArrow(lambda b: _others(b, shared_sketch.value, k), "key long, member long")
+    more = others.join(answers.filter("key IS NOT NULL").select("key", "leader"), "key").select("leader", "member")
+    pairs = answers.filter("key IS NULL").select("leader", "member").union(more).distinct()
     pairs = pairs.join(nodes.select(F.col("_id").alias("member"), "node"), "member").filter("leader <> node").select("leader", "node").distinct()
     pairs = written(pairs, "pairs")
 
-    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
-    sets = texts.join(wanted.withColumnRenamed("node", "_id"), "_id", "left_semi").mapInArrow(lambda b: _sets(b, k), "node long, shingles binary")
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
     members = pairs.join(sizes, "leader").select("leader", "node", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
     leaders = sizes.select("leader", F.col("leader").alias("node"), "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    stored = written(members.union(leaders).join(sets, "node"), "buckets")
-    met = written(stored.groupBy("leader", "chunk").applyInArrow(_compare, "leader long, chunk long, node long, head long"), "met")
+    stored = written(members.union(leaders).join(texts.withColumnRenamed("_id", "node"), "node"), "buckets")
+    met = stored.groupBy("leader", "chunk").applyInArrow(lambda t: _compare(t, k), "leader long, chunk long, node long, head long")
+    met = written(met, "met")
     edges = met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
 
     large = stored.filter("chunks > 1")
     own = met.select("leader", "chunk", "node", "head")
     away = own.filter("head <> leader AND node <> leader").join(sizes, "leader").filter("chunks > 1")
-    homes = large.join(own, ["leader", "chunk", "node"]).select("leader", "chunk", "node", "head", "shingles", F.lit(False).alias("visitor"))
+    homes = large.join(own, ["leader", "chunk", "node"]).select("leader", "chunk", "node", "head", "text", F.lit(False).alias("visitor"))
     visits = away.select("leader", "node", "head", F.col("chunk").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).filter("chunk <> home")
-    visitors = visits.join(large.select("leader", F.col("chunk").alias("home"), "node", "shingles"), ["leader", "home", "node"]).select("leader", "chunk", "node", "head", "shingles", F.lit(True).alias("visitor"))
-    across = homes.union(visitors).groupBy("leader", "chunk").applyInArrow(_visit, "a long, b long")
+    visitors = visits.join(large.select("leader", F.col("chunk").alias("home"), "node", "text"), ["leader", "home", "node"]).select("leader", "chunk", "node", "head", "text", F.lit(True).alias("visitor"))
+    across = homes.union(visitors).groupBy("leader", "chunk").applyInArrow(lambda t: _visit(t, k), "a long, b long")
 
     labels = smallest_labels(edges.union(across))
     placed = nodes.join(labels.withColumnRenamed("label", "component"), "node", "left").select("_id", "n", F.coalesce("component", "node").alias("component"))
