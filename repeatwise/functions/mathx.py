@@ -69,25 +69,24 @@ def binomial_upper(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def chi_square_upper(score: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(X >= score) for chi-square with whole ``df`` by the finite sums for even and odd degrees."""
+    """P(X >= score) for chi-square with whole ``df`` by the finite sums for even and odd degrees.
+
+    Terms are added as logarithms, so large scores and degrees neither underflow nor overflow; all scores with the same degrees
+    are summed together.
+    """
     score, df = np.asarray(score, float), np.asarray(df, np.int64)
     out = np.ones(len(score))
-    for i, (s, d) in enumerate(zip(score, df)):
-        if d <= 0 or not s > 0:
-            continue
-        half = s / 2
-        if d % 2 == 0:
-            term = total = math.exp(-half)
-            for j in range(1, d // 2):
-                term *= half / j
-                total += term
-        else:
-            total = math.erfc(math.sqrt(half))
-            term = math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
-            for j in range((d - 1) // 2):
-                total += term
-                term *= half / (j + 1.5)
-        out[i] = min(total, 1.0)
+    for d in np.unique(df[(df > 0) & (score > 0)]):
+        at = np.flatnonzero((df == d) & (score > 0))
+        half = score[at][:, None] / 2
+        steps = np.arange(d // 2) + (d % 2) / 2  # exponents of half in the sum
+        logs = -half + steps * np.log(half) - np.array([math.lgamma(x + 1) for x in steps])
+        top = logs.max(axis=1, initial=-np.inf)
+        safe = np.where(np.isfinite(top), top, 0.0)
+        total = np.exp(safe) * np.exp(logs - safe[:, None]).sum(axis=1)
+        if d % 2:
+            total += np.array([math.erfc(math.sqrt(h)) for h in half[:, 0]])
+        out[at] = np.minimum(total, 1.0)
     return out
 
 

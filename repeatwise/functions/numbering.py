@@ -18,5 +18,5 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     earlier = sizes.withColumn("shift", F.sum("size").over(Window.orderBy("range_no")) - F.col("size")).select("range_no", "shift")
     inside = F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1
     return ranged.withColumn("inside", inside).join(earlier, "range_no").select(
-        *df.columns, (F.col("inside") + F.col("shift")).cast("int").alias(name)
+        *df.columns, (F.col("inside") + F.col("shift")).cast("long").alias(name)
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numbering import number_rows
 from .cohort import ROLES, with_role
 
 ALLELES = [f"{r}_{i}" for r in ROLES for i in (1, 2)]
@@ -82,10 +83,10 @@ def case_score(cases: DataFrame, both: str = "min") -> DataFrame:
     )
 
 
-def ranked(cases: DataFrame, top: int | None = None) -> DataFrame:
-    """Cases by score, locus and family; with ``top`` a distributed top-k."""
-    ordered = case_score(cases).orderBy("score", "locus_id", "family_id")
-    return ordered.limit(top) if top is not None else ordered
+def ranked(cases: DataFrame, digits: int = 9) -> DataFrame:
+    """All cases with their ``place`` (from 0) by score (rounded to ``digits``), locus and family."""
+    scored = case_score(cases).withColumn("score", F.round("score", digits))
+    return number_rows(scored, ["score", "locus_id", "family_id"], "place")
 
 
 def _array(names: list[str]) -> Column:
@@ -122,12 +123,16 @@ def concordant(scores: DataFrame, genotypes: DataFrame, person: DataFrame) -> Da
 
 
 def member_records(genotypes: DataFrame, person: DataFrame, fields: list[str]) -> DataFrame:
-    """Wide record per (locus, family): the fields of all four members side by side, in one shuffle."""
+    """Wide record per (locus, family): the fields of all four members side by side, in one shuffle.
+
+    All fields of a role come from one person, of several siblings the one with the smallest id (see ``families``).
+    """
     roles = with_role(person).filter("role <> 'other'").select("person_id", "family_id", "role")
     both = genotypes.select("locus_id", "person_id", *fields).join(roles, "person_id")
-    return both.groupBy("locus_id", "family_id").agg(
-        *[F.max(F.when(F.col("role") == r, F.col(f))).alias(f"{r}_{f}") for r in ROLES for f in fields]
+    wide = both.groupBy("locus_id", "family_id").agg(
+        *[F.min_by(F.struct(*fields), F.when(F.col("role") == r, F.col("person_id"))).alias(r) for r in ROLES]
     )
+    return wide.select("locus_id", "family_id", *[F.col(f"{r}.{f}").alias(f"{r}_{f}") for r in ROLES for f in fields])
 
 
 def locus_diversity(genotypes: DataFrame, parents: DataFrame) -> DataFrame:

@@ -16,17 +16,16 @@ from ..session import written
 from .cohort import ROLES, with_role
 from .genotype import NULL_ALLELE, best_pair, pair_list
 
-MAX_ALLELES = 6
 MISSING = -2
 
 
 def family_rows(post: DataFrame, person: DataFrame) -> DataFrame:
-    """One row per (locus, family) with the membership array of each role."""
+    """One row per (locus, family) with the membership array of each role; of several siblings the one with the smallest id (see ``families``)."""
     roles = with_role(person).filter(F.col("role") != "other").select("person_id", "family_id", "role")
     both = post.join(roles, "person_id")
     return both.groupBy("locus_id", "family_id").agg(
         F.first("k").alias("k"), F.first("lens").alias("lens"),
-        *[F.max(F.when(F.col("role") == r, F.struct("person_id", "p")))["p"].alias(r) for r in ROLES],
+        *[F.min_by("p", F.when(F.col("role") == r, F.col("person_id"))).alias(r) for r in ROLES],
     ).withColumn("pairs", pair_list(F.col("k")))
 
 
@@ -40,7 +39,7 @@ def allele_share(p: Column) -> Column:
         "pairs", p, lambda s, x: x * ((s["r1"] == a).cast("int") + (s["r2"] == a).cast("int")) / 2)))
 
 
-def trio_alleles(child: str, most: int | None = MAX_ALLELES) -> Column:
+def trio_alleles(child: str, most: int | None = None) -> Column:
     """Ranks by mean share in mother, father and child (equal: lower rank first), at most ``most`` of them."""
     shares = [allele_share(F.col(m)) for m in ("mother", "father", child)]
     ranks = F.sequence(F.lit(1), F.col("k") + 1)
@@ -50,7 +49,7 @@ def trio_alleles(child: str, most: int | None = MAX_ALLELES) -> Column:
     return picked if most is None else F.slice(picked, 1, most)
 
 
-def trio_scores(fam: DataFrame, child: str, most: int | None = MAX_ALLELES) -> DataFrame:
+def trio_scores(fam: DataFrame, child: str, most: int | None = None) -> DataFrame:
     """Obedience of a trio and its kinship score: the best obedience after swapping the child with a parent."""
     scored = fam.withColumn("trio", trio_udf(most)("k", "mother", "father", child))
     return scored.withColumn(f"{child}_obedience", F.col("trio.obedience")).withColumn(f"{child}_kinship", F.col("trio.kinship")).drop("trio")
@@ -73,7 +72,7 @@ def likely_alleles(fam: DataFrame) -> DataFrame:
 SCORE_COLUMNS = [f"{r}_{i}" for r in ROLES for i in (1, 2)] + [f"{c}_{s}" for s in ("trio", "obedience", "kinship") for c in ("proband", "sibling")]
 
 
-def family_scores(post: DataFrame, person: DataFrame, most: int | None = MAX_ALLELES) -> DataFrame:
+def family_scores(post: DataFrame, person: DataFrame, most: int | None = None) -> DataFrame:
     """Family score table over all loci and families; trios with a missing member have no score."""
     fam = likely_alleles(family_rows(post, person))
     for child in ("proband", "sibling"):

@@ -189,17 +189,14 @@ def flank_table(reads: DataFrame) -> DataFrame:
     )
 
 
-def read_names(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """Reportable read names per row, one chunk of at most 10,000 names per output row.
+def read_names(reads: DataFrame, keys: list[str], chunk: int = 5000) -> DataFrame:
+    """Reportable read names per row, in parts of about ``chunk`` names.
 
-    A locus that holds very many reads spreads over chunks, so no task gathers an unbounded list.
+    A row with n names has ceil(n / chunk) parts and a name goes to a part by its hash, so no task gathers an unbounded list.
     """
-    chunk = F.floor(F.pmod(F.xxhash64("read_name"), F.lit(1 << 20)) / 64).cast("int")
-    sized = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    wide = reads.join(sized, keys).withColumn(
-        "part", F.when(F.col("total") <= 10000, 0).otherwise(F.pmod(chunk, F.ceil(F.col("total") / 5000).cast("int")))
-    )
-    return wide.groupBy(*keys, "part").agg(
+    sized = reads.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    part = F.pmod(F.xxhash64("read_name"), F.col("parts")).cast("int")
+    return reads.join(sized, keys).withColumn("part", part).groupBy(*keys, "part").agg(
         F.array_join(F.sort_array(F.collect_list(F.col("read_name").cast("string"))), ",").alias("names")
     )
 

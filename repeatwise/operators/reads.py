@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import seq as S
 
@@ -101,14 +101,9 @@ def with_tract_only(reads: DataFrame, tracts: DataFrame) -> DataFrame:
     return reads.join(tracts.select("read_id").distinct(), "read_id", "left_semi")
 
 
-def guess_encoding(df: DataFrame, order: list[str], sample: int = 1000) -> DataFrame:
-    """Quality encoding per file from its first ``sample`` reads in file order.
-
-    The rank filter becomes a group limit in every partition, so at most ``sample`` rows per file and partition
-    are shuffled.
-    """
-    ranked = df.withColumn("rk", F.row_number().over(Window.partitionBy("file").orderBy(*order))).filter(F.col("rk") <= sample)
-    votes = ranked.groupBy("file").agg(
+def guess_encoding(df: DataFrame) -> DataFrame:
+    """Quality encoding per file from all its reads, in one partial aggregate."""
+    votes = df.groupBy("file").agg(
         F.max(F.col("qual").rlike("[!-:]")).alias("low"), F.max(F.col("qual").rlike("[K-h]")).alias("high")
     )
     return votes.select("file", F.when(F.col("low"), "phred33").when(F.col("high"), "phred64").otherwise("unknown").alias("encoding"))
@@ -141,11 +136,11 @@ def tallies(df: DataFrame, min_length: int = MIN_DETECT_LENGTH, max_n: int = MAX
 
 
 def parse_header(header: Column) -> Column:
-    """Read name, mate and filter flag from ``name N:Y/N:...`` or ``name/N`` headers."""
+    """Read name, mate and filter flag from ``name N:Y/N:...`` or ``name/N`` headers; a header without a mate digit has a null mate."""
     spaced = header.contains(" ")
     tail = F.substring_index(header, " ", -1)
     return F.struct(
         F.when(spaced, F.substring_index(header, " ", 1)).otherwise(F.substring_index(header, "/", 1)).alias("name"),
-        F.when(spaced, F.regexp_extract(header, r"^[^ ]* (\d)", 1)).otherwise(F.right(header, F.lit(1))).cast("int").alias("mate"),
+        F.when(spaced, F.regexp_extract(header, r"^[^ ]* (\d)", 1)).otherwise(F.right(header, F.lit(1))).try_cast("int").alias("mate"),
         F.when(spaced, F.regexp_extract(header, r"^[^ ]* .(?:.)(.)", 1) != "Y").otherwise(F.lit(True)).alias("passed"),
     )

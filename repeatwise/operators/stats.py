@@ -35,10 +35,9 @@ def error_bins(models: DataFrame, step: float = 0.05) -> DataFrame:
     return models.groupBy(log_bin(F.col("eps"), step).alias("log_bin"), F.floor(F.round(F.col("eps") / F.lit(0.01), 6)).cast("long").alias("linear_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def error_by_motif(models: DataFrame, loci: DataFrame, max_motif: int = 6) -> DataFrame:
-    """Log error bin by motif length; the pivot values are known, so no extra pass looks for them."""
-    joined = models.join(loci, "locus_id")
-    return joined.groupBy(log_bin(F.col("eps")).alias("log_bin")).pivot("motif_len", list(range(1, max_motif + 1))).count().na.fill(0)
+def error_by_motif(models: DataFrame, loci: DataFrame) -> DataFrame:
+    """Loci per log error bin and motif length, one row for each."""
+    return models.join(loci, "locus_id").groupBy(log_bin(F.col("eps")).alias("log_bin"), "motif_len").agg(F.count(F.lit(1)).alias("n"))
 
 
 def error_by_reference_length(models: DataFrame, loci: DataFrame, least: float = 0.001) -> DataFrame:
@@ -195,12 +194,10 @@ def locus_table(models: DataFrame, summary: DataFrame, called: DataFrame) -> Dat
     return models.join(summary, "locus_id").join(copies, "locus_id")
 
 
-def length_matrix(allele_cov: DataFrame, person: DataFrame, codes: list[int], lengths: list[int]) -> DataFrame:
-    """Reads per person and allele length of each locus for a subgroup; no reads shows as missing."""
+def length_matrix(allele_cov: DataFrame, person: DataFrame, codes: list[int]) -> DataFrame:
+    """Reads per person and allele length of each locus for a subgroup, one row for each length that was read."""
     chosen = with_role(person).filter(F.col("rel_code").isin(codes)).select("person_id")
-    return allele_cov.join(chosen, "person_id", "left_semi").groupBy("locus_id", "person_id").agg(
-        *[F.sum(F.when(F.col("allele_len") == l, F.col("n"))).alias(f"len_{l}") for l in lengths]
-    )
+    return allele_cov.join(chosen, "person_id", "left_semi").groupBy("locus_id", "person_id", "allele_len").agg(F.sum("n").alias("n"))
 
 
 def family_length_matrix(allele_cov: DataFrame, genotypes: DataFrame, person: DataFrame) -> DataFrame:

@@ -67,10 +67,10 @@ def _(v):
     return DN.quality_filter(metrics(v), v.bad_family, 0.17, 0.9, 1e-6, 1e-4).select(*KEYS, "who")
 
 
-@query("dn05_ranked_cases", oracle(VIEWS, """SELECT locus_id, family_id, round(score, 9) AS score FROM (SELECT *, CASE who WHEN 1 THEN proband_obedience WHEN 2 THEN sibling_obedience ELSE least(proband_obedience, sibling_obedience) END AS score FROM cases)
-  ORDER BY score, locus_id, family_id LIMIT 100""", FULL))
+@query("dn05_ranked_cases", oracle(VIEWS, """SELECT locus_id, family_id, score, row_number() OVER (ORDER BY score, locus_id, family_id) - 1 AS place FROM
+  (SELECT *, round(CASE who WHEN 1 THEN proband_obedience WHEN 2 THEN sibling_obedience ELSE least(proband_obedience, sibling_obedience) END, 9) AS score FROM cases)""", FULL))
 def _(v):
-    return DN.ranked(cases(v), 100).select(*KEYS, F.round("score", 9).alias("score"))
+    return DN.ranked(cases(v)).select(*KEYS, "score", "place")
 
 
 @query("dn06_violation_type", oracle(VIEWS, "SELECT locus_id, family_id, who, violation FROM classified", FULL))

@@ -17,26 +17,38 @@ FAM = POST + family_ctes()
 KEYS = ["locus_id", "family_id"]
 
 
-def start_scores(v, most=FM.MAX_ALLELES):
+def start_scores(v, most=None):
     return v.stored(f"start-scores-{most}", lambda: FM.family_scores(start_posteriors(v), v.person, most))
 
 
-TRIPLES = """sz AS (SELECT DISTINCT least(k + 1, 6) AS n FROM kk), gp AS (SELECT n, a, b FROM sz, (SELECT unnest(range(1, 7)) AS a), (SELECT unnest(range(1, 7)) AS b) WHERE a <= b AND b <= n),
-  tp AS (SELECT m.n, COUNT(*) AS c FROM gp m JOIN gp f USING (n) JOIN gp c USING (n) WHERE (c.a IN (m.a, m.b) AND c.b IN (f.a, f.b)) OR (c.b IN (m.a, m.b) AND c.a IN (f.a, f.b)) GROUP BY m.n)"""
+TRIPLES = """gp AS (SELECT n, a, b FROM (SELECT DISTINCT k + 1 AS n FROM kk), (SELECT unnest(range(1, (SELECT MAX(k) + 2 FROM kk))) AS a), (SELECT unnest(range(1, (SELECT MAX(k) + 2 FROM kk))) AS b) WHERE a <= b AND b <= n),
+  tr AS (SELECT m.n, m.a AS m1, m.b AS m2, f.a AS f1, f.b AS f2, c.a AS c1, c.b AS c2 FROM gp m JOIN gp f USING (n) JOIN gp c USING (n) WHERE (c.a IN (m.a, m.b) AND c.b IN (f.a, f.b)) OR (c.b IN (m.a, m.b) AND c.a IN (f.a, f.b))),
+  tp AS (SELECT n, COUNT(*) AS c FROM tr GROUP BY n)"""
 
 
-@query("fm01_mendel_triples", oracle(VIEWS, "SELECT locus_id, CAST(c AS BIGINT) AS triples FROM kk JOIN tp ON tp.n = least(k + 1, 6)", POST + [TRIPLES]))
+@query("fm01_mendel_triples", oracle(VIEWS, "SELECT locus_id, CAST(c AS BIGINT) AS triples FROM kk JOIN tp ON tp.n = k + 1", POST + [TRIPLES]))
 def _(v):
     _, model = start(v)
-    most = F.least(F.col("k") + 1, F.lit(FM.MAX_ALLELES))
-    return model.select("locus_id", F.size(FM.mendel_triples(most)).cast("long").alias("triples"))
+    return model.select("locus_id", F.size(FM.mendel_triples(F.col("k") + 1)).cast("long").alias("triples"))
 
 
-@query("fm02_candidate_genotypes", oracle(VIEWS, "SELECT locus_id, CAST(n * (n + 1) / 2 AS BIGINT) AS candidates FROM (SELECT locus_id, least(k + 1, 6) AS n FROM kk)", POST))
+@query("fm01_mendel_triple_rows", oracle(VIEWS, "SELECT CAST(n AS INT) AS n, " + ", ".join(f"CAST({x} AS INT) AS {x}" for x in ("m1", "m2", "f1", "f2", "c1", "c2")) + " FROM tr", POST + [TRIPLES]))
 def _(v):
     _, model = start(v)
-    most = F.least(F.col("k") + 1, F.lit(FM.MAX_ALLELES))
-    return model.select("locus_id", F.size(G.pair_list(most - 1)).cast("long").alias("candidates"))
+    counts = model.select((F.col("k") + 1).cast("int").alias("n")).distinct()
+    return counts.select("n", F.explode(FM.mendel_triples(F.col("n"))).alias("t")).select("n", *[F.col(f"t.{x}").cast("int").alias(x) for x in ("m1", "m2", "f1", "f2", "c1", "c2")])
+
+
+@query("fm02_candidate_genotypes", oracle(VIEWS, "SELECT locus_id, CAST((k + 1) * (k + 2) / 2 AS BIGINT) AS candidates FROM kk", POST))
+def _(v):
+    _, model = start(v)
+    return model.select("locus_id", F.size(G.pair_list(F.col("k"))).cast("long").alias("candidates"))
+
+
+@query("fm02_candidate_genotype_rows", oracle(VIEWS, "SELECT locus_id, CAST(a AS INT) AS r1, CAST(b AS INT) AS r2 FROM kk JOIN gp ON gp.n = k + 1", POST + [TRIPLES]))
+def _(v):
+    _, model = start(v)
+    return model.select("locus_id", F.explode(G.pair_list(F.col("k"))).alias("p")).select("locus_id", F.col("p.r1").cast("int").alias("r1"), F.col("p.r2").cast("int").alias("r2"))
 
 
 @query("fm03_trio_allele_order", oracle(VIEWS, "SELECT locus_id, family_id, string_agg(CAST(r AS VARCHAR), ',' ORDER BY pos) AS ranks FROM top WHERE child = 'proband' GROUP BY locus_id, family_id", FAM))
@@ -65,9 +77,14 @@ def _(v):
     return _rounded(start_scores(v), ["proband_obedience", "sibling_obedience"])
 
 
-@query("fm06_obedience_all_alleles", oracle(VIEWS, "SELECT locus_id, family_id, round(proband_obedience, 6) AS proband_obedience, round(sibling_obedience, 6) AS sibling_obedience FROM fam", POST + family_ctes(None)))
+@query("fm06_obedience_six_alleles", oracle(VIEWS, "SELECT locus_id, family_id, round(proband_obedience, 6) AS proband_obedience, round(sibling_obedience, 6) AS sibling_obedience FROM fam", POST + family_ctes(6)))
+def _(v):
+    return _rounded(start_scores(v, 6), ["proband_obedience", "sibling_obedience"])
+
+
+@query("fm06_obedience_all_alleles", oracle(VIEWS, "SELECT locus_id, family_id, round(proband_obedience, 6) AS proband_obedience, round(sibling_obedience, 6) AS sibling_obedience FROM fam", FAM))
 def _(v):
-    return _rounded(start_scores(v, None), ["proband_obedience", "sibling_obedience"])
+    return _rounded(start_scores(v), ["proband_obedience", "sibling_obedience"])
 
 
 @query("fm07_kinship", oracle(VIEWS, "SELECT locus_id, family_id, round(proband_kinship, 6) AS proband_kinship, round(sibling_kinship, 6) AS sibling_kinship FROM fam", FAM))

@@ -99,12 +99,13 @@ def _(v):
     return G.allele_biases(step.join(model.select("locus_id", "lens"), "locus_id").withColumnRenamed("new_bias", "bias")).withColumn("bias", F.round("bias", 6))
 
 
-@query("gt10_biased_pairs", oracle(VIEWS, "SELECT locus_id, person_id, CAST(r1 AS INT) AS r1, CAST(r2 AS INT) AS r2, round(c1 * exp_cov * COALESCE(x.b, 1), 6) AS rate1, round(c2 * exp_cov * COALESCE(y.b, 1), 6) AS rate2 FROM st LEFT JOIN nb x ON x.locus_id = st.locus_id AND x.r = r1 LEFT JOIN nb y ON y.locus_id = st.locus_id AND y.r = r2".replace("SELECT locus_id,", "SELECT st.locus_id,"), POST + [SUMS, BIAS]))
+@query("gt10_biased_pairs", oracle(VIEWS, """SELECT p.locus_id, CAST(p.r1 AS INT) AS r1, CAST(p.r2 AS INT) AS r2, round(CASE WHEN p.r1 <= k THEN x.b ELSE 1 END, 6) AS bias_1, round(CASE WHEN p.r2 <= k THEN y.b ELSE 1 END, 6) AS bias_2
+  FROM (SELECT DISTINCT locus_id, r1, r2 FROM st) p JOIN kk USING (locus_id) LEFT JOIN nb x ON x.locus_id = p.locus_id AND x.r = p.r1 LEFT JOIN nb y ON y.locus_id = p.locus_id AND y.r = p.r2""", POST + [SUMS, BIAS]))
 def _(v):
-    rows, model, step = one_round(v)
-    pairs = start_pairs(v).join(step.select("locus_id", "new_bias"), "locus_id")
-    b = lambda r: F.coalesce(F.get("new_bias", F.col(r) - 1), F.lit(1.0))
-    return pairs.select(*KEYS, "r1", "r2", F.round(F.col("c1") * F.col("exp_cov") * b("r1"), 6).alias("rate1"), F.round(F.col("c2") * F.col("exp_cov") * b("r2"), 6).alias("rate2"))
+    _, model, step = one_round(v)
+    pairs = model.select("locus_id", F.explode(G.pair_list(F.col("k"))).alias("p")).join(step.select("locus_id", "new_bias"), "locus_id")
+    b = lambda r: F.round(F.coalesce(F.get("new_bias", F.col(f"p.{r}") - 1), F.lit(1.0)), 6)
+    return pairs.select("locus_id", F.col("p.r1").cast("int").alias("r1"), F.col("p.r2").cast("int").alias("r2"), b("r1").alias("bias_1"), b("r2").alias("bias_2"))
 
 
 @query("gt11_model_score", oracle(VIEWS, "SELECT locus_id, round(SUM(score), 3) AS score FROM sums GROUP BY locus_id", POST + [SUMS]))

@@ -99,9 +99,9 @@ def _(v):
 
 @query("rp11_guess_encoding", oracle("reads", r"""SELECT file, CASE WHEN bool_or(regexp_matches(qual, '[!-:]')) THEN 'phred33'
   WHEN bool_or(regexp_matches(qual, '[K-h]')) THEN 'phred64' ELSE 'unknown' END AS encoding
-  FROM (SELECT lang AS file, qual, row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) AS rk FROM reads) WHERE rk <= 1000 GROUP BY file"""))
+  FROM (SELECT lang AS file, qual FROM reads) GROUP BY file"""))
 def _(v):
-    return R.guess_encoding(v.reads.withColumnRenamed("lang", "file"), ["doc_id", "k"])
+    return R.guess_encoding(v.reads.withColumnRenamed("lang", "file"))
 
 
 @query("rp12_validate_fastq", oracle("reads", r"""SELECT lang AS file, CAST(COUNT(*) AS BIGINT) AS records, CAST(COUNT(*) FILTER (mate = 2 AND k > 50) AS BIGINT) AS bad_header,

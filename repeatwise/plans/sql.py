@@ -126,7 +126,7 @@ def start_calls() -> list[str]:
     ] + call_ctes("post", "start")
 
 
-def family_ctes(most: int | None = 6) -> list[str]:
+def family_ctes(most: int | None = None) -> list[str]:
     """Family scores ``fam`` from ``post`` by listing all Mendelian triples."""
     cap = f"WHERE pos <= {most}" if most else ""
     return [

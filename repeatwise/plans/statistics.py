@@ -57,10 +57,7 @@ def _(v):
     return ST.error_bins(rates(v))
 
 
-MOTIFS = ", ".join(f'CAST(COUNT(*) FILTER (length(unit) = {i}) AS BIGINT) AS "{i}"' for i in range(1, 7))
-
-
-@query("st06_error_by_motif", oracle(VIEWS + " locus", f"SELECT CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, {MOTIFS} FROM rates JOIN locus USING (locus_id) GROUP BY 1", GENO + [RATES]))
+@query("st06_error_by_motif", oracle(VIEWS + " locus", "SELECT CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, CAST(length(unit) AS INT) AS motif_len, CAST(COUNT(*) AS BIGINT) AS n FROM rates JOIN locus USING (locus_id) GROUP BY 1, 2", GENO + [RATES]))
 def _(v):
     return ST.error_by_motif(rates(v), v.locus.select("locus_id", F.length("unit").alias("motif_len")))
 
@@ -226,12 +223,9 @@ def _(v):
     return t.select("locus_id", "k", "locus_total", "called_copies", "called_alleles", *[F.round(c, 6).alias(c) for c in ("single_null", "double_null", "het_share")])
 
 
-LENGTHS = list(range(8, 14))
-
-
-@query("st23_length_matrix", oracle("allele_cov person", "SELECT locus_id, person_id, " + ", ".join(f"CAST(MAX(CASE WHEN allele_len = {x} THEN n END) AS BIGINT) AS len_{x}" for x in LENGTHS) + " FROM allele_cov JOIN roled USING (person_id) WHERE role IN ('mother', 'father') GROUP BY ALL", [ROLED]))
+@query("st23_length_matrix", oracle("allele_cov person", "SELECT locus_id, person_id, allele_len, CAST(SUM(n) AS BIGINT) AS n FROM allele_cov JOIN roled USING (person_id) WHERE role IN ('mother', 'father') GROUP BY ALL", [ROLED]))
 def _(v):
-    return ST.length_matrix(v.allele_cov, v.person, C.SUBGROUPS["parents"], LENGTHS)
+    return ST.length_matrix(v.allele_cov, v.person, C.SUBGROUPS["parents"])
 
 
 @query("st24_family_length_matrix", oracle(FAMILY, """SELECT locus_id, family_id, role, allele_len, CAST(n AS BIGINT) AS n, (CASE WHEN allele_len = allele_1 THEN 1 ELSE 0 END + CASE WHEN allele_len = allele_2 THEN 1 ELSE 0 END) * exp_allele_cov AS expected_reads
