@@ -8,8 +8,10 @@ back, sum per person. Only a (components x components) matrix visits the driver.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numbering import number_rows
 from ..session import written
 
 MAX_COMPONENTS = 30
@@ -46,102 +48,134 @@ def _apply_transposed(cov: DataFrame, left: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+
+
 def _gram(table: DataFrame, names: list[str]) -> np.ndarray:
-    """Small Gram matrix of the named columns."""
+    """Small Gram matrix of the named columns: every task adds up its outer products, the entries are summed by a shuffle."""
     k = len(names)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = table.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((k, k))
-    for value, (i, j) in zip(row, pairs):
-        out[i, j] = out[j, i] = value or 0.0
-    return out
+
+    def outer(batches):
+        total = np.zeros((k, k))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch, names)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(k * k), pa.int32()), pa.array(total.ravel())], ["cell", "value"])
+
+    cells = table.select(*[F.col(n).cast("double").alias(n) for n in names]).mapInArrow(outer, "cell int, value double")
+    out = np.zeros(k * k)
+    for cell, value in cells.groupBy("cell").agg(F.sum("value")).collect():  # k x k numbers
+        out[cell] = value
+    return out.reshape(k, k)
 
 
 def _rotate(table: DataFrame, key: str, names: list[str], matrix: np.ndarray, out: list[str]) -> DataFrame:
     """New columns = old columns times a small matrix."""
-    cols = []
-    for j, name in enumerate(out):
-        expr: Column = F.lit(0.0)
-        for i, old in enumerate(names):
-            expr = expr + F.col(old) * F.lit(float(matrix[i, j]))
-        cols.append(expr.alias(name))
-    return table.select(key, *cols)
 
+    def turn(batches):
+        for batch in batches:
+            x = _matrix(batch, names) @ matrix
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(x[:, j]) for j in range(len(out))]], [key, *out])
 
-def _orthonormal(table: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """Orthonormal columns spanning the same space; directions lost to rank are dropped."""
+    kind = table.schema[key].dataType.simpleString()
+    return table.select(key, *names).mapInArrow(turn, ", ".join([f"{key} {kind}", *[f"{n} double" for n in out]]))
+
+
+def _orthonormal(table: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]:
+    """Orthonormal columns spanning the same space (directions lost to rank are dropped), and the squared lengths along them."""
     values, vectors = np.linalg.eigh(_gram(table, _vec("v", k)))
     order = np.argsort(values)[::-1]
     values, vectors = values[order], vectors[:, order]
     kept = values > max(values[0], 1e-300) * 1e-12
     size = int(kept.sum())
-    return _rotate(table, "person_id", _vec("v", k), vectors[:, kept] / np.sqrt(values[kept]), _vec("v", size)), size
+    return _rotate(table, "person_id", _vec("v", k), vectors[:, kept] / np.sqrt(values[kept]), _vec("v", size)), size, values[kept]
+
 
+def singular_vectors(cov: DataFrame, k: int, extra: int = 8, tolerance: float = 1e-7, rounds: int = 200, seed: int = 7) -> tuple[DataFrame, np.ndarray, float]:
+    """Leading ``k`` right singular vectors (``person_id, v0..``), singular values of the long matrix ``cov``, and the residual.
 
-def singular_vectors(cov: DataFrame, k: int, extra: int = 8, rounds: int = 6, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """Leading ``k`` right singular vectors (``person_id, v0..``) and singular values of the long matrix ``cov``."""
+    Rounds go on until no leading value moves by more than ``tolerance`` of the largest; the residual is the last such move. A matrix
+    that has not settled after ``rounds`` is an error.
+    """
     cov = written(cov, "cov")  # read twice per round
     n_people, n_loci = cov.select(F.count_distinct("person_id"), F.count_distinct("locus_id")).first()
     size = min(k + extra, n_people, n_loci)
     start = [(F.pmod(F.xxhash64(F.lit(seed + j), "person_id"), F.lit(2000003)) / 1000001.5 - 1).alias(f"v{j}") for j in range(size)]
-    vectors, size = _orthonormal(written(cov.select("person_id").distinct().select("person_id", *start), "v"), size)
+    vectors, size, _ = _orthonormal(written(cov.select("person_id").distinct().select("person_id", *start), "v"), size)
+    last, residual = np.zeros(0), np.inf
     for _ in range(rounds):
         product = written(_apply_transposed(cov, _apply(cov, vectors, size), size), "v")
-        vectors, size = _orthonormal(product, size)
+        vectors, size, squares = _orthonormal(product, size)
+        found = np.sqrt(np.sqrt(squares))[:k]
+        if len(found) == len(last):
+            residual = float(np.abs(found - last).max() / max(found[0], 1e-300))
+        last = found
+        if residual <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"the singular values still move by {residual:.1e} after {rounds} rounds")
     vectors = written(vectors, "v")
     values, turn = np.linalg.eigh(_gram(_apply(cov, vectors, size), _vec("y", size)))
     order = np.argsort(values)[::-1][: min(k, size)]
     rotated = _rotate(vectors, "person_id", _vec("v", size), turn[:, order], _vec("v", len(order)))
-    return written(rotated, "v"), np.sqrt(np.maximum(values[order], 0))
+    return written(rotated, "v"), np.sqrt(np.maximum(values[order], 0)), residual
+
+
+def singular_values(cov: DataFrame, k: int) -> DataFrame:
+    """``component, singular_value`` from the fitted vectors: the length of the matrix along each."""
+    vectors, values, _ = singular_vectors(cov, k)
+    size = len(values)
+    lengths = _apply(cov, vectors, size).select(F.posexplode(F.array(*_vec("y", size))).alias("component", "y"))
+    return lengths.groupBy((F.col("component") + 1).alias("component")).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("singular_value"))
 
 
 def resampled(cov: DataFrame, seed: int) -> DataFrame:
     """Matrix of the same shape whose cells are drawn with replacement from the cells of ``cov``.
 
-    Cells carry a hashed position; each new cell asks for a hashed position and takes the nearest at or above it,
-    by joining on position buckets. Deterministic for a seed.
+    Cells are numbered densely and every cell draws the number of the cell whose value it takes. Deterministic for a seed.
     """
-    n = cov.count()
-    numbered = cov.select("cov", F.pmod(F.xxhash64("locus_id", "person_id"), F.lit(n)).alias("slot"))
-    asks = cov.select("locus_id", "person_id", F.pmod(F.xxhash64(F.lit(seed), "locus_id", "person_id"), F.lit(n)).alias("slot"))
-    by_slot = numbered.groupBy("slot").agg(F.min("cov").alias("cov"))
-    fallback = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("slot")), F.lit(n))
-    hit = asks.join(by_slot, "slot", "left")
-    again = hit.filter(F.col("cov").isNull()).select("locus_id", "person_id", fallback.alias("slot")).join(by_slot, "slot", "left")
-    typical = float(cov.agg(F.avg("cov")).first()[0])
-    return hit.filter(F.col("cov").isNotNull()).select("locus_id", "person_id", "cov").unionByName(
-        again.select("locus_id", "person_id", F.coalesce("cov", F.lit(typical)).alias("cov"))
-    )
+    cells = written(number_rows(cov.select("locus_id", "person_id", "cov"), ["locus_id", "person_id"], "cell"), "cells")
+    n = cells.count()
+    drawn = cells.select("locus_id", "person_id", F.pmod(F.xxhash64(F.lit(seed), "cell"), F.lit(n)).alias("cell"))
+    return drawn.join(cells.select("cell", "cov"), "cell").select("locus_id", "person_id", "cov")
 
 
 def choose_components(cov: DataFrame, draws: int = 5, most: int = MAX_COMPONENTS) -> int:
     """Largest k whose singular value beats the same value of every resampled matrix; at least 1."""
     cov = written(cov, "cov")
-    _, observed = singular_vectors(cov, most)
+    _, observed, _ = singular_vectors(cov, most, tolerance=1e-4)
     beats = np.ones(len(observed), bool)
     for seed in range(draws):
-        _, random = singular_vectors(resampled(cov, seed), most)
+        _, random, _ = singular_vectors(resampled(cov, seed), most, tolerance=1e-4)
         size = min(len(observed), len(random))
         beats[:size] &= observed[:size] > random[:size]
     hits = np.flatnonzero(beats)
     return int(hits[-1]) + 1 if len(hits) else 1
 
 
+BLOCKS = 64  # people and loci are dealt to so many blocks each; the product is made for each pair of blocks
+
+
 def expected_coverage(cov: DataFrame, k: int) -> DataFrame:
     """Rank-k expected coverage for every (locus, person): project locus rows on V_k and multiply back.
 
     Negative values become the smallest positive one.
     """
     cov = written(cov, "cov")
-    vectors, _ = singular_vectors(cov, k)
-    size = len(vectors.columns) - 1
+    vectors, values, _ = singular_vectors(cov, k)
+    size = len(values)
     left = _apply(cov, vectors, size)
     people = vectors.select(F.struct("person_id", F.array(*_vec("v", size)).alias("v")).alias("p"))
-    # every locus needs every person: each person block is packed once and listed under each locus
-    packed = people.groupBy(F.pmod(F.xxhash64("p.person_id"), F.lit(64)).alias("block")).agg(F.collect_list("p").alias("ps"))
-    keyed = left.select("locus_id", F.array(*_vec("y", size)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
+    # every locus needs every person: each person block is packed once and meets each block of loci
+    every = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    packed = people.groupBy(F.pmod(F.xxhash64("p.person_id"), F.lit(BLOCKS)).cast("int").alias("block")).agg(F.collect_list("p").alias("ps"))
+    packed = packed.select("block", "ps", F.explode(every).alias("loci"))
+    keyed = left.select("locus_id", F.array(*_vec("y", size)).alias("y"), F.pmod(F.xxhash64("locus_id"), F.lit(BLOCKS)).cast("int").alias("loci"), F.explode(every).alias("block"))
     dot = F.aggregate(F.zip_with("y", F.col("p.v"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    wide = written(keyed.join(packed, "block").select("locus_id", "y", F.explode("ps").alias("p")).select("locus_id", "p.person_id", dot.alias("raw")), "expected")
+    product = keyed.join(packed, ["loci", "block"]).select("locus_id", "y", F.explode("ps").alias("p"))
+    wide = written(product.select("locus_id", "p.person_id", dot.alias("raw")), "expected")
     floor = wide.filter("raw > 0").agg(F.min("raw")).first()[0]
     return wide.select("locus_id", "person_id", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("exp_cov"))
 

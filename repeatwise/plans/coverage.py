@@ -9,21 +9,8 @@ from ..registry import oracle, query
 
 COV = ["locus_id", "person_id"]
 TOTALS = "totals AS (SELECT person_id, CAST(SUM(n) AS BIGINT) AS total FROM allele_cov GROUP BY person_id)"
-MEAN = "(SELECT AVG(cov) FROM pa)"
-# per-allele coverage, and a marginal model (row mean x column mean / grand mean) as the stand-in expectation
-MODEL = [
-    "pa AS (SELECT locus_id, person_id, SUM(n) / 2.0 AS cov FROM allele_cov GROUP BY locus_id, person_id)",
-    """marg AS (SELECT locus_id, person_id, cov, AVG(cov) OVER (PARTITION BY locus_id) * AVG(cov) OVER (PARTITION BY person_id) / AVG(cov) OVER () AS exp_cov FROM pa)""",
-]
-
-
-def marginal(v):
-    """Expected coverage from locus, person and grand means (each a partial aggregate joined back)."""
-    cov = CV.per_allele(v.allele_cov)
-    by_locus = cov.groupBy("locus_id").agg(F.avg("cov").alias("l"))
-    by_person = cov.groupBy("person_id").agg(F.avg("cov").alias("p"))
-    grand = cov.agg(F.avg("cov")).first()[0]
-    return cov, cov.join(by_locus, "locus_id").join(by_person, "person_id").select(*COV, (F.col("l") * F.col("p") / F.lit(grand)).alias("exp_cov"))
+# per-allele coverage
+MODEL = ["pa AS (SELECT locus_id, person_id, SUM(n) / 2.0 AS cov FROM allele_cov GROUP BY locus_id, person_id)"]
 
 
 @query("cm01_person_totals", oracle("allele_cov", "SELECT person_id, total FROM totals", [TOTALS]))
@@ -55,20 +42,30 @@ def _power(rounds: int = 12) -> list[str]:
     return ctes + [f"yl AS MATERIALIZED (SELECT locus_id, SUM(cov * v) AS y FROM pa JOIN v{last} USING (person_id) GROUP BY locus_id)"]
 
 
+RANK_ONE = MODEL[:1] + _power() + [
+    "r AS MATERIALIZED (SELECT locus_id, person_id, y * v AS raw FROM yl CROSS JOIN v12)",
+    "low AS MATERIALIZED (SELECT MIN(raw) AS least FROM r WHERE raw > 0)",
+    "fitted AS MATERIALIZED (SELECT locus_id, person_id, cov, CASE WHEN raw < 0 THEN least ELSE raw END AS exp_cov FROM pa JOIN r USING (locus_id, person_id), low)",
+]
+
+
+def fitted(v):
+    """Per-allele coverage and its rank-one expectation."""
+    return CV.per_allele(v.allele_cov), v.stored("rank-one", lambda: CV.expected_coverage(CV.per_allele(v.allele_cov), 1))
+
+
 @query("cm04_leading_singular_value", oracle("allele_cov", "SELECT 1 AS component, round(sqrt(SUM(y * y)), 4) AS singular_value FROM yl", MODEL[:1] + _power()))
 def _(v):
-    _, values = CV.singular_vectors(CV.per_allele(v.allele_cov), 1)
-    return v.allele_cov.agg(F.lit(1).alias("component"), F.max(F.lit(round(float(values[0]), 4))).alias("singular_value"))
+    return CV.singular_values(CV.per_allele(v.allele_cov), 1).withColumn("singular_value", F.round("singular_value", 4))
 
 
 @query("cm05_component_choice")
 def _(v):
-    k = CV.choose_components(CV.per_allele(v.allele_cov), draws=2, most=3)
-    return v.allele_cov.agg(F.lit(k).alias("num_components"), F.count_distinct("person_id").alias("people"))
+    k = CV.choose_components(CV.per_allele(v.allele_cov))
+    return CV.singular_values(CV.per_allele(v.allele_cov), k)
 
 
-@query("cm06_rank_one_expected", oracle("allele_cov", """SELECT locus_id, person_id, round(CASE WHEN raw < 0 THEN (SELECT MIN(raw) FROM r WHERE raw > 0) ELSE raw END, 4) AS exp_cov FROM r""",
-    MODEL[:1] + _power() + [f"r AS (SELECT locus_id, person_id, y * v AS raw FROM yl CROSS JOIN v12)"]))
+@query("cm06_rank_one_expected", oracle("allele_cov", """SELECT locus_id, person_id, round(CASE WHEN raw < 0 THEN least ELSE raw END, 4) AS exp_cov FROM r, low""", RANK_ONE))
 def _(v):
     return CV.expected_coverage(CV.per_allele(v.allele_cov), 1).withColumn("exp_cov", F.round("exp_cov", 4))
 
@@ -78,14 +75,14 @@ def _(v):
     return CV.expected_coverage(CV.per_allele(v.allele_cov), 3)
 
 
-@query("cm07_overall_fit", oracle("allele_cov", "SELECT round(corr(cov, exp_cov), 6) AS corr, round(sqrt(AVG((exp_cov - cov) * (exp_cov - cov))), 6) AS rmse FROM marg", MODEL))
+@query("cm07_overall_fit", oracle("allele_cov", "SELECT round(corr(cov, exp_cov), 6) AS corr, round(sqrt(AVG((exp_cov - cov) * (exp_cov - cov))), 6) AS rmse FROM fitted", RANK_ONE))
 def _(v):
-    return CV.fit(*marginal(v)).select(F.round("corr", 6).alias("corr"), F.round("rmse", 6).alias("rmse"))
+    return CV.fit(*fitted(v)).select(F.round("corr", 6).alias("corr"), F.round("rmse", 6).alias("rmse"))
 
 
-@query("cm08_person_fit", oracle("allele_cov", "SELECT person_id, round(corr(cov, exp_cov), 6) AS corr FROM marg GROUP BY person_id HAVING SUM(cov) > 0", MODEL))
+@query("cm08_person_fit", oracle("allele_cov", "SELECT person_id, round(corr(cov, exp_cov), 6) AS corr FROM fitted GROUP BY person_id HAVING SUM(cov) > 0", RANK_ONE))
 def _(v):
-    return CV.person_fit(*marginal(v)).withColumn("corr", F.round("corr", 6))
+    return CV.person_fit(*fitted(v)).withColumn("corr", F.round("corr", 6))
 
 
 @query("cm09_low_coverage_people", oracle("allele_cov", "SELECT person_id, total FROM totals WHERE total < (SELECT AVG(total) - 2 * stddev_samp(total) FROM totals)", [TOTALS]))
@@ -93,14 +90,14 @@ def _(v):
     return CV.low_coverage_people(CV.person_totals(v.allele_cov))
 
 
-@query("cm10_poor_fit_people", oracle("allele_cov", "SELECT person_id, round(c, 6) AS corr FROM (SELECT person_id, corr(cov, exp_cov) AS c FROM marg GROUP BY person_id) WHERE c < 0.2", MODEL))
+@query("cm10_poor_fit_people", oracle("allele_cov", "SELECT person_id, round(c, 6) AS corr FROM (SELECT person_id, corr(cov, exp_cov) AS c FROM fitted GROUP BY person_id) WHERE c < 0.8", RANK_ONE))
 def _(v):
-    return CV.poor_fit_people(CV.person_fit(*marginal(v)), 0.2).withColumn("corr", F.round("corr", 6))
+    return CV.poor_fit_people(CV.person_fit(*fitted(v))).withColumn("corr", F.round("corr", 6))
 
 
-@query("cm11_observed_over_expected", oracle("allele_cov", "SELECT locus_id, person_id, allele_len, round(n / exp_cov, 6) AS ratio FROM allele_cov JOIN marg USING (locus_id, person_id)", MODEL))
+@query("cm11_observed_over_expected", oracle("allele_cov", "SELECT locus_id, person_id, allele_len, round(n / exp_cov, 6) AS ratio FROM allele_cov JOIN fitted USING (locus_id, person_id)", RANK_ONE))
 def _(v):
-    _, expected = marginal(v)
+    _, expected = fitted(v)
     return CV.observed_over_expected(v.allele_cov, expected).select(*COV, "allele_len", F.round("ratio", 6).alias("ratio"))
 
 
@@ -110,7 +107,7 @@ def _(v):
     return CV.binned(totals, F.round(F.log10("total") / F.lit(0.01), 6), 1.0).withColumn("share", F.round("share", 6))
 
 
-@query("cm12_mean_coverage_histogram", oracle("allele_cov", """SELECT CAST(floor(round(total / 50 / 0.1, 6)) AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS n, round(COUNT(*) / (SELECT COUNT(*) FROM totals), 6) AS share FROM totals GROUP BY 1""", [TOTALS]))
+@query("cm12_mean_coverage_histogram", oracle("allele_cov", """SELECT CAST(floor(round(total / (SELECT COUNT(DISTINCT locus_id) FROM allele_cov) / 0.1, 6)) AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS n, round(COUNT(*) / (SELECT COUNT(*) FROM totals), 6) AS share FROM totals GROUP BY 1""", [TOTALS]))
 def _(v):
-    means = CV.person_means(v.allele_cov, 50)
+    means = CV.person_means(v.allele_cov, v.allele_cov.select("locus_id").distinct().count())
     return CV.binned(means, F.round(F.col("mean_cov") / F.lit(0.1), 6), 1.0).withColumn("share", F.round("share", 6))
