@@ -206,7 +206,7 @@ def chrom_number(chrom: Column, autosomes: int = 22) -> Column:
     bare = F.regexp_replace(chrom, "^chr", "")
     return (
         F.when(bare == "X", autosomes + 1).when(bare == "Y", autosomes + 2).when(bare.isin("MT", "M"), autosomes + 3)
-        .otherwise(F.expr("try_cast(regexp_replace(chrom, '^chr', '') AS INT)"))
+        .otherwise(bare.try_cast("int"))
     )
 
 

@@ -80,8 +80,8 @@ def _(v):
     return AN.all_annotations(annotated(v), v.gene_id)
 
 
-@query("an11_exon_distance", oracle(VIEWS, """SELECT l.locus_id, CAST(d.distance AS INT) AS distance FROM locus l LEFT JOIN (SELECT CONCAT('chr', 1 + (p_partkey % 100) % 22) AS chrom, 1000 + (p_partkey % 100) * 40 AS start, MIN(p_size) AS distance FROM part WHERE p_size > 3 GROUP BY 1, 2) d
+@query("an11_exon_distance", oracle(VIEWS, """SELECT l.locus_id, CAST(d.distance AS INT) AS distance FROM locus l LEFT JOIN (SELECT CONCAT('chr', 1 + (p_partkey % 100) % 22) AS chrom, 1000 + (p_partkey % 100) * 40 AS start, MIN(p_size) AS distance FROM part GROUP BY 1, 2) d
   ON l.chrom = d.chrom AND l.start = d.start"""))
 def _(v):
-    d = v.part.filter("p_size > 3").select(F.expr("concat('chr', 1 + (p_partkey % 100) % 22)").alias("chrom"), F.expr("CAST(1000 + (p_partkey % 100) * 40 AS INT)").alias("start"), F.col("p_size").alias("distance"))
+    d = v.part.select(F.expr("concat('chr', 1 + (p_partkey % 100) % 22)").alias("chrom"), F.expr("CAST(1000 + (p_partkey % 100) * 40 AS INT)").alias("start"), F.col("p_size").alias("distance"))
     return AN.exon_distance(v.locus, d).select("locus_id", "distance")

@@ -109,9 +109,9 @@ def _(v):
 
 
 @query("pc04_error_scan", oracle("person", """SELECT p.person_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_errors, CASE WHEN n IS NULL THEN 'No errors' ELSE 'ERRORS' END AS status FROM person p
-  LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM events WHERE contains(event_type || ' ' || props, 'rror') AND value > 60 GROUP BY user_id) e ON e.user_id = p.person_id"""))
+  LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM events WHERE contains(event_type || ' ' || props, 'rror') GROUP BY user_id) e ON e.user_id = p.person_id"""))
 def _(v):
-    lines = v.events.filter("value > 60").select(F.col("user_id").alias("person_id"), F.concat_ws(" ", "event_type", "props").alias("line"))
+    lines = v.events.select(F.col("user_id").alias("person_id"), F.concat_ws(" ", "event_type", "props").alias("line"))
     return AC.error_scan(v.person, lines)
 
 

@@ -43,30 +43,29 @@ def _(v):
     return ST.iteration_frequency(G.locus_models(fitted(v)[1])).withColumn("share", F.round("share", 6))
 
 
-# per-person error rate (reads off the call over all reads) stands in for a locus error rate in the binned statistics
-RATES = """rates AS (SELECT locus_id, person_id, (rest_cov + 0.5) / (total + 1) AS eps FROM geno)"""
+# error rates of the fitted loci, to 8 places so that the last bits of a sum do not decide between bins
+RATES = """rates AS (SELECT locus_id, round(eps, 8) AS eps FROM m_end)"""
 
 
 def rates(v):
-    g = start_genotypes(v)
-    return g.select("locus_id", "person_id", ((F.col("rest_cov") + 0.5) / (F.col("total") + 1)).alias("eps"))
+    return G.locus_models(fitted(v)[1]).select("locus_id", F.round("eps", 8).alias("eps"))
 
 
-@query("st05_error_histogram", oracle(VIEWS, "SELECT CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, CAST(floor(round(eps / 0.01, 6)) AS BIGINT) AS linear_bin, CAST(COUNT(*) AS BIGINT) AS n FROM rates GROUP BY 1, 2", GENO + [RATES]))
+@query("st05_error_histogram", oracle(VIEWS, "SELECT CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, CAST(floor(round(eps / 0.01, 6)) AS BIGINT) AS linear_bin, CAST(COUNT(*) AS BIGINT) AS n FROM rates GROUP BY 1, 2", EM + [RATES]))
 def _(v):
     return ST.error_bins(rates(v))
 
 
-@query("st06_error_by_motif", oracle(VIEWS + " locus", "SELECT CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, CAST(length(unit) AS INT) AS motif_len, CAST(COUNT(*) AS BIGINT) AS n FROM rates JOIN locus USING (locus_id) GROUP BY 1, 2", GENO + [RATES]))
+@query("st06_error_by_motif", oracle(VIEWS + " locus", "SELECT CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, CAST(length(unit) AS INT) AS motif_len, CAST(COUNT(*) AS BIGINT) AS n FROM rates JOIN locus USING (locus_id) GROUP BY 1, 2", EM + [RATES]))
 def _(v):
     return ST.error_by_motif(rates(v), v.locus.select("locus_id", F.length("unit").alias("motif_len")))
 
 
 @query("st07_error_by_reference_length", oracle(VIEWS + " locus", """SELECT motif_len, ref_length, log_bin, n, round(len_share, 6) AS len_share FROM (SELECT *, SUM(n) OVER (PARTITION BY motif_len, ref_length) / SUM(n) OVER (PARTITION BY motif_len) AS len_share FROM
-  (SELECT length(unit) AS motif_len, ref_length, CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, COUNT(*) AS n FROM rates JOIN locus USING (locus_id) GROUP BY 1, 2, 3)) WHERE len_share > 0.3""", GENO + [RATES]))
+  (SELECT length(unit) AS motif_len, ref_length, CAST(floor(round(log10(eps) / 0.05, 6)) AS BIGINT) AS log_bin, COUNT(*) AS n FROM rates JOIN locus USING (locus_id) GROUP BY 1, 2, 3)) WHERE len_share > 0.001""", EM + [RATES]))
 def _(v):
     loci = v.locus.select("locus_id", "ref_length", F.length("unit").alias("motif_len"))
-    return ST.error_by_reference_length(rates(v), loci, 0.3).withColumn("len_share", F.round("len_share", 6))
+    return ST.error_by_reference_length(rates(v), loci).withColumn("len_share", F.round("len_share", 6))
 
 
 @query("st08_bias_distribution", oracle(VIEWS + " locus", """SELECT alleles, CAST(COUNT(*) AS BIGINT) AS n, round(AVG(b), 5) AS mean_bias, round(median(b), 5) AS median_bias FROM (SELECT b, unnest(['all', CASE WHEN allele_len = ref_length THEN 'reference' ELSE 'non_reference' END]) AS alleles

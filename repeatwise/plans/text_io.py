@@ -18,7 +18,7 @@ from ..sources import text as IO
 from .denovo import FULL, LABELS, cases
 from .export import ALT, COUNTS, CALLS, GT, SEQ, locus_counts
 from .families import SCORES, start_scores
-from .genotypes import start_genotypes
+from .genotypes import EM_CALLS, fitted, start_genotypes
 from .population import ALLELES, BASE, COLUMNS
 from .population import CAST as INDEX_CAST
 from .population import VIEWS as OBS
@@ -173,7 +173,8 @@ def _(v):
 
 def _info(v):
     path = _path(v, "locus-info")
-    index = PO.allele_index(profiles(v)).withColumn("ref_length", F.lit(0))
+    reference = PO.locus_index(profiles(v)).select(*PO.LOCUS, "ref_length")
+    index = PO.allele_index(profiles(v)).join(reference, PO.LOCUS)
     index.select(*[c.split()[0] for c in IO.LOCUS_INFO_SCHEMA.split(", ")]).write.csv(path, sep="\t")
     return IO.read_locus_info(v.spark, path)
 
@@ -185,16 +186,18 @@ def _(v):
     return v.spark.read.parquet(path).drop("locus_bucket")
 
 
-@query("io21_locus_info_source", oracle(OBS, f"SELECT chrom, start, motif, length, {INDEX_CAST}, CAST(num_lengths AS BIGINT) AS num_lengths FROM al JOIN nl USING (chrom, start, motif)", BASE + [ALLELES]))
+@query("io21_locus_info_source", oracle(OBS, f"SELECT chrom, start, motif, length, {INDEX_CAST}, CAST(num_lengths AS BIGINT) AS num_lengths, ref_length FROM al JOIN nl USING (chrom, start, motif) JOIN (SELECT chrom, start, motif, ref_length FROM pop) USING (chrom, start, motif)", BASE + [ALLELES]))
 def _(v):
-    return _info(v).drop("ref_length")
+    return _info(v)
 
 
-@query("io22_allele_slice", oracle("allele_cov", "SELECT locus_id, person_id, allele_len, CAST(n AS BIGINT) AS n FROM allele_cov WHERE locus_id BETWEEN 20 AND 29"))
+@query("io22_allele_slice", oracle("allele_cov locus", "SELECT locus_id, person_id, allele_len, CAST(n AS BIGINT) AS n FROM allele_cov JOIN locus USING (locus_id) WHERE locus_id BETWEEN 15 AND 34 AND chrom NOT IN ('chr21', 'chr22')".replace("SELECT locus_id", "SELECT allele_cov.locus_id").replace("WHERE locus_id", "WHERE allele_cov.locus_id")))
 def _(v):
-    path = _path(v, "alleles")
-    IO.write_partitioned(v.allele_cov, path, "locus_id", 10)
-    return C.locus_range(v.spark.read.parquet(path).filter("locus_bucket = 2"), 20, 29).drop("locus_bucket")
+    path, first, last, width = _path(v, "alleles"), 15, 34, 10
+    IO.write_partitioned(v.allele_cov, path, "locus_id", width)
+    stored = v.spark.read.parquet(path).filter(F.col("locus_bucket").between(first // width, last // width)).drop("locus_bucket")
+    kept = C.drop_chromosomes(v.locus, ["chr21", "chr22"]).select("locus_id")
+    return C.locus_range(stored, first, last).join(kept, "locus_id", "left_semi")
 
 
 @query("io23_total_coverage", oracle("allele_cov locus", "SELECT locus_id, person_id, CAST(SUM(n) AS BIGINT) AS n FROM allele_cov JOIN locus USING (locus_id) WHERE chrom NOT IN ('chr21', 'chr22') GROUP BY locus_id, person_id"))
@@ -214,9 +217,12 @@ def _(v):
 def _(v):
     path = _path(v, "report")
     kind = F.when(F.col("family_id") > 0, F.col("sample_type"))
+    # ragged: the last field is missing where it has no value
     line = F.concat_ws("\t", F.col("person_id").cast("string"), "sex", kind)
-    v.person.select(line.alias("value")).write.text(path)
-    return v.spark.read.csv(path, sep="\t", schema="person_id BIGINT, sex STRING, sample_type STRING", mode="PERMISSIVE")
+    body = v.person.select(line.alias("value"), F.lit(1).alias("part"))
+    head = v.spark.range(1).select(F.lit("person_id\tsex\tsample_type").alias("value"), F.lit(0).alias("part"))
+    head.unionByName(body).repartition(1).sortWithinPartitions("part").select("value").write.text(path)  # one small report file
+    return IO.read_report(v.spark, path, "person_id BIGINT, sex STRING, sample_type STRING")
 
 
 @query("io26_quad_report", oracle("person bad_family", "SELECT 'auSSC' || family_id AS family_id, TRUE AS flagged FROM (SELECT DISTINCT family_id FROM person WHERE sample_type = 'whole blood') WHERE family_id IN (SELECT family_id FROM bad_family)"))
@@ -229,13 +235,17 @@ def _(v):
     return bad.select("family_id", F.lit(True).alias("flagged"))
 
 
-@query("io27_bed_and_gene_ids", oracle("annotation gene_id", "SELECT chrom, start, info, CAST((SELECT COUNT(*) FROM gene_id) AS BIGINT) AS genes FROM annotation WHERE kind = 'utr'"))
+@query("io27_bed_and_gene_ids", oracle("annotation gene_id", "SELECT chrom, start, info, kind, CAST((SELECT COUNT(*) FROM gene_id) AS BIGINT) AS genes FROM annotation"))
 def _(v):
-    bed, ids = _path(v, "bed"), _path(v, "genes")
-    v.annotation.filter("kind = 'utr'").select("chrom", "start", (F.col("start") + 1).alias("stop"), "info").write.csv(bed, sep="\t")
+    ids, tracks = _path(v, "genes"), None
     v.gene_id.write.csv(ids, sep="\t")
     genes = IO.read_gene_ids(v.spark, ids).count()
-    return IO.read_bed(v.spark, bed, "utr").select("chrom", "start", "info", F.lit(genes).cast("long").alias("genes"))
+    for kind in ("exon", "intron", "mirna", "utr"):  # one file for each track
+        bed = _path(v, f"bed-{kind}")
+        v.annotation.filter(F.col("kind") == kind).select("chrom", "start", (F.col("start") + 1).alias("stop"), "info").write.csv(bed, sep="\t")
+        track = IO.read_bed(v.spark, bed, kind).select("chrom", "start", "info", F.lit(kind).alias("kind"), F.lit(genes).cast("long").alias("genes"))
+        tracks = track if tracks is None else tracks.union(track)
+    return tracks
 
 
 @query("io28_genotype_store", oracle("allele_cov expected", "SELECT locus_id, person_id, allele_1, allele_2 FROM geno", start_calls()))
@@ -284,8 +294,9 @@ def _(v):
     return written(ST.locus_summary(start_genotypes(v)), "summary").select("locus_id", F.round("het_share", 6).alias("het_share"))
 
 
-@query("io35_updated_locus_info", oracle("allele_cov expected", "SELECT locus_id, allele_len, CAST(COUNT(*) FILTER (a = allele_len AND a >= 8) AS BIGINT) AS num_called, 1.0::DOUBLE AS bias FROM rk LEFT JOIN (SELECT locus_id, unnest([allele_1, allele_2]) AS a FROM geno) USING (locus_id) GROUP BY locus_id, allele_len", start_calls()))
+@query("io35_updated_locus_info", oracle("allele_cov expected", "SELECT locus_id, allele_len, CAST(COUNT(*) FILTER (a = allele_len AND a >= 8) AS BIGINT) AS num_called, MAX(round(b, 5)) AS bias FROM rk LEFT JOIN b_end USING (locus_id, r) LEFT JOIN (SELECT locus_id, unnest([allele_1, allele_2]) AS a FROM geno) USING (locus_id) GROUP BY locus_id, allele_len", EM_CALLS))
 def _(v):
-    model = G.start_model(G.ranked_alleles(v.allele_cov))
-    called = G.called_counts(start_genotypes(v), v.allele_cov)
-    return written(called.join(G.allele_biases(model), ["locus_id", "allele_len"], "left"), "locus-info")
+    rows, model = fitted(v)
+    called = G.called_counts(G.calls(rows, model), v.allele_cov)
+    merged = written(called.join(G.allele_biases(model), ["locus_id", "allele_len"], "left"), "locus-info")
+    return merged.withColumn("bias", F.round("bias", 5))

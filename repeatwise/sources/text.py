@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import tracts as TR, vcf as V
 from ..operators.population import relation_code
+from ..operators.profile import chrom_number
 from ..operators.reads import parse_header
 from ..session import written
 
@@ -187,16 +188,16 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def write_vcf(records: DataFrame, path: str) -> None:
-    """One VCF per person folder: header first, then records by position.
+    """One VCF per person folder, in one file: header first, then records by chromosome (X, Y and MT after the autosomes) and position.
 
-    Records are sorted within the person's own partition range; the header travels as line 0 of its folder.
+    A person's lines, at most one for each locus, are dealt to one partition and sorted there.
     """
     spark = records.sparkSession
     body = records.select(
-        "person_id", F.lit(1).alias("part"), F.regexp_extract("chrom", r"(\d+)", 1).cast("int").alias("c"), "pos",
+        "person_id", F.lit(1).alias("part"), chrom_number(F.col("chrom")).alias("c"), "pos",
         F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.round("qual", 3).cast("string"), "filter", "info", "format", "sample").alias("value"),
     )
     text = "\n".join(V.header_lines(spark))
     head = records.select("person_id").distinct().select("person_id", F.lit(0).alias("part"), F.lit(0).alias("c"), F.lit(0).alias("pos"), F.lit(text).alias("value"))
-    body.unionByName(head).repartitionByRange("person_id", "part", "c", "pos").sortWithinPartitions("person_id", "part", "c", "pos").select(
+    body.unionByName(head).repartition("person_id").sortWithinPartitions("person_id", "part", "c", "pos").select(
         "person_id", "value").write.partitionBy("person_id").text(path)
