@@ -136,5 +136,6 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """Rows of ``df``, each as often as the mix takes it."""
     marked = numbered(df)
-    copies = mix_sources(marked, key, text, source, **settings).filter("copies > 0").select("_row_no", "copies")
-    return marked.join(copies, "_row_no").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no")).drop("copy_no")
+    copies = mix_sources(marked, key, text, source, **settings).filter("copies > 0")
+    turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    return marked.join(copies.select("_row_no", turns), "_row_no").select(*df.columns)

@@ -201,4 +201,5 @@ def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", sour
 
 def kept_documents(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Rows of ``df`` that the rules keep, with all their columns."""
-    return quality_verdicts(df, text, lang, source).filter("kept").select(*df.columns)
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[text].alias("text"), df[lang].alias("lang"), df[source].alias("source"))
+    return quality_verdicts(whole, carry=["_row"]).filter("kept").select("_row.*")
