@@ -2,10 +2,11 @@
 
 1. A first pass makes each document's set of shingles; equal sets are one node. A counting sketch of fixed size estimates how
    many documents hold a shingle.
-2. All sets are ordered alike, rare shingles first. Two sets with enough in common share a shingle among the first of each (its
-   prefix). Slices of documents send their prefix shingles to key ranges, which find the smallest document that has each: that leader's
-   bucket is where the documents with the shingle are compared. A slice sends a shingle once, with its own smallest document, and its
-   other documents join the leader by key, so no range gathers a frequent shingle's documents.
+2. All sets are ordered alike, rare shingles first. Two sets with enough in common share several shingles among the first of each
+   (its prefix; ``needed`` says how many). Slices of documents send their prefix shingles to key ranges, which count for every two
+   documents the shingles they share; couples that share enough meet in the bucket of the smaller one. The documents of a
+   frequent shingle meet in the bucket of its smallest document instead; a slice sends such a shingle once, and its other documents
+   join that leader by key, so no range gathers them.
 3. The sets of a bucket are stored in a prefix tree, in one order for the bucket. Each set walks the tree: what a path has in common
    with it is counted once for all sets below, and subtrees are left out when their remaining length cannot reach the bound or
    when all their sets are already connected with it. Buckets over ``CHUNK`` sets are split; sets the leader does not reach
@@ -15,6 +16,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ SHINGLE = 5
 WIDTH = 1 << 20  # counters of the sketch
 BLOCK = 1 << 14
 CHUNK = 1000  # sets compared in one tree
+SMALL = 32  # documents of a key up to which pairs are counted; documents of a more frequent key meet in the bucket of its smallest
 SLICE = 8_000_000  # bytes of text handled at a time
 _U = np.uint64
 
@@ -46,9 +49,14 @@ def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
+def needed(n):
+    """How many prefix shingles two linked sets of at least ``n`` shingles share."""
+    return 1 + n // 20
+
+
 def prefix_length(n: int) -> int:
-    """With fewer than this many first shingles in common, an intersection of 4/5 of the union is out of reach."""
-    return n - -(-4 * n // 5) + 1 if n else 0
+    """Two sets with fewer than ``needed`` shingles in common among so many first ones cannot reach 4/5 of their union."""
+    return n - -(-4 * n // 5) + needed(n) if n else 0
 
 
 def linked(overlap, n, m):
@@ -84,7 +92,10 @@ def _add_blocks(batches):
 
 
 def _prefixes(batches, sketch: np.ndarray, k: int):
-    """For each slice of documents its ids and their prefixes. Equal sets of a slice are there once, with the smallest id."""
+    """For each slice of documents the entries (key, id, size code) of their prefixes, sorted by key and id.
+
+    Equal sets of a slice are there once, with the smallest id.
+    """
     for batch, texts in text_slices(batches, SLICE):
         first: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(texts, lower=True), k)):
@@ -92,53 +103,98 @@ def _prefixes(batches, sketch: np.ndarray, k: int):
                 first[d] = i, s
         if first:
             keys = [s[np.lexsort((s, sketch[(s & _U(WIDTH - 1)).astype(np.int64)]))[: prefix_length(len(s))]] for _, s in first.values()]
-            yield np.repeat(np.array([i for i, _ in first.values()], np.int64), [len(x) for x in keys]), np.concatenate(keys)
+            counts = [len(x) for x in keys]
+            ids = np.repeat(np.array([i for i, _ in first.values()], np.int64), counts)
+            codes = np.repeat(np.array([size_code(len(s)) for _, s in first.values()], np.uint8), counts)
+            keys = np.concatenate(keys)
+            order = np.lexsort((ids, keys))
+            yield keys[order], ids[order], codes[order]
+
+
+def size_code(n: int) -> int:
+    """Size in steps of an eighth of a power of two: sizes within 5 : 4 differ by 3 steps at most."""
+    return math.floor(8 * math.log2(n))
+
+
+def least_size(code: np.ndarray) -> np.ndarray:
+    return np.floor(2.0 ** (code / 8) + 1e-6).astype(np.int64)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(keys)))
 
 
 def _ask(batches, sketch: np.ndarray, k: int, ranges: int):
-    """Distinct keys of each slice by range, each with its smallest document and whether the slice holds others."""
-    for ids, keys in _prefixes(batches, sketch, k):
-        order = np.lexsort((ids, keys))
-        ids, keys = ids[order], keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        several = np.diff(np.append(np.flatnonzero(new), len(keys))) > 1
-        keys, least = keys[new], ids[new]
+    """Prefix entries of each slice by key range. Of a key with over SMALL documents in the slice only the smallest goes, marked."""
+    for keys, ids, codes in _prefixes(batches, sketch, k):
+        starts, sizes = _groups(keys)
+        many = np.repeat(sizes > SMALL, sizes)
+        keep = ~many
+        keep[starts] = True
+        keys, ids, codes, many = keys[keep], ids[keep], codes[keep], many[keep]
         which = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
         cuts = np.searchsorted(which, np.arange(ranges + 1))
         full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _, _ in full], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in full], pa.binary()) for x in (keys, least, several)],
-            ["range", "keys", "least", "several"],
+            [pa.array([r for r, _, _ in full], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in full], pa.binary()) for x in (keys, ids, codes, many)],
+            ["range", "keys", "ids", "codes", "many"],
         )
 
 
+PAIR, LARGE, KEY = 0, 1, 2
+_ANSWER = "kind int, key long, a long, b long, shared long, need long"
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """Distinct (leader, member) pairs of a range's keys with several documents, and the leader of each key that a slice holds more than once."""
-    parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", _U), ("least", np.int64), ("several", bool))]
-    keys, least, several = (np.concatenate(x) for x in parts)
-    order = np.lexsort((least, keys))
-    keys, least, several = keys[order], least[order], several[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    leader = least[new][np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([leader, least], axis=1)[leader != least], axis=0).reshape(-1, 2)
-    more = np.unique(np.stack([keys.view(np.int64), leader], axis=1)[several], axis=0).reshape(-1, 2)
-    return pa.table({
-        "key": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more[:, 0].copy())]),
-        "leader": pa.array(np.concatenate([pairs[:, 0], more[:, 1]])),
-        "member": pa.concat_arrays([pa.array(pairs[:, 1].copy()), pa.nulls(len(more), pa.int64())]),
-    })
+    """What a range's keys say: pairs of documents with the number of keys they share (keys of up to SMALL documents), (leader, member)
+    of larger keys, and the leaders of keys that a slice did not send in full."""
+    parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", _U), ("ids", np.int64), ("codes", np.uint8), ("many", bool))]
+    keys, ids, codes, many = (np.concatenate(x) for x in parts)
+    order = np.lexsort((ids, keys))
+    keys, ids, codes, many = keys[order], ids[order], codes[order], many[order]
+    starts, sizes = _groups(keys)
+    marked = np.add.reduceat(many, starts) > 0 if len(starts) else np.zeros(0, bool)
+    large = marked | (sizes > SMALL)
+
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in range(2, SMALL + 1):
+        own = starts[(sizes == m) & ~large]
+        if len(own):
+            i, j = np.triu_indices(m, 1)
+            left.append((own[:, None] + i).ravel()), right.append((own[:, None] + j).ravel())
+    left, right = np.concatenate(left), np.concatenate(right)
+    near = np.abs(codes[left].astype(np.int64) - codes[right]) <= 3
+    left, right = left[near], right[near]
+    a, b, need = ids[left], ids[right], needed(least_size(np.minimum(codes[left], codes[right])))
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(new, len(a)))
+
+    group = np.repeat(np.arange(len(starts)), sizes)
+    leader = ids[starts][group] if len(starts) else ids
+    inside = large[group] & (ids != leader) if len(starts) else np.zeros(0, bool)
+    pairs = np.unique(np.stack([leader[inside], ids[inside]], axis=1), axis=0).reshape(-1, 2)
+    sent = starts[marked]
+    columns = [
+        [np.full(len(new), PAIR), np.full(len(pairs), LARGE), np.full(len(sent), KEY)],
+        [np.zeros(len(new), np.int64), np.zeros(len(pairs), np.int64), keys[sent].view(np.int64)],
+        [a[new], pairs[:, 0], ids[sent]], [b[new], pairs[:, 1], ids[sent]],
+        [shared, np.zeros(len(pairs), np.int64), np.zeros(len(sent), np.int64)], [need[new], np.zeros(len(pairs), np.int64), np.zeros(len(sent), np.int64)],
+    ]
+    types = [pa.int32()] + [pa.int64()] * 5
+    return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(columns, types)], ["kind", "key", "a", "b", "shared", "need"])
 
 
 def _others(batches, sketch: np.ndarray, k: int):
-    """Further documents of the keys that a slice holds more than once."""
-    for ids, keys in _prefixes(batches, sketch, k):
-        order = np.lexsort((ids, keys))
-        ids, keys = ids[order], keys[order]
-        again = np.zeros(len(keys), bool)
-        again[1:] = keys[1:] == keys[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[again].view(np.int64)), pa.array(ids[again])], ["key", "member"])
+    """Documents of the keys that a slice did not send in full."""
+    for keys, ids, _ in _prefixes(batches, sketch, k):
+        starts, sizes = _groups(keys)
+        rest = np.repeat(sizes > SMALL, sizes)
+        rest[starts] = False
+        yield pa.RecordBatch.from_arrays([pa.array(keys[rest].view(np.int64)), pa.array(ids[rest])], ["key", "member"])
 
 
 # -- prefix trees
@@ -296,13 +352,22 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     nodes = written(rows.join(heads, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")), "nodes")
 
     ranges = parallelism(df)
-    questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, least binary, several binary")
-    answers = written(questions.groupBy("range").applyInArrow(_answer, "key long, leader long, member long"), "answers")
+    questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, ids binary, codes binary, many binary")
+    answers = written(questions.groupBy("range").applyInArrow(_answer, _ANSWER), "answers")
+    node = lambda c: nodes.select(F.col("_id").alias(c), F.col("node").alias(f"node_{c}"))
+    counted = answers.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need")
+    counted = counted.join(node("a"), "a").join(node("b"), "b").filter("node_a <> node_b")
+    couples = written(counted.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "couples")
+    # couples whose documents both go to the bucket of one smaller partner need no bucket of their own
+    smallest = couples.groupBy("b").agg(F.min("a").alias("lead"))
+    kept = couples.join(smallest, "b").join(smallest.select(F.col("b").alias("a"), F.col("lead").alias("lead_a")), "a", "left")
+    kept = kept.filter("a = lead OR coalesce(lead_a, a) <> lead").select(F.col("a").alias("leader"), F.col("b").alias("node"))
+
     others = texts.mapInArrow(lambda b: _others(b, shared_sketch.value, k), "key long, member long")
-    more = others.join(answers.filter("key IS NOT NULL").select("key", "leader"), "key").select("leader", "member")
-    pairs = answers.filter("key IS NULL").select("leader", "member").union(more).distinct()
-    pairs = pairs.join(nodes.select(F.col("_id").alias("member"), "node"), "member").filter("leader <> node").select("leader", "node").distinct()
-    pairs = written(pairs, "pairs")
+    more = others.join(answers.filter(F.col("kind") == KEY).select("key", "a"), "key").select("a", F.col("member").alias("b"))
+    frequent = answers.filter(F.col("kind") == LARGE).select("a", "b").union(more).distinct().join(node("b"), "b")
+    frequent = frequent.filter("a <> node_b").select(F.col("a").alias("leader"), F.col("node_b").alias("node"))
+    pairs = written(kept.union(frequent).distinct(), "pairs")
 
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
     members = pairs.join(sizes, "leader").select("leader", "node", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from repeatwise.llm.common import smallest_labels
-from repeatwise.llm.ngram_join import PrefixTree, connect, drop_similar, linked, prefix_length, similar_sets
+from repeatwise.llm.ngram_join import PrefixTree, connect, drop_similar, least_size, linked, needed, prefix_length, similar_sets, size_code
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -82,10 +82,15 @@ def test_near_copies_and_chains(spark, chunk):
 
 
 def test_prefix_length():
-    for n in range(1, 60):
-        need = -(-4 * n // 5)
-        assert prefix_length(n) == n - need + 1
+    for n in range(1, 400):
+        assert needed(n) <= prefix_length(n) <= n
+        for m in range(n, 5 * n // 4 + 1):  # the least overlap of a linked pair leaves enough shared shingles in both prefixes
+            overlap = -(-4 * (n + m) // 9)
+            assert overlap - min(n - prefix_length(n), m - prefix_length(m)) >= needed(n) or overlap > n
+            assert abs(size_code(n) - size_code(m)) <= 3
     assert prefix_length(0) == 0
+    codes = np.array([size_code(n) for n in range(1, 5000)])
+    assert (least_size(codes) <= np.arange(1, 5000)).all()
 
 
 def test_tree_finds_all_links():
