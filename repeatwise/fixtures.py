@@ -146,6 +146,11 @@ COLUMNS_READ = {
 _STORED: dict = {}
 
 
+def forget_stored() -> None:
+    """Drop the results shared between queries, so that the next query starts from the tables."""
+    _STORED.clear()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a table that comes in fewer splits than there are cores; larger tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

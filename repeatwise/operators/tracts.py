@@ -1,9 +1,9 @@
 """Perfect tandem tracts: detection, flanks, condensed sequences and the offset index.
 
 Detection is exact and needs no shuffle for reads. A tract of period ``p`` is a maximal run of bases equal to the
-base ``p`` places before. Long sequences are cut into blocks that carry ``max_unit`` bases of left context, each
-block is searched on its own, and only runs that reach a block border meet again (a window over at most a few
-rows per block). So one chromosome uses as many tasks as it has blocks.
+base ``p`` places before. Long sequences are cut into blocks that carry ``max_unit`` bases of left context, the
+blocks are dealt out by a shuffle and searched on their own, and only runs that reach a block border meet again (a
+window over at most a few rows per block). The cut itself is one pass in the task that holds the sequence.
 """
 
 from __future__ import annotations
@@ -72,39 +72,61 @@ _ACGT = np.zeros(256, bool)
 _ACGT[list(b"ACGT")] = True
 
 
-def _search(texts: list[bytes], contexts: list[int], lasts: np.ndarray, continued: np.ndarray, limits: Thresholds):
-    """Runs of all periods in one batch: one comparison per period over the joined bytes."""
-    gap = limits.max_unit
-    sizes = np.array([len(t) for t in texts], np.int64)
-    offsets = np.concatenate(([0], np.cumsum(sizes + gap)[:-1])) + gap
-    joined = np.frombuffer(b"\0" * gap + (b"\0" * gap).join(texts) + b"\0" * gap, np.uint8)
+def _joined(column: pa.Array, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of a column one after another with ``gap`` zero bytes around each, where each begins, and their lengths.
+
+    One byte stands for one character: characters beyond ASCII become ``?``, which is no base.
+    """
+    column = column.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    if len(data) and data.max() > 127:
+        texts = [t.encode("ascii", "replace") for t in column.to_pylist()]
+        data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+    else:
+        sizes = np.diff(ends)
+    offsets = np.cumsum(sizes + gap) - sizes
+    joined = np.zeros(int(sizes.sum()) + gap * (len(sizes) + 1), np.uint8)
+    joined[np.arange(len(data)) + np.repeat(gap * np.arange(1, len(sizes) + 1), sizes)] = data
+    return joined, offsets, sizes
+
+
+def _search(joined: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, contexts: np.ndarray, lasts: np.ndarray, continued: np.ndarray, limits: Thresholds):
+    """Runs of all periods in one batch: one comparison per period over the joined bytes. Limits are applied to complete runs."""
     usable = _ACGT[joined]
-    owned = np.ones(len(joined), bool)
-    for at, size in zip(offsets, contexts):
-        owned[at : at + size] = False
+    own = usable
+    if contexts.any():
+        own = usable.copy()
+        for at, size in zip(offsets[contexts > 0], contexts[contexts > 0]):
+            own[at : at + size] = False
     found = []
     for period in range(1, limits.max_unit + 1):
         same = np.zeros(len(joined), bool)
-        same[period:] = (joined[period:] == joined[:-period]) & usable[period:] & owned[period:]
+        same[period:] = (joined[period:] == joined[:-period]) & own[period:]
         begin, end = _runs(same)
         row = np.searchsorted(offsets, begin, side="right") - 1
-        left = begin - offsets[row] - period < np.asarray(contexts)[row]
-        left &= continued[row]
+        left = (begin - offsets[row] - period < contexts[row]) & continued[row]
         right = (end - offsets[row] == sizes[row] - 1) & ~lasts[row]
         keep = (end - begin + 1 >= limits.max_unit) | left | right
-        found.append(
-            np.stack([row, begin - offsets[row] - period, end - offsets[row], np.full_like(begin, period), left | right])[:, keep]
-        )
+        found.append(np.stack([row, begin - offsets[row] - period, end - offsets[row], np.full_like(begin, period), left | right])[:, keep])
     row, start, stop, period, border = np.concatenate(found, axis=1)
     # smallest period wins among runs that describe the same bases and are complete in this block
     order = np.lexsort((period, stop, start, border, row))
     row, start, stop, period, border = (a[order] for a in (row, start, stop, period, border))
-    again = np.zeros(len(row), bool)
-    again[1:] = (row[1:] == row[:-1]) & (start[1:] == start[:-1]) & (stop[1:] == stop[:-1]) & (border[1:] == 0) & (border[:-1] == 0)
-    keep = ~again
+    keep = np.ones(len(row), bool)
+    keep[1:] = ~((row[1:] == row[:-1]) & (start[1:] == start[:-1]) & (stop[1:] == stop[:-1]) & (border[1:] == 0) & (border[:-1] == 0))
+    length = stop - start + 1
+    keep &= (border == 1) | ((length >= limits.min_length) & (length // period >= limits.min_units) & (period >= limits.min_unit))
     return row[keep], start[keep], stop[keep], period[keep], border[keep].astype(bool)
 
 
+def _slices(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """String column of the slices ``data[begin : begin + size]``."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    places = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(data[places].tobytes()))
+
+
 def _tract_rows(df: DataFrame, keys: list[str], seq: str, limits: Thresholds) -> DataFrame:
     """Runs per block, from frames that hold ``seq``, ``ctx`` (bases of context), ``first``, ``blk``, ``is_last``."""
     names = list(keys)
@@ -117,21 +139,22 @@ def _tract_rows(df: DataFrame, keys: list[str], seq: str, limits: Thresholds) ->
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = [t.encode("latin-1", "replace") for t in batch.column(seq).to_pylist()]
-            contexts = batch.column("ctx").to_pylist()
+            joined, offsets, sizes = _joined(batch.column(seq), limits.max_unit)
+            contexts = batch.column("ctx").to_numpy().astype(np.int64)
             first = batch.column("first").to_numpy()
             blk = batch.column("blk").to_numpy()
             row, start, stop, period, border = _search(
-                texts, contexts, batch.column("is_last").to_numpy(zero_copy_only=False), blk > 0, limits
+                joined, offsets, sizes, contexts, batch.column("is_last").to_numpy(zero_copy_only=False), blk > 0, limits
             )
-            shift = first[row] - np.asarray(contexts)[row]
-            units = [texts[r][max(s, 0) : s + p].decode() for r, s, p in zip(row, start, period)]
+            shift = first[row] - contexts[row]
+            begin = np.maximum(start, 0)
+            units = _slices(joined, offsets[row] + begin, np.minimum(start + period, sizes[row]) - begin)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).take(at) for k in names]
                 + [
                     pa.array(blk[row].astype(np.int32)), pa.array(start + shift), pa.array(stop + shift),
-                    pa.array(period.astype(np.int32)), pa.array(units, pa.string()), pa.array(border),
+                    pa.array(period.astype(np.int32)), units, pa.array(border),
                 ],
                 names=[f.name for f in fields],
             )
@@ -165,7 +188,7 @@ def detect(df: DataFrame, keys: list[str], seq: str, limits: Thresholds = Thresh
                 *keys, F.col("pos").alias("blk"), (F.col("pos") * size + 1).cast("long").alias("first"),
                 (F.col("pos") == F.col("n_blk") - 1).alias("is_last"), F.length("col.tail").alias("ctx"),
                 F.concat("col.tail", "col.body").alias(seq),
-            ),
+            ).repartition(*keys, "blk"),  # the blocks of one long sequence are searched by many tasks
             keys, seq, limits,
         )
         rows = _join_borders(rows, keys, limits)

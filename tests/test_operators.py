@@ -173,3 +173,88 @@ def test_low_rank_equals_svd(spark):
     got = {(r.locus_id, r.person_id): r.exp_cov for r in CV.expected_coverage(cov, 2).collect()}
     assert len(got) == 25 * 12
     assert max(abs(got[i, j] - low[i, j]) for i in range(25) for j in range(12)) < 1e-3
+
+
+def test_sequence_blocks_are_dealt_out(spark):
+    df = spark.createDataFrame([(1, "ACACACACAC" * 20)], "id INT, seq STRING")
+    plan = TR.detect(df, ["id"], "seq", block=50)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan.replace("#", " ").split("MapInArrow")[1] or "hashpartitioning" in plan.split("MapInArrow")[1]
+
+
+def test_odd_headers_do_not_stop_the_job(spark):
+    df = spark.createDataFrame([("r1 1:N:0:ACGT",), ("r2/2",), ("r3",), ("r4 x",), ("",)], "h STRING")
+    got = [(r.name, r.mate) for r in df.select(R.parse_header(F.col("h")).alias("p")).select("p.*").collect()]
+    assert got == [("r1", 1), ("r2", 2), ("r3", 3), ("r4", None), ("", None)]
+
+
+def test_encoding_sees_all_reads(spark):
+    df = spark.createDataFrame([("a", "hhhh")] * 1500 + [("a", "!hhh"), ("b", "hhhh"), ("c", "JJ")], "file STRING, qual STRING")
+    assert {r.file: r.encoding for r in R.guess_encoding(df).collect()} == {"a": "phred33", "b": "phred64", "c": "unknown"}
+
+
+def test_chi_square_tail_of_many_alleles():
+    values = M.chi_square_upper(np.array([1500.0, 1500.0, 3000.0, 10.0, 0.0]), np.array([1500, 1501, 1500, 0, 5]))
+    assert values[:2] == pytest.approx([0.495, 0.502], abs=0.01)
+    assert 0 < values[2] < 1e-90
+    assert values[3:].tolist() == [1.0, 1.0]
+
+
+def test_siblings_are_never_mixed(spark):
+    """Of two siblings the one with the smaller id stands for the role, with all its fields."""
+    from repeatwise.operators import denovo as DN
+
+    people = [(1, 7, "mother"), (2, 7, "father"), (3, 7, "self"), (5, 7, "sibling"), (4, 7, "sibling")]
+    person = spark.createDataFrame([(p, f, r, "F", "whole blood") for p, f, r in people], "person_id INT, family_id INT, relation STRING, sex STRING, sample_type STRING")
+    calls = spark.createDataFrame([(0, 1, 8, 8), (0, 2, 9, 9), (0, 3, 8, 9), (0, 4, 8, 20), (0, 5, 10, 11)], "locus_id INT, person_id INT, allele_1 INT, allele_2 INT")
+    (row,) = DN.member_records(calls, person, ["allele_1", "allele_2"]).collect()
+    assert (row.sibling_allele_1, row.sibling_allele_2) == (8, 20)
+    post = calls.withColumn("k", F.lit(1)).withColumn("lens", F.array(F.lit(8))).withColumn("p", F.array(F.col("allele_2").cast("double")))
+    (fam,) = FM.family_rows(post, person).collect()
+    assert fam.sibling == [20.0]
+
+
+def test_read_names_have_one_rule(spark):
+    from repeatwise.operators import profile as PR
+
+    small, large = spark.range(300).selectExpr("1 AS locus", "id AS read_name"), spark.range(12_000).selectExpr("2 AS locus", "id AS read_name")
+    rows = PR.read_names(small.union(large), ["locus"]).collect()
+    assert sorted(r.part for r in rows if r.locus == 1) == [0] and sorted(r.part for r in rows if r.locus == 2) == [0, 1, 2]
+    assert sorted(int(x) for r in rows if r.locus == 2 for x in r.names.split(",")) == list(range(12_000))
+
+
+def test_chromosome_numbers(spark):
+    from repeatwise.operators import profile as PR
+
+    df = spark.createDataFrame([("chr2",), ("chrX",), ("Y",), ("chrM",), ("chrUn",)], "c STRING")
+    assert [r.n for r in df.select(PR.chrom_number(F.col("c")).alias("n")).collect()] == [2, 23, 24, 25, None]
+
+
+def test_vcf_files_are_whole(spark, tmp_path):
+    from repeatwise.sources import text as IO
+
+    rows = [(p, c, pos, ".", "AC", ".", 50.0, ".", "END=1", "GT", "0/0") for p in (1, 2, 3) for c in ("chrX", "chr10", "chr2") for pos in (30, 5)]
+    df = spark.createDataFrame(rows, "person_id INT, chrom STRING, pos INT, id STRING, ref STRING, alt STRING, qual DOUBLE, filter STRING, info STRING, format STRING, sample STRING")
+    IO.write_vcf(df.repartition(5), str(tmp_path / "vcf"))
+    for p in (1, 2, 3):
+        (file,) = (tmp_path / "vcf" / f"person_id={p}").glob("part-*")
+        lines = file.read_text().splitlines()
+        head = [x for x in lines if x.startswith("#")]
+        assert lines[: len(head)] == head and head[-1].startswith("#CHROM")
+        assert [tuple(x.split("\t")[:2]) for x in lines[len(head) :]] == [(c, pos) for c in ("chr2", "chr10", "chrX") for pos in ("5", "30")]
+
+
+def test_resampling_draws_with_replacement(spark):
+    cov = spark.range(4000).selectExpr("CAST(id / 40 AS INT) AS locus_id", "CAST(id % 40 AS INT) AS person_id", "CAST(id % 100 + 1 AS DOUBLE) AS cov")
+    drawn = CV.resampled(cov, 3)
+    mean, sd, n = drawn.agg(F.avg("cov"), F.stddev("cov"), F.count("*")).first()
+    assert n == 4000 and mean == pytest.approx(50.5, abs=2) and sd == pytest.approx(28.9, abs=1.5)
+    assert drawn.select("locus_id", "person_id").distinct().count() == 4000
+
+
+def test_singular_values_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    a = rng.random((30, 12)) * np.linspace(1, 3, 12)
+    cov = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(12)], "locus_id INT, person_id INT, cov DOUBLE")
+    _, values, residual = CV.singular_vectors(cov, 5)
+    assert values == pytest.approx(np.linalg.svd(a, compute_uv=False)[:5], rel=1e-5) and residual <= 1e-7
+    assert [r.singular_value for r in CV.singular_values(cov, 3).orderBy("component").collect()] == pytest.approx(values[:3], rel=1e-6)
