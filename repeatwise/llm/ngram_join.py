@@ -197,6 +197,48 @@ def _others(batches, sketch: np.ndarray, k: int):
         yield pa.RecordBatch.from_arrays([pa.array(keys[rest].view(np.int64)), pa.array(ids[rest])], ["key", "member"])
 
 
+SLOTS = 1 << 25  # bits that say which documents may be needed: 4 MB, whatever the input
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(_U)) & _U(SLOTS - 1)).astype(np.int64)
+
+
+def _mark(batches):
+    """Bits of a task's ids, in compressed blocks."""
+    wanted = np.zeros(SLOTS, bool)
+    for batch in batches:
+        wanted[_slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
+    if wanted.any():
+        blocks = np.split(np.packbits(wanted), 64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([zstandard.compress(b.tobytes()) for b in blocks], pa.binary())], ["block", "bits"])
+
+
+def _merge_marks(batches):
+    merged: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            merged[block] = merged.get(block, 0) | np.frombuffer(zstandard.decompress(bits), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(merged.keys(), pa.int32()), pa.array([b.tobytes() for b in merged.values()], pa.binary())], ["block", "bits"])
+
+
+def _marked(batches, bits: np.ndarray):
+    """Rows whose id may be needed."""
+    for batch in batches:
+        slot = _slots(batch.column(0).to_numpy(zero_copy_only=False))
+        yield batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+
+
+def needed_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` that ``ids`` may name: a bit table of fixed size keeps most others out of the coming shuffle."""
+    blocks = ids.mapInArrow(_mark, "block int, bits binary").repartition("block").mapInArrow(_merge_marks, "block int, bits binary")
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for row in blocks.collect():  # SLOTS bits at most
+        bits[row["block"] * len(bits) // 64 : (row["block"] + 1) * len(bits) // 64] = np.frombuffer(row["bits"], np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    return texts.mapInArrow(lambda b: _marked(b, shared.value), texts.schema)
+
+
 # -- prefix trees
 
 
@@ -372,7 +414,10 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
     members = pairs.join(sizes, "leader").select("leader", "node", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
     leaders = sizes.select("leader", F.col("leader").alias("node"), "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    stored = written(members.union(leaders).join(texts.withColumnRenamed("_id", "node"), "node"), "buckets")
+    places = members.union(leaders)
+    wanted = needed_texts(texts, pairs.select("node").union(pairs.select("leader"))).withColumnRenamed("_id", "node")
+    # places grow with the input, so they are never broadcast
+    stored = written(places.hint("merge").join(wanted, "node"), "buckets")
     met = stored.groupBy("leader", "chunk").applyInArrow(lambda t: _compare(t, k), "leader long, chunk long, node long, head long")
     met = written(met, "met")
     edges = met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
