@@ -122,8 +122,8 @@ def tags(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_tags(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Tags back to one row per tract: both lists in step."""
-    zipped = F.arrays_zip(F.split("mc", r"\|").alias("c"), F.split("mu", r"\|").alias("q"))
+    """Tags back to one row per tract: both lists in step. A ``|`` is a legal quality, so the quality tag is cut only before a unit and a place."""
+    zipped = F.arrays_zip(F.split("mc", r"\|").alias("c"), F.split("mu", r"\|(?=[A-Za-z]+:\d+:)").alias("q"))
     one = df.select(*keys, F.posexplode(zipped)).withColumn("c", F.split("col.c", ":")).withColumn("q", F.split("col.q", ":", 3))
     return one.select(
         *keys, F.col("pos").alias("tract_no"), F.col("c")[0].alias("chrom"), F.col("c")[1].alias("motif"),
@@ -134,7 +134,7 @@ def parse_tags(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def tracts_from_name(name: Column) -> Column:
     """Bare name and tract structs out of ``name|unit:start:length[:qual]|...``."""
-    parts = F.split(name, r"\|")
+    parts = F.split(name, r"\|(?=[A-Za-z]+:\d+:\d+)")
     cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.split(p, ":", 4))
     return F.struct(
         parts[0].alias("bare_name"),

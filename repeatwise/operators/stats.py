@@ -73,6 +73,12 @@ def medians(genotypes: DataFrame, columns: list[str], digits: int = 6) -> DataFr
     return sets
 
 
+def histograms(genotypes: DataFrame, columns: list[str], step: float = 0.05) -> DataFrame:
+    """Counts of each column in bins of ``step``, one row for each column and bin, in one shuffle of partial counts."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.floor(F.round(F.col(c) / F.lit(step), 6)).cast("long").alias("bin")) for c in columns]))
+    return genotypes.select(values.alias("x")).groupBy("x.measure", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def coverage_by_context(cov: DataFrame, contexts: DataFrame) -> DataFrame:
     """Median locus coverage per person, exon and other loci apart."""
     tagged = cov.join(contexts, "locus_id", "left").withColumn("exonic", F.coalesce(F.col("context") == "exon", F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import cohort as C
@@ -68,10 +70,10 @@ def _(v):
 
 
 @query("co10_subgroups", oracle("person", """SELECT 'parents' AS grp, person_id FROM roled WHERE role IN ('mother', 'father') UNION ALL SELECT 'children', person_id FROM roled WHERE role IN ('proband', 'sibling')
-  UNION ALL SELECT 'proband', person_id FROM roled WHERE role = 'proband'""", [ROLED]))
+  UNION ALL SELECT role, person_id FROM roled UNION ALL SELECT 'all', person_id FROM roled""", [ROLED]))
 def _(v):
-    parts = [C.subgroup(v.person, g).select(F.lit(g).alias("grp"), "person_id") for g in ("parents", "children", "proband")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [C.subgroup(v.person, g).select(F.lit(g).alias("grp"), "person_id") for g in C.SUBGROUPS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("co11_family_members", oracle("person", "SELECT a.person_id, a.family_id, b.person_id AS member_id FROM person a JOIN person b USING (family_id)"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..operators import accounting as AC
+from ..operators import profile as P
 from ..operators import vcf as V
 from ..registry import oracle, query
 from .genotypes import start_genotypes
+from .profiles import PROFILE, TALLY
 from .sql import start_calls
 
 VIEWS = "allele_cov expected locus"
@@ -108,6 +110,20 @@ def _(v):
     return AC.in_out_by_person(v.stage_count, STAGES)
 
 
+# the thirteen columns of the counter report (fixed names and order)
+OUTCOMES = {
+    "ReadsIn": "reads_in", "DiscordantOverlappingReadFragment": "discordantOverlappingReadFragment", "DisparateCoord": "disparateCoord", "HasMS": "hasMS",
+    "LowCoverage": "lowCoverage", "LowMapQ": "lowMapQ", "MsInPCRDuplicates": "msInPCRDuplicates", "NonReference": "nonReference",
+    "OverlappingReadFragment": "overlappingReadFragment", "Reported": "reported", "Unmapped": "unmapped", "WrongUnit": "wrongUnit", "ReadsOut": "reads_out",
+}
+
+
+@query("pc02_outcome_report", oracle("obs ref_tract", "SELECT person_id, " + ", ".join(f'CAST("{old}" AS BIGINT) AS {new}' for new, old in OUTCOMES.items()) + f" FROM ({TALLY})", PROFILE))
+def _(v):
+    counts = P.outcome_counts(v.obs, v.ref_tract)
+    return counts.select("person_id", *[F.col(old).cast("long").alias(new) for new, old in OUTCOMES.items()])
+
+
 @query("pc04_error_scan", oracle("person", """SELECT p.person_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_errors, CASE WHEN n IS NULL THEN 'No errors' ELSE 'ERRORS' END AS status FROM person p
   LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM events WHERE contains(event_type || ' ' || props, 'rror') GROUP BY user_id) e ON e.user_id = p.person_id"""))
 def _(v):

@@ -51,10 +51,11 @@ def _(v):
     return model.select("locus_id", F.explode(G.pair_list(F.col("k"))).alias("p")).select("locus_id", F.col("p.r1").cast("int").alias("r1"), F.col("p.r2").cast("int").alias("r2"))
 
 
-@query("fm03_trio_allele_order", oracle(VIEWS, "SELECT locus_id, family_id, string_agg(CAST(r AS VARCHAR), ',' ORDER BY pos) AS ranks FROM top WHERE child = 'proband' GROUP BY locus_id, family_id", FAM))
+@query("fm03_trio_allele_order", oracle(VIEWS, "SELECT locus_id, family_id, child, string_agg(CAST(r AS VARCHAR), ',' ORDER BY pos) AS ranks FROM top GROUP BY locus_id, family_id, child", FAM))
 def _(v):
-    fam = FM.family_rows(start_posteriors(v), v.person).filter("mother IS NOT NULL AND father IS NOT NULL AND proband IS NOT NULL")
-    return fam.select(*KEYS, F.array_join(FM.trio_alleles("proband").cast("array<string>"), ",").alias("ranks"))
+    fam = FM.family_rows(start_posteriors(v), v.person).filter("mother IS NOT NULL AND father IS NOT NULL")
+    trios = [fam.filter(F.col(c).isNotNull()).select(*KEYS, F.lit(c).alias("child"), F.array_join(FM.trio_alleles(c).cast("array<string>"), ",").alias("ranks")) for c in ("proband", "sibling")]
+    return trios[0].union(trios[1])
 
 
 @query("fm04_member_genotypes", oracle(VIEWS, "SELECT locus_id, family_id, " + ", ".join(f"{r}_{i}" for r in ROLES for i in (1, 2)) + " FROM fam", FAM))

@@ -124,7 +124,7 @@ def _(v):
 @query("ri10_parse_tags", oracle("alignments dna", """SELECT read_id, mate, 'doc' || doc_id AS chrom, t.unit AS motif, CAST(pos + t.start + read_offset - clip AS BIGINT) AS genome_start,
   CAST(t.length AS BIGINT) AS length, CAST(t.start AS BIGINT) AS read_start, t.tract_qual FROM turned t JOIN offsets USING (read_id, mate) WHERE read_offset IS NOT NULL""", FULL))
 def _(v):
-    return RC.parse_tags(_tags(v).filter(~F.col("mu").contains("||")), ID).drop("tract_no")
+    return RC.parse_tags(_tags(v), ID).drop("tract_no")
 
 
 @query("ri11_tracts_from_name", oracle("reads", """SELECT CAST(read_id AS VARCHAR) || '/' || mate AS bare_name, unit, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,

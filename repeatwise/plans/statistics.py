@@ -86,6 +86,14 @@ def _(v):
     return m.select("level", "locus_id", "person_id", *[F.round(f"median_{c}", 8).alias(f"median_{c}") for c in MEDS])
 
 
+HIST_SQL = " UNION ALL ".join(f"SELECT '{c}' AS measure, CAST(floor(round(round({c}, 7) / 0.05, 6)) AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS n FROM geno GROUP BY 2" for c in MEDS)
+
+
+@query("st09_histograms", oracle(VIEWS, HIST_SQL, GENO))
+def _(v):
+    return ST.histograms(start_genotypes(v).select(*[F.round(c, 7).alias(c) for c in MEDS]), MEDS)
+
+
 @query("st10_coverage_by_context", oracle(VIEWS + " locus annotation", "SELECT person_id, context = 'exon' AS exonic, median(total) AS median_cov, CAST(COUNT(*) AS BIGINT) AS n_loci FROM geno JOIN ctx USING (locus_id) GROUP BY 1, 2", GENO + [CONTEXT]))
 def _(v):
     ctx = AN.annotate(v.locus, v.annotation).select("locus_id", AN.context().alias("context"))

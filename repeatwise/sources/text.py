@@ -113,10 +113,10 @@ def read_offset_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """``name/mate|unit:start:length:qual|...`` lines to one row per tract."""
-    part = F.split("value", r"\|")
+    part = F.split("value", r"\|(?=[A-Za-z]+:\d+:\d+)")
     raw = spark.read.text(path).select(part[0].alias("h"), F.explode_outer(F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))).alias("t"))
     name = F.substring_index("h", "/", 1)
-    return raw.select(name.alias("read_id"), F.substring_index("h", "/", -1).cast("int").alias("mate"), TR.parse_tract_text(F.col("t")).alias("t")).select("read_id", "mate", "t.*")
+    return raw.select(name.alias("read_id"), F.substring_index("h", "/", -1).try_cast("int").alias("mate"), TR.parse_tract_text(F.col("t")).alias("t")).select("read_id", "mate", "t.*")
 
 
 def write_sidecar(reads: DataFrame, path: str) -> None:
