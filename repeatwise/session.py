@@ -26,18 +26,24 @@ def build_session(app: str = "repeatwise", cpus: str = "*", **conf: str) -> Spar
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """Folder of this application inside the shared folder named by ``spark.checkpoint.dir``; ``clear_scratch`` ends it.
 
     Only a local master may fall back to a folder of its own: on a cluster the executors would not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="repeatwise-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="repeatwise-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return f"{configured.rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to its scratch folder; frames that still read it are lost."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

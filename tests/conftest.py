@@ -9,8 +9,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from repeatwise.session import build_session
+    from repeatwise.session import build_session, clear_scratch
 
     session = build_session("tests", "8")
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    clear_scratch(session)
