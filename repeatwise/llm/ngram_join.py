@@ -431,10 +431,13 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     across = homes.union(visitors).groupBy("leader", "chunk").applyInArrow(lambda t: _visit(t, k), "a long, b long")
 
     labels = smallest_labels(edges.union(across))
-    placed = nodes.join(labels.withColumnRenamed("label", "component"), "node", "left").select("_id", "n", F.coalesce("component", "node").alias("component"))
-    named = placed.join(docs.select("_id", F.col(key).alias("key")), "_id")
-    least = named.groupBy("component").agg(F.min("key").alias("component_id"), F.min("_id").alias("head"))
-    return named.join(least, "component").select("_id", F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("head")).alias("first"))
+    named = nodes.join(docs.select("_id", F.col(key).alias("key")), "_id")
+    by_node = named.groupBy("node").agg(F.min("key").alias("key"), F.min("_id").alias("head"))
+    by_node = written(by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"), "key", "head"), "heads")
+    components = written(by_node.groupBy("component").agg(F.min("key").alias("component_id"), F.min("head").alias("head")), "components")
+    # written tables on both sides of each join, so that Spark can split the rows of one large component or node
+    where = written(by_node.select("node", "component").join(components, "component").drop("component"), "where")
+    return named.join(where, "node").select("_id", F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("head")).alias("first"))
 
 
 def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
