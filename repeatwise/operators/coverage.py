@@ -93,7 +93,7 @@ def _orthonormal(table: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]:
     return _rotate(table, "person_id", _vec("v", k), vectors[:, kept] / np.sqrt(values[kept]), _vec("v", size)), size, values[kept]
 
 
-def singular_vectors(cov: DataFrame, k: int, extra: int = 8, tolerance: float = 1e-7, rounds: int = 200, seed: int = 7) -> tuple[DataFrame, np.ndarray, float]:
+def singular_vectors(cov: DataFrame, k: int, extra: int = 8, tolerance: float = 1e-9, rounds: int = 200, seed: int = 7) -> tuple[DataFrame, np.ndarray, float]:
     """Leading ``k`` right singular vectors (``person_id, v0..``), singular values of the long matrix ``cov``, and the residual.
 
     Rounds go on until no leading value moves by more than ``tolerance`` of the largest; the residual is the last such move. A matrix

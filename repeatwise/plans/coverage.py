@@ -30,7 +30,7 @@ def _(v):
 
 
 # leading right singular vector by power iteration, unrolled
-def _power(rounds: int = 12) -> list[str]:
+def _power(rounds: int = 40) -> list[str]:
     ctes = ["v0 AS MATERIALIZED (SELECT DISTINCT person_id, 1.0::DOUBLE AS v FROM pa)"]
     for i in range(1, rounds + 1):
         ctes += [
@@ -43,7 +43,7 @@ def _power(rounds: int = 12) -> list[str]:
 
 
 RANK_ONE = MODEL[:1] + _power() + [
-    "r AS MATERIALIZED (SELECT locus_id, person_id, y * v AS raw FROM yl CROSS JOIN v12)",
+    "r AS MATERIALIZED (SELECT locus_id, person_id, y * v AS raw FROM yl CROSS JOIN v40)",
     "low AS MATERIALIZED (SELECT MIN(raw) AS least FROM r WHERE raw > 0)",
     "fitted AS MATERIALIZED (SELECT locus_id, person_id, cov, CASE WHEN raw < 0 THEN least ELSE raw END AS exp_cov FROM pa JOIN r USING (locus_id, person_id), low)",
 ]
@@ -95,10 +95,10 @@ def _(v):
     return CV.poor_fit_people(CV.person_fit(*fitted(v))).withColumn("corr", F.round("corr", 6))
 
 
-@query("cm11_observed_over_expected", oracle("allele_cov", "SELECT locus_id, person_id, allele_len, round(n / exp_cov, 6) AS ratio FROM allele_cov JOIN fitted USING (locus_id, person_id)", RANK_ONE))
+@query("cm11_observed_over_expected", oracle("allele_cov", "SELECT locus_id, person_id, allele_len, round(n / exp_cov, 5) AS ratio FROM allele_cov JOIN fitted USING (locus_id, person_id)", RANK_ONE))
 def _(v):
     _, expected = fitted(v)
-    return CV.observed_over_expected(v.allele_cov, expected).select(*COV, "allele_len", F.round("ratio", 6).alias("ratio"))
+    return CV.observed_over_expected(v.allele_cov, expected).select(*COV, "allele_len", F.round("ratio", 5).alias("ratio"))
 
 
 @query("cm12_total_coverage_histogram", oracle("allele_cov", """SELECT CAST(floor(round(log10(total) / 0.01, 6)) AS BIGINT) AS bin, CAST(COUNT(*) AS BIGINT) AS n, round(COUNT(*) / (SELECT COUNT(*) FROM totals), 6) AS share FROM totals GROUP BY 1""", [TOTALS]))
