@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
-from .common import SPACES, numbered
+from .common import SPACES, identified, numbered
 
 #: Share of all rows from which a digest counts as frequent; the Misra-Gries summary holds at most 1 / SUPPORT digests.
 SUPPORT = 0.001
@@ -60,6 +60,6 @@ def exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text", support
 
 def drop_exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``df`` that stay, with all their columns."""
-    marked = numbered(df)
+    marked = identified(df, key).withColumnRenamed("_id", "_row_no")
     dropped = exact_copies(marked, key, text).filter(~F.col("kept")).select("_row_no")
     return marked.join(dropped, "_row_no", "left_anti").select(*df.columns)

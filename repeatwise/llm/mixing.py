@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import written
-from .common import numbered, ranked, word_array
+from .common import identified, ranked, word_array
 
 MAX_STEPS = 200
 
@@ -135,7 +135,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """Rows of ``df``, each as often as the mix takes it."""
-    marked = numbered(df)
+    marked = identified(df, key).withColumnRenamed("_id", "_row_no")
     copies = mix_sources(marked, key, text, source, **settings).filter("copies > 0")
     turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
     return marked.join(copies.select("_row_no", turns), "_row_no").select(*df.columns)
