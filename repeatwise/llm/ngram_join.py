@@ -134,7 +134,7 @@ def _ask(batches, sketch: np.ndarray, k: int, ranges: int):
         keep = ~many
         keep[starts] = True
         keys, ids, codes, many = keys[keep], ids[keep], codes[keep], many[keep]
-        which = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+        which = _parts(keys, ranges)
         cuts = np.searchsorted(which, np.arange(ranges + 1))
         full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
         yield pa.RecordBatch.from_arrays(
@@ -144,12 +144,16 @@ def _ask(batches, sketch: np.ndarray, k: int, ranges: int):
 
 
 PAIR, LARGE, KEY = 0, 1, 2
-_ANSWER = "kind int, key long, a long, b long, shared long, need long"
+_ANSWER = "kind int, key long, a long, b long, part int, firsts binary, seconds binary, shared binary, need binary"
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """What a range's keys say: pairs of documents with the number of keys they share (keys of up to SMALL documents), (leader, member)
-    of larger keys, and the leaders of keys that a slice did not send in full."""
+def _parts(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+
+
+def _answer(table: pa.Table, ranges: int) -> pa.Table:
+    """What a range's keys say: pairs of documents with the number of keys they share (keys of up to SMALL documents; packed for
+    each range of pairs), (leader, member) of larger keys, and the leaders of keys that a slice did not send in full."""
     parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", _U), ("ids", np.int64), ("codes", np.uint8), ("many", bool))]
     keys, ids, codes, many = (np.concatenate(x) for x in parts)
     order = np.lexsort((ids, keys))
@@ -172,20 +176,37 @@ def _answer(table: pa.Table) -> pa.Table:
     a, b, need = a[order], b[order], need[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
     shared = np.diff(np.append(new, len(a)))
+    a, b, need = a[new], b[new], need[new]
+    part = _parts(mix(mix(a.view(_U)) ^ b.view(_U)), ranges)
+    order = np.argsort(part, kind="stable")
+    a, b, need, shared, part = a[order], b[order], need[order], shared[order], part[order]
+    cuts = np.searchsorted(part, np.arange(ranges + 1))
+    full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
+    packed = [[x[i:j].tobytes() for _, i, j in full] for x in (a, b, shared.astype(np.uint32), need.astype(np.uint32))]
 
     group = np.repeat(np.arange(len(starts)), sizes)
     leader = ids[starts][group] if len(starts) else ids
     inside = large[group] & (ids != leader) if len(starts) else np.zeros(0, bool)
     pairs = np.unique(np.stack([leader[inside], ids[inside]], axis=1), axis=0).reshape(-1, 2)
     sent = starts[marked]
+    kinds = np.repeat([PAIR, LARGE, KEY], [len(full), len(pairs), len(sent)])
+    none = len(pairs) + len(sent)
     columns = [
-        [np.full(len(new), PAIR), np.full(len(pairs), LARGE), np.full(len(sent), KEY)],
-        [np.zeros(len(new), np.int64), np.zeros(len(pairs), np.int64), keys[sent].view(np.int64)],
-        [a[new], pairs[:, 0], ids[sent]], [b[new], pairs[:, 1], ids[sent]],
-        [shared, np.zeros(len(pairs), np.int64), np.zeros(len(sent), np.int64)], [need[new], np.zeros(len(pairs), np.int64), np.zeros(len(sent), np.int64)],
+        pa.array(kinds, pa.int32()), pa.array(np.concatenate([np.zeros(len(full) + len(pairs), np.int64), keys[sent].view(np.int64)])),
+        pa.array(np.concatenate([np.zeros(len(full), np.int64), pairs[:, 0], ids[sent]])), pa.array(np.concatenate([np.zeros(len(full), np.int64), pairs[:, 1], ids[sent]])),
+        pa.array([r for r, _, _ in full] + [None] * none, pa.int32()), *[pa.array(x + [None] * none, pa.binary()) for x in packed],
     ]
-    types = [pa.int32()] + [pa.int64()] * 5
-    return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(columns, types)], ["kind", "key", "a", "b", "shared", "need"])
+    return pa.table(columns, ["kind", "key", "a", "b", "part", "firsts", "seconds", "shared", "need"])
+
+
+def _couples(table: pa.Table) -> pa.Table:
+    """Pairs of one range that share as many prefix keys as they need in all."""
+    parts = [np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("firsts", np.int64), ("seconds", np.int64), ("shared", np.uint32), ("need", np.uint32))]
+    order = np.lexsort((parts[1], parts[0]))
+    a, b, shared, need = (x[order] for x in parts)
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    enough = np.add.reduceat(shared.astype(np.int64), new) >= need[new]
+    return pa.table({"a": pa.array(a[new][enough]), "b": pa.array(b[new][enough])})
 
 
 def _others(batches, sketch: np.ndarray, k: int):
@@ -395,9 +416,9 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     ranges = parallelism(df)
     questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, ids binary, codes binary, many binary")
-    answers = written(questions.groupBy("range").applyInArrow(_answer, _ANSWER), "answers")
+    answers = written(questions.groupBy("range").applyInArrow(lambda t: _answer(t, ranges), _ANSWER), "answers")
     node = lambda c: nodes.select(F.col("_id").alias(c), F.col("node").alias(f"node_{c}"))
-    counted = answers.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need")
+    counted = answers.filter(F.col("kind") == PAIR).select("part", "firsts", "seconds", "shared", "need").groupBy("part").applyInArrow(_couples, "a long, b long")
     counted = counted.join(node("a"), "a").join(node("b"), "b").filter("node_a <> node_b")
     couples = written(counted.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "couples")
     # couples whose documents both go to the bucket of one smaller partner need no bucket of their own
