@@ -125,7 +125,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("i") == i, (F.col("mid") + 0.5) / 512)).alias(f"m{i}") for i in range(P)],
         *[F.max(F.when(F.col("i") == i, F.greatest((F.col("high") - F.col("low")) / 512 / 1.349, F.lit(LEAST_SPREAD[i] / 2)))).alias(f"s{i}") for i in range(P)],
     )
-    spread = written(spread, "spreads")
+    spread = _small(spread, "spreads")
     squashed = vectors.join(spread, "stratum").select("stratum", *[F.tanh((F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i, f in enumerate(FEATURES)])
     corr = squashed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.try_divide(F.covar_pop(f"t{i}", f"t{j}"), F.stddev_pop(f"t{i}") * F.stddev_pop(f"t{j}")), F.lit(0.0)).alias(f"r{i}{j}") for i, j in PAIRS if i != j])
     both = spread.join(corr, "stratum").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -149,6 +149,12 @@ def _concentrate(vectors: DataFrame, model: DataFrame, coverage: float) -> DataF
     return _factored(moments.withColumns({f"c{i}{j}": F.col(f"b{i}{j}") / F.col("k") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}), keys)
 
 
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """A table with a row or two for each stratum, written in a few files: its size on disk then says that it may be broadcast,
+    and the vectors of a large stratum need not meet in one task to be joined with it."""
+    return written(df.coalesce(8), label)
+
+
 def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6) -> DataFrame:
     """Minimum-covariance-determinant estimate of every ``stratum``: means ``m<i>``, Cholesky factor ``l<i><j>``, ``n`` and ``scale``.
 
@@ -156,11 +162,11 @@ def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6)
     aggregation whose state is bounded, whatever share of the rows a stratum holds. Of the two starts the one with the smaller
     determinant stays; ``scale`` (1 or more, as the nearest vectors spread less than all) makes the median squared distance that of a chi-square.
     """
-    model = written(_starts(vectors), "start")
+    model = _small(_starts(vectors), "start")
     for step in range(steps):
-        model = written(_concentrate(vectors, model, coverage), f"step{step}")
+        model = _small(_concentrate(vectors, model, coverage), f"step{step}")
     best = model.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy("log_det", "start"))).filter("place = 1").drop("place", "start")
-    best = written(best, "best")  # of known size: the vectors of a large stratum need not meet in one task to be joined with it
+    best = _small(best, "best")
     scored = _scores(vectors.join(best.drop("n"), "stratum")).select("stratum", _bin(_squares(1)).alias("bin"))
     middle = _quantile_bins(scored.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")), ["stratum"], 0.5, "middle")
     scale = F.greatest(F.exp((F.col("middle") + 0.5) / BINS) / F.lit(chi_square_quantile(0.5, P - 1)), F.lit(1.0))
@@ -186,12 +192,12 @@ def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", sour
     levels = F.array(F.concat_ws(" ", F.lit("source"), "_lang", "_source"), F.concat_ws(" ", F.lit("lang"), "_lang"), F.lit("all"))
     vectors = rows.filter(~F.col("base_failed")).select(F.explode(levels).alias("stratum"), *FEATURES).distinct()
     vectors = written(vectors, "vectors")
-    models = written(robust_estimates(vectors, coverage), "estimates").filter(F.col("n") >= least_rows)
+    models = _small(robust_estimates(vectors, coverage), "estimates").filter(F.col("n") >= least_rows)
 
     places = rows.filter(~F.col("base_failed")).select("_lang", "_source").distinct().select("_lang", "_source", F.posexplode(levels).alias("level", "stratum"))
     first = Window.partitionBy("_lang", "_source").orderBy("level")
     chosen = places.join(models, "stratum").withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place", "level", "stratum", "n", "log_det")
-    judged = _scores(rows.join(written(chosen, "chosen"), ["_lang", "_source"], "left"))
+    judged = _scores(rows.join(_small(chosen, "chosen"), ["_lang", "_source"], "left"))
     distance = F.when(~F.col("base_failed"), _squares(1) / F.col("scale"))
     judged = judged.withColumn("distance", distance)
     limit = chi_square_quantile(1 - tail, P - 1)
