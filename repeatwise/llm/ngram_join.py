@@ -3,14 +3,15 @@
 1. A first pass makes each document's set of shingles; equal sets are one node. A counting sketch of fixed size estimates how
    many documents hold a shingle.
 2. All sets are ordered alike, rare shingles first. Two sets with enough in common share several shingles among the first of each
-   (its prefix; ``needed`` says how many). Slices of documents send their prefix shingles to key ranges, which count for every two
-   documents the shingles they share; couples that share enough meet in the bucket of the smaller one. The documents of a
-   frequent shingle meet in the bucket of its smallest document instead; a slice sends such a shingle once, and its other documents
-   join that leader by key, so no range gathers them.
+   (its prefix; ``needed`` says how many), and the first of those lies in the ``front_length`` first of each. Slices of documents
+   send their prefix shingles to key ranges, which count for every two documents the shingles they share; couples that share
+   enough, their frequent shingles counted as shared, meet in the bucket of the smaller one. The documents that have a frequent
+   shingle in front meet in the bucket of the smallest of them, by windows of sizes; a slice sends such a shingle once, and its other
+   documents join that leader by key, so no range gathers them.
 3. The sets of a bucket are stored in a prefix tree, in one order for the bucket. Each set walks the tree: what a path has in common
    with it is counted once for all sets below, and subtrees are left out when their remaining length cannot reach the bound or
    when all their sets are already connected with it. Buckets over ``CHUNK`` sets are split; sets the leader does not reach
-   visit the other chunks.
+   visit the other chunks, in slices of a chunk's size, so a task holds two chunks at most.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHINGLE = 5
 WIDTH = 1 << 20  # counters of the sketch
 BLOCK = 1 << 14
 CHUNK = 1000  # sets compared in one tree
-SMALL = 32  # documents of a key up to which pairs are counted; documents of a more frequent key meet in the bucket of its smallest
+SMALL = 32  # documents of a key up to which pairs are counted; documents with a more frequent key in front meet in the bucket of the smallest
 SLICE = 8_000_000  # bytes of text handled at a time
 _U = np.uint64
 
@@ -59,6 +60,11 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + needed(n) if n else 0
 
 
+def front_length(n: int) -> int:
+    """The first shingle that two linked sets share is among so many first ones of each: the rest is too short for all they share."""
+    return n - -(-4 * n // 5) + 1 if n else 0
+
+
 def linked(overlap, n, m):
     """100 * intersection >= 80 * union."""
     return 9 * overlap >= 4 * (n + m)
@@ -92,7 +98,7 @@ def _add_blocks(batches):
 
 
 def _prefixes(batches, sketch: np.ndarray, k: int):
-    """For each slice of documents the entries (key, id, size code) of their prefixes, sorted by key and id.
+    """For each slice of documents the entries (key, id, size code, whether in front) of their prefixes, sorted by key and id.
 
     Equal sets of a slice are there once, with the smallest id.
     """
@@ -106,9 +112,10 @@ def _prefixes(batches, sketch: np.ndarray, k: int):
             counts = [len(x) for x in keys]
             ids = np.repeat(np.array([i for i, _ in first.values()], np.int64), counts)
             codes = np.repeat(np.array([size_code(len(s)) for _, s in first.values()], np.uint8), counts)
+            front = np.concatenate([np.arange(c) < front_length(len(s)) for c, (_, s) in zip(counts, first.values())])
             keys = np.concatenate(keys)
             order = np.lexsort((ids, keys))
-            yield keys[order], ids[order], codes[order]
+            yield keys[order], ids[order], codes[order], front[order]
 
 
 def size_code(n: int) -> int:
@@ -120,31 +127,67 @@ def least_size(code: np.ndarray) -> np.ndarray:
     return np.floor(2.0 ** (code / 8) + 1e-6).astype(np.int64)
 
 
+def in_windows(keys: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by (key, window of size codes), sorted: the mixed key, the id and the entry's place. A window has eight codes and the
+    three that follow, so sizes within 5 : 4 have one in common."""
+    window = codes.astype(np.int64) // 8
+    second = np.flatnonzero((codes % 8 < 3) & (window > 0))
+    place = np.concatenate([np.arange(len(keys)), second])
+    both = mix(keys[place] ^ mix(np.concatenate([window, window[second] - 1]).astype(_U)))
+    order = np.lexsort((ids[place], both))
+    return both[order], ids[place][order], place[order]
+
+
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the runs of equal keys."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return starts, np.diff(np.append(starts, len(keys)))
 
 
+def _sums(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their counts."""
+    order = np.argsort(ids, kind="stable")
+    starts, _ = _groups(ids[order])
+    return ids[order][starts], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+
+
+def _packed(which: np.ndarray, ranges: int, columns: list[np.ndarray]) -> list[list[bytes]]:
+    """Bytes of each column for each range; ``which`` is ascending."""
+    cuts = np.searchsorted(which, np.arange(ranges + 1))
+    return [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for x in columns]
+
+
+def _by_document(ids: np.ndarray, counts: np.ndarray, ranges: int) -> list[list[bytes]]:
+    """How many frequent keys each document has, for each range of documents."""
+    ids, counts = _sums(ids, counts)
+    part = _parts(mix(ids.view(_U)), ranges)
+    order = np.argsort(part, kind="stable")
+    return _packed(part[order], ranges, [ids[order], counts[order].astype(np.uint32)])
+
+
 def _ask(batches, sketch: np.ndarray, k: int, ranges: int):
-    """Prefix entries of each slice by key range. Of a key with over SMALL documents in the slice only the smallest goes, marked."""
-    for keys, ids, codes in _prefixes(batches, sketch, k):
+    """Prefix entries of each slice by key range. Of a key with over SMALL documents in the slice only the smallest goes and the smallest
+    of each window with the key in front, marked; how many such keys a document has goes to the document's range."""
+    for keys, ids, codes, front in _prefixes(batches, sketch, k):
         starts, sizes = _groups(keys)
         many = np.repeat(sizes > SMALL, sizes)
         keep = ~many
         keep[starts] = True
-        keys, ids, codes, many = keys[keep], ids[keep], codes[keep], many[keep]
-        which = _parts(keys, ranges)
-        cuts = np.searchsorted(which, np.arange(ranges + 1))
-        full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
+        inside = np.flatnonzero(many & front)
+        mixed, _, place = in_windows(keys[inside], ids[inside], codes[inside])
+        keep[inside[place[_groups(mixed)[0]]]] = True
+        documents = _by_document(ids[many], np.ones(many.sum(), np.int64), ranges)
+        keys, ids, codes, front, many = keys[keep], ids[keep], codes[keep], front[keep], many[keep]
+        columns = _packed(_parts(keys, ranges), ranges, [keys, ids, codes, front, many]) + documents
+        full = [r for r in range(ranges) if columns[0][r] or documents[0][r]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _, _ in full], pa.int32())] + [pa.array([x[a:b].tobytes() for _, a, b in full], pa.binary()) for x in (keys, ids, codes, many)],
-            ["range", "keys", "ids", "codes", "many"],
+            [pa.array(full, pa.int32())] + [pa.array([c[r] for r in full], pa.binary()) for c in columns],
+            ["range", "keys", "ids", "codes", "front", "many", "docs", "frequent"],
         )
 
 
 PAIR, LARGE, KEY = 0, 1, 2
-_ANSWER = "kind int, key long, a long, b long, part int, firsts binary, seconds binary, shared binary, need binary"
+_ANSWER = "kind int, key long, a long, b long, part int, firsts binary, seconds binary, shared binary, need binary, docs binary, frequent binary"
 
 
 def _parts(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -152,12 +195,13 @@ def _parts(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _answer(table: pa.Table, ranges: int) -> pa.Table:
-    """What a range's keys say: pairs of documents with the number of keys they share (keys of up to SMALL documents; packed for
-    each range of pairs), (leader, member) of larger keys, and the leaders of keys that a slice did not send in full."""
-    parts = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", _U), ("ids", np.int64), ("codes", np.uint8), ("many", bool))]
-    keys, ids, codes, many = (np.concatenate(x) for x in parts)
+    """What a range's keys say: pairs of documents with the number of keys they share (keys of up to SMALL documents) and the number of
+    larger keys of each document, packed for each range of documents, (leader, member) of larger keys in front, and the leaders
+    of keys that a slice did not send in full."""
+    kinds = (("keys", _U), ("ids", np.int64), ("codes", np.uint8), ("front", bool), ("many", bool), ("docs", np.int64), ("frequent", np.uint32))
+    keys, ids, codes, front, many, docs, frequent = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in kinds)
     order = np.lexsort((ids, keys))
-    keys, ids, codes, many = keys[order], ids[order], codes[order], many[order]
+    keys, ids, codes, front, many = keys[order], ids[order], codes[order], front[order], many[order]
     starts, sizes = _groups(keys)
     marked = np.add.reduceat(many, starts) > 0 if len(starts) else np.zeros(0, bool)
     large = marked | (sizes > SMALL)
@@ -177,45 +221,55 @@ def _answer(table: pa.Table, ranges: int) -> pa.Table:
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
     shared = np.diff(np.append(new, len(a)))
     a, b, need = a[new], b[new], need[new]
-    part = _parts(mix(mix(a.view(_U)) ^ b.view(_U)), ranges)
+    part = _parts(mix(a.view(_U)), ranges)
     order = np.argsort(part, kind="stable")
-    a, b, need, shared, part = a[order], b[order], need[order], shared[order], part[order]
-    cuts = np.searchsorted(part, np.arange(ranges + 1))
-    full = [(r, cuts[r], cuts[r + 1]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
-    packed = [[x[i:j].tobytes() for _, i, j in full] for x in (a, b, shared.astype(np.uint32), need.astype(np.uint32))]
-
-    group = np.repeat(np.arange(len(starts)), sizes)
-    leader = ids[starts][group] if len(starts) else ids
-    inside = large[group] & (ids != leader) if len(starts) else np.zeros(0, bool)
-    pairs = np.unique(np.stack([leader[inside], ids[inside]], axis=1), axis=0).reshape(-1, 2)
-    sent = starts[marked]
+    packed = _packed(part[order], ranges, [a[order], b[order], shared[order].astype(np.uint32), need[order].astype(np.uint32)])
+    here = np.repeat(large, sizes)
+    lone = here & ~many  # the others were counted by their slices
+    packed += _by_document(np.concatenate([docs, ids[lone]]), np.concatenate([frequent.astype(np.int64), np.ones(lone.sum(), np.int64)]), ranges)
+    full = [r for r in range(ranges) if packed[0][r] or packed[4][r]]
+
+    inside = np.flatnonzero(here & front)
+    mixed, members, place = in_windows(keys[inside], ids[inside], codes[inside])
+    begin, counts = _groups(mixed)
+    leader = np.repeat(members[begin], counts)
+    pairs = np.unique(np.stack([leader, members], axis=1)[leader != members], axis=0).reshape(-1, 2)
+    sent = begin[np.add.reduceat(np.repeat(marked, sizes)[inside[place]], begin) > 0] if len(begin) else begin
     kinds = np.repeat([PAIR, LARGE, KEY], [len(full), len(pairs), len(sent)])
     none = len(pairs) + len(sent)
     columns = [
-        pa.array(kinds, pa.int32()), pa.array(np.concatenate([np.zeros(len(full) + len(pairs), np.int64), keys[sent].view(np.int64)])),
-        pa.array(np.concatenate([np.zeros(len(full), np.int64), pairs[:, 0], ids[sent]])), pa.array(np.concatenate([np.zeros(len(full), np.int64), pairs[:, 1], ids[sent]])),
-        pa.array([r for r, _, _ in full] + [None] * none, pa.int32()), *[pa.array(x + [None] * none, pa.binary()) for x in packed],
+        pa.array(kinds, pa.int32()), pa.array(np.concatenate([np.zeros(len(full) + len(pairs), np.int64), mixed[sent].view(np.int64)])),
+        pa.array(np.concatenate([np.zeros(len(full), np.int64), pairs[:, 0], members[sent]])), pa.array(np.concatenate([np.zeros(len(full), np.int64), pairs[:, 1], members[sent]])),
+        pa.array(full + [None] * none, pa.int32()), *[pa.array([x[r] for r in full] + [None] * none, pa.binary()) for x in packed],
     ]
-    return pa.table(columns, ["kind", "key", "a", "b", "part", "firsts", "seconds", "shared", "need"])
+    return pa.table(columns, ["kind", "key", "a", "b", "part", "firsts", "seconds", "shared", "need", "docs", "frequent"])
 
 
 def _couples(table: pa.Table) -> pa.Table:
-    """Pairs of one range that share as many prefix keys as they need in all."""
-    parts = [np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("firsts", np.int64), ("seconds", np.int64), ("shared", np.uint32), ("need", np.uint32))]
+    """Pairs of one range that share as many prefix keys as they need in all, if they share all frequent keys of the first."""
+    kinds = (("firsts", np.int64), ("seconds", np.int64), ("shared", np.uint32), ("need", np.uint32), ("docs", np.int64), ("frequent", np.uint32))
+    *parts, docs, frequent = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in kinds)
     order = np.lexsort((parts[1], parts[0]))
     a, b, shared, need = (x[order] for x in parts)
+    if not len(a):
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    enough = np.add.reduceat(shared.astype(np.int64), new) >= need[new]
+    shared = np.add.reduceat(shared.astype(np.int64), new)
+    docs, frequent = _sums(docs, frequent.astype(np.int64))
+    if len(docs):
+        at = np.minimum(np.searchsorted(docs, a[new]), len(docs) - 1)
+        shared += np.where(docs[at] == a[new], frequent[at], 0)
+    enough = shared >= need[new]
     return pa.table({"a": pa.array(a[new][enough]), "b": pa.array(b[new][enough])})
 
 
 def _others(batches, sketch: np.ndarray, k: int):
-    """Documents of the keys that a slice did not send in full."""
-    for keys, ids, _ in _prefixes(batches, sketch, k):
-        starts, sizes = _groups(keys)
-        rest = np.repeat(sizes > SMALL, sizes)
-        rest[starts] = False
-        yield pa.RecordBatch.from_arrays([pa.array(keys[rest].view(np.int64)), pa.array(ids[rest])], ["key", "member"])
+    """Documents with a key in front that their slice did not send in full, by key and window."""
+    for keys, ids, codes, front in _prefixes(batches, sketch, k):
+        _, sizes = _groups(keys)
+        rest = np.repeat(sizes > SMALL, sizes) & front
+        mixed, members, _ = in_windows(keys[rest], ids[rest], codes[rest])
+        yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(members)], ["key", "member"])
 
 
 SLOTS = 1 << 25  # bits that say which documents may be needed: 4 MB, whatever the input
@@ -382,14 +436,33 @@ def _compare(table: pa.Table, k: int) -> pa.Table:
 
 
 def _visit(table: pa.Table, k: int) -> pa.Table:
-    """Links between visitors from other chunks and the sets of a chunk, as (a, b)."""
+    """Links between a slice of visitors from other chunks and the sets of a chunk, as (a, b)."""
     heads = table.column("head").to_numpy()
+    visitor = table.column("visitor").to_numpy(zero_copy_only=False)
+    if not visitor.any() or visitor.all():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     sets = _sets(table, k)
-    groups = connect(sets, heads, table.column("visitor").to_numpy(zero_copy_only=False))
+    groups = connect(sets, heads, visitor)
     moved = np.unique(np.stack([groups, heads], axis=1)[groups != heads], axis=0).reshape(-1, 2)
     return pa.table({"a": pa.array(moved[:, 0].copy(), pa.int64()), "b": pa.array(moved[:, 1].copy(), pa.int64())})
 
 
+def visits(stored: DataFrame, met: DataFrame, chunk: int) -> DataFrame:
+    """Texts that meet after the chunks: sets that the leader does not reach, in slices of about ``chunk``, at each other chunk.
+
+    A ``leader, chunk, slice`` holds the sets of one chunk and one slice of visitors, however many visitors the bucket has.
+    """
+    large = stored.filter("chunks > 1")
+    away = met.filter("head <> leader AND node <> leader").join(large.select("leader", "chunk", "node", "chunks"), ["leader", "chunk", "node"])
+    slices = written(away.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("slices")), "slices")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["leader", "chunk", "slice", "node", "head", "text"]
+    homes = large.join(met, ["leader", "chunk", "node"]).join(slices, "leader").withColumn("slice", every("slices")).select(*columns, F.lit(False).alias("visitor"))
+    moved = away.join(large.select("leader", "chunk", "node", "text"), ["leader", "chunk", "node"]).join(slices, "leader").withColumnRenamed("chunk", "home")
+    moved = moved.withColumn("slice", F.pmod(F.xxhash64("node"), "slices")).withColumn("chunk", every("chunks")).filter("chunk <> home")
+    return homes.union(moved.select(*columns, F.lit(True).alias("visitor")))
+
+
 def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
@@ -415,10 +488,10 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     nodes = written(rows.join(heads, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")), "nodes")
 
     ranges = parallelism(df)
-    questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, ids binary, codes binary, many binary")
+    questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, ids binary, codes binary, front binary, many binary, docs binary, frequent binary")
     answers = written(questions.groupBy("range").applyInArrow(lambda t: _answer(t, ranges), _ANSWER), "answers")
     node = lambda c: nodes.select(F.col("_id").alias(c), F.col("node").alias(f"node_{c}"))
-    counted = answers.filter(F.col("kind") == PAIR).select("part", "firsts", "seconds", "shared", "need").groupBy("part").applyInArrow(_couples, "a long, b long")
+    counted = answers.filter(F.col("kind") == PAIR).select("part", "firsts", "seconds", "shared", "need", "docs", "frequent").groupBy("part").applyInArrow(_couples, "a long, b long")
     counted = counted.join(node("a"), "a").join(node("b"), "b").filter("node_a <> node_b")
     couples = written(counted.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "couples")
     # couples whose documents both go to the bucket of one smaller partner need no bucket of their own
@@ -443,13 +516,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     met = written(met, "met")
     edges = met.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
 
-    large = stored.filter("chunks > 1")
-    own = met.select("leader", "chunk", "node", "head")
-    away = own.filter("head <> leader AND node <> leader").join(sizes, "leader").filter("chunks > 1")
-    homes = large.join(own, ["leader", "chunk", "node"]).select("leader", "chunk", "node", "head", "text", F.lit(False).alias("visitor"))
-    visits = away.select("leader", "node", "head", F.col("chunk").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).filter("chunk <> home")
-    visitors = visits.join(large.select("leader", F.col("chunk").alias("home"), "node", "text"), ["leader", "home", "node"]).select("leader", "chunk", "node", "head", "text", F.lit(True).alias("visitor"))
-    across = homes.union(visitors).groupBy("leader", "chunk").applyInArrow(lambda t: _visit(t, k), "a long, b long")
+    across = visits(stored, met, chunk).groupBy("leader", "chunk", "slice").applyInArrow(lambda t: _visit(t, k), "a long, b long")
 
     labels = smallest_labels(edges.union(across))
     named = nodes.join(docs.select("_id", F.col(key).alias("key")), "_id")
