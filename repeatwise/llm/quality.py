@@ -17,8 +17,9 @@ from .common import word_array
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics. Length comes first: the verdict uses the distance of the others given the length.
 FEATURES = ["ln_words", "ln_word_length", "root_symbols", "root_dup_lines", "root_repeats"]
-#: Least spread of each statistic, so that one that hardly varies in a group rejects nobody for a trifle.
-LEAST_SPREAD = [0.3, 0.1, 0.04, 0.15, 0.15]
+#: Least spread of each statistic, so that one that hardly varies in a group rejects nobody for a trifle. With the default tail each
+#: judged statistic can reject alone: about a third of repeated words or duplicate lines, or 4% symbols, in a group without any.
+LEAST_SPREAD = [0.3, 0.1, 0.04, 0.12, 0.12]
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 P = len(FEATURES)
 BINS = 32  # of distances, for each factor of e
@@ -173,7 +174,7 @@ def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6)
     return best.join(middle, "stratum").withColumn("scale", scale).drop("middle")
 
 
-def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", coverage: float = 0.75, least_rows: int = 200, tail: float = 1e-9, carry: list[str] | None = None) -> DataFrame:
+def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", coverage: float = 0.75, least_rows: int = 200, tail: float = 1e-4, carry: list[str] | None = None) -> DataFrame:
     """``df`` with its statistics, ``base_failed``, ``distance`` (robust, squared, null if the base rules failed) and ``kept``.
 
     A text that fails the base rules is rejected. Others are judged by the estimate of their (language, source), or of their

@@ -72,3 +72,22 @@ def test_copies_do_not_pull(spark):
     alone = {r.doc_id: r.kept for r in quality_verdicts(spark.createDataFrame(normal, schema)).collect()}
     with_copies = {r.doc_id: r.kept for r in quality_verdicts(spark.createDataFrame(normal + copies, schema)).collect()}
     assert np.mean([alone[i] == with_copies[i] for i in alone]) > 0.99
+
+
+def test_each_statistic_rejects_alone(spark):
+    """Texts with heavy repeats, duplicate lines or symbols that pass the base rules are rejected, clean ones stay."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 8))))
+    words = lambda n: [word() for _ in range(n)]
+    clean = [(i, "\n".join(" ".join(words(8)) for _ in range(int(rng.integers(8, 30))))) for i in range(400)]
+    planted = []
+    for i in range(4):
+        once, again = words(80), words(20)
+        planted.append((1000 + i, " ".join(again + once[:40] + again + once[40:44])))  # 38% repeated words in one line
+        planted.append((2000 + i, "\n".join(x for _ in range(18) for x in ("menu", " ".join(words(8))))))  # 17 of 36 lines, no repeated words
+        planted.append((3000 + i, " ".join(w + "#|" * (j % 7 == 0) for j, w in enumerate(words(120)))))  # 5% symbols
+    df = spark.createDataFrame([(*r, "en", "s") for r in clean + planted], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_verdicts(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert np.mean([got[i].kept for i, _ in clean]) > 0.98
+    assert not any(got[i].kept for i, _ in planted)
