@@ -127,6 +127,13 @@ def _(v):
     return h.filter("df > 0 AND df % 2 = 0 AND score IS NOT NULL").select("locus_id", F.round("p_value", 6).alias("p_value"))
 
 
+@query("st11_hwe_p_values")
+def _(v):
+    # every tested locus, odd degrees too; no SQL
+    h = ST.hardy_weinberg(start_genotypes(v), C.subgroup(v.person, "parents"))
+    return h.filter("df > 0 AND score IS NOT NULL").select("locus_id", F.round("p_value", 6).alias("p_value"))
+
+
 ENDS = """ctx2 AS (SELECT locus_id, CASE WHEN exon IS NOT NULL THEN 'exon' WHEN intron IS NOT NULL THEN 'intron' WHEN contains(utr, 'utr5') THEN '5u' WHEN contains(utr, 'utr3') THEN '3u' WHEN mirna IS NOT NULL THEN 'mirna' ELSE 'intergenic' END AS c FROM ann)"""
 HET = "CAST(COUNT(*) FILTER (h AND c = '{c}') AS BIGINT) AS het_{n}"
 
@@ -140,6 +147,14 @@ def _(v):
     return ST.het_loci(g, ST.hardy_weinberg(g, C.subgroup(v.person, "parents")), ctx, least_p=-1.0)
 
 
+@query("st12_het_loci_in_equilibrium")
+def _(v):
+    # loci in equilibrium only (p > 0.05); no SQL
+    g = start_genotypes(v)
+    ctx = AN.annotate(v.locus, v.annotation).select("locus_id", AN.context("by_end").alias("context"))
+    return ST.het_loci(g, ST.hardy_weinberg(g, C.subgroup(v.person, "parents")), ctx)
+
+
 @query("st13_loci_by_context", oracle("locus annotation", "SELECT context, CAST(COUNT(*) AS BIGINT) AS n, round(COUNT(*) / (SELECT COUNT(*) FROM ctx), 6) AS share FROM ctx GROUP BY context", [CONTEXT]))
 def _(v):
     ctx = AN.annotate(v.locus, v.annotation).select("locus_id", AN.context().alias("context"))

@@ -258,3 +258,26 @@ def test_singular_values_equal_numpy(spark):
     _, values, residual = CV.singular_vectors(cov, 5)
     assert values == pytest.approx(np.linalg.svd(a, compute_uv=False)[:5], rel=1e-5) and residual <= 1e-7
     assert [r.singular_value for r in CV.singular_values(cov, 3).orderBy("component").collect()] == pytest.approx(values[:3], rel=1e-6)
+
+
+def test_equilibrium_of_all_degrees(spark):
+    """P-values of odd degrees are there too, and people's counts leave out loci out of equilibrium."""
+    import math
+
+    import __spark_entry__ as entry
+
+    def tail(x, df):
+        """Upper tail of chi-square by its finite sum."""
+        total, term = (0.0, math.exp(-x / 2)) if df % 2 == 0 else (math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2))
+        for j in range(2 if df % 2 == 0 else 3, df + 2, 2):
+            total, term = total + term, term * x / j
+        return total
+
+    queries, sf = entry.queries(), "/root/testdata/sf0.001"
+    want = {r.locus_id: tail(r.score, r.df) for r in queries["st11_hardy_weinberg"](spark, sf).collect() if r.score is not None and r.df > 0}
+    got = {r.locus_id: r.p_value for r in queries["st11_hwe_p_values"](spark, sf).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    even = {r.locus_id for r in queries["st11_hwe_p_value"](spark, sf).collect()}
+    assert even < set(got)
+    count = lambda name: sum(sum(r[1:]) for r in queries[name](spark, sf).collect())
+    assert (count("st12_het_loci_in_equilibrium") < count("st12_het_loci_by_context")) == any(p <= 0.05 for p in got.values())
