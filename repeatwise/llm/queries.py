@@ -7,14 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align_documents
 from .chat import conversation_digests, format_conversations
+from .common import word_array
 from .exact import exact_copies
 from .interpolation import score_texts
 from .mixing import mix_sources
 from .ngram_join import similar_sets
+from .periodic import periodic_runs
 from .phrases import remove_repeats
 from .pieces import encoded_digests
 from .quality import quality_verdicts
+from .secret_scan import find_secrets, span_text
 from .sharding import balanced_tree, shard_rows
 from .token_counts import section_tokens
 
@@ -119,3 +123,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_section_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+@query("op11_pointer_groups")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+def planted_periods(df: DataFrame) -> DataFrame:
+    """Documents in which the words behind a prefix of some repeat with a period, by the checksum of ``doc_id`` (fixed rule)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = df.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, word_array(F.col("text"))))
+    words = words.withColumn("words", F.when(F.size("words") > 0, F.col("words")))
+    n = F.size("words")
+    placed = words.withColumn("a", (F.col("g") % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return placed.select("doc_id", F.when(F.col("words").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_synchronised_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda b, r: F.when(longer(b, r), r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    ended = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(ended.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_window_entropy")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
