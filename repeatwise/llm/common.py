@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import written
 
@@ -38,11 +38,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     return ranged.withColumn("inside", inside).join(shifts, [*keys, "range_no"]).select(*df.columns, (F.col("inside") + F.col("shift")).cast("long").alias(name))
 
 
-def identified(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with a number ``_id`` that identifies the row: the key where it is unique and never null, else rows are numbered."""
-    if df.groupBy(df[key]).count().filter((F.col(key).isNull()) | (F.col("count") > 1)).isEmpty():
-        return df.withColumn("_id", df[key].cast("long"))
-    return numbered(df, "_id")
+def identified(df: DataFrame, key: str, **columns: str) -> DataFrame:
+    """Rows of ``df`` as ``_id, row, key`` and the columns asked for under their new names.
+
+    ``row`` is a struct of all columns, so their names clash with nothing. ``_id`` is a whole number that identifies the row: the key where it is
+    a whole number, unique and never null; else rows are numbered and written.
+    """
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[key].alias("key"), *[df[c].alias(name) for name, c in columns.items()])
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        keys = whole.groupBy("key").count()
+        if keys.filter(F.col("key").isNull() | (F.col("count") > 1)).isEmpty():
+            return whole.withColumn("_id", F.col("key").cast("long"))
+    return numbered(whole, "_id")
 
 
 def smallest_labels(edges: DataFrame) -> DataFrame:

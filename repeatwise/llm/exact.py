@@ -23,20 +23,26 @@ def normalised(text: Column) -> Column:
 def exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """Label each row of ``df`` with the row of equal text that stays.
 
-    Returns ``_row_no, <key>, keep_key, group_size, kept, text_sha256``, one row per row of ``df``. Texts are equal when they
-    are identical after ``normalised``; of equal texts the row with the smallest key stays (null keys come last, among
-    repeated rows with one key exactly one stays). Null and empty texts form one group. Empty tables give no rows; other
-    columns are ignored. If ``df`` has a column ``_row_no`` that identifies rows it is kept, else rows are numbered.
+    Returns ``_row_no, <key>, keep_key, group_size, kept, text_sha256``, one row per row of ``df``, which are numbered here. Texts are
+    equal when they are identical after ``normalised``, however long; of equal texts the row with the smallest key stays (keys of any
+    type; null keys come last, among repeated rows with one key exactly one stays). Null and empty texts form one group. Empty
+    tables give no rows; other columns, whatever their names, are ignored.
+    """
+    rows = numbered(df.select(df[key].alias("key"), _digest(df[text])))
+    return _labelled(rows, support).withColumnRenamed("key", key)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest")
+
+
+def _labelled(rows: DataFrame, support: float) -> DataFrame:
+    """Labels of written rows ``_row_no, key, digest``.
 
     The Misra-Gries summary (at most ``1 / support`` digests) holds every digest with more than ``support`` of all rows.
     An exact count confirms its entries, and the winners of the confirmed ones are broadcast: their rows are settled where
     they are read. No other digest has more than ``support`` of the rows, so the window over the remaining ones is even.
     """
-    digest = F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256)).alias("digest")
-    if "_row_no" in df.columns:
-        rows = written(df.select("_row_no", F.col(key).alias("key"), digest), "digests")
-    else:
-        rows = numbered(df.select(F.col(key).alias("key"), digest))
     rank = F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("key"), F.col("_row_no").alias("_row_no"))
 
     summary = rows.select(F.hex("digest").alias("digest")).stat.freqItems(["digest"], support)
@@ -50,7 +56,7 @@ def exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text", support
     others = others.withColumns({"group_size": F.count(F.lit(1)).over(same), "winner": F.min(rank).over(same)})
     return frequent.select(*others.columns).union(others).select(
         "_row_no",
-        F.col("key").alias(key),
+        "key",
         F.col("winner.key").alias("keep_key"),
         "group_size",
         (F.col("_row_no") == F.col("winner._row_no")).alias("kept"),
@@ -59,7 +65,8 @@ def exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text", support
 
 
 def drop_exact_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` that stay, with all their columns."""
-    marked = identified(df, key).withColumnRenamed("_id", "_row_no")
-    dropped = exact_copies(marked, key, text).filter(~F.col("kept")).select("_row_no")
-    return marked.join(dropped, "_row_no", "left_anti").select(*df.columns)
+    """Rows of ``df`` that stay (see ``exact_copies``), with all their columns, whatever their names."""
+    marked = identified(df, key, text=text)
+    rows = written(marked.select(F.col("_id").alias("_row_no"), "key", _digest(F.col("text"))), "digests")
+    dropped = _labelled(rows, SUPPORT).filter(~F.col("kept")).select(F.col("_row_no").alias("_id"))
+    return marked.join(dropped, "_id", "left_anti").select("row.*")

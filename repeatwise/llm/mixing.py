@@ -108,16 +108,22 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     Returns ``_row_no, <key>, size, source_size, target, rate, copies``. ``size`` is the number of words (null text: 0); documents
     without words are taken once and count nothing. A null source is a source of its own. Rates depend on source and size
     alone; within one (source, size) cell the documents that get a copy more are chosen by a hash of the key, ties by row, so
-    reruns agree. ``df`` may bring a ``_row_no`` that identifies its rows. Empty tables give no rows; other columns are ignored.
+    reruns agree. Keys of any type may be null or repeat; rows are numbered here. Empty tables give no rows; other columns, whatever their
+    names, are ignored; a text counts whole, however long.
 
     The dual and the rounding work on cells: one row per distinct size of a source, bounded by the longest document and not by
     the number of documents.
     """
-    base = df if "_row_no" in df.columns else df.select(key, text, source).withColumn("_row_no", F.monotonically_increasing_id())
-    rows = written(base.select(
-        "_row_no", F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("stratum"),
-        F.size(word_array(F.col(text))).cast("long").alias("size"),
+    rows = df.select(df[key].alias("key"), df[text].alias("text"), df[source].alias("source")).withColumn("_id", F.monotonically_increasing_id())
+    return _mixed(rows, weights, share, cap).withColumnRenamed("key", key)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """``mix_sources`` of rows ``_id, key, text, source``."""
+    rows = written(docs.select(
+        F.col("_id").alias("_row_no"), "key", F.col("source").cast("string").alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("stratum"),
+        F.size(word_array(F.col("text"))).cast("long").alias("size"),
     ), "sizes")
     cells = written(rows.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source")), "cells")
     sizes = cells.groupBy("stratum").agg(F.first("source").alias("source"), F.sum("n").alias("n_docs"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -129,13 +135,13 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     turns = ranked(rows.withColumn("spread", F.xxhash64("key")), ["stratum", "size"], ["spread", "key", "_row_no"], "turn")
     copies = F.floor(F.col("copies") / F.col("n")) + (F.col("turn") < F.col("copies") % F.col("n")).cast("long")
     return turns.join(plan, ["stratum", "size"]).select(
-        "_row_no", F.col("key").alias(key), "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.cast("long").alias("copies")
+        "_row_no", "key", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.cast("long").alias("copies")
     )
 
 
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """Rows of ``df``, each as often as the mix takes it."""
-    marked = identified(df, key).withColumnRenamed("_id", "_row_no")
-    copies = mix_sources(marked, key, text, source, **settings).filter("copies > 0")
-    turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    return marked.join(copies.select("_row_no", turns), "_row_no").select(*df.columns)
+    """Rows of ``df``, with all their columns, whatever their names, each as often as the mix takes it (see ``mix_sources``)."""
+    marked = identified(df, key, text=text, source=source)
+    copies = _mixed(marked, **settings).filter("copies > 0")
+    turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("turn")
+    return marked.join(copies.select(F.col("_row_no").alias("_id"), turns), "_id").select("row.*")

@@ -167,21 +167,24 @@ def _by_document(ids: np.ndarray, counts: np.ndarray, ranges: int) -> list[list[
 
 def _ask(batches, sketch: np.ndarray, k: int, ranges: int):
     """Prefix entries of each slice by key range. Of a key with over SMALL documents in the slice only the smallest goes and the smallest
-    of each window with the key in front, marked; how many such keys a document has goes to the document's range."""
+    of each window with the key in front, marked; how many such keys a document has goes to the document's range. The documents that have
+    such a key in front follow in a row of their own (range -1), by key and window: what was left out and what is offered later come
+    from one slice."""
     for keys, ids, codes, front in _prefixes(batches, sketch, k):
         starts, sizes = _groups(keys)
         many = np.repeat(sizes > SMALL, sizes)
         keep = ~many
         keep[starts] = True
         inside = np.flatnonzero(many & front)
-        mixed, _, place = in_windows(keys[inside], ids[inside], codes[inside])
+        mixed, members, place = in_windows(keys[inside], ids[inside], codes[inside])
         keep[inside[place[_groups(mixed)[0]]]] = True
         documents = _by_document(ids[many], np.ones(many.sum(), np.int64), ranges)
         keys, ids, codes, front, many = keys[keep], ids[keep], codes[keep], front[keep], many[keep]
         columns = _packed(_parts(keys, ranges), ranges, [keys, ids, codes, front, many]) + documents
         full = [r for r in range(ranges) if columns[0][r] or documents[0][r]]
+        rest = [mixed.tobytes(), members.tobytes(), *[None] * (len(columns) - 2)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32())] + [pa.array([c[r] for r in full], pa.binary()) for c in columns],
+            [pa.array([-1, *full], pa.int32())] + [pa.array([x, *[c[r] for r in full]], pa.binary()) for x, c in zip(rest, columns)],
             ["range", "keys", "ids", "codes", "front", "many", "docs", "frequent"],
         )
 
@@ -263,13 +266,11 @@ def _couples(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[new][enough]), "b": pa.array(b[new][enough])})
 
 
-def _others(batches, sketch: np.ndarray, k: int):
-    """Documents with a key in front that their slice did not send in full, by key and window."""
-    for keys, ids, codes, front in _prefixes(batches, sketch, k):
-        _, sizes = _groups(keys)
-        rest = np.repeat(sizes > SMALL, sizes) & front
-        mixed, members, _ = in_windows(keys[rest], ids[rest], codes[rest])
-        yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(members)], ["key", "member"])
+def _others(batches):
+    """Rows of range -1 unpacked: documents with a key in front that their slice did not send in full, by key and window."""
+    for batch in batches:
+        for keys, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(ids, np.int64))], ["key", "member"])
 
 
 SLOTS = 1 << 25  # bits that say which documents may be needed: 4 MB, whatever the input
@@ -467,15 +468,19 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     Returns ``_id, <key>, n_shingles, component_id, first``, one row per row of ``df`` (``first``: the row with the smallest ``_id`` of its
-    component; ``_id`` identifies the row, see ``identified``, and may come with ``df``); ``component_id`` is the smallest key that links reach.
+    component; ``_id`` identifies the row, see ``identified``); ``component_id`` is the smallest key, of any type, that links reach.
     Shingles are ``k`` consecutive words with A-Z lower-cased; a shorter text is one shingle; a text without words (null, empty) has an
     empty set and is linked with nothing. Repeated rows have equal sets and so one component; rows with null keys take part, and a
     component without any other key has a null id. Other columns are ignored; empty tables give no rows. All links between different sets
     count: candidates have no cap, and every set of a bucket is compared with every other unless the two are already connected.
     """
-    spark = df.sparkSession
-    docs = df if "_id" in df.columns else identified(df.select(key, text), key)
-    texts = docs.select("_id", F.col(text).alias("text"))
+    return _similar(identified(df.select(df[key], df[text]), key, text=text), k, chunk).withColumnRenamed("key", key)
+
+
+def _similar(docs: DataFrame, k: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """``similar_sets`` of rows ``_id, key, text``."""
+    spark = docs.sparkSession
+    texts = docs.select("_id", "text")
     described = written(texts.mapInArrow(lambda b: _describe(b, k), "_id long, n long, digest binary, block int, counts binary"), "sets")
     blocks = described.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
     sketch = np.zeros(WIDTH, np.int64)
@@ -487,9 +492,10 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     heads = rows.filter("n > 0").groupBy("digest").agg(F.min("_id").alias("node"))
     nodes = written(rows.join(heads, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")), "nodes")
 
-    ranges = parallelism(df)
+    ranges = parallelism(docs)
     questions = texts.mapInArrow(lambda b: _ask(b, shared_sketch.value, k, ranges), "range int, keys binary, ids binary, codes binary, front binary, many binary, docs binary, frequent binary")
-    answers = written(questions.groupBy("range").applyInArrow(lambda t: _answer(t, ranges), _ANSWER), "answers")
+    questions = written(questions, "questions")  # read twice, so both readings see the same slices
+    answers = written(questions.filter("range >= 0").groupBy("range").applyInArrow(lambda t: _answer(t, ranges), _ANSWER), "answers")
     node = lambda c: nodes.select(F.col("_id").alias(c), F.col("node").alias(f"node_{c}"))
     counted = answers.filter(F.col("kind") == PAIR).select("part", "firsts", "seconds", "shared", "need", "docs", "frequent").groupBy("part").applyInArrow(_couples, "a long, b long")
     counted = counted.join(node("a"), "a").join(node("b"), "b").filter("node_a <> node_b")
@@ -499,7 +505,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     kept = couples.join(smallest, "b").join(smallest.select(F.col("b").alias("a"), F.col("lead").alias("lead_a")), "a", "left")
     kept = kept.filter("a = lead OR coalesce(lead_a, a) <> lead").select(F.col("a").alias("leader"), F.col("b").alias("node"))
 
-    others = texts.mapInArrow(lambda b: _others(b, shared_sketch.value, k), "key long, member long")
+    others = questions.filter("range = -1").select("keys", "ids").mapInArrow(_others, "key long, member long")
     more = others.join(answers.filter(F.col("kind") == KEY).select("key", "a"), "key").select("a", F.col("member").alias("b"))
     frequent = answers.filter(F.col("kind") == LARGE).select("a", "b").union(more).distinct().join(node("b"), "b")
     frequent = frequent.filter("a <> node_b").select(F.col("a").alias("leader"), F.col("node_b").alias("node"))
@@ -519,17 +525,17 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     across = visits(stored, met, chunk).groupBy("leader", "chunk", "slice").applyInArrow(lambda t: _visit(t, k), "a long, b long")
 
     labels = smallest_labels(edges.union(across))
-    named = nodes.join(docs.select("_id", F.col(key).alias("key")), "_id")
+    named = nodes.join(docs.select("_id", "key"), "_id")
     by_node = named.groupBy("node").agg(F.min("key").alias("key"), F.min("_id").alias("head"))
     by_node = written(by_node.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"), "key", "head"), "heads")
     components = written(by_node.groupBy("component").agg(F.min("key").alias("component_id"), F.min("head").alias("head")), "components")
     # written tables on both sides of each join, so that Spark can split the rows of one large component or node
     where = written(by_node.select("node", "component").join(components, "component").drop("component"), "where")
-    return named.join(where, "node").select("_id", F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("head")).alias("first"))
+    return named.join(where, "node").select("_id", "key", F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("head")).alias("first"))
 
 
 def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` without all but the first of each component, with all their columns."""
-    marked = identified(df, key)
-    dropped = similar_sets(marked.select("_id", key, text), key, text).filter(~F.col("first")).select("_id")
-    return marked.join(dropped, "_id", "left_anti").select(*df.columns)
+    """Rows of ``df`` without all but the first of each component (see ``similar_sets``), with all their columns, whatever their names."""
+    marked = identified(df, key, text=text)
+    dropped = _similar(marked.select("_id", "key", "text")).filter(~F.col("first")).select("_id")
+    return marked.join(dropped, "_id", "left_anti").select("row.*")

@@ -2,8 +2,9 @@
 
 1. Every window of 50 words has a leading phrase: of its 8-word phrases the one with the smallest hash. Equal windows have equal
    leading phrases, so only windows whose phrase leads windows of two documents can recur. Phrases are counted by a shuffle.
-2. Each shard of documents compiles an automaton of the confirmed phrases of its documents and streams them through it; where
-   a window's leading phrase is located, the window is a candidate.
+2. Each shard of documents compiles an automaton of the confirmed phrases that lead windows of its documents, with their words as the count
+   brought them, and streams its documents through it; where a window's leading phrase is located, the window is a candidate. The hits
+   are the only places considered.
 3. Shards send the keys of their candidate windows, once each with the smallest document, to key ranges and get back the smallest
    document of all. Windows that a smaller document holds are removed.
 """
@@ -16,8 +17,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.numbering import number_rows
 from ..session import written
 from .common import parallelism
 from .words import Words, grams, mix, text_slices
@@ -67,24 +69,44 @@ def _leaders(batches, window: int, phrase: int):
         new = np.ones(len(leads), bool)
         new[1:] = (leads[1:] != leads[:-1]) | (doc[1:] != doc[:-1])
         keys = batch.column(0).to_numpy(zero_copy_only=False)[doc[new]]
-        yield pa.RecordBatch.from_arrays([pa.array(leads[new].view(np.int64)), pa.array(keys, pa.int64())], ["phrase", "key"])
+        # the words of each phrase, from the first place in its window where it begins
+        letters, place = _letters(words), _leading_places(words, window, phrase)[starts[new]]
+        spelt = np.stack([letters[place + j] for j in range(phrase)], axis=1).astype("<u4")
+        cells = pa.Array.from_buffers(pa.binary(4 * phrase), len(spelt), [None, pa.py_buffer(spelt.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(leads[new].view(np.int64)), pa.array(keys, pa.int64()), cells], ["phrase", "key", "words"])
 
 
-def locate(words: Words, confirmed: np.ndarray, phrase: int, hashes: np.ndarray) -> np.ndarray:
-    """Positions of all occurrences of the confirmed phrases, found by an Aho-Corasick automaton over the shard's words."""
-    _, ids = np.unique(words.hashes, return_inverse=True)
-    inside = window_starts(words, phrase)[: len(hashes)]
-    places = np.flatnonzero(inside & np.isin(hashes, confirmed))
+def _letters(words: Words) -> np.ndarray:
+    """Words as letters of an automaton's alphabet: 32 bits of their hashes."""
+    return (mix(words.hashes) >> _U(33)).astype(np.int64)
+
+
+def _leading_places(words: Words, window: int, phrase: int) -> np.ndarray:
+    """For each phrase position, where the leading phrase of the window that begins there begins."""
+    hashes = grams(words.hashes, phrase)
+    span = window - phrase + 1
+    best, size = np.arange(len(hashes)), 1
+    lower = lambda a, b: np.where(hashes[b] < hashes[a], b, a)
+    while size * 2 <= span:
+        best, size = lower(best[: len(best) - size], best[size:]), size * 2
+    if size < span:
+        more = span - size
+        best = lower(best[: max(len(best) - more, 0)], best[more:])
+    return best
+
+
+def locate(words: Words, patterns: list[bytes], phrase: int) -> np.ndarray:
+    """Positions of all occurrences of the patterns (letters of ``phrase`` words each), found by an Aho-Corasick automaton over all texts."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for place in places[np.unique(hashes[places], return_index=True)[1]]:
-        automaton.add_word(tuple(ids[place : place + phrase].tolist()))
+    for pattern in patterns:
+        automaton.add_word(tuple(np.frombuffer(pattern, "<u4").tolist()))
     if not len(automaton):
         return np.zeros(0, np.int64)
     automaton.make_automaton()
-    found = []
-    for first, stop in zip(words.first, words.first[1:]):
+    letters, found = _letters(words).tolist(), []
+    for first, stop in zip(words.first.tolist(), words.first[1:].tolist()):
         if stop - first >= phrase:
-            found += [first + end for end, _ in automaton.iter(tuple(ids[first:stop].tolist()))]
+            found += [first + end for end, _ in automaton.iter(tuple(letters[first:stop]))]
     return np.array(found, np.int64) - (phrase - 1)
 
 
@@ -99,11 +121,11 @@ def _shards(batches, window: int, phrase: int):
     for batch, texts in text_slices(batches, SHARD_BYTES):
         words = Words(texts)
         lists = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
-        confirmed = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(_U)
+        patterns = sorted(set(lists.flatten().to_pylist()))
         candidate = np.zeros(len(words), bool)
-        if len(confirmed):
+        if patterns:
             hashes, least = leading_phrases(words, window, phrase)
-            located = locate(words, confirmed, phrase, hashes)
+            located = locate(words, patterns, phrase)
             starts = np.flatnonzero(window_starts(words, window))
             candidate[starts] = np.isin(least[starts], np.unique(hashes[located]))
         done, going_on = [], []
@@ -195,15 +217,20 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     Returns ``<key>, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept`` for documents with candidate windows (null for
     all others: nothing was removed). Kept words are joined by one space. Windows are judged on the input. Null texts have no words; a
-    null key is larger than any other, and documents of one key do not remove each other. Other columns are ignored; empty
-    tables give no rows. Window keys have 96 bits; ``<key>`` is a whole number.
+    null key is larger than any other, and documents of one key do not remove each other. Keys that are no whole numbers are compared
+    by their order. Other columns are ignored; empty tables give no rows; a text is handled whole in one task, however long. Window keys
+    have 96 bits.
     """
-    spark = df.sparkSession
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        places = number_rows(df.select(df[key].alias("own_key")).filter("own_key IS NOT NULL").distinct(), ["own_key"], "place")
+        numbered = df.select(df[key].alias("own_key"), df[text].alias("text")).join(places, "own_key", "left").select("place", "text")
+        found = remove_repeats(numbered, "place", "text", window, phrase, texts)
+        return found.join(places, "place", "left").select(F.col("own_key").alias(key), *[c for c in found.columns if c != "place"])
     docs = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST)).alias("key"), df[text].alias("text"), df[key].isNull().alias("null_key"))
-    leads = written(docs.select("key", "text").mapInArrow(lambda b: _leaders(b, window, phrase), "phrase long, key long"), "leads")
+    leads = written(docs.select("key", "text").mapInArrow(lambda b: _leaders(b, window, phrase), "phrase long, key long, words binary"), "leads")
     twice = leads.groupBy("phrase").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("phrase")
-    lists = leads.join(twice, "phrase").groupBy("key").agg(F.collect_set("phrase").alias("phrases"))
-    routed = docs.join(lists, "key", "left").select("key", "text", "null_key", F.coalesce("phrases", F.array().cast("array<bigint>")).alias("phrases"))
+    lists = leads.join(twice, "phrase").groupBy("key").agg(F.collect_set("words").alias("phrases"))
+    routed = docs.join(lists, "key", "left").select("key", "text", "null_key", F.coalesce("phrases", F.array().cast("array<binary>")).alias("phrases"))
     shards = written(routed.mapInArrow(lambda b: _shards(b, window, phrase), _SHARD), "shards")
 
     ranges = parallelism(df)

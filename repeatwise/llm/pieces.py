@@ -283,18 +283,23 @@ def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str =
 
 
 def _digests(batches, path: str):
-    encoder = Encoder(path)
-    for batch, column in text_slices(batches, SLICE):
-        n, ids_hex, text_hex = [], [], []
-        for ids, decoded, _, _ in encoder.batch(column.to_pylist()):
-            n.append(len(ids))
-            ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            text_hex.append(hashlib.sha256(decoded).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+    hex_of = lambda data: hashlib.sha256(data).hexdigest()
+    for batch in _pieces(batches, path):
+        ids, begins, ends = (batch.column(c) for c in ("ids", "begins", "ends"))
+        cuts = ids.offsets.to_numpy()
+        flat = [x.values.to_numpy().astype("<u4") for x in (ids, begins, ends)]
+        each = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        columns = [
+            pa.array(np.diff(cuts), pa.int64()), pa.array([hex_of(flat[0][a:b].tobytes()) for a, b in each], pa.string()),
+            pa.array([hex_of(flat[1][a:b].tobytes() + flat[2][a:b].tobytes()) for a, b in each], pa.string()),
+            pa.array([hex_of(d.encode()) for d in batch.column("decoded").to_pylist()], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "n_tokens", "ids_sha256", "spans_sha256", "decoded_sha256"])
 
 
 def encoded_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """What ``encode_documents`` gives, as digests: ``<key>, n_tokens, ids_sha256`` (little-endian 32-bit ids), ``decoded_sha256``."""
+    """What ``encode_documents`` gives, as digests: ``<key>, n_tokens, ids_sha256, spans_sha256`` (ids, and all begins and then all ends, as
+    little-endian 32-bit numbers), ``decoded_sha256``. Rows, nulls and other columns as there."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    return rows.mapInArrow(lambda batches: _digests(batches, path), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return rows.mapInArrow(lambda batches: _digests(batches, path), f"key {kind}, n_tokens long, ids_sha256 string, spans_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

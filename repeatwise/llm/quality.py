@@ -84,16 +84,50 @@ def transformed() -> dict[str, Column]:
     }
 
 
-def _factored(model: DataFrame, keys: list[str]) -> DataFrame:
-    """Means and the Cholesky factor of each covariance (``c<i><j>``), with the least spreads added to the diagonal."""
+def _factored(model: DataFrame, keys: list[str], floor: float = 1.0) -> DataFrame:
+    """Means and the Cholesky factor of each covariance (``c<i><j>``), with ``floor`` times the squared least spreads added to the diagonal."""
     for i in range(P):
         for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}") + F.lit(LEAST_SPREAD[i] ** 2 if i == j else 0.0))
+            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}") + F.lit(floor * LEAST_SPREAD[i] ** 2 if i == j else 0.0))
             model = model.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(LEAST_SPREAD[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
     log_det = reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), range(P), F.lit(0.0))
     return model.select(*keys, "n", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS], log_det.alias("log_det"))
 
 
+#: Mean and spread of each statistic that hold where there are no texts to learn from: wide enough that nothing is rejected.
+PRIOR = ((5.7, 1.7, 0.1, 0.1, 0.3), (1.5, 1.0, 0.4, 0.5, 0.5))
+#: Distinct vectors with which the estimate of a group weighs as much as what it is drawn to.
+PRIOR_ROWS = 200
+
+
+def _moments(models: DataFrame, level: int) -> DataFrame:
+    """Means and scaled covariances of the estimates, with columns named for their level."""
+    cov = {(i, j): F.col("scale") * reduce(lambda a, k: a + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(1, j + 1), F.col(f"l{i}0") * F.col(f"l{j}0")) for i, j in PAIRS}
+    return models.select(F.col("stratum").alias(f"stratum{level}"), F.col("n").alias(f"n{level}"), *[F.col(f"m{i}").alias(f"m{i}_{level}") for i in range(P)], *[c.alias(f"c{i}{j}_{level}") for (i, j), c in cov.items()])
+
+
+def drawn_together(places: DataFrame, models: DataFrame, prior_rows: int) -> DataFrame:
+    """Estimates ``m<i>``, ``l<i><j>`` for each row of ``places`` (``stratum0, stratum1, ...`` from the narrowest group to all texts).
+
+    The moments of a group are mixed with those of the next wider one, mixed before in the same way, and those of all texts with ``PRIOR``. A
+    group of ``n`` distinct vectors has the weight ``n^2 / (n^2 + prior_rows^2)``, which goes smoothly with its size.
+    """
+    levels = sum(c.startswith("stratum") for c in places.columns)
+    for level in range(levels):
+        places = places.join(_moments(models, level), f"stratum{level}")
+    wide = {f"m{i}": F.lit(PRIOR[0][i]) for i in range(P)} | {f"c{i}{j}": F.lit(PRIOR[1][i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    for level in reversed(range(levels)):
+        own = F.col(f"n{level}") * F.col(f"n{level}") / (F.col(f"n{level}") * F.col(f"n{level}") + float(prior_rows) ** 2)
+        places = places.withColumn("_own", own).withColumns({f"_{k}": c for k, c in wide.items()})
+        apart = {i: F.col(f"m{i}_{level}") - F.col(f"_m{i}") for i in range(P)}
+        mixed = {f"m{i}": F.col("_own") * F.col(f"m{i}_{level}") + (1 - F.col("_own")) * F.col(f"_m{i}") for i in range(P)}
+        mixed |= {f"c{i}{j}": F.col("_own") * F.col(f"c{i}{j}_{level}") + (1 - F.col("_own")) * F.col(f"_c{i}{j}") + F.col("_own") * (1 - F.col("_own")) * apart[i] * apart[j] for i, j in PAIRS}
+        places = places.withColumns(mixed)
+        wide = {k: F.col(k) for k in wide}
+    keys = [c for c in places.columns if c in ("_lang", "_source")]
+    return _factored(places.withColumn("n", F.col("n0")), keys, floor=0.0).drop("n", "log_det")
+
+
 def _scores(df: DataFrame) -> DataFrame:
     """Add ``y0..``: the vector with the mean taken off and the Cholesky factor divided out."""
     for i in range(P):
@@ -174,16 +208,16 @@ def robust_estimates(vectors: DataFrame, coverage: float = 0.75, steps: int = 6)
     return best.join(middle, "stratum").withColumn("scale", scale).drop("middle")
 
 
-def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", coverage: float = 0.75, least_rows: int = 200, tail: float = 1e-4, carry: list[str] | None = None) -> DataFrame:
+def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", coverage: float = 0.75, prior_rows: int = PRIOR_ROWS, tail: float = 1e-4, carry: list[str] | None = None) -> DataFrame:
     """``df`` with its statistics, ``base_failed``, ``distance`` (robust, squared, null if the base rules failed) and ``kept``.
 
-    A text that fails the base rules is rejected. Others are judged by the estimate of their (language, source), or of their
-    language, or of all texts, whichever first has ``least_rows`` distinct vectors; with fewer than that in all they are
-    kept. Rejected is a text whose distance given its length exceeds the chi-square quantile that leaves ``tail``. Each distinct
+    A text that fails the base rules is rejected. Others are judged by the estimate of their (language, source), drawn towards that of their
+    language and that towards all texts (see ``drawn_together``): the fewer distinct vectors a group has, the more, without a step at any
+    size. Rejected is a text whose distance given its length exceeds the chi-square quantile that leaves ``tail``. Each distinct
     vector counts once, so copies do not pull an estimate. Null languages and sources are values of their own, null and empty texts
-    fail the base rules, repeated rows get equal verdicts, empty tables give no rows. Texts are read once: the columns to ``carry``
-    (default: all) and the statistics are written to the shared folder. Columns of ``df`` named as a result column or starting with
-    ``_`` are replaced.
+    fail the base rules, repeated rows get equal verdicts, empty tables give no rows; texts count whole, however long. Texts are read once:
+    the columns to ``carry`` (default: all) and the statistics are written to the shared folder. Columns of ``df`` named as a result column or
+    starting with ``_`` are replaced.
     """
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     rows = statistics(df, text).withColumns(transformed()).withColumns({"base_failed": base_failed(), "_lang": known(lang), "_source": known(source)})
@@ -193,17 +227,15 @@ def quality_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", sour
     levels = F.array(F.concat_ws(" ", F.lit("source"), "_lang", "_source"), F.concat_ws(" ", F.lit("lang"), "_lang"), F.lit("all"))
     vectors = rows.filter(~F.col("base_failed")).select(F.explode(levels).alias("stratum"), *FEATURES).distinct()
     vectors = written(vectors, "vectors")
-    models = _small(robust_estimates(vectors, coverage), "estimates").filter(F.col("n") >= least_rows)
-
-    places = rows.filter(~F.col("base_failed")).select("_lang", "_source").distinct().select("_lang", "_source", F.posexplode(levels).alias("level", "stratum"))
-    first = Window.partitionBy("_lang", "_source").orderBy("level")
-    chosen = places.join(models, "stratum").withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place", "level", "stratum", "n", "log_det")
-    judged = _scores(rows.join(_small(chosen, "chosen"), ["_lang", "_source"], "left"))
-    distance = F.when(~F.col("base_failed"), _squares(1) / F.col("scale"))
+    models = _small(robust_estimates(vectors, coverage), "estimates")
+    places = rows.filter(~F.col("base_failed")).select("_lang", "_source").distinct().select("_lang", "_source", *[levels[i].alias(f"stratum{i}") for i in range(3)])
+    chosen = _small(drawn_together(_small(places, "places"), models, prior_rows), "chosen")
+    judged = _scores(rows.join(chosen, ["_lang", "_source"], "left"))
+    distance = F.when(~F.col("base_failed"), _squares(1))
     judged = judged.withColumn("distance", distance)
     limit = chi_square_quantile(1 - tail, P - 1)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)
-    return judged.withColumn("kept", kept).drop("_lang", "_source", "scale", *FEATURES, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS], *[f"y{i}" for i in range(P)])
+    return judged.withColumn("kept", kept).drop("_lang", "_source", *FEATURES, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS], *[f"y{i}" for i in range(P)])
 
 
 def kept_documents(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

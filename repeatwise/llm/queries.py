@@ -18,7 +18,7 @@ from .periodic import periodic_runs
 from .phrases import remove_repeats
 from .pieces import encoded_digests
 from .quality import quality_verdicts
-from .secret_scan import find_secrets, span_text
+from .secret_scan import ALLOWED, CLASSES, MIXED, find_secrets, span_text
 from .sharding import balanced_tree, shard_rows
 from .token_counts import section_tokens
 
@@ -157,7 +157,37 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op13_window_entropy")
+def _op13_sql() -> str:
+    """Matches placed by summing the text between them, and every window of every candidate weighed by itself."""
+    word = "".join
+    either = lambda w: word(f"[{c.upper()}{c}]" for c in w)
+    assign = "(" + "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    hits = [("assign", assign, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+    hits += [(c.kind, c.pattern, 0, c.window) for c in CLASSES]
+
+    def found(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS text, CAST(list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda m: length(m))), 0) AS BIGINT) AS start
+          FROM (SELECT doc_id, gaps, ms, unnest(ms) AS s, unnest(vs) AS v, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{quoted}') AS gaps,
+            regexp_extract_all(text, '{quoted}') AS ms, regexp_extract_all(text, '{quoted}', {group}) AS vs FROM d)) WHERE length(v) >= {least}"""
+
+    everything = " UNION ALL ".join(found(r, *h) for r, h in enumerate(hits))
+    rejected = " OR ".join(f"regexp_matches(text, '{p}')" for p in ALLOWED)
+    limits = " ".join(f"WHEN '{c.kind}' THEN {c.bits}" for c in CLASSES)
+    without = " ".join(f"WHEN '{c.kind}' THEN regexp_matches(text, '{c.without}')" for c in CLASSES)
+    width = CLASSES[0].window
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), hits AS MATERIALIZED ({everything}),
+  base AS (SELECT doc_id, rank, kind, start, start + length(text) AS stop FROM hits WHERE rank < 3),
+  windows AS (SELECT doc_id, rank, kind, start, i, list_aggregate(string_split(substring(text, CAST(i AS BIGINT), {width}), ''), 'entropy') AS bits
+    FROM (SELECT *, unnest(range(1, length(text) - {width - 2})) AS i FROM hits WHERE rank >= 3 AND regexp_matches(text, '{MIXED}') AND NOT ({rejected}) AND NOT CASE kind {without} END)),
+  dense AS (SELECT doc_id, rank, kind, min(start + i - 1) AS start, max(start + i - 1 + {width}) AS stop FROM windows WHERE bits >= CASE kind {limits} END GROUP BY doc_id, rank, kind, start),
+  every AS (SELECT * FROM base UNION ALL SELECT * FROM dense a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b.stop >= a.stop)),
+  listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM every GROUP BY doc_id)
+  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+@query("op13_window_entropy", _op13_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]

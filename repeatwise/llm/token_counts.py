@@ -8,6 +8,7 @@ that crosses a boundary is allocated by a rule.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,26 @@ def load_encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+#: White space of the pattern, in the order of code points (fixed values).
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANKS = re.compile(f"[{BLANKS}]{{50000,}}")
+
+
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text as ``encode_ordinary`` gives them, however long its runs of blanks.
+
+    The library's matcher fails on runs of about a million. Of a run the pattern takes all blanks as one piece if the text ends there, else all
+    but the last, which goes with what follows; so the text is cut there and the piece merged by itself.
+    """
+    ids, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def owners(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Section of each token and whether it crosses a boundary; both lists of ends are sorted and end at the same byte.
 
@@ -77,7 +98,7 @@ def _count(batches, path: str, names: list[str], rule: str):
         for d, texts in enumerate(zip(*columns)):
             whole = JOINT.join(texts)
             ends, which, no = _sections([t.encode() for t in texts], b"\n")
-            token_ends = np.cumsum(sizes[np.array(encoding.encode_ordinary(whole), np.int64)]) if whole else np.zeros(0, np.int64)
+            token_ends = np.cumsum(sizes[np.array(encode(encoding, whole), np.int64)]) if whole else np.zeros(0, np.int64)
             if len(token_ends):
                 filled = np.flatnonzero(np.diff(ends, prepend=0))  # empty sections own nothing
                 own, cross = owners(token_ends, ends[filled], rule)
@@ -107,7 +128,7 @@ def section_tokens(df: DataFrame, path: str, fields: tuple[str, ...] = ("text",)
     The fields of a row, joined by line breaks, are encoded once and whole. A section is a line with its break; a field without text (null
     or empty) is one empty section. ``n_tokens`` counts the tokens allocated to the section by ``rule`` (see ``owners``), ``n_crossing``
     those of them that also hold bytes of another section. Each row of ``df`` is counted by itself, so repeated keys repeat; other
-    columns are ignored; empty tables give no rows.
+    columns are ignored; empty tables give no rows. A text is encoded in one task, however long it or its runs of blanks are.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -1,9 +1,12 @@
 import pytest
 from pyspark.sql import types as T
 
+CLASHES = (
+    "size", "n", "key", "label", "stratum", "digest", "kept", "shard", "copies", "node", "_id", "_row_no", "_copy", "row", "turn", "slice", "codes", "tag", "runs", "base", "stratum0", "_own"
+)  # names the operators use inside
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]
-    + [T.StructField(n, T.StringType()) for n in ("size", "n", "key", "label", "stratum", "digest", "kept", "shard", "copies", "node")]  # names the operators use inside
+    + [T.StructField(n, T.StringType()) for n in CLASHES]
 )
 LONG = " ".join(f"word{i % 97}x{i // 7}" for i in range(5000))
 EDGES = [
@@ -15,7 +18,7 @@ EDGES = [
 
 @pytest.fixture(scope="session")
 def edges(spark):
-    return spark.createDataFrame([(*r, *["clash"] * 10) for r in EDGES], SCHEMA)
+    return spark.createDataFrame([(*r, *["clash"] * len(CLASHES)) for r in EDGES], SCHEMA)
 
 
 @pytest.fixture(scope="session")

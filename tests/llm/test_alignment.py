@@ -75,16 +75,18 @@ def test_pointer_jumping_labels_components(sizes, random):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abZ 's'1.,▁é日😀ß\n\t\r\x0b\x00  \u0085<|>", max_size=60))
+@given(st.text(alphabet="abZ  's'1.,▁é日😀ßſ×\xa0\n\t\r\x0b\x00  \u0085<|>", max_size=60))
 def test_cut_texts_encode_like_whole_ones(text):
     aligner = Aligner.__new__(Aligner)
     aligner.a, aligner.b = SIDES
     aligner.forget()
-    parts = aligner.cut(text)
-    assert "".join(parts) == (" " + text if text else "")
-    if parts:
-        joined = [[i for ids in side.encode(parts) for i in ids] for side in SIDES]
-        assert joined == [LIBRARY_A.encode(" " + text, add_special_tokens=False).ids, LIBRARY_B.encode(text)]
+    aligner.number["word"], aligner.number["é"]
+    numbers = aligner.numbers(text)
+    parts = [list(aligner.number)[n] for n in numbers]
+    assert "".join(" " + p for p in parts) == (" " + text if text else "")
+    assert [i for side in SIDES for i in side.encode(parts)[0].tolist()] == (LIBRARY_A.encode(" " + text, add_special_tokens=False).ids + LIBRARY_B.encode(text) if text else [])
+    aligner.learn()
+    assert len(aligner.texts) == len(aligner.number) == len(aligner.whole)
 
 
 SIDES = alignment.ByteLevel(A), alignment.Pieces(B)
@@ -119,7 +121,6 @@ def test_query(spark, texts):
 @pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 2_000_000 + "x", "x " * 500_000])
 def test_long_texts(text):
     aligner = Aligner(A, B)
-    parts = aligner.cut(text)
-    numbers = [aligner.number[p] for p in parts]
+    numbers = aligner.numbers(text)
     aligner.learn()
     assert aligner.whole[numbers].all()
