@@ -61,16 +61,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of an array's values up to each place. Each round adds the sums of 31 places before, 32 times as far apart as in the round before."""
-    for reach in (32**k for k in range(6)):
+def _spread(reach: int) -> Callable[[Column], Column]:
+    """Adds to each value the 31 values that lie ``reach``, 2 ``reach``, ... places before it."""
+
+    def add(whole: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(31))
+        added = F.transform(whole, lambda x, i: F.aggregate(steps, x, lambda s, j: s + F.coalesce(F.get(whole, i - j * reach), F.lit(0))))
+        return F.when(F.size(whole) > reach, added).otherwise(whole)
 
-        def add(whole: Column, reach: int = reach) -> Column:
-            before = F.sequence(F.lit(1), F.lit(31))
-            added = F.transform(whole, lambda x, i: F.aggregate(before, x, lambda s, j: s + F.coalesce(F.get(whole, i - j * reach), F.lit(0))))
-            return F.when(F.size(whole) > reach, added).otherwise(whole)
+    return add
 
-        values = _let(values, add)
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array's values up to each place, in rounds of 31 additions to each value, each reaching 32 times as far as the one before."""
+    for k in range(6):
+        values = _let(values, _spread(32**k))
     return values
 
 

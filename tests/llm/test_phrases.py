@@ -56,3 +56,38 @@ def test_common_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"a{i} b{i} {passage} c{i} d{i}" if i % 3 == 0 else f"own {i} words") for i in range(900)]
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+
+
+def test_automata_are_the_only_source(monkeypatch):
+    """Without what the automaton locates no window is a candidate; with it, every occurrence of a pattern is found."""
+    import pyarrow as pa
+
+    from repeatwise.llm import phrases
+    from repeatwise.llm.words import Words
+
+    w = [f"w{i}" for i in range(40)]
+    texts = pa.array([" ".join(w), " ".join(["x"] + w[5:30] + w[5:9]), "w5 w6", None])
+    words = Words(texts)
+    letters = phrases._letters(words)
+    pattern = letters[5:9].astype("<u4").tobytes()
+    assert sorted(phrases.locate(words, [pattern, pattern], 4).tolist()) == [5, 41, 66]
+    assert len(phrases.locate(words, [], 4)) == 0
+    leads = next(phrases._leaders(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), texts], ["key", "text"])]), 10, 4))
+    lists = pa.array([leads.column("words").to_pylist()] * 4, pa.list_(pa.binary()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), texts, pa.array([False] * 4), lists], ["key", "text", "null_key", "phrases"])
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(phrases.TaskContext, "get", lambda: Context)
+    assert len(next(phrases._shards(iter([batch]), 10, 4)).column("open")[0]) == 2
+    monkeypatch.setattr(phrases, "locate", lambda *_: __import__("numpy").zeros(0, int))
+    assert len(next(phrases._shards(iter([batch]), 10, 4)).column("open")[0]) == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_other_kinds_of_keys(spark, kind):
+    w = [f"w{i}" for i in range(80)]
+    keys = ["b", "a", "c", None] if kind == "string" else [1.2, 1.1, 1.25, None]
+    rows = [(keys[0], " ".join(w)), (keys[1], " ".join(w[:60])), (keys[2], " ".join(w[10:70])), (keys[3], " ".join(w[20:])), (keys[3], " ".join(w[20:]))]
+    assert found(spark.createDataFrame(rows, f"doc_id {kind}, text string")) == brute(rows)

@@ -91,3 +91,19 @@ def test_each_statistic_rejects_alone(spark):
     assert not any(r.base_failed for r in got.values())
     assert np.mean([got[i].kept for i, _ in clean]) > 0.98
     assert not any(got[i].kept for i, _ in planted)
+
+
+def test_verdicts_change_smoothly_with_size(spark):
+    """The same outlier in groups of all sizes: its distance grows with what is known of the group, and no size switches the rule."""
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 8)))) for _ in range(n)]
+    schema, distances = "doc_id long, text string, lang string, source string", {}
+    bad = " ".join(w + "#|" * (j % 5 == 0) for j, w in enumerate(words(120)))
+    pool = [" ".join(words(int(rng.integers(60, 200)))) for _ in range(420)]
+    for size in (3, 40, 190, 210, 420):
+        rows = [(i, t, "en", "s") for i, t in enumerate(pool[:size])] + [(9999, bad, "en", "s")]
+        got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(rows, schema)).collect()}
+        distances[size] = got[9999].distance
+        assert np.mean([got[i].kept for i in range(size)]) > 0.97
+    d = [distances[s] for s in (3, 40, 190, 210, 420)]
+    assert d[0] < d[2] < d[4] and d[3] / d[2] < 1.5 and not got[9999].kept

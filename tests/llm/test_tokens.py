@@ -8,7 +8,8 @@ from hypothesis import given, settings, strategies as st
 
 from repeatwise.llm.pieces import CharacterMap, Encoder, PieceModel, encode_documents, encoded_digests
 from repeatwise.llm.queries import tokenizer
-from repeatwise.llm.token_counts import document_tokens, owners, section_tokens
+from repeatwise.llm import token_counts
+from repeatwise.llm.token_counts import document_tokens, encode, load_encoding, owners, section_tokens
 
 MODEL = tokenizer("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -52,11 +53,42 @@ def test_compiled_character_map(rule):
         assert len(aligned) == len(normal.encode()) + 1 and (np.diff(aligned) >= 0).all()
 
 
+def varint(n):
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes(out) + bytes([n])
+
+
+def test_model_with_a_character_map(tmp_path):
+    """The given vocabulary with another normaliser: ids and text are the library's, spans cover the source bytes in order."""
+    from repeatwise.llm.pieces import _fields
+
+    raw = open(MODEL, "rb").read()
+    compiled = dict(_fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec()))[2]
+    norm = dict(_fields(raw))[3] + b"\x12" + varint(len(compiled)) + compiled
+    path = tmp_path / "mapped.model"
+    path.write_bytes(raw + b"\x1a" + varint(len(norm)) + norm)
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=str(path)), Encoder(str(path))
+    assert encoder.model.map.units
+    texts = ["ＡＢＣ ① plain", "half ｶﾞ and ﬁne", "Å é a\tb", "", " two  spaces ", "㍿ x", "日本㎏", "a" * 50 + " " + "Ｂ" * 50]
+    for text, (ids, decoded, normal, aligned) in zip(texts, encoder.batch(texts)):
+        want = library.encode(text, add_bos=True, add_eos=True)
+        assert ids.tolist() == want and decoded.decode() == library.decode(want)
+        begins, ends = encoder.spans(ids, text, normal, aligned)
+        assert (begins <= ends).all() and (begins[1:] >= begins[:-1]).all() and ends.max(initial=0) <= len(text.encode())
+
+
 def test_documents_as_pieces(documents, texts, edges, nothing):
+    spans = {}
     for r in encoded_digests(documents, MODEL).collect():
         ids = LIBRARY.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
+        spans[r.doc_id] = r.spans_sha256
+    for r in encode_documents(documents, MODEL).collect():
+        assert spans[r.doc_id] == hashlib.sha256(np.array(r.begins + r.ends, "<u4").tobytes()).hexdigest()
     rows = encode_documents(edges, MODEL).collect()
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in rows) == sorted((str(r.doc_id), LIBRARY.encode(r.text or "", add_bos=True, add_eos=True), r.text or "") for r in edges.collect())
     assert all(len(r.begins) == len(r.ends) == len(r.ids) for r in rows)
@@ -119,3 +151,27 @@ def test_owners():
     assert owners(tokens, sections, "last")[0].tolist() == [0, 1, 2, 2]
     assert owners(tokens, sections, "most")[0].tolist() == [0, 1, 1, 2]
     assert owners(tokens, sections, "most")[1].tolist() == [False, True, True, False]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1.'s \n\t\r\x0b\xa0\u2003\u3000é", max_size=40))
+def test_blank_runs_merged_apart(text):
+    """With runs of three cut out already, ids stay those of the whole text."""
+    import re
+
+    long, token_counts.LONG_BLANKS = token_counts.LONG_BLANKS, re.compile(f"[{token_counts.BLANKS}]{{3,}}")
+    try:
+        assert encode(ENCODING, text) == ENCODING.encode_ordinary(text)
+    finally:
+        token_counts.LONG_BLANKS = long
+
+
+ENCODING = load_encoding(RANKS)[0]
+
+
+def test_very_long_blank_runs(spark):
+    """Runs on which the library's matcher stops the process, at the end of a text and inside."""
+    plain = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    rows = [(1, " " * 2_500_000), (2, "a\n" + "\n" * 2_500_000 + "b c"), (3, "x" + " \n" * 700_000 + " y"), (4, None)]
+    got = {r.doc_id: r.n_tokens for r in document_tokens(section_tokens(spark.createDataFrame(rows, "doc_id long, text string"), RANKS)).collect()}
+    assert got == {k: len(plain.encode(t or "", add_special_tokens=False).ids) for k, t in rows}
