@@ -116,6 +116,8 @@ class PieceModel:
         stop = re.escape(breaks)
         self.unit = re.compile(f"[{stop}]|{self.space}*[^{self.space}{stop}]+|{self.space}+" if breaks else f"{self.space}*[^{self.space}]+|{self.space}+")
         self.breaks = breaks
+        # stands before a unit without a space; the character map must leave it alone, and no piece goes on behind it
+        self.lead = next(c for c in "\n\ue000" if not self.map.units or self.map.longest(c.encode(), 0) is None)
 
     def _surface(self, i: int) -> bytes:
         if self.kinds[i] == BYTE:
@@ -161,15 +163,15 @@ class PieceModel:
         return np.concatenate([np.zeros(len(normal.encode()) - len(source), np.int64), source, [len(data)]])
 
     def segment(self, units: list[str]) -> list[list[int]]:
-        """Piece ids of units. The library puts a space before a text, so a unit that has none goes behind a line break."""
+        """Piece ids of units. The library puts a space before a text, so a unit that has none goes behind ``lead``."""
         plain = [u[1:].replace(self.space, " ") if u[:1] == self.space and len(u) > 1 and self.dummy_prefix else None for u in units]
         ids: list = [None] * len(units)
         easy = [i for i, p in enumerate(plain) if p]
         for i, found in zip(easy, self.library.encode([plain[i] for i in easy], num_threads=1)):
             ids[i] = found
         hard = [i for i in range(len(units)) if ids[i] is None]
-        lead = self.library.encode("\n")
-        for i, found in zip(hard, self.library.encode(["\n" + units[i].replace(self.space, " ") for i in hard], num_threads=1)):
+        lead = self.library.encode(self.lead)
+        for i, found in zip(hard, self.library.encode([self.lead + units[i].replace(self.space, " ") for i in hard], num_threads=1)):
             ids[i] = found[len(lead) :]
         return ids
 
