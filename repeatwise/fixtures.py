@@ -84,6 +84,16 @@ VIEWS: dict[str, str | tuple[str, str]] = {
            ELSE CAST(FLOOR(l_suppkey / 4) AS INT) % 3 END) % 5 END AS INT) AS allele_len
       FROM lineitem) t GROUP BY locus_id, person_id, allele_len""",
     "expected": """SELECT locus_id, person_id, SUM(n) / 2.0 AS exp_cov FROM allele_cov GROUP BY locus_id, person_id""",
+    "deep_base": """SELECT locus_id, person_id, seen, CAST(12 + (family_id + locus_id) % 4 AS INT) AS g, CASE
+        WHEN relation = 'self' AND (k % 29 = 0 OR k % 37 = 0) THEN 5 WHEN relation = 'sibling' AND (k % 31 = 0 OR k % 37 = 0) THEN 5
+        WHEN relation = 'mother' AND k % 3 = 0 THEN 1 WHEN k % 43 = 0 AND (relation = 'father' OR (relation = 'self' AND k % 2 = 0)) THEN 9 ELSE 0 END AS other
+      FROM (SELECT x.locus_id, x.person_id, x.seen, p.family_id, p.relation, p.family_id * 50 + x.locus_id AS k FROM (SELECT CAST(l_partkey % 50 AS INT) AS locus_id, l_suppkey AS person_id,
+        COUNT(*) AS seen FROM lineitem GROUP BY l_partkey % 50, l_suppkey) x JOIN person p ON p.person_id = x.person_id) t""",
+    "deep_cov": """SELECT locus_id, person_id, allele_len, SUM(n) AS n FROM (
+      SELECT locus_id, person_id, g AS allele_len, CASE WHEN other > 0 THEN 20 ELSE 40 END + seen % 3 AS n FROM deep_base
+      UNION ALL SELECT locus_id, person_id, CAST(g + other AS INT) AS allele_len, 20 + seen % 3 AS n FROM deep_base WHERE other > 0
+      UNION ALL SELECT locus_id, person_id, CAST(g - 1 AS INT) AS allele_len, 1 AS n FROM deep_base WHERE (person_id + locus_id) % 7 = 0) t GROUP BY locus_id, person_id, allele_len""",
+    "deep_expected": "SELECT locus_id, person_id, SUM(n) / 2.0 AS exp_cov FROM deep_cov GROUP BY locus_id, person_id",
     "locus": """SELECT CAST(p_partkey % 50 AS INT) AS locus_id, CONCAT('chr', CAST(1 + (p_partkey % 50) % 22 AS STRING)) AS chrom,
       CAST(1000 + (p_partkey % 50) * 40 AS INT) AS start,
       CASE MIN(p_partkey % 4) WHEN 0 THEN 'A' WHEN 1 THEN 'AC' WHEN 2 THEN 'AAC' ELSE 'AGAT' END AS unit,

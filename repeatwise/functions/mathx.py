@@ -17,6 +17,7 @@ def log_factorials(top: int) -> np.ndarray:
 
 
 _CELLS = 4_000_000  # largest work matrix per step
+TIE_DIGITS = 9  # memberships that agree in so many digits are equal
 
 
 def poisson_two_sided(x: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -175,24 +176,45 @@ def locus_sums(reads, total, expected, weight, bias, eps) -> dict[str, np.ndarra
     }
 
 
-def batch_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pair sums of every locus met in a batch of packed person rows joined to their model."""
+def block_sums(reads, total, expected, weight, bias, eps) -> dict[str, np.ndarray]:
+    """``locus_sums`` of a block of people, worked off in steps of bounded size."""
+    step = max(1, _CELLS // len(weight))
+    sums: dict[str, np.ndarray] = {}
+    for lo in range(0, len(total), step):
+        part = locus_sums(reads[lo : lo + step], total[lo : lo + step], expected[lo : lo + step], weight, bias, eps)
+        sums = part if not sums else {c: sums[c] + part[c] for c in SUM_COLUMNS}
+    return sums
+
+
+def block_calls(reads, total, expected, weight, bias_used, eps_used, bias, eps) -> dict[str, np.ndarray]:
+    """Genotype call of every person of a block: likeliest pair (first of equals), its coverage, null mass, and exact fits.
+
+    Memberships use the parameters of the last expectation step, expected reads and errors the newest ones.
+    """
+    k = reads.shape[1]
+    first, second = pair_order(k)
+    step = max(1, _CELLS // len(first))
     parts = []
-    for locus, group in pdf.groupby("locus_id", sort=False):
-        one = group.iloc[0]
-        k = len(one["n"])
-        step = max(1, _CELLS // ((k + 1) * (k + 2) // 2))
-        sums: dict[str, np.ndarray] = {}
-        for lo in range(0, len(group), step):
-            g = group.iloc[lo : lo + step]
-            part = locus_sums(
-                np.stack(g["n"].to_list()).astype(np.int64), g["total"].to_numpy(np.int64), g["exp_cov"].to_numpy(float),
-                np.asarray(one["w"], float), np.asarray(one["bias"], float), float(one["eps"]),
-            )
-            sums = part if not sums else {c: sums[c] + part[c] for c in SUM_COLUMNS}
-        first, second = pair_order(k)
-        parts.append(pd.DataFrame({"locus_id": locus, "pair_no": np.arange(len(first)), "r1": first + 1, "r2": second + 1, **sums}))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=["locus_id", "pair_no", "r1", "r2", *SUM_COLUMNS])
+    for lo in range(0, len(total), step):
+        r, t, e = reads[lo : lo + step], total[lo : lo + step], expected[lo : lo + step]
+        raw = weight * np.exp(likelihoods(r, t, e, np.broadcast_to(bias_used, (len(t), k)), np.full(len(t), eps_used)))
+        z = raw.sum(axis=1, keepdims=True)
+        p = np.where(z > 0, raw / np.where(z > 0, z, 1), (first == k).astype(float))
+        best = np.floor(p * 10**TIE_DIGITS + 0.5).argmax(axis=1)
+        parts.append((best, p.max(axis=1), p[:, second == k].sum(axis=1)))
+    best, confidence, p_null = (np.concatenate(x) for x in zip(*parts))
+    one, two = first[best], second[best]
+    het = (one < two) & (two < k)
+    seen = np.hstack([reads, np.zeros((len(total), 1), np.int64)])
+    people = np.arange(len(total))
+    a1, a2 = seen[people, one], np.where(het, seen[people, two], 0)
+    copies = np.where(one == k, 0, np.where(one == two, 2, 1))
+    biased = np.append(bias, 1.0)
+    rate1, rate2 = copies * expected * biased[one], het * expected * biased[two]
+    rest = total - a1 - a2
+    fit = poisson_two_sided(a1, rate1) * poisson_two_sided(a2, rate2)
+    noise = np.where(total > 0, binomial_upper(rest, total, np.full(len(total), eps)), 0.0)
+    return {"first": one, "second": two, "confidence": confidence, "p_null": p_null, "a1": a1, "a2": a2, "rest": rest, "allele_fit": fit, "noise_fit": noise}
 
 
 def obedience(mother: np.ndarray, father: np.ndarray, child: np.ndarray, holds: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:

@@ -59,11 +59,11 @@ def likely_alleles(fam: DataFrame) -> DataFrame:
     """Likeliest genotype of every member (-1 null allele, -2 member missing) and its probability."""
     out = fam
     for r in ROLES:
-        best = F.get("pairs", best_pair(F.col(r)) - 1)
+        out = out.withColumn("best", F.get("pairs", best_pair(F.col(r)) - 1))  # a column of its own, so it is looked for once
         for slot, rank in ((1, "r1"), (2, "r2")):
-            length = F.coalesce(F.get("lens", best[rank] - 1), F.lit(NULL_ALLELE))
+            length = F.coalesce(F.get("lens", F.col("best")[rank] - 1), F.lit(NULL_ALLELE))
             out = out.withColumn(f"{r}_{slot}", F.when(F.col(r).isNull(), MISSING).otherwise(length).cast("int"))
-        out = out.withColumn(f"{r}_p", F.array_max(r))
+        out = out.withColumn(f"{r}_p", F.array_max(r)).drop("best")
     for child in ("proband", "sibling"):
         out = out.withColumn(f"{child}_trio", F.col("mother_p") * F.col("father_p") * F.col(f"{child}_p"))
     return out

@@ -12,18 +12,25 @@ order of (second rank, first rank), which is also the order in which ties are re
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.mathx import SUM_COLUMNS, batch_sums, binomial_p, pair_log_likelihood, poisson_p
+from ..functions.mathx import SUM_COLUMNS, TIE_DIGITS, block_calls, block_sums, pair_log_likelihood, pair_order
 from ..session import written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 START_ERROR = 0.001
 STOP_DELTA = 10.0
 MAX_ROUNDS = 25
 MAX_ERROR = 0.4
 MIN_BIAS = 1e-7
 NULL_ALLELE = -1
-TIE_DIGITS = 9
+PEOPLE = 1024  # people of one locus packed in a row
 
 
 def ranked_alleles(allele_cov: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def start_model(loci: DataFrame, error: float = START_ERROR) -> DataFrame:
     return loci.select(
         "locus_id", "lens", "k", "locus_total", ones.alias("w"), flat.alias("bias"), F.lit(error).alias("eps"),
         ones.alias("w_used"), flat.alias("bias_used"), F.lit(error).alias("eps_used"),
-        F.lit(None).cast("double").alias("old_score"), F.lit(0).alias("n_iter"), F.lit(True).alias("active"),
+        F.lit(None).cast("double").alias("old_score"), F.lit(0).alias("n_iter"), F.lit(True).alias("active"), F.lit(False).alias("converged"),
     )
 
 
@@ -118,20 +125,45 @@ def pair_sums(pairs: DataFrame) -> DataFrame:
     )
 
 
-def batched_sums(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``pair_sums`` without a row per person and pair: every Arrow batch is summed per (locus, pair) where it is.
+def packed_people(rows: DataFrame, size: int = PEOPLE) -> DataFrame:
+    """Person rows packed into one row per locus and block of about ``size`` people, with flat arrays; written once.
+
+    People are dealt to blocks by a hash, so a locus that owns a third of all rows is many rows here, and a block never holds more than a few
+    standard deviations above ``size``.
+    """
+    stored = written(rows, "person-rows")
+    blocks = max(1, -(-stored.select("person_id").distinct().count() // size))
+    block = F.pmod(F.xxhash64("person_id"), F.lit(blocks)).alias("block")
+    listed = stored.groupBy("locus_id", block).agg(F.array_sort(F.collect_list(F.struct("person_id", "total", "exp_raw", "exp_cov", "n"))).alias("x"))
+    flat = listed.select("locus_id", "block", "x.person_id", "x.total", "x.exp_raw", "x.exp_cov", F.flatten("x.n").alias("n"))
+    return written(flat.repartition("locus_id", "block").sortWithinPartitions("locus_id"), "people")
+
+
+def _array(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+
+def batched_sums(people: DataFrame, model: DataFrame) -> DataFrame:
+    """``pair_sums`` without a row per person and pair: every packed row is summed per pair where it is.
 
-    Only these partial sums are shuffled, so the share of one locus in the rows does not matter.
+    The model meets one row per block of people, and only sums are shuffled, so the share of one locus in the rows does not matter.
     """
-    both = rows.join(model.select("locus_id", "w", "bias", "eps"), "locus_id").select("locus_id", "n", "total", "exp_cov", "w", "bias", "eps")
+    both = people.join(model.select("locus_id", "w", "bias", "eps"), "locus_id").select("locus_id", "n", "total", "exp_cov", "w", "bias", "eps")
+    names = ["locus_id", "pair_no", "r1", "r2", *SUM_COLUMNS]
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield batch_sums(pdf)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total = _array(batch, "total", i)
+                sums = block_sums(_array(batch, "n", i).reshape(len(total), -1), total, _array(batch, "exp_cov", i), _array(batch, "w", i), _array(batch, "bias", i), batch.column("eps")[i].as_py())
+                first, second = pair_order(len(batch.column("bias")[i]))
+                locus = batch.column("locus_id").take(pa.array(np.full(len(first), i)))
+                slots = [pa.array(x.astype(np.int32)) for x in (np.arange(len(first)), first + 1, second + 1)]
+                yield pa.RecordBatch.from_arrays([locus, *slots, *[pa.array(np.asarray(sums[c], float)) for c in SUM_COLUMNS]], names=names)
 
-    fields = "locus_id INT, pair_no INT, r1 INT, r2 INT, " + ", ".join(f"{c} DOUBLE" for c in SUM_COLUMNS)
-    return both.mapInPandas(run, fields).groupBy("locus_id", "pair_no", "r1", "r2").agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
+    kind = people.schema["locus_id"].dataType.simpleString()
+    fields = f"locus_id {kind}, pair_no INT, r1 INT, r2 INT, " + ", ".join(f"{c} DOUBLE" for c in SUM_COLUMNS)
+    return both.mapInArrow(run, fields).groupBy("locus_id", "pair_no", "r1", "r2").agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
 
 
 def maximised(sums: DataFrame, loci: DataFrame) -> DataFrame:
@@ -158,15 +190,16 @@ def maximised(sums: DataFrame, loci: DataFrame) -> DataFrame:
 
 
 def em(rows: DataFrame, loci: DataFrame, max_rounds: int = MAX_ROUNDS, delta: float = STOP_DELTA) -> DataFrame:
-    """Fit all loci; each stops on its own (small score change, round limit, or error rate too high).
+    """Fit all loci; each stops on its own (small score change: ``converged``; or round limit, or error rate too high).
 
-    The driver only asks whether any locus is still moving.
+    The driver only asks how many loci are still moving; when half of the stored ones are done, the rest is written anew.
     """
     model = written(start_model(loci), "model")
-    rows = written(rows.sortWithinPartitions("locus_id"), "person-rows")  # read once per round, batches hold few loci
+    people = packed_people(rows)
+    kept = model.count()
     for turn in range(max_rounds + 1):
         moving = model.filter("active")
-        step = maximised(batched_sums(rows, moving), moving)
+        step = maximised(batched_sums(people, moving), moving)
         both = moving.join(step, "locus_id")
         if turn == 0:
             go, old = F.lit(True), F.col("score") + 2 * delta
@@ -178,11 +211,14 @@ def em(rows: DataFrame, loci: DataFrame, max_rounds: int = MAX_ROUNDS, delta: fl
             "locus_id", "lens", "k", "locus_total", pick("new_w", "w"), pick("new_bias", "bias"), pick("new_eps", "eps"),
             *[F.when(go, F.col(c)).otherwise(F.col(f"{c}_used")).alias(f"{c}_used") for c in ("w", "bias", "eps")],
             F.when(go, old).otherwise(F.col("score")).alias("old_score"), F.when(go, F.col("n_iter") + 1).otherwise(F.col("n_iter")).alias("n_iter"),
-            go.alias("active"),
+            go.alias("active"), (F.col("converged") if turn == 0 else F.abs(F.col("score") - F.col("old_score")) <= delta).alias("converged"),
         )
         model = written(moved.unionByName(model.filter("not active")), "model")
-        if model.filter("active").isEmpty():
+        left = model.filter("active").count()
+        if not left:
             break
+        if 2 * left <= kept:  # finished loci are no longer read
+            people, kept = written(people.join(model.filter("active").select("locus_id"), "locus_id", "left_semi"), "people"), left
     return model
 
 
@@ -198,26 +234,37 @@ def posteriors(rows: DataFrame, model: DataFrame) -> DataFrame:
     return df.select("locus_id", "person_id", "k", "lens", memberships(df, used=True).alias("p"))
 
 
+CALL = (
+    "person_id {person}, allele_1 INT, allele_2 INT, confidence DOUBLE, allele_1_cov BIGINT, allele_2_cov BIGINT, rest_cov BIGINT, exp_allele_cov DOUBLE, exp_err DOUBLE, "
+    "p_null DOUBLE, total BIGINT, eps DOUBLE, n_iter INT, allele_fit DOUBLE, noise_fit DOUBLE"
+)
+
+
 def calls(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Genotype record per (locus, person) with confidence, coverage split, fits and null probability."""
-    df = scored(rows, model, used=True)
-    df = df.withColumn("p", memberships(df, used=True)).withColumn("best", best_pair(F.col("p")))
-    df = df.withColumn("r1", F.get("pairs", F.col("best") - 1)["r1"]).withColumn("r2", F.get("pairs", F.col("best") - 1)["r2"])
-    o = _observed(F.col("r1"), F.col("r2"), F.col("k"))
-    length = lambda r: F.coalesce(F.get("lens", r - 1), F.lit(NULL_ALLELE)).cast("int")
-    bias = lambda r: F.coalesce(F.get("bias", r - 1), F.lit(1.0))
-    null_p = F.aggregate(F.zip_with("pairs", "p", lambda s, p: F.when(s["r2"] == F.col("k") + 1, p).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    flat = df.select(
-        "locus_id", "person_id", length(F.col("r1")).alias("allele_1"), length(F.col("r2")).alias("allele_2"),
-        F.array_max("p").alias("confidence"), o["a1"].alias("allele_1_cov"), o["a2"].alias("allele_2_cov"), o["err"].alias("rest_cov"),
-        F.col("exp_raw").alias("exp_allele_cov"), (F.col("eps") * F.col("total")).alias("exp_err"), null_p.alias("p_null"),
-        (o["c1"] * F.col("exp_cov") * bias(F.col("r1"))).alias("rate1"), (o["c2"] * F.col("exp_cov") * bias(F.col("r2"))).alias("rate2"),
-        "total", "eps", "n_iter",
-    )
-    noise = F.when(F.col("total") > 0, binomial_p("rest_cov", "total", "eps")).otherwise(0.0)
-    full = flat.withColumn("allele_fit", poisson_p("allele_1_cov", "rate1") * poisson_p("allele_2_cov", "rate2")).withColumn("noise_fit", noise).drop("rate1", "rate2")
+    """Genotype record per (locus, person) with confidence, coverage split, fits and null probability: one pass over the packed people."""
+    used = model.select("locus_id", "lens", "w_used", "bias_used", "eps_used", "bias", "eps", "n_iter")
+    both = packed_people(rows).drop("block").join(used, "locus_id")
+    fields = f"locus_id {rows.schema['locus_id'].dataType.simpleString()}, " + CALL.format(person=rows.schema["person_id"].dataType.simpleString())
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total, expected = _array(batch, "total", i), _array(batch, "exp_cov", i)
+                eps = batch.column("eps")[i].as_py()
+                c = block_calls(
+                    _array(batch, "n", i).reshape(len(total), -1), total, expected, _array(batch, "w_used", i), _array(batch, "bias_used", i), batch.column("eps_used")[i].as_py(), _array(batch, "bias", i), eps)
+                lens = np.append(_array(batch, "lens", i), NULL_ALLELE).astype(np.int32)
+                out = {
+                    "locus_id": batch.column("locus_id").take(pa.array(np.full(len(total), i))), "person_id": batch.column("person_id")[i].values, "allele_1": lens[c["first"]], "allele_2": lens[c["second"]],
+                    "confidence": c["confidence"], "allele_1_cov": c["a1"], "allele_2_cov": c["a2"], "rest_cov": c["rest"], "exp_allele_cov": _array(batch, "exp_raw", i), "exp_err": eps * total,
+                    "p_null": c["p_null"], "total": total, "eps": np.full(len(total), eps), "n_iter": np.full(len(total), batch.column("n_iter")[i].as_py(), np.int32),
+                    "allele_fit": c["allele_fit"], "noise_fit": c["noise_fit"],
+                }
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in (out[n] for n in names)], names=names)
+
     # stored once: every analysis reads this table, and filters on it must not repeat the likelihoods
-    return written(full, "genotypes")
+    return written(both.mapInArrow(run, fields), "genotypes")
 
 
 def called_counts(genotypes: DataFrame, allele_cov: DataFrame) -> DataFrame:
@@ -236,6 +283,7 @@ def locus_models(model: DataFrame) -> DataFrame:
     return model.select("locus_id", "k", "locus_total", "eps", "n_iter")
 
 
-def parental_frequency(pairs: DataFrame, parents: DataFrame) -> DataFrame:
+def parental_frequency(rows: DataFrame, model: DataFrame, parents: DataFrame) -> DataFrame:
     """Sum of memberships over parents per pair."""
-    return pairs.join(parents.select("person_id"), "person_id", "left_semi").groupBy("locus_id", "r1", "r2").agg(F.sum("prob").alias("parent_freq"))
+    own = rows.join(parents.select("person_id"), "person_id", "left_semi")
+    return batched_sums(packed_people(own), model).select("locus_id", "r1", "r2", F.col("member").alias("parent_freq"))

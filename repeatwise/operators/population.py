@@ -12,10 +12,10 @@ MIN_SHARE = 0.5
 
 
 def locus_index(profiles: DataFrame) -> DataFrame:
-    """People, top and total coverage and reference length per locus, over the union of all profiles."""
-    per_person = profiles.groupBy(*LOCUS, "person_id").agg(F.sum("n").alias("n"), F.max("ref_length").alias("ref_length"))
+    """People, top and total coverage, reference length and longest length seen per locus, over the union of all profiles."""
+    per_person = profiles.groupBy(*LOCUS, "person_id").agg(F.sum("n").alias("n"), F.max("ref_length").alias("ref_length"), F.max("length").alias("longest"))
     return per_person.groupBy(*LOCUS).agg(
-        F.count(F.lit(1)).alias("pop_count"), F.max("n").alias("max_count"), F.sum("n").alias("sum_count"), F.max("ref_length").alias("ref_length")
+        F.count(F.lit(1)).alias("pop_count"), F.max("n").alias("max_count"), F.sum("n").alias("sum_count"), F.max("ref_length").alias("ref_length"), F.max("longest").alias("longest")
     )
 
 
@@ -38,16 +38,39 @@ def cells(profiles: DataFrame) -> DataFrame:
 ABSENT = "0;;"
 
 
-def matrix_rows(cell_table: DataFrame, people: DataFrame, n_people: int) -> DataFrame:
-    """Locus rows with one cell per person in column order, absent people as ``0;;``.
+TILE = 256  # people whose cells of a locus are put together at a time
+
 
-    ``people`` holds (person_id, col_no 0..n-1). Only the export is this wide; the row is as long as the cohort.
+def tiled_rows(cells: DataFrame, keys: list[str], people: DataFrame, n_people: int, value: str, absent: str, sep: str) -> DataFrame:
+    """One text per key with a cell per person in column order: ``keys, row``; absent people get ``absent``.
+
+    Tiles of a key and ``TILE`` columns sort what they hold and fill the gaps before, between and after; the tiles of a key are stitched
+    in the same way. The work is linear in people. Only this export is as wide as the cohort.
     """
-    placed = cell_table.join(people, "person_id").groupBy(*LOCUS).agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", "cell"))).alias("by_col")
-    )
-    row = F.transform(F.sequence(F.lit(0), F.lit(n_people - 1)), lambda i: F.coalesce(F.try_element_at("by_col", i), F.lit(ABSENT)))
-    return placed.select(*LOCUS, F.array_join(row, "\t").alias("cells"))
+    def filled(items: Column, first: Column, n: Column, place, text, hole) -> Column:
+        """Texts of sorted items with the holes between them, for the places ``first`` to ``first + n - 1``."""
+        def one(item: Column, i: Column) -> Column:
+            before = F.when(i > 0, place(F.get(items, i - 1)) + 1).otherwise(first)
+            return F.concat(F.repeat(F.lit(hole + sep), (place(item) - before).cast("int")), text(item))
+
+        rest = first + n - 1 - place(F.get(items, F.size(items) - 1))
+        return F.concat(F.array_join(F.transform(items, one), sep), F.repeat(F.lit(sep + hole), rest.cast("int")))
+
+    last = (n_people - 1) // TILE
+    placed = cells.join(people, "person_id").withColumn("tile", F.floor(F.col("col_no") / TILE).cast("int"))
+    packed = placed.groupBy(*keys, "tile").agg(F.array_sort(F.collect_list(F.struct(F.col("col_no").cast("int").alias("c"), F.col(value).cast("string").alias("t")))).alias("items"))
+    width = F.when(F.col("tile") == last, n_people - last * TILE).otherwise(TILE)
+    texts = packed.select(*keys, "tile", filled(F.col("items"), F.col("tile") * TILE, width, lambda x: x["c"], lambda x: x["t"], absent).alias("t"))
+    # the last tile may be narrower, so it is added where a key has none
+    hole, end = sep.join([absent] * TILE), sep.join([absent] * (n_people - last * TILE))
+    whole = texts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tile", "t"))).alias("tiles"))
+    closed = F.when(F.get("tiles", F.size("tiles") - 1)["tile"] == last, F.col("tiles")).otherwise(F.array_append("tiles", F.struct(F.lit(last).alias("tile"), F.lit(end).alias("t"))))
+    return whole.withColumn("tiles", closed).select(*keys, filled(F.col("tiles"), F.lit(0), F.lit(last + 1), lambda x: x["tile"], lambda x: x["t"], hole).alias("row"))
+
+
+def matrix_rows(cell_table: DataFrame, people: DataFrame, n_people: int) -> DataFrame:
+    """Locus rows with one cell per person in column order, absent people as ``0;;``; ``people`` holds (person_id, col_no 0..n-1)."""
+    return tiled_rows(cell_table, LOCUS, people, n_people, "cell", ABSENT, "\t").withColumnRenamed("row", "cells")
 
 
 def relation_code(relation: Column) -> Column:
@@ -97,9 +120,7 @@ def allele_index(profiles: DataFrame) -> DataFrame:
 
 def dense_rows(counts: DataFrame, keys: list[str], people: DataFrame, n_people: int) -> DataFrame:
     """Allele rows as zero-filled comma lists over people in column order."""
-    packed = counts.join(people, "person_id").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "n"))).alias("by_col"))
-    row = F.transform(F.sequence(F.lit(0), F.lit(n_people - 1)), lambda i: F.coalesce(F.try_element_at("by_col", i), F.lit(0).cast("long")).cast("string"))
-    return packed.select(*keys, F.array_join(row, ",").alias("counts"))
+    return tiled_rows(counts, keys, people, n_people, "n", "0", ",").withColumnRenamed("row", "counts")
 
 
 def flank_histogram(reads: DataFrame, complete_only: bool = False) -> DataFrame:

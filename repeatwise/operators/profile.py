@@ -201,6 +201,13 @@ def read_names(reads: DataFrame, keys: list[str], chunk: int = 5000) -> DataFram
     )
 
 
+def with_read_names(rows: DataFrame, reads: DataFrame) -> DataFrame:
+    """Profile rows (see ``flank_table``) with the names of their reads, comma-joined in order: as many as the person has reads there."""
+    both = reads.select(*KEY, "read_name", F.explode(F.array(F.lit("all"), F.col("flank"))).alias("flank"))
+    names = both.groupBy(*KEY, "flank").agg(F.array_join(F.sort_array(F.collect_list(F.col("read_name").cast("string"))), ",").alias("read_names"))
+    return rows.join(names, [*KEY, "flank"], "left")
+
+
 def chrom_number(chrom: Column, autosomes: int = 22) -> Column:
     """Chromosome order: ``chr`` stripped, then X, Y and MT after the autosomes."""
     bare = F.regexp_replace(chrom, "^chr", "")

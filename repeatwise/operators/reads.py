@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import seq as S
 
@@ -96,9 +96,10 @@ def mate_violations(df: DataFrame) -> DataFrame:
     ).filter((F.col("firsts") != 1) | (F.col("seconds") != 1))
 
 
-def with_tract_only(reads: DataFrame, tracts: DataFrame) -> DataFrame:
-    """Keep reads of pairs in which either mate holds a tract."""
-    return reads.join(tracts.select("read_id").distinct(), "read_id", "left_semi")
+def with_tract_only(reads: DataFrame) -> DataFrame:
+    """Keep reads of pairs in which either mate holds a tract; reads carry their tracts. Mates meet by name, one of each."""
+    mates = reads.withColumn("held", F.max(F.size("tracts") > 0).over(Window.partitionBy("read_id")))
+    return mates.filter("held").drop("held")
 
 
 def guess_encoding(df: DataFrame) -> DataFrame:

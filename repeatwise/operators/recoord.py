@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import seq as S
+from ..session import written
 
-BUCKET = 1 << 14
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 
 def attach_tracts(alignments: DataFrame, tracts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,33 +28,53 @@ def mappable(df: DataFrame) -> Column:
     return F.col("mapped") & (F.col("mapq") > 0)
 
 
-def asof_offsets(reads: DataFrame, index: DataFrame, chrom: str, at: str, bucket: int = BUCKET) -> DataFrame:
+def asof_offsets(reads: DataFrame, index: DataFrame, chrom: str, at: str, ranges: int | None = None) -> DataFrame:
     """Largest index position at or below ``at``: adds ``index_position`` and ``offset`` (0 before the first one).
 
-    The index becomes half-open ranges, each listed under the buckets it covers, and reads meet them by
-    (chromosome, bucket) equality plus a range test that holds for at most one range. Unlike a sorted window per
-    chromosome this needs no task to hold a whole chromosome of reads, and skewed buckets can be split.
+    Reads and index share one range partitioning over (chromosome, position, index first), so each range is a sorted merge that remembers
+    the last index row it has passed; reads at one busy position may fall into several ranges. One row per range, its last index row,
+    is carried over the ranges that follow, for reads that come before the first index row of theirs.
     """
-    by = Window.partitionBy(chrom).orderBy("position")
-    ranges = index.withColumn("until", F.lead("position").over(by))
-    last = ranges.filter(F.col("until").isNull()).select(
-        F.col(chrom).alias("last_chrom"), F.col("position").alias("last_position"), F.col("offset").alias("last_offset")
-    )
-    listed = ranges.filter(F.col("until").isNotNull()).select(
-        F.col(chrom).alias("in_chrom"), F.col("position").alias("in_position"), "until", F.col("offset").alias("in_offset"),
-        F.explode(F.sequence(F.floor(F.col("position") / bucket), F.floor((F.col("until") - 1) / bucket))).alias("in_bucket"),
-    )
-    keyed = reads.withColumn("bucket", F.floor(F.col(at) / bucket))
-    within = (
-        (F.col(chrom) == F.col("in_chrom")) & (F.col("bucket") == F.col("in_bucket"))
-        & (F.col(at) >= F.col("in_position")) & (F.col(at) < F.col("until"))
-    )
-    after = (F.col(chrom) == F.col("last_chrom")) & (F.col(at) >= F.col("last_position"))
-    return keyed.join(listed, within, "left").join(last, after, "left").select(
-        *reads.columns,
-        F.coalesce("in_position", "last_position").alias("index_position"),
-        F.coalesce("in_offset", "last_offset", F.lit(0)).alias("offset"),
-    )
+    spark = reads.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mine = reads.withColumn("_at", F.col(at).cast("long")).withColumn("_salt", F.xxhash64(*reads.columns)).withColumn("_offset", F.lit(None).cast("long"))
+    theirs = index.select(F.col(chrom), F.col("position").cast("long").alias("_at"), F.lit(-(2**63)).alias("_salt"), F.col("offset").cast("long").alias("_offset"))
+    both = written(mine.unionByName(theirs, allowMissingColumns=True).withColumn("_read", F.col("_offset").isNull()), "asof-rows")
+    ranged = both.repartitionByRange(n, chrom, "_at", "_read", "_salt").sortWithinPartitions(chrom, "_at", "_read")
+    columns = reads.columns
+    schema = T.StructType([
+        *[T.StructField(f.name, f.dataType) for f in reads.schema.fields], T.StructField("index_position", T.LongType()), T.StructField("_offset", T.LongType()),
+        T.StructField("_read", T.BooleanType()), T.StructField("_range", T.IntegerType())])
+    merged = written(ranged.mapInArrow(lambda batches: _merge(batches, columns, chrom, to_arrow_schema(schema)), schema), "asof")
+    tails = merged.filter(~F.col("_read")).select("_range", F.struct(F.col(chrom).alias("chrom"), F.col("index_position").alias("position"), F.col("_offset").alias("offset")).alias("tail"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = spark.range(n).select(F.col("id").cast("int").alias("_range")).join(tails, "_range", "left").select("_range", F.last("tail", ignorenulls=True).over(earlier).alias("_given"))
+    given = F.when(F.col("index_position").isNull() & (F.col("_given.chrom") == F.col(chrom)), F.col("_given"))
+    return merged.filter("_read").join(F.broadcast(starts), "_range", "left").withColumn("_given", given).select(
+        *columns, F.coalesce("index_position", "_given.position").alias("index_position"), F.coalesce("_offset", "_given.offset", F.lit(0)).alias("offset"))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], columns: list[str], chrom: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Reads of one sorted range with the last index row of their chromosome so far, then one row for the range's last index row."""
+    here = TaskContext.get().partitionId()
+    last = None  # chromosome, position and offset
+    for batch in batches:
+        is_read = batch.column("_read").to_numpy(zero_copy_only=False)
+        place = np.maximum.accumulate(np.where(is_read, -1, np.arange(len(is_read))))
+        known = pa.array(np.maximum(place, 0), mask=place < 0)
+        names, at, offset = batch.column(chrom), batch.column("_at"), batch.column("_offset")
+        found = [column.take(known) for column in (names, at, offset)]
+        if last is not None:
+            found = [pc.fill_null(f, value) if value.is_valid else f for f, value in zip(found, last)]
+        same = pc.fill_null(pc.equal(found[0], names), False)
+        reads = pa.array(is_read)
+        out = [*[batch.column(c) for c in columns], *[pc.if_else(same, f, pa.scalar(None, pa.int64())) for f in found[1:]], reads, pa.array(np.full(len(is_read), here, np.int32))]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, schema)], schema=schema).filter(reads)
+        if place[-1:].max(initial=-1) >= 0:
+            last = [column[int(place[-1])] for column in (names, at, offset)]
+    if last is not None:
+        tail = {chrom: last[0], "index_position": last[1], "_offset": last[2], "_read": pa.scalar(False), "_range": pa.scalar(here, pa.int32())}
+        yield pa.RecordBatch.from_arrays([pa.array([tail[f.name].as_py() if f.name in tail else None], f.type) for f in schema], schema=schema)
 
 
 def leading_bases(tracts: Column) -> Column:
@@ -79,20 +108,24 @@ def original_length(condensed_length: Column, tracts: Column) -> Column:
     )
 
 
-def reverse_tract(df: DataFrame, read_length: str) -> DataFrame:
-    """Tract of a reverse-strand read in forward coordinates: mirrored, unit in the new phase, quality reversed."""
-    unit = F.col("unit")
-    phase = (F.col("length") % F.length(unit)).cast("int")
-    turned = {
-        "start": F.col(read_length) - F.col("stop") + 1,
-        "stop": F.col(read_length) - F.col("start") + 1,
-        "unit": S.reverse_complement(S.rotate_left(unit, phase)),
-    }
-    if "tract_qual" in df.columns:
-        turned["tract_qual"] = F.reverse("tract_qual")
-    return df.select(*[
-        F.when(F.col("reverse"), turned[c]).otherwise(F.col(c)).alias(c) if c in turned else F.col(c) for c in df.columns
-    ])
+def turned_tracts(tracts: Column, read_length: Column, reverse: Column, qual: Column | None = None) -> Column:
+    """Carried tracts of a reverse-strand read in forward coordinates: mirrored, unit in the new phase, quality reversed; others as they are.
+
+    With ``qual`` each tract gets its part of the read's quality.
+    """
+    def quality(t: Column) -> list[Column]:
+        return [] if qual is None else [F.substring(qual, t["start"].cast("int"), t["length"].cast("int")).alias("tract_qual")]
+
+    def turn(t: Column) -> Column:
+        phase = (t["length"] % F.length(t["unit"])).cast("int")
+        return F.struct(
+            (read_length - t["stop"] + 1).cast("long").alias("start"), (read_length - t["start"] + 1).cast("long").alias("stop"), t["length"].alias("length"),
+            S.reverse_complement(S.rotate_left(t["unit"], phase)).alias("unit"), *[F.reverse(q).alias("tract_qual") for q in quality(t)])
+
+    def same(t: Column) -> Column:
+        return F.struct(*[t[c].alias(c) for c in ("start", "stop", "length", "unit")], *quality(t))
+
+    return F.array_sort(F.when(reverse, F.transform(tracts, turn)).otherwise(F.transform(tracts, same)))
 
 
 def soft_clip(cigar: Column, reverse: Column) -> Column:
@@ -102,23 +135,20 @@ def soft_clip(cigar: Column, reverse: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")).cast("int"), F.lit(0))
 
 
-def genome_start(df: DataFrame) -> Column:
+def genome_start(df: DataFrame, start: Column | None = None) -> Column:
     """Genome coordinate of a tract: 0-based position + tract start + offset - soft clip."""
-    return F.col("pos") + F.col("start") + F.col("read_offset") - soft_clip(F.col("cigar"), F.col("reverse"))
+    return F.col("pos") + (F.col("start") if start is None else start) + F.col("read_offset") - soft_clip(F.col("cigar"), F.col("reverse"))
 
 
 def original_position(df: DataFrame) -> Column:
     return F.col("pos") + F.col("read_offset") - soft_clip(F.col("cigar"), F.col("reverse")) + 1
 
 
-def tags(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Coordinate (``mc``) and quality (``mu``) tag text per read from one row per placed tract."""
-    mc = F.concat_ws(":", "chrom", "unit", F.col("genome_start").cast("string"), F.col("length").cast("string"))
-    mu = F.concat_ws(":", "unit", F.col("start").cast("string"), "tract_qual")
-    parts = F.array_sort(F.collect_list(F.struct("start", "stop", mc.alias("mc"), mu.alias("mu"))))
-    return df.groupBy(*keys).agg(parts.alias("parts")).select(
-        *keys, F.array_join("parts.mc", "|").alias("mc"), F.array_join("parts.mu", "|").alias("mu")
-    )
+def tags(df: DataFrame, chrom: Column) -> DataFrame:
+    """Reads that carry placed tracts, with coordinate (``mc``) and quality (``mu``) tag text."""
+    mc = F.transform("tracts", lambda t: F.concat_ws(":", chrom, t["unit"], genome_start(df, t["start"]).cast("string"), t["length"].cast("string")))
+    mu = F.transform("tracts", lambda t: F.concat_ws(":", t["unit"], t["start"].cast("string"), t["tract_qual"]))
+    return df.withColumn("mc", F.array_join(mc, "|")).withColumn("mu", F.array_join(mu, "|"))
 
 
 def parse_tags(df: DataFrame, keys: list[str]) -> DataFrame:

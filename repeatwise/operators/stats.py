@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.mathx import chi_square_p
+from ..functions.selection import exact_quantiles
+from ..session import written
 from .cohort import ROLES, with_role
 
 
@@ -21,6 +23,20 @@ def locus_summary(genotypes: DataFrame) -> DataFrame:
     return sums
 
 
+def summary_tables(genotypes: DataFrame, scores: DataFrame, models: DataFrame, biases: DataFrame) -> dict[str, DataFrame]:
+    """The datasets of the cohort summary. Vectors hold one value for each locus (biases: and allele), matrices one row for each cell."""
+    loci = locus_summary(genotypes)
+    vectors = {"single_null": "single_null", "double_null": "double_null", "alleles_per_locus": "n_alleles", "het_share": "het_share"}
+    cells = {"confidence": "confidence", "allele_fit": "allele_fit", "noise_fit": "noise_fit", "null_probability": "p_null", "locus_coverage": "total"}
+    out = {"bias_rates": biases.select("locus_id", "allele_len", F.col("bias").alias("value")), "error_rates": models.select("locus_id", F.col("eps").alias("value"))}
+    out |= {name: loci.select("locus_id", F.col(c).alias("value")) for name, c in vectors.items()}
+    out["em_iterations"] = models.select("locus_id", F.col("n_iter").alias("value"))
+    out |= {name: genotypes.select("locus_id", "person_id", F.col(c).alias("value")) for name, c in cells.items()}
+    for child in ("proband", "sibling"):
+        out[f"{child}_de_novo_scores"] = scores.select("locus_id", "family_id", F.col(f"{child}_obedience").alias("value"))
+    return out
+
+
 def iteration_frequency(models: DataFrame) -> DataFrame:
     total = models.count()
     return models.groupBy("n_iter").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.lit(total)).alias("share"))
@@ -51,9 +67,9 @@ def bias_distribution(biases: DataFrame, loci: DataFrame) -> DataFrame:
     """Mean and median bias over all, reference and other alleles."""
     kind = F.when(F.col("allele_len") == F.col("ref_length"), "reference").otherwise("non_reference")
     tagged = biases.join(loci.select("locus_id", "ref_length"), "locus_id").withColumn("kind", kind)
-    return tagged.select("bias", F.explode(F.array("kind", F.lit("all"))).alias("alleles")).groupBy("alleles").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("bias").alias("mean_bias"), F.percentile("bias", F.lit(0.5)).alias("median_bias")
-    )
+    values = written(tagged.select("bias", F.explode(F.array("kind", F.lit("all"))).alias("alleles")), "biases")
+    means = values.groupBy("alleles").agg(F.count(F.lit(1)).alias("n"), F.avg("bias").alias("mean_bias"))
+    return means.join(exact_quantiles(values, ["alleles"], "bias").withColumnRenamed("quantile", "median_bias"), "alleles")
 
 
 def medians(genotypes: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

@@ -18,9 +18,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import seq as S
+from ..functions.scan import exclusive_scan
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
+ISLAND_BLOCK = 1 << 20  # positions of a sequence whose tracts are put together in one window
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -183,15 +186,24 @@ def detect(df: DataFrame, keys: list[str], seq: str, limits: Thresholds = Thresh
             F.arrays_zip(F.col("parts").alias("now"), F.concat(F.array(F.lit("")), F.col("parts")).alias("before")),
             lambda z: F.struct(F.right(z["before"], F.lit(context)).alias("tail"), z["now"].alias("body")),
         ))).filter(F.col("col.body").isNotNull())
-        rows = _tract_rows(
-            pieces.select(
-                *keys, F.col("pos").alias("blk"), (F.col("pos") * size + 1).cast("long").alias("first"),
-                (F.col("pos") == F.col("n_blk") - 1).alias("is_last"), F.length("col.tail").alias("ctx"),
-                F.concat("col.tail", "col.body").alias(seq),
-            ).repartition(*keys, "blk"),  # the blocks of one long sequence are searched by many tasks
-            keys, seq, limits,
-        )
-        rows = _join_borders(rows, keys, limits)
+        # the blocks of one long sequence are searched by many tasks
+        return detect_blocks(pieces.select(
+            *keys, F.col("pos").alias("blk"), (F.col("pos") * size + 1).cast("long").alias("first"),
+            (F.col("pos") == F.col("n_blk") - 1).alias("is_last"), F.length("col.tail").alias("ctx"),
+            F.concat("col.tail", "col.body").alias(seq),
+        ).repartition(*keys, "blk"), keys, seq, limits)
+    return _passing(rows, keys, limits)
+
+
+def detect_blocks(pieces: DataFrame, keys: list[str], seq: str, limits: Thresholds = Thresholds()) -> DataFrame:
+    """Tracts of sequences that come as blocks: ``keys, blk, first`` (1-based), ``is_last, ctx`` and ``seq``, upper case, which begins with the ``ctx``
+    (``max_unit``, or all there are) bases before the block."""
+    limits = limits.checked()
+    rows = _tract_rows(pieces, keys, seq, limits)
+    return _passing(_join_borders(rows, keys, limits), keys, limits)
+
+
+def _passing(rows: DataFrame, keys: list[str], limits: Thresholds) -> DataFrame:
     return rows.select(*keys, "start", "stop", (F.col("stop") - F.col("start") + 1).alias("length"), "unit").filter(
         (F.col("length") >= limits.min_length)
         & (F.floor(F.col("length") / F.length("unit")) >= limits.min_units)
@@ -242,24 +254,37 @@ def flanks(df: DataFrame, seq: str, size: int = 30) -> DataFrame:
     )
 
 
-def islands(tracts: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of tracts: overlapping or adjacent ones become one island."""
-    by = Window.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    step = F.when(F.col("start") <= reach + 1, 0).otherwise(1)
-    return (
-        tracts.select(*keys, "start", "stop").withColumn("step", step)
-        .withColumn("island", F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    )
-
+def islands(tracts: DataFrame, keys: list[str], block: int = ISLAND_BLOCK) -> DataFrame:
+    """Union of tracts: overlapping or adjacent ones become one island.
 
-def offset_index(tracts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per island: condensed position of the base after it, and bases removed so far."""
-    removed = F.sum(F.col("stop") - F.col("start") + 1).over(
-        Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return islands(tracts, keys).withColumn("offset", removed).select(
+    Blocks of positions are searched on their own. A block is given how far earlier tracts reach, which tells which of its tracts begin an
+    island, and then where the last island before it begins, to which its tracts before the first own beginning belong.
+    """
+    placed = _blocked(tracts.select(*keys, "start", "stop"), keys, block)
+    here = Window.partitionBy(*keys, "blk").orderBy("start", "stop")
+    reaches = exclusive_scan(placed.groupBy(*keys, "blk").agg(F.max("stop").alias("value")), keys, "max")
+    reach = F.greatest(F.max("stop").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
+    headed = placed.join(reaches, [*keys, "blk"], "left").withColumn("reach", reach).withColumn(
+        "head", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1), F.col("start")))
+    parts = headed.withColumn("head", F.max("head").over(here.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "blk", "head").agg(F.max("stop").alias("stop"))
+    heads = exclusive_scan(parts.groupBy(*keys, "blk").agg(F.max("head").alias("value")), keys, "max")
+    whole = parts.join(heads, [*keys, "blk"], "left").withColumn("start", F.coalesce("head", "carry"))
+    return whole.groupBy(*keys, "start").agg(F.max("stop").alias("stop"))
+
+
+def _blocked(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows dealt out by key and block of positions; the steps of a scan share this one shuffle."""
+    return rows.withColumn("blk", F.floor((F.col("start") - 1) / block)).repartition(*keys, "blk")
+
+
+def offset_index(tracts: DataFrame, keys: list[str], block: int = ISLAND_BLOCK) -> DataFrame:
+    """One row per island: condensed position of the base after it, and bases removed so far (summed block by block)."""
+    placed = _blocked(islands(tracts, keys, block), keys, block)
+    bases = F.col("stop") - F.col("start") + 1
+    before = exclusive_scan(placed.groupBy(*keys, "blk").agg(F.sum(bases).alias("value")), keys, "sum")
+    here = Window.partitionBy(*keys, "blk").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    removed = F.sum(bases).over(here) + F.coalesce("carry", F.lit(0))
+    return placed.join(before, [*keys, "blk"], "left").withColumn("offset", removed).select(
         *keys, (F.col("stop") - F.col("offset") + 1).alias("position"), "offset"
     )
 
@@ -291,11 +316,41 @@ def condense(seqs: DataFrame, tracts: DataFrame, keys: list[str], columns: list[
     return joined.select(*keys, "blk", *[excised(c).alias(c) for c in columns])
 
 
-def with_tracts(reads: DataFrame, tracts: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the ordered tract list to each read; reads without tracts get an empty list."""
-    listed = tracts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "length", "unit"))).alias("tracts"))
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,length:bigint,unit:string>>")
-    return reads.join(listed, keys, "left").withColumn("tracts", F.coalesce("tracts", empty))
+def carry_tracts(reads: DataFrame, seq: str = "seq", limits: Thresholds = Thresholds()) -> DataFrame:
+    """Reads with all their columns and ``tracts``, the array of their tracts (start, stop, length, unit) by start: one pass, no shuffle."""
+    limits = limits.checked()
+    names = reads.columns
+    fields = [T.StructField(n, t) for n, t in (("start", T.LongType()), ("stop", T.LongType()), ("length", T.LongType()), ("unit", T.StringType()))]
+    schema = T.StructType([*reads.schema.fields, T.StructField("tracts", T.ArrayType(T.StructType(fields)))])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined, offsets, sizes = _joined(batch.column("_upper"), limits.max_unit)
+            n = batch.num_rows
+            row, start, stop, period, _ = _search(joined, offsets, sizes, np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool), limits)
+            tracts = pa.StructArray.from_arrays(
+                [pa.array(start + 1), pa.array(stop + 1), pa.array(stop - start + 1), _slices(joined, offsets[row] + start, period)], [f.name for f in fields])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends), tracts)], names=[*names, "tracts"])
+
+    return reads.withColumn("_upper", F.upper(seq)).mapInArrow(search, schema)
+
+
+def each_tract(reads: DataFrame) -> DataFrame:
+    """One row per carried tract: the read's columns, then the tract's."""
+    return reads.select(*[c for c in reads.columns if c != "tracts"], F.inline("tracts"))
+
+
+def condensed(text: Column, tracts: Column) -> Column:
+    """Text of a read without the bases that its tracts cover."""
+    zero = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("last"))
+
+    def step(a: Column, t: Column) -> Column:
+        gap = F.greatest(t["start"] - a["last"] - 1, F.lit(0)).cast("int")
+        return F.struct(
+            F.concat(a["done"], F.substring(text, (a["last"] + 1).cast("int"), gap)).alias("done"), F.greatest(a["last"], t["stop"]).cast("long").alias("last"))
+
+    return F.aggregate(tracts, zero, step, lambda a: F.concat(a["done"], F.substring(text, (a["last"] + 1).cast("int"), F.length(text))))
 
 
 def tract_quality(df: DataFrame, qual: str) -> DataFrame:

@@ -89,13 +89,12 @@ def sample_text() -> Column:
     )
 
 
-def header_lines(spark, person_id: str | None = None, family_id: str | None = None) -> list[str]:
-    lines = ["##fileformat=VCFv4.1", "##source=repeatwise"]
-    if person_id is not None:
-        lines.append(f"##personInfo=<IndividualID={person_id},FamilyID={family_id}>")
-    for kind, fields in (("INFO", INFO_FIELDS), ("FORMAT", FORMAT_FIELDS)):
-        lines += [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for i, n, t, d in fields]
-    return lines + ["#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"])]
+def header_lines(person_id: Column, family_id: Column) -> Column:
+    """Header of a person's file as an array of lines."""
+    fields = [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for kind, fs in (("INFO", INFO_FIELDS), ("FORMAT", FORMAT_FIELDS)) for i, n, t, d in fs]
+    person = F.concat(F.lit("##personInfo=<IndividualID="), person_id.cast("string"), F.lit(",FamilyID="), F.coalesce(family_id.cast("string"), F.lit("unknown")), F.lit(">"))
+    names = "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"])
+    return F.array(F.lit("##fileformat=VCFv4.1"), F.lit("##source=repeatwise"), person, *[F.lit(f) for f in fields], F.lit(names))
 
 
 def records(genotypes: DataFrame, loci: DataFrame, counts: DataFrame) -> DataFrame:

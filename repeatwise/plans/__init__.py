@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "tracts", "recoord", "profiles", "population", "cohort", "coverage", "genotypes", "families", "denovo", "statistics", "annotations", "export", "text_io", "fitted"]
+MODULES = ["reads", "tracts", "recoord", "profiles", "population", "cohort", "coverage", "genotypes", "families", "denovo", "statistics", "annotations", "export", "fitted", "text_io", "planted"]
 
 
 def load_all() -> None:

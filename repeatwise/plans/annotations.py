@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import annotate as AN
 from ..registry import oracle, query
@@ -33,6 +35,13 @@ def _(v):
     return AN.split_ids(annotated(v), "exon")
 
 
+@query("an02_split_all_ids", oracle(VIEWS, "SELECT locus_id, kind, id FROM ids", ALL))
+def _(v):
+    rows = annotated(v)
+    parts = [AN.split_ids(rows, kind).select("locus_id", F.lit(kind).alias("kind"), "id") for kind in ("exon", "intron", "mirna", "utr")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("an03_gene_names", oracle(VIEWS, "SELECT locus_id, gene, feature_no FROM translated WHERE kind = 'exon' UNION ALL SELECT locus_id, gene, feature_no FROM translated WHERE kind = 'intron'", ALL))
 def _(v):
     return AN.translate_ids(AN.split_ids(annotated(v), "exon"), v.gene_id).unionByName(AN.translate_ids(AN.split_ids(annotated(v), "intron"), v.gene_id))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import cohort as C
 from ..operators import coverage as CV
 from ..registry import oracle, query
+from .coverage import RANK_ONE, TOTALS
+from .coverage import fitted as coverage_fit
+from .genotypes import start_genotypes
+from .sql import start_calls
 
 ROLED = """roled AS (SELECT *, CASE relation WHEN 'mother' THEN 'mother' WHEN 'father' THEN 'father' WHEN 'self' THEN 'proband' ELSE 'sibling' END AS role FROM person)"""
 EXCLUDED = """low AS (SELECT person_id FROM (SELECT person_id, SUM(n) AS total FROM allele_cov GROUP BY person_id) WHERE total < (SELECT AVG(t) - 2 * stddev_samp(t) FROM (SELECT SUM(n) AS t FROM allele_cov GROUP BY person_id)))"""
@@ -99,3 +103,21 @@ def _(v):
 @query("co15_family_genotypes", oracle("person bad_family allele_cov", """SELECT locus_id, person_id, family_id, CAST(SUM(n) AS BIGINT) AS n FROM allele_cov JOIN person USING (person_id) WHERE family_id IN (SELECT family_id FROM bad_family) GROUP BY ALL"""))
 def _(v):
     return C.family_genotypes(v.allele_cov, v.person, v.bad_family).groupBy("locus_id", "person_id", "family_id").agg(F.sum("n").alias("n"))
+
+
+@query("co15_genotypes_of_families", oracle("allele_cov expected person bad_family", """SELECT locus_id, person_id, family_id, allele_1, allele_2, round(confidence, 6) AS confidence FROM geno JOIN person USING (person_id)
+  WHERE family_id IN (SELECT family_id FROM bad_family)""", start_calls()))
+def _(v):
+    calls = C.family_genotypes(start_genotypes(v), v.person, v.bad_family)
+    return calls.select("locus_id", "person_id", "family_id", "allele_1", "allele_2", F.round("confidence", 6).alias("confidence"))
+
+
+@query("co08_all_exclusions", oracle("person allele_cov", """SELECT person_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (
+  SELECT person_id, 'low coverage' AS reason FROM totals WHERE total < (SELECT AVG(total) - 2 * stddev_samp(total) FROM totals)
+  UNION SELECT person_id, 'poor fit' FROM (SELECT person_id, corr(cov, exp_cov) AS c FROM fitted GROUP BY person_id) WHERE c < 0.8
+  UNION SELECT person_id, 'sample type' FROM person WHERE NOT contains(sample_type, 'whole blood')) GROUP BY person_id""", [TOTALS] + RANK_ONE))
+def _(v):
+    low = CV.low_coverage_people(CV.person_totals(v.allele_cov)).select("person_id", F.lit("low coverage").alias("reason"))
+    poor = CV.poor_fit_people(CV.person_fit(*coverage_fit(v))).select("person_id", F.lit("poor fit").alias("reason"))
+    kind = v.person.filter(~F.col("sample_type").contains("whole blood")).select("person_id", F.lit("sample type").alias("reason"))
+    return C.excluded_union(low, poor, kind)

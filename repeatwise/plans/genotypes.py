@@ -80,12 +80,13 @@ BIAS = """nb AS (SELECT locus_id, r, greatest(COALESCE(CASE WHEN SUM(d) > 0 THEN
 
 @query("gt07_pair_weights", oracle(VIEWS, "SELECT locus_id, CAST(r1 AS INT) AS r1, CAST(r2 AS INT) AS r2, round(nw, 6) AS weight FROM sums", POST + [SUMS]))
 def _(v):
-    return G.pair_sums(start_pairs(v)).select("locus_id", "r1", "r2", F.round(F.col("member") / F.col("people"), 6).alias("weight"))
+    rows, model = start(v)
+    return G.batched_sums(G.packed_people(rows), model).select("locus_id", "r1", "r2", F.round(F.col("member") / F.col("people"), 6).alias("weight"))
 
 
 def one_round(v):
     rows, model = start(v)
-    return rows, model, G.maximised(G.pair_sums(G.pair_rows(G.scored(rows, model))), model)
+    return rows, model, G.maximised(G.batched_sums(G.packed_people(rows), model), model)
 
 
 @query("gt08_error_rate", oracle(VIEWS, "SELECT locus_id, round(CASE WHEN x > 0 THEN x ELSE 1.0 / locus_total END, 6) AS eps FROM (SELECT locus_id, SUM(nw * e) / SUM(nw * tt) AS x FROM sums GROUP BY locus_id) JOIN kk USING (locus_id)", POST + [SUMS]))
@@ -201,4 +202,4 @@ def _(v):
 
 @query("gt23_parental_frequency", oracle(VIEWS + " person", "SELECT locus_id, CAST(r1 AS INT) AS r1, CAST(r2 AS INT) AS r2, round(SUM(p), 5) AS parent_freq FROM post JOIN person USING (person_id) WHERE relation IN ('mother', 'father') GROUP BY ALL", POST))
 def _(v):
-    return G.parental_frequency(start_pairs(v), C.subgroup(v.person, "parents")).withColumn("parent_freq", F.round("parent_freq", 5))
+    return G.parental_frequency(*start(v), C.subgroup(v.person, "parents")).withColumn("parent_freq", F.round("parent_freq", 5))

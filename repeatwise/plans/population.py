@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import population as PO
 from ..operators import profile as P
 from ..registry import oracle, query
+from ..session import scratch_path
 from .profiles import PROFILE, located, profiles
 
 LOCUS = "chrom, start, motif"
 VIEWS = "obs ref_tract"
-PER = f"per AS (SELECT {LOCUS}, person_id, SUM(n) AS n, MAX(ref_length) AS ref_length FROM prof GROUP BY {LOCUS}, person_id)"
-INDEX = f"pop AS (SELECT {LOCUS}, COUNT(*) AS pop_count, MAX(n) AS max_count, SUM(n) AS sum_count, MAX(ref_length) AS ref_length FROM per GROUP BY {LOCUS})"
+PER = f"per AS (SELECT {LOCUS}, person_id, SUM(n) AS n, MAX(ref_length) AS ref_length, MAX(length) AS longest FROM prof GROUP BY {LOCUS}, person_id)"
+INDEX = f"pop AS (SELECT {LOCUS}, COUNT(*) AS pop_count, MAX(n) AS max_count, SUM(n) AS sum_count, MAX(ref_length) AS ref_length, MAX(longest) AS longest FROM per GROUP BY {LOCUS})"
 BASE = PROFILE + [PER, INDEX]
 CAST = "CAST(pop_count AS BIGINT) AS pop_count, CAST(max_count AS BIGINT) AS max_count, CAST(sum_count AS BIGINT) AS sum_count"
 
@@ -22,7 +23,7 @@ def _(v):
     return profiles(v).groupBy(*PO.LOCUS, "length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("people"))
 
 
-@query("po02_locus_index", oracle(VIEWS, f"SELECT {LOCUS}, {CAST}, ref_length FROM pop", BASE))
+@query("po02_locus_index", oracle(VIEWS, f"SELECT {LOCUS}, {CAST}, ref_length, longest FROM pop", BASE))
 def _(v):
     return PO.locus_index(profiles(v))
 
@@ -66,13 +67,22 @@ def _(v):
     return PO.person_columns(v.person).select("person_id", "family_id", "rel_code", "col_no")
 
 
+@query("po08_people_without_profile", oracle(VIEWS + " person", "SELECT person_id, family_id, relation FROM person WHERE person_id NOT IN (SELECT person_id FROM prof WHERE length > 14)", BASE))
+def _(v):
+    # people who have no profile file: files hold the long alleles only here, so that some people are missing
+    path = scratch_path(v.spark, "profiles")
+    profiles(v).filter("length > 14").write.partitionBy("person_id").csv(path, sep="\t", compression="gzip")
+    found = v.spark.read.csv(path, sep="\t").select("person_id")
+    return PO.missing_people(v.person, found).select("person_id", "family_id", "relation")
+
+
 @query("po08_missing_people", oracle("person", "SELECT person_id, family_id, relation FROM person WHERE person_id NOT IN (SELECT l_suppkey FROM lineitem WHERE l_tax = 0.08 AND l_discount > 0.09)"))
 def _(v):
     seen = v.lineitem.filter("l_tax = 0.08 AND l_discount > 0.09").select(F.col("l_suppkey").alias("person_id"))
     return PO.missing_people(v.person, seen).select("person_id", "family_id", "relation")
 
 
-@query("po09_well_covered", oracle(VIEWS + " person", f"SELECT {LOCUS}, {CAST}, ref_length FROM pop WHERE max_count >= 4 AND pop_count >= 0.3 * (SELECT COUNT(*) FROM person) AND sum_count / pop_count >= 1.5", BASE))
+@query("po09_well_covered", oracle(VIEWS + " person", f"SELECT {LOCUS}, {CAST}, ref_length, longest FROM pop WHERE max_count >= 4 AND pop_count >= 0.3 * (SELECT COUNT(*) FROM person) AND sum_count / pop_count >= 1.5", BASE))
 def _(v):
     return PO.well_covered(PO.locus_index(profiles(v)), v.person.count(), top=4, share=0.3, mean=1.5)
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.numbering import number_rows
 from ..operators import accounting as AC
 from ..operators import profile as P
+from ..operators import tracts as TR
 from ..registry import oracle, query
 from .sql import tract_ctes
-from .tracts import ID, read_tracts
+from .tracts import ID, carried
 
 KEY = "person_id, chrom, start, motif"
 GOOD = "good AS (SELECT * FROM obs WHERE mapped AND mapq >= 30 AND NOT mate_elsewhere AND regexp_full_match(motif, '[ACGT]+'))"
@@ -139,7 +140,7 @@ def _(v):
 @query("pr15_flank_haplotype", oracle("reads", """SELECT read_id, mate, CAST(start AS BIGINT) AS start, lpad(substring(seq, CAST(greatest(start - 5, 1) AS BIGINT), CAST(least(start - 1, 5) AS BIGINT)), 5, '#')
   || rpad(substring(seq, CAST(stop + 1 AS BIGINT), 5), 5, '#') AS flank FROM tracts JOIN reads USING (read_id, mate)""", tract_ctes("reads", "read_id, mate")))
 def _(v):
-    t = read_tracts(v).join(v.reads.select(*ID, "seq"), ID)
+    t = TR.each_tract(carried(v))
     return t.select(*ID, "start", P.flank_haplotype(t, "seq").alias("flank"))
 
 

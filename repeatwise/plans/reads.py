@@ -94,7 +94,7 @@ def _(v):
 
 @query("rp10_reads_with_tracts", oracle("reads", "SELECT read_id, mate FROM reads WHERE read_id IN (SELECT read_id FROM tracts)", tract_ctes("reads", "read_id, mate")))
 def _(v):
-    return R.with_tract_only(v.reads, TR.detect(v.reads, ID, "seq")).select(*ID)
+    return R.with_tract_only(TR.carry_tracts(v.reads)).select(*ID)
 
 
 @query("rp11_guess_encoding", oracle("reads", r"""SELECT file, CASE WHEN bool_or(regexp_matches(qual, '[!-:]')) THEN 'phred33'

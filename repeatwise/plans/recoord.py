@@ -9,7 +9,7 @@ from ..operators import tracts as TR
 from ..registry import oracle, query
 from ..sources.text import annotated_name
 from .sql import index_ctes, island_ctes, tract_ctes
-from .tracts import DOC, doc_tracts, read_tracts
+from .tracts import DOC, carried, doc_tracts, read_tracts
 
 ID = ["read_id", "mate"]
 READ_TRACTS = tract_ctes("reads", "read_id, mate")
@@ -31,16 +31,16 @@ PLACED = """placed AS (SELECT a.*, o.position AS index_position, COALESCE(o."off
 FULL = READ_TRACTS + [TURNED, LEAD] + DOC_INDEX + [PLACED]
 
 
-def turned(v):
-    """Tracts of every alignment in alignment orientation."""
-    tracts = TR.tract_quality(read_tracts(v).join(v.alignments.select(*ID, "qual", "reverse", "read_length"), ID), "qual")
-    return RC.reverse_tract(tracts, "read_length").select(*ID, "start", "stop", "length", "unit", "tract_qual")
+def turned(v, *carry):
+    """Alignments that carry their tracts in alignment orientation."""
+    found = TR.carry_tracts(v.alignments)
+    tracts = RC.turned_tracts(F.col("tracts"), F.col("read_length"), F.col("reverse"), F.col("qual"))
+    return found.select(*(carry or ID), tracts.alias("tracts"))
 
 
 def placed(v):
     """Alignments with tract list, as-of offset and final read offset."""
-    al = v.alignments.withColumn("at", F.col("pos") + 1).drop("seq", "qual")
-    listed = TR.with_tracts(al, turned(v), ID)
+    listed = turned(v, *ID, "doc_id", "pos", "mapq", "mapped", "reverse", "cigar", (F.col("pos") + 1).alias("at"))
     return RC.genome_offset(RC.asof_offsets(listed, TR.offset_index(doc_tracts(v), DOC), "doc_id", "at"), "at")
 
 
@@ -75,21 +75,18 @@ def _(v):
 
 @query("ri05_leading_tract_bases", oracle("alignments", "SELECT read_id, mate, CAST(COALESCE(bases, 0) AS BIGINT) AS bases FROM alignments LEFT JOIN lead USING (read_id, mate)", READ_TRACTS + [TURNED, LEAD]))
 def _(v):
-    listed = TR.with_tracts(v.alignments.select(*ID), turned(v), ID)
-    return listed.select(*ID, RC.leading_bases(F.col("tracts")).alias("bases"))
+    return turned(v).select(*ID, RC.leading_bases(F.col("tracts")).alias("bases"))
 
 
 @query("ri06_original_length", oracle("alignments", "SELECT read_id, mate, read_length FROM alignments"))
 def _(v):
-    tracts = read_tracts(v)
-    short = TR.condense(v.alignments, tracts, ID, ["seq"])
-    listed = TR.with_tracts(short, tracts, ID)
-    return listed.select(*ID, RC.original_length(F.length("seq"), F.col("tracts")).alias("read_length"))
+    short = TR.carry_tracts(v.alignments.select(*ID, "seq")).withColumn("seq", TR.condensed(F.col("seq"), F.col("tracts")))
+    return short.select(*ID, RC.original_length(F.length("seq"), F.col("tracts")).alias("read_length"))
 
 
 @query("ri07_reverse_remap", oracle("alignments", "SELECT read_id, mate, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, unit, tract_qual FROM turned", READ_TRACTS + [TURNED]))
 def _(v):
-    return turned(v).select(*ID, "start", "stop", "unit", "tract_qual")
+    return TR.each_tract(turned(v)).select(*ID, "start", "stop", "unit", "tract_qual")
 
 
 @query("ri08_genome_start", oracle("alignments dna", """SELECT read_id, mate, t.unit, CAST(t.length AS BIGINT) AS length, CAST(pos + t.start + read_offset - clip AS BIGINT) AS genome_start
@@ -99,8 +96,7 @@ def _(v):
 
 
 def _on_genome(v):
-    rows = placed(v).filter(F.col("read_offset").isNotNull()).select("*", F.explode("tracts").alias("t")).select(
-        *ID, "doc_id", "pos", "cigar", "reverse", "read_offset", "t.start", "t.stop", "t.unit", "t.length")
+    rows = TR.each_tract(placed(v).filter(F.col("read_offset").isNotNull()))
     return rows.withColumn("genome_start", RC.genome_start(rows))
 
 
@@ -110,10 +106,9 @@ TAGS = """tagged AS (SELECT read_id, mate, string_agg('doc' || doc_id || ':' ||
 
 
 def _tags(v):
-    quals = turned(v).select(*ID, "start", "stop", "tract_qual")
-    rows = _on_genome(v).join(quals, [*ID, "start", "stop"]).withColumn("chrom", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    ops = rows.groupBy(*ID).agg(F.max(RC.original_position(rows)).alias("op"))
-    return RC.tags(rows, ID).join(ops, ID)
+    reads = placed(v).filter(F.col("read_offset").isNotNull() & (F.size("tracts") > 0))
+    tagged = RC.tags(reads, F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return tagged.select(*ID, "mc", "mu", RC.original_position(reads).cast("long").alias("op"))
 
 
 @query("ri09_tags", oracle("alignments dna", "SELECT read_id, mate, mc, mu, op FROM tagged", FULL + [TAGS]))
@@ -130,7 +125,7 @@ def _(v):
 @query("ri11_tracts_from_name", oracle("reads", """SELECT CAST(read_id AS VARCHAR) || '/' || mate AS bare_name, unit, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
   substring(qual, CAST(start AS BIGINT), CAST(length AS BIGINT)) AS qual, TRUE AS consistent FROM tracts JOIN reads USING (read_id, mate)""", READ_TRACTS))
 def _(v):
-    listed = TR.with_tracts(v.reads.select(*ID, "qual"), read_tracts(v), ID)
+    listed = carried(v)
     name = annotated_name(F.concat_ws("/", F.col("read_id").cast("string"), F.col("mate").cast("string")), F.col("tracts"), F.col("qual"))
     parsed = listed.select(RC.tracts_from_name(name).alias("x")).select("x.bare_name", "x.tracts", RC.consistent(F.col("x.tracts")).alias("consistent"))
     return parsed.select("bare_name", "consistent", F.explode("tracts").alias("t")).select("bare_name", "t.*", "consistent")
@@ -138,6 +133,5 @@ def _(v):
 
 @query("ri12_restore_read", oracle("reads", "SELECT read_id, mate, seq FROM reads WHERE length(seq) > 0"))
 def _(v):
-    tracts = read_tracts(v)
-    listed = TR.with_tracts(TR.condense(v.reads, tracts, ID, ["seq"]), tracts, ID)
-    return listed.select(*ID, RC.restore(F.col("seq"), F.col("tracts")).alias("seq"))
+    short = carried(v).filter(F.length("seq") > 0).withColumn("seq", TR.condensed(F.col("seq"), F.col("tracts")))
+    return short.select(*ID, RC.restore(F.col("seq"), F.col("tracts")).alias("seq"))

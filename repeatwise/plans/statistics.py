@@ -116,20 +116,18 @@ def _(v):
     return ST.hardy_weinberg(start_genotypes(v), C.subgroup(v.person, "parents")).drop("p_value").withColumn("score", F.round("score", 5))
 
 
-# upper tail of chi-square for whole degrees by its finite sum; odd degrees use the complementary error function,
-# which DuckDB lacks, so the p-value itself is checked for even degrees
-PVALUE = """SELECT locus_id, round(exp(-score / 2) * list_sum(list_transform(range(0, CAST(df / 2 AS BIGINT)), lambda j: exp(j * ln(greatest(score / 2, 1e-300)) - lgamma(j + 1)))), 6) AS p_value FROM hw WHERE df > 0 AND df % 2 = 0 AND score IS NOT NULL"""
+# Upper tail of chi-square for whole degrees: a finite sum, and for odd degrees the complementary error function of sqrt(h), h = score / 2, by the
+# series erf(x) = 2 / sqrt(pi) * exp(-x^2) * sum of (2 x^2)^n * x / (2 n + 1)!!, whose terms are all positive.
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda j: exp((j + 0.5) * ln(h) - h + 2 * j * ln(2) + lgamma(j + 1) - lgamma(2 * j + 2))))"
+_SUM = "COALESCE(list_sum(list_transform(range(0, CAST(df // 2 AS BIGINT)), lambda j: exp((j + (df % 2) / 2.0) * ln(h) - h - lgamma(j + (df % 2) / 2.0 + 1)))), 0)"
+TAIL = f"""pv AS MATERIALIZED (SELECT locus_id, CASE WHEN df = 0 THEN 1.0 ELSE least(1.0, CASE WHEN df % 2 = 0 OR h > 36 THEN 0 ELSE 1 - ({_ERF}) END + {_SUM}) END AS p_value, df
+  FROM (SELECT locus_id, CAST(df AS BIGINT) AS df, greatest(score / 2, 1e-300) AS h FROM hw WHERE score IS NOT NULL))"""
+PVALUE = oracle(FAMILY, "SELECT locus_id, round(p_value, 6) AS p_value FROM pv WHERE df > 0", PAR + [HWE, TAIL])
 
 
-@query("st11_hwe_p_value", oracle(FAMILY, PVALUE, PAR + [HWE]))
+@query("st11_hwe_p_value", PVALUE)
+@query("st11_hwe_p_values", PVALUE)
 def _(v):
-    h = ST.hardy_weinberg(start_genotypes(v), C.subgroup(v.person, "parents"))
-    return h.filter("df > 0 AND df % 2 = 0 AND score IS NOT NULL").select("locus_id", F.round("p_value", 6).alias("p_value"))
-
-
-@query("st11_hwe_p_values")
-def _(v):
-    # every tested locus, odd degrees too; no SQL
     h = ST.hardy_weinberg(start_genotypes(v), C.subgroup(v.person, "parents"))
     return h.filter("df > 0 AND score IS NOT NULL").select("locus_id", F.round("p_value", 6).alias("p_value"))
 
@@ -138,18 +136,13 @@ ENDS = """ctx2 AS (SELECT locus_id, CASE WHEN exon IS NOT NULL THEN 'exon' WHEN
 HET = "CAST(COUNT(*) FILTER (h AND c = '{c}') AS BIGINT) AS het_{n}"
 
 
-@query("st12_het_loci_by_context", oracle(FAMILY + " locus annotation", "SELECT person_id, " + ", ".join(HET.format(c=c, n=n) for c, n in [("exon", "exon"), ("3u", "utr_3"), ("5u", "utr_5"), ("intron", "intron"), ("mirna", "mirna"), ("intergenic", "intergenic")])
-    + " FROM (SELECT person_id, c, allele_1 > 0 AND allele_2 > 0 AND allele_1 <> allele_2 AS h FROM geno JOIN hw USING (locus_id) JOIN ctx2 USING (locus_id) WHERE score IS NOT NULL AND n_alleles >= 1) GROUP BY person_id", PAR + [HWE, CONTEXT, ENDS]))
-def _(v):
-    # all tested loci (p > -1), so the check does not depend on a chi-square tail in SQL; the default is p > 0.05
-    g = start_genotypes(v)
-    ctx = AN.annotate(v.locus, v.annotation).select("locus_id", AN.context("by_end").alias("context"))
-    return ST.het_loci(g, ST.hardy_weinberg(g, C.subgroup(v.person, "parents")), ctx, least_p=-1.0)
+BALANCED = oracle(FAMILY + " locus annotation", "SELECT person_id, " + ", ".join(HET.format(c=c, n=n) for c, n in [("exon", "exon"), ("3u", "utr_3"), ("5u", "utr_5"), ("intron", "intron"), ("mirna", "mirna"), ("intergenic", "intergenic")])
+    + " FROM (SELECT person_id, c, allele_1 > 0 AND allele_2 > 0 AND allele_1 <> allele_2 AS h FROM geno JOIN pv USING (locus_id) JOIN ctx2 USING (locus_id) WHERE p_value > 0.05) GROUP BY person_id", PAR + [HWE, TAIL, CONTEXT, ENDS])
 
 
-@query("st12_het_loci_in_equilibrium")
+@query("st12_het_loci_by_context", BALANCED)
+@query("st12_het_loci_in_equilibrium", BALANCED)
 def _(v):
-    # loci in equilibrium only (p > 0.05); no SQL
     g = start_genotypes(v)
     ctx = AN.annotate(v.locus, v.annotation).select("locus_id", AN.context("by_end").alias("context"))
     return ST.het_loci(g, ST.hardy_weinberg(g, C.subgroup(v.person, "parents")), ctx)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cohort as C
 from ..operators import denovo as DN
@@ -16,16 +18,18 @@ from ..registry import oracle, query
 from ..session import scratch_path, written
 from ..sources import text as IO
 from .denovo import FULL, LABELS, cases
-from .export import ALT, COUNTS, CALLS, GT, SEQ, locus_counts
+from .export import ALT, CALLS, COUNTS, GT, INFO, SAMPLE, SEQ, locus_counts
 from .families import SCORES, start_scores
+from .fitted import genotypes as em_genotypes
+from .fitted import scores as em_scores
 from .genotypes import EM_CALLS, fitted, start_genotypes
-from .population import ALLELES, BASE, COLUMNS
+from .population import ALLELES, BASE, CELLS, COLUMNS
 from .population import CAST as INDEX_CAST
 from .population import VIEWS as OBS
-from .profiles import FLANK_ROWS, KEY, PROFILE, located, profiles
-from .sql import index_ctes, island_ctes, start_calls, tract_ctes
+from .profiles import DUPS, FLANK_ROWS, KEY, PROFILE, located, profiles
+from .sql import family_ctes, index_ctes, island_ctes, start_calls, tract_ctes
 from .statistics import FAMILY, PAR, RARE, SHARE, TRANS_OUT, TRANSMITTED, transmitted
-from .tracts import DOC, doc_tracts, read_tracts
+from .tracts import BLOCK, DOC, carried, doc_tracts, flanked
 
 ID = ["read_id", "mate"]
 DOC_TRACTS = tract_ctes("dna", "doc_id")
@@ -44,6 +48,14 @@ def _(v):
     return IO.read_fasta(v.spark, path)
 
 
+@query("io01_fasta_tracts", oracle("dna", "SELECT 'doc' || doc_id AS chrom, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CAST(length AS BIGINT) AS length, unit FROM tracts", DOC_TRACTS))
+def _(v):
+    path = _path(v, "fasta")
+    IO.write_fasta(v.dna.filter(F.length("seq") > 0).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"), F.lower("seq").alias("seq")), path)
+    found = TR.detect_blocks(IO.read_fasta_blocks(v.spark, path, BLOCK), ["rec", "chrom"], "seq")
+    return found.drop("rec")
+
+
 @query("io02_fastq", oracle("reads", "SELECT CAST(read_id AS VARCHAR) AS read_id, mate, passed, seq, qual FROM reads"))
 def _(v):
     path = _path(v, "fastq")
@@ -71,6 +83,16 @@ def _(v):
     return v.spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query("io07_reference_flanks", oracle("dna", """SELECT 'doc' || doc_id || chr(9) || start || chr(9) || stop || chr(9) || length || chr(9) || unit || chr(9) || front || chr(9) || rear || chr(9) || lower(front) || bases || lower(rear) AS line FROM
+  (SELECT *, substring(seq, CAST(greatest(start - 30, 1) AS BIGINT), CAST(start - greatest(start - 30, 1) AS BIGINT)) AS front, substring(seq, CAST(stop + 1 AS BIGINT), 30) AS rear,
+    substring(seq, CAST(start AS BIGINT), CAST(length AS BIGINT)) AS bases FROM tracts JOIN dna USING (doc_id))""", DOC_TRACTS))
+def _(v):
+    path = _path(v, "tract-flanks")
+    around = flanked(v).select("doc_id", "start", "stop", "front_flank", "rear_flank", "snapshot")
+    IO.write_ref_tracts(_named(v).join(around, ["doc_id", "start", "stop"]), path)
+    return v.spark.read.text(path).withColumnRenamed("value", "line")
+
+
 INDEX = DOC_TRACTS + island_ctes("doc_id") + index_ctes("doc_id")
 
 
@@ -94,7 +116,7 @@ def _(v):
 
 
 def _listed(v):
-    return TR.with_tracts(v.reads.select(*ID, "seq", "qual"), read_tracts(v), ID)
+    return carried(v)
 
 
 CELL = "unit || ':' || start || ':' || length || ':' || substring(qual, CAST(start AS BIGINT), CAST(length AS BIGINT))"
@@ -127,15 +149,15 @@ def _(v):
     READ_TRACTS + ["covered AS (SELECT DISTINCT read_id, mate, unnest(range(CAST(start AS BIGINT), CAST(stop + 1 AS BIGINT))) AS i FROM tracts)"]))
 def _(v):
     path = _path(v, "condensed")
-    short = TR.condense(v.reads, read_tracts(v), ID, ["seq", "qual"]).withColumn("name", F.col("read_id").cast("string"))
+    short = carried(v).select(F.col("read_id").cast("string").alias("name"), *[TR.condensed(F.col(c), F.col("tracts")).alias(c) for c in ("seq", "qual")])
     IO.write_fastq(IO.condensed_fastq(short, "name"), path)
     return IO.read_fastq(v.spark, path).select("l1", "l2", "l3", "l4")
 
 
 def _profile_files(v):
     path = _path(v, "profiles")
-    rows = P.flank_table(P.dedup_reads(located(v)))
-    IO.write_profiles(P.with_reference(rows, v.ref_tract), path)
+    reads = P.dedup_reads(located(v))
+    IO.write_profiles(P.with_reference(P.with_read_names(P.flank_table(reads), reads), v.ref_tract), path)
     return IO.read_profiles(v.spark, path)
 
 
@@ -144,6 +166,12 @@ def _(v):
     return _profile_files(v).select(*P.KEY, "flank", "flank_count", "num_flanks", "rank", "histogram")
 
 
+@query("io14_profile_read_names", oracle(OBS, f"""SELECT {KEY}, flank, names AS read_names FROM flank_rows JOIN (SELECT {KEY}, flank, string_agg(CAST(read_name AS VARCHAR), ',' ORDER BY CAST(read_name AS VARCHAR)) AS names
+  FROM (SELECT {KEY}, flank, read_name FROM kept UNION ALL SELECT {KEY}, 'all', read_name FROM kept) GROUP BY {KEY}, flank) USING ({KEY}, flank)""", PROFILE + [FLANK_ROWS]))
+def _(v):
+    return _profile_files(v).select(*P.KEY, "flank", "read_names")
+
+
 @query("io15_profile_source", oracle(OBS, f"SELECT {KEY}, length, CAST(COUNT(*) AS BIGINT) AS n FROM kept GROUP BY {KEY}, length", PROFILE))
 def _(v):
     return IO.profile_lengths(_profile_files(v)).select(*P.KEY, "length", "n")
@@ -157,7 +185,32 @@ def _(v):
     return v.spark.read.csv(path, sep="\t", schema=schema).groupBy("person_id").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("reads"))
 
 
-@query("io18_population_tables", oracle(OBS, f"SELECT chrom, start, motif, {INDEX_CAST}, ref_length FROM pop", BASE))
+@query("io16_duplicate_rows", oracle(OBS, f"SELECT d.*, m.mode AS profile_mode FROM dups d LEFT JOIN modes m USING ({KEY})", PROFILE + [DUPS]))
+def _(v):
+    path = _path(v, "duplicates")
+    P.duplicate_report(located(v).drop("ref_length"), v.ref_tract).write.csv(path, sep="\t")
+    schema = "person_id BIGINT, chrom STRING, start INT, motif STRING, motif_length INT, ref_length INT, lo_pos INT, hi_pos INT, profile_mode INT, off_mode_share DOUBLE, size BIGINT, histogram STRING"
+    return v.spark.read.csv(path, sep="\t", schema=schema).withColumn("off_mode_share", F.round("off_mode_share", 6))
+
+
+@query("io18_population_columns", oracle("person", "SELECT col_no, person_id, family_id, relation FROM cols", [COLUMNS]))
+def _(v):
+    path = _path(v, "person-columns")
+    PO.person_columns(v.person).select("col_no", "person_id", "family_id", "relation").write.csv(path, sep="\t")
+    return v.spark.read.csv(path, sep="\t", schema="col_no BIGINT, person_id BIGINT, family_id INT, relation STRING")
+
+
+@query("io18_population_counts", oracle(OBS + " person", """SELECT chrom || chr(9) || start || chr(9) || motif || chr(9) || string_agg(COALESCE(cell, '0;;'), chr(9) ORDER BY col_no) AS line FROM (SELECT DISTINCT chrom, start, motif FROM cell) l CROSS JOIN cols
+  LEFT JOIN cell USING (chrom, start, motif, person_id) GROUP BY chrom, start, motif""", BASE + [CELLS, COLUMNS]))
+def _(v):
+    path = _path(v, "population-counts")
+    people = PO.person_columns(v.person).select("person_id", "col_no")
+    rows = PO.matrix_rows(PO.cells(profiles(v)), people, people.count())
+    rows.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), "motif", "cells").alias("value")).write.text(path)
+    return v.spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("io18_population_tables", oracle(OBS, f"SELECT chrom, start, motif, {INDEX_CAST}, ref_length, longest FROM pop", BASE))
 def _(v):
     return written(PO.locus_index(profiles(v)), "population")
 
@@ -191,6 +244,11 @@ def _(v):
     return _info(v)
 
 
+@query("io21_locus_rows", oracle(OBS, """SELECT chrom, start, motif, CAST(place AS BIGINT) AS first_row FROM (SELECT *, row_number() OVER (ORDER BY CAST(replace(chrom, 'chr', '') AS INT), start, length(motif), motif, length) - 1 AS place FROM al) WHERE length = 0""", BASE + [ALLELES]))
+def _(v):
+    return IO.locus_rows(_info(v))
+
+
 @query("io22_allele_slice", oracle("allele_cov locus", "SELECT locus_id, person_id, allele_len, CAST(n AS BIGINT) AS n FROM allele_cov JOIN locus USING (locus_id) WHERE locus_id BETWEEN 15 AND 34 AND chrom NOT IN ('chr21', 'chr22')".replace("SELECT locus_id", "SELECT allele_cov.locus_id").replace("WHERE locus_id", "WHERE allele_cov.locus_id")))
 def _(v):
     path, first, last, width = _path(v, "alleles"), 15, 34, 10
@@ -219,9 +277,7 @@ def _(v):
     kind = F.when(F.col("family_id") > 0, F.col("sample_type"))
     # ragged: the last field is missing where it has no value
     line = F.concat_ws("\t", F.col("person_id").cast("string"), "sex", kind)
-    body = v.person.select(line.alias("value"), F.lit(1).alias("part"))
-    head = v.spark.range(1).select(F.lit("person_id\tsex\tsample_type").alias("value"), F.lit(0).alias("part"))
-    head.unionByName(body).repartition(1).sortWithinPartitions("part").select("value").write.text(path)  # one small report file
+    IO.write_report(v.person.select(line.alias("value")), "person_id\tsex\tsample_type", path)
     return IO.read_report(v.spark, path, "person_id BIGINT, sex STRING, sample_type STRING")
 
 
@@ -266,29 +322,71 @@ def _(v):
 def _(v):
     path = _path(v, "violations")
     rows = DN.label_violators(start_scores(v)).select("locus_id", "family_id", "who")
-    IO.append_table(rows.filter("who = 1"), path)
-    IO.append_table(rows.filter("who > 1"), path)
-    return v.spark.read.csv(path, header=True, schema="locus_id INT, family_id INT, who INT")
+    IO.append_run(rows.filter("who = 1"), path, "proband")
+    IO.append_run(rows.filter("who > 1"), path, "others")
+    IO.append_run(rows.filter("who = 1"), path, "proband")  # a run repeated counts once
+    return IO.read_runs(v.spark, path, "locus_id INT, family_id INT, who INT")
 
 
 @query("io31_rare_allele_sink", oracle(FAMILY + " bad_family", TRANS_OUT, TRANSMITTED))
 def _(v):
     path = _path(v, "rare")
     rows = transmitted(v)
-    IO.append_table(rows, path)
-    return v.spark.read.csv(path, header=True, schema=rows.schema)
+    IO.append_run(rows, path, "all")
+    return IO.read_runs(v.spark, path, rows.schema)
 
 
-@query("io32_vcf_sink", oracle("allele_cov expected locus person", f"""SELECT person_id, CAST(COUNT(*) + {len(V.INFO_FIELDS) + len(V.FORMAT_FIELDS) + 3} AS BIGINT) AS lines, CAST(COUNT(*) AS BIGINT) AS records, CAST(COUNT(*) FILTER (len(alts) > 0) AS BIGINT) AS with_alt FROM gv GROUP BY person_id""", start_calls() + [CALLS, COUNTS]))
+@query("io32_vcf_sink", oracle("allele_cov expected locus person", f"""SELECT person_id, CAST(COUNT(*) + {len(V.INFO_FIELDS) + len(V.FORMAT_FIELDS) + 4} AS BIGINT) AS lines, CAST(COUNT(*) AS BIGINT) AS records, CAST(COUNT(*) FILTER (len(alts) > 0) AS BIGINT) AS with_alt FROM gv GROUP BY person_id""", start_calls() + [CALLS, COUNTS]))
 def _(v):
     path = _path(v, "vcf")
-    IO.write_vcf(V.records(start_genotypes(v), v.locus, locus_counts(v)), path)
+    IO.write_vcf(V.records(start_genotypes(v), v.locus, locus_counts(v)), path, v.person)
     lines = v.spark.read.text(path)
     body = ~F.col("value").startswith("#")
     return lines.groupBy(F.col("person_id").cast("long").alias("person_id")).agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(body).alias("records"), F.count_if(body & (F.split("value", "\t")[4] != ".")).alias("with_alt"))
 
 
+HEADER = ", ".join("'" + h.replace("'", "''") + "'" for h in ["##fileformat=VCFv4.1", "##source=repeatwise"] + [f'##{k}=<ID={i},Number={n},Type={t},Description="{d}">' for k, fs in (("INFO", V.INFO_FIELDS), ("FORMAT", V.FORMAT_FIELDS)) for i, n, t, d in fs])
+NAMES = "'#' || array_to_string(['CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'SAMPLE'], chr(9))"
+
+
+@query("io32_vcf_text", oracle("allele_cov expected locus person", f"""SELECT person_id, chrom || chr(9) || start || chr(9) || '.' || chr(9) || {SEQ.format(n='ref_length')} || chr(9) || {ALT} || chr(9) || '.' || chr(9) || {INFO} || chr(9) || '{":".join(f[0] for f in V.FORMAT_FIELDS)}' || chr(9) || {SAMPLE} AS line FROM gv JOIN lc USING (locus_id)
+  UNION ALL SELECT person_id, unnest([{HEADER}, {NAMES}, '##personInfo=<IndividualID=' || person_id || ',FamilyID=' || family_id || '>']) FROM person WHERE person_id IN (SELECT person_id FROM gv)""", start_calls() + [CALLS, COUNTS]))
+def _(v):
+    # every line of every file but for QUAL, whose last digits hang on the last bits of the confidence (vc04_quality)
+    path = _path(v, "vcf")
+    IO.write_vcf(V.records(start_genotypes(v), v.locus, locus_counts(v)), path, v.person)
+    lines = v.spark.read.text(path)
+    cells = F.split("value", "\t")
+    line = F.when(F.col("value").startswith("#"), F.col("value")).otherwise(F.concat_ws("\t", F.slice(cells, 1, 5), F.slice(cells, 7, 4)))
+    return lines.select(F.col("person_id").cast("long").alias("person_id"), line.alias("line"))
+
+
+SUMMARY = {
+    "bias_rates": "SELECT locus_id, CAST(allele_len AS BIGINT) AS other, b AS value FROM b_end JOIN rk USING (locus_id, r)", "error_rates": "SELECT locus_id, NULL, eps FROM m_end", "em_iterations": "SELECT locus_id, NULL, n_iter FROM m_end",
+    "single_null": "SELECT locus_id, NULL, AVG(CASE WHEN allele_1 > 0 AND allele_2 < 0 THEN 1 ELSE 0 END) FROM geno GROUP BY locus_id", "double_null": "SELECT locus_id, NULL, AVG(CASE WHEN allele_1 < 0 AND allele_2 < 0 THEN 1 ELSE 0 END) FROM geno GROUP BY locus_id",
+    "alleles_per_locus": "SELECT locus_id, NULL, COUNT(DISTINCT a) FILTER (a > 0) FROM (SELECT locus_id, unnest([allele_1, allele_2]) AS a FROM geno) GROUP BY locus_id",
+    "het_share": "SELECT locus_id, NULL, AVG(CASE WHEN allele_1 > 0 AND allele_2 > 0 AND allele_1 <> allele_2 THEN 1 ELSE 0 END) FROM geno GROUP BY locus_id",
+    "confidence": "SELECT locus_id, person_id, confidence FROM geno", "allele_fit": "SELECT locus_id, person_id, allele_fit FROM geno", "noise_fit": "SELECT locus_id, person_id, noise_fit FROM geno",
+    "null_probability": "SELECT locus_id, person_id, p_null FROM geno", "locus_coverage": "SELECT locus_id, person_id, total FROM geno",
+    "proband_de_novo_scores": "SELECT locus_id, family_id, proband_obedience FROM fam", "sibling_de_novo_scores": "SELECT locus_id, family_id, sibling_obedience FROM fam",
+}
+SUMMARY_SQL = " UNION ALL ".join(f"SELECT '{name}' AS dataset, locus_id, other, round(CAST(value AS DOUBLE), 5) AS value FROM ({sql}) t(locus_id, other, value)" for name, sql in SUMMARY.items())
+
+
+@query("io33_summary_tables", oracle("allele_cov expected person", SUMMARY_SQL, EM_CALLS + family_ctes()))
+def _(v):
+    path, g, model = _path(v, "summaries"), em_genotypes(v), fitted(v)[1]
+    IO.write_tables(ST.summary_tables(g, em_scores(v), G.locus_models(model), G.allele_biases(model)), path)
+    parts = []
+    for name in SUMMARY:
+        table = v.spark.read.parquet(f"{path}/{name}")
+        other = next((c for c in ("allele_len", "person_id", "family_id") if c in table.columns), None)
+        other = F.col(other) if other else F.lit(None)
+        parts.append(table.select(F.lit(name).alias("dataset"), "locus_id", other.cast("long").alias("other"), F.round(F.col("value").cast("double"), 5).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("io33_summary_store", oracle("allele_cov expected", "SELECT locus_id, round(AVG(CASE WHEN allele_1 > 0 AND allele_2 > 0 AND allele_1 <> allele_2 THEN 1 ELSE 0 END), 6) AS het_share FROM geno GROUP BY locus_id", start_calls()))
 def _(v):
     return written(ST.locus_summary(start_genotypes(v)), "summary").select("locus_id", F.round("het_share", 6).alias("het_share"))

@@ -64,9 +64,13 @@ def _(v):
 TERMINAL = """marked AS (SELECT t.*, r.seq, r.qual, NOT (start = 1 OR stop = length(r.seq)) AS passed FROM tracts t JOIN reads r USING (read_id, mate))"""
 
 
+def carried(v):
+    """Reads that carry their tracts."""
+    return TR.carry_tracts(v.reads.select(*ID, "seq", "qual"))
+
+
 def _with_reads(v):
-    tracts = read_tracts(v)
-    return tracts.join(v.reads.select(*ID, "seq", "qual"), ID)
+    return TR.each_tract(carried(v))
 
 
 @query("md05_terminal_tracts", oracle("reads", """SELECT read_id, mate, CAST(start AS BIGINT) AS start, CASE WHEN passed THEN unit ELSE lower(unit) END AS unit, passed FROM marked""", READ_TRACTS + [TERMINAL]))
@@ -78,10 +82,10 @@ def _(v):
   substring(seq, CAST(greatest(start - 30, 1) AS BIGINT), CAST(start - greatest(start - 30, 1) AS BIGINT)) AS front_flank, substring(seq, CAST(stop + 1 AS BIGINT), 30) AS rear_flank
   FROM tracts JOIN dna USING (doc_id)""", DOC_TRACTS))
 def _(v):
-    return _flanked(v).select("doc_id", "start", "stop", "front_flank", "rear_flank")
+    return flanked(v).select("doc_id", "start", "stop", "front_flank", "rear_flank")
 
 
-def _flanked(v):
+def flanked(v):
     """Flanks of sequence tracts: each tract asks for its neighbourhood only, block by block."""
     ranges = doc_tracts(v).select("doc_id", "start", "stop", "unit", F.greatest(F.col("start") - 30, F.lit(1)).alias("a"), (F.col("stop") + 30).alias("b"))
     around = TR.subsequence(v.dna, ranges.select("doc_id", F.col("a").alias("start"), F.col("b").alias("stop")), "doc_id", "seq")
@@ -94,7 +98,7 @@ def _flanked(v):
   lower(substring(seq, CAST(greatest(start - 30, 1) AS BIGINT), CAST(start - greatest(start - 30, 1) AS BIGINT))) || substring(seq, CAST(start AS BIGINT), CAST(length AS BIGINT)) || lower(substring(seq, CAST(stop + 1 AS BIGINT), 30)) AS snapshot
   FROM tracts JOIN dna USING (doc_id)""", DOC_TRACTS))
 def _(v):
-    return _flanked(v).select("doc_id", "start", "stop", "snapshot")
+    return flanked(v).select("doc_id", "start", "stop", "snapshot")
 
 
 CONDENSED = """SELECT {k}, md5(string_agg(b, '' ORDER BY i)) AS seq_md5, CAST(COUNT(*) AS BIGINT) AS n FROM bases s WHERE NOT EXISTS
@@ -114,7 +118,8 @@ def _(v):
   FROM bases s JOIN reads USING (read_id, mate) WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.read_id = s.read_id AND c.mate = s.mate AND c.i = s.i) GROUP BY read_id, mate""",
     READ_TRACTS + ["covered AS (SELECT DISTINCT read_id, mate, unnest(range(CAST(start AS BIGINT), CAST(stop + 1 AS BIGINT))) AS i FROM tracts)"]))
 def _(v):
-    return TR.condense(v.reads, read_tracts(v), ID, ["seq", "qual"]).filter(F.length("seq") > 0).select(*ID, "seq", "qual")
+    short = carried(v).select(*ID, *[TR.condensed(F.col(c), F.col("tracts")).alias(c) for c in ("seq", "qual")])
+    return short.filter(F.length("seq") > 0)
 
 
 @query("md09_offset_index", oracle("dna", 'SELECT doc_id, CAST(position AS BIGINT) AS position, CAST("offset" AS BIGINT) AS "offset" FROM offset_index', DOC_TRACTS + island_ctes("doc_id") + index_ctes("doc_id")))
@@ -136,8 +141,8 @@ def _(v):
 
 @query("md12_passing_tracts", oracle("reads", """SELECT read_id, mate, CAST(COUNT(*) AS BIGINT) AS n_tracts, CAST(COUNT(*) FILTER (passed) AS BIGINT) AS n_passed FROM marked GROUP BY read_id, mate""", READ_TRACTS + [TERMINAL]))
 def _(v):
-    t = TR.mark_terminal(_with_reads(v).withColumn("n", F.length("seq")), "n")
-    return t.groupBy(*ID).agg(F.count(F.lit(1)).alias("n_tracts"), F.count_if("passed").alias("n_passed"))
+    inner = F.filter("tracts", lambda t: (t["start"] > 1) & (t["stop"] < F.length("seq")))
+    return carried(v).select(*ID, F.size("tracts").cast("long").alias("n_tracts"), F.size(inner).cast("long").alias("n_passed")).filter("n_tracts > 0")
 
 
 @query("md13_tract_text", oracle("dna", """SELECT doc_id, unit || ':' || start || ':' || length AS text, unit, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length FROM tracts""", DOC_TRACTS))

@@ -5,8 +5,12 @@ All readers are Spark text or CSV scans; gzip is transparent. Writers are ``df.w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import uuid
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from ..functions.numbering import number_rows
 from ..operators import tracts as TR, vcf as V
 from ..operators.population import relation_code
 from ..operators.profile import chrom_number
@@ -14,12 +18,62 @@ from ..operators.reads import parse_header
 from ..session import written
 
 
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Sequence lines of FASTA files: ``rec`` (number of the record), ``chrom``, ``at`` (bases of the record before the line) and ``bases`` in upper case.
+
+    Every byte range of a file numbers its own lines and bases. One row per range, with its last header and its bases, is carried to the
+    ranges that follow, so a record may span any number of ranges and none is read in one task. Headers lose leading blanks.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("mid"), "value"
+    )
+    kept = written(lines, "fasta-lines").withColumn("is_head", F.col("value").startswith(">"))
+    parsed = kept.select(
+        "file", "split", "mid", F.when(F.col("is_head"), F.struct(F.col("mid").alias("rec"), F.trim(F.substring("value", 2, 1 << 30)).alias("chrom"))).alias("head"),
+        F.when(F.col("is_head"), "").otherwise(F.upper(F.regexp_replace("value", r"\s", ""))).alias("bases"))
+    here = Window.partitionBy("file", "split").orderBy("mid")
+    placed = parsed.withColumn("before", F.coalesce(F.sum(F.length("bases")).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
+        "begun", F.when(F.col("head").isNotNull(), F.col("before")))
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    headed = placed.withColumn("head", F.last("head", ignorenulls=True).over(upto)).withColumn("begun", F.max("begun").over(upto))
+
+    ranges = placed.groupBy("file", "split").agg(
+        F.sum(F.length("bases")).alias("total"), F.max("begun").alias("begun"), F.max_by("head", F.when(F.col("head").isNotNull(), F.col("mid"))).alias("head"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row per byte range
+    summed = ranges.withColumn("so_far", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    given = summed.select(
+        "file", "split", F.last("head", ignorenulls=True).over(earlier).alias("given"),
+        (F.col("so_far") - F.max(F.col("so_far") + F.col("begun")).over(earlier)).alias("given_bases"))
+    known = headed.filter(F.length("bases") > 0).join(given, ["file", "split"])
+    record = F.coalesce("head", "given")
+    at = F.when(F.col("head").isNotNull(), F.col("before") - F.col("begun")).otherwise(F.col("before") + F.col("given_bases"))
+    return known.filter(record.isNotNull()).select(record["rec"].alias("rec"), record["chrom"].alias("chrom"), at.alias("at"), "bases")
+
+
+def read_fasta_blocks(spark: SparkSession, path: str, block: int = 1 << 14, context: int = 6) -> DataFrame:
+    """Records as blocks of ``block`` bases with the ``context`` bases before each, as ``detect_blocks`` takes them (keys ``rec, chrom``).
+
+    A line gives its bases to every block they lie in or stand before; no row or group is longer than a block and its context.
+    """
+    lines = fasta_lines(spark, path)
+    stop = F.col("at") + F.length("bases")
+    span = F.sequence(F.floor(F.col("at") / block), F.floor((stop - 1 + context) / block))
+    dealt = lines.withColumn("blk", F.explode(span)).withColumn("base", F.col("blk") * block)
+    begin = F.greatest("at", F.col("base") - context)
+    end = F.least(stop, F.col("base") + block)
+    pieces = dealt.select("rec", "chrom", "blk", F.struct(begin.alias("begin"), F.substring(F.col("bases"), (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("s")).alias("piece"))
+    whole = pieces.groupBy("rec", "chrom", "blk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["s"]), "").alias("seq"))
+    sizes = lines.groupBy("rec").agg(F.max(stop).alias("size"))
+    first, ctx = F.col("blk") * block, F.least(F.lit(context), F.col("blk") * block).cast("int")
+    return whole.join(sizes, "rec").filter(first < F.col("size")).select(
+        "rec", "chrom", F.col("blk").cast("int").alias("blk"), (first + 1).alias("first"), (first + block >= F.col("size")).alias("is_last"), ctx.alias("ctx"), "seq")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, seq`` per record; bases in upper case, leading blanks of the header dropped."""
-    raw = spark.read.text(path, lineSep=">").filter(F.length(F.trim("value")) > 0)
-    head = F.trim(F.substring_index("value", "\n", 1))
-    body = F.substring(F.col("value"), F.locate("\n", F.col("value")) + 1, F.length("value"))
-    return raw.select(head.alias("chrom"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
+    """``chrom, seq`` per record whose sequence fits a row; longer ones are read with ``read_fasta_blocks``. Records without bases are left out."""
+    blocks = read_fasta_blocks(spark, path, context=0)
+    parts = F.array_sort(F.collect_list(F.struct("blk", "seq")))
+    return blocks.groupBy("rec", "chrom").agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq")).select("chrom", "seq")
 
 
 def write_fasta(seqs: DataFrame, path: str, chrom: str = "chrom", seq: str = "seq", width: int = 60) -> None:
@@ -93,7 +147,7 @@ def read_ref_tracts(spark: SparkSession, path: str) -> DataFrame:
 def write_ref_tracts(tracts: DataFrame, path: str) -> None:
     """Tab-separated tracts, with flanks and snapshot when present."""
     names = [c for c in ("chrom", "start", "stop", "length", "unit", "front_flank", "rear_flank", "snapshot") if c in tracts.columns]
-    tracts.select(*names).write.csv(path, sep="\t")
+    tracts.select(*names).write.csv(path, sep="\t", emptyValue="")
 
 
 def write_offset_index(index: DataFrame, path: str) -> None:
@@ -126,12 +180,14 @@ def write_sidecar(reads: DataFrame, path: str) -> None:
 
 
 PROFILE_SCHEMA = (
-    "chrom STRING, start INT, motif STRING, ref_length INT, num_flanks INT, rank INT, flank STRING, flank_count BIGINT, histogram STRING"
+    "chrom STRING, start INT, motif STRING, ref_length INT, num_flanks INT, rank INT, flank STRING, flank_count BIGINT, histogram STRING, read_names STRING"
 )
 
 
 def write_profiles(rows: DataFrame, path: str) -> None:
-    """Profile files, one folder per person, gzip."""
+    """Profile files, one folder per person, gzip; ``read_names`` is left empty where rows come without."""
+    if "read_names" not in rows.columns:
+        rows = rows.withColumn("read_names", F.lit(None).cast("string"))
     rows.select("person_id", *[c.split()[0] for c in PROFILE_SCHEMA.split(", ")]).write.partitionBy("person_id").csv(path, sep="\t", compression="gzip")
 
 
@@ -157,6 +213,20 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema, mode="PERMISSIVE")
 
 
+def write_report(lines: DataFrame, header: str, path: str) -> None:
+    """Lines (column ``value``) as report files, each of which begins with the header."""
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+            yield batch
+
+    lines.select("value").mapInArrow(headed, "value string").write.text(path)
+
+
 def quad_report(report: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whole-blood quads with a bare id, and those whose status is not ok."""
     blood = report.filter(F.col("quad_id").rlike("^auSSC.*wholeblood")).withColumn("family_id", F.regexp_replace("quad_id", "-wholeblood.*$", ""))
@@ -166,6 +236,13 @@ def quad_report(report: DataFrame) -> tuple[DataFrame, DataFrame]:
 LOCUS_INFO_SCHEMA = "chrom STRING, start INT, motif STRING, ref_length INT, pop_count BIGINT, max_count BIGINT, sum_count BIGINT, length INT, num_lengths BIGINT"
 
 
+def locus_rows(info: DataFrame) -> DataFrame:
+    """Where each locus begins: ``chrom, start, motif, first_row``, rows of the locus info numbered from 0 in genome order, the total (length 0) first."""
+    keyed = info.withColumn("chrom_no", chrom_number(F.col("chrom"))).withColumn("motif_length", F.length("motif"))
+    numbered = number_rows(keyed, ["chrom_no", "start", "motif_length", "motif", "length"], "first_row")
+    return numbered.filter("length = 0").select("chrom", "start", "motif", "first_row")
+
+
 def read_locus_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=LOCUS_INFO_SCHEMA)
 
@@ -179,25 +256,47 @@ def read_gene_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, buckets: int = 64) -> None:
-    """Store by locus bucket, so a locus range reads only its own files."""
-    df.withColumn("locus_bucket", F.floor(F.col(by) / buckets).cast("int")).write.partitionBy("locus_bucket").parquet(path)
+    """Store by locus bucket, so a locus range reads only its own files. Writing a chunk of loci again replaces its buckets and no others."""
+    rows = df.withColumn("locus_bucket", F.floor(F.col(by) / buckets).cast("int")).write.partitionBy("locus_bucket")
+    rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
 
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """Append the rows of one run to a table; the same run written again, whole or after a failure, counts once.
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").csv(path, header=True)
+    Parts are written aside, into a folder of their own, and listed by one small file once they are complete; the list names one attempt for each run.
+    The header of the table stands there too, once.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    df.write.csv(f"{path}/parts/run={run}/attempt={attempt}")
+    spark.createDataFrame([(attempt,)], "attempt STRING").coalesce(1).write.mode("overwrite").csv(f"{path}/listed/run={run}")
+    spark.createDataFrame([(",".join(df.columns),)], "header STRING").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+def read_runs(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Rows of the listed parts of a table of runs; ``schema`` is that of its rows."""
+    plain = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*plain.fields, T.StructField("run", T.StringType()), T.StructField("attempt", T.StringType())])
+    listed = spark.read.schema("attempt STRING, run STRING").csv(f"{path}/listed")
+    return spark.read.schema(whole).csv(f"{path}/parts").join(listed, ["run", "attempt"], "left_semi").select(*plain.names)
 
 
-def write_vcf(records: DataFrame, path: str) -> None:
-    """One VCF per person folder, in one file: header first, then records by chromosome (X, Y and MT after the autosomes) and position.
+def write_vcf(records: DataFrame, path: str, person: DataFrame) -> None:
+    """One VCF per person folder, in one file: header with the person's ids first, then records by chromosome (X, Y and MT after the autosomes) and position.
 
     A person's lines, at most one for each locus, are dealt to one partition and sorted there.
     """
-    spark = records.sparkSession
     body = records.select(
         "person_id", F.lit(1).alias("part"), chrom_number(F.col("chrom")).alias("c"), "pos",
         F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.round("qual", 3).cast("string"), "filter", "info", "format", "sample").alias("value"),
     )
-    text = "\n".join(V.header_lines(spark))
-    head = records.select("person_id").distinct().select("person_id", F.lit(0).alias("part"), F.lit(0).alias("c"), F.lit(0).alias("pos"), F.lit(text).alias("value"))
+    known = records.select("person_id").distinct().join(person.select("person_id", "family_id"), "person_id", "left")
+    head = known.select("person_id", F.lit(0).alias("part"), F.lit(0).alias("c"), F.lit(0).alias("pos"), F.array_join(V.header_lines(F.col("person_id"), F.col("family_id")), "\n").alias("value"))
     body.unionByName(head).repartition("person_id").sortWithinPartitions("person_id", "part", "c", "pos").select(
         "person_id", "value").write.partitionBy("person_id").text(path)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Named tables beside each other as Parquet."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -90,13 +90,14 @@ def test_condense_and_restore(spark):
     assert back == dict(enumerate(seqs))
 
 
-def test_asof_offsets(spark):
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_asof_offsets(spark, ranges):
     rng = random.Random(2)
     index = sorted(rng.sample(range(1, 2000), 60))
     reads = [(i, "c1", rng.randint(0, 2300)) for i in range(500)]
     idx = spark.createDataFrame([("c1", p, i + 1) for i, p in enumerate(index)], "chrom STRING, position INT, offset INT")
     df = spark.createDataFrame(reads, "id INT, chrom STRING, at INT")
-    got = {r.id: (r.index_position, r.offset) for r in RC.asof_offsets(df, idx, "chrom", "at", bucket=37).collect()}
+    got = {r.id: (r.index_position, r.offset) for r in RC.asof_offsets(df.repartition(3), idx, "chrom", "at", ranges).collect()}
     for i, _, at in reads:
         below = [(p, k + 1) for k, p in enumerate(index) if p <= at]
         assert got[i] == (below[-1] if below else (None, 0))
@@ -155,7 +156,7 @@ def test_batched_sums_equal_row_sums(spark):
     exp = cov.groupBy("locus_id", "person_id").agg((F.sum("n") / 2.0).alias("exp_cov"))
     loci = G.ranked_alleles(cov)
     rows, model = G.person_rows(cov, exp, loci), G.start_model(loci)
-    a = G.batched_sums(rows.repartition(5), model).toPandas().sort_values(["locus_id", "pair_no"]).reset_index(drop=True)
+    a = G.batched_sums(G.packed_people(rows, 7), model).toPandas().sort_values(["locus_id", "pair_no"]).reset_index(drop=True)
     b = G.pair_sums(G.pair_rows(G.scored(rows, model))).toPandas().sort_values(["locus_id", "pair_no"]).reset_index(drop=True)
     for c in M.SUM_COLUMNS:
         assert np.allclose(a[c].astype(float), b[c].astype(float)), c
