@@ -336,6 +336,13 @@ def carry_tracts(reads: DataFrame, seq: str = "seq", limits: Thresholds = Thresh
     return reads.withColumn("_upper", F.upper(seq)).mapInArrow(search, schema)
 
 
+def with_tracts(reads: DataFrame, tracts: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach tracts that are kept in a table of their own; reads without tracts get an empty list. Reads at hand carry theirs (``carry_tracts``)."""
+    listed = tracts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "length", "unit"))).alias("tracts"))
+    empty = F.array().cast("array<struct<start:bigint,stop:bigint,length:bigint,unit:string>>")
+    return reads.join(listed, keys, "left").withColumn("tracts", F.coalesce("tracts", empty))
+
+
 def each_tract(reads: DataFrame) -> DataFrame:
     """One row per carried tract: the read's columns, then the tract's."""
     return reads.select(*[c for c in reads.columns if c != "tracts"], F.inline("tracts"))

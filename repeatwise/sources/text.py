@@ -221,7 +221,7 @@ def write_report(lines: DataFrame, header: str, path: str) -> None:
         for batch in batches:
             if first and batch.num_rows:
                 first = False
-                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
             yield batch
 
     lines.select("value").mapInArrow(headed, "value string").write.text(path)
