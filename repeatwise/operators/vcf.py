@@ -89,12 +89,12 @@ def sample_text() -> Column:
     )
 
 
-def header_lines(person_id: Column, family_id: Column) -> Column:
-    """Header of a person's file as an array of lines."""
+def header_lines(person_id: Column | None = None, family_id: Column | None = None) -> Column:
+    """Header of a file as an array of lines, with the ids of its person if they are given."""
     fields = [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for kind, fs in (("INFO", INFO_FIELDS), ("FORMAT", FORMAT_FIELDS)) for i, n, t, d in fs]
-    person = F.concat(F.lit("##personInfo=<IndividualID="), person_id.cast("string"), F.lit(",FamilyID="), F.coalesce(family_id.cast("string"), F.lit("unknown")), F.lit(">"))
+    person = [] if person_id is None else [F.concat(F.lit("##personInfo=<IndividualID="), person_id.cast("string"), F.lit(",FamilyID="), F.coalesce(family_id.cast("string"), F.lit("unknown")), F.lit(">"))]
     names = "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"])
-    return F.array(F.lit("##fileformat=VCFv4.1"), F.lit("##source=repeatwise"), person, *[F.lit(f) for f in fields], F.lit(names))
+    return F.array(F.lit("##fileformat=VCFv4.1"), F.lit("##source=repeatwise"), *person, *[F.lit(f) for f in fields], F.lit(names))
 
 
 def records(genotypes: DataFrame, loci: DataFrame, counts: DataFrame) -> DataFrame:

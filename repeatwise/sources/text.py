@@ -281,8 +281,8 @@ def read_runs(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return spark.read.schema(whole).csv(f"{path}/parts").join(listed, ["run", "attempt"], "left_semi").select(*plain.names)
 
 
-def write_vcf(records: DataFrame, path: str, person: DataFrame) -> None:
-    """One VCF per person folder, in one file: header with the person's ids first, then records by chromosome (X, Y and MT after the autosomes) and position.
+def write_vcf(records: DataFrame, path: str, person: DataFrame | None = None) -> None:
+    """One VCF per person folder, in one file: header first, with the person's ids if ``person`` is given, then records by chromosome (X, Y and MT after the autosomes) and position.
 
     A person's lines, at most one for each locus, are dealt to one partition and sorted there.
     """
@@ -290,8 +290,10 @@ def write_vcf(records: DataFrame, path: str, person: DataFrame) -> None:
         "person_id", F.lit(1).alias("part"), chrom_number(F.col("chrom")).alias("c"), "pos",
         F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.round("qual", 3).cast("string"), "filter", "info", "format", "sample").alias("value"),
     )
-    known = records.select("person_id").distinct().join(person.select("person_id", "family_id"), "person_id", "left")
-    head = known.select("person_id", F.lit(0).alias("part"), F.lit(0).alias("c"), F.lit(0).alias("pos"), F.array_join(V.header_lines(F.col("person_id"), F.col("family_id")), "\n").alias("value"))
+    known, lines = records.select("person_id").distinct(), V.header_lines()
+    if person is not None:
+        known, lines = known.join(person.select("person_id", "family_id"), "person_id", "left"), V.header_lines(F.col("person_id"), F.col("family_id"))
+    head = known.select("person_id", F.lit(0).alias("part"), F.lit(0).alias("c"), F.lit(0).alias("pos"), F.array_join(lines, "\n").alias("value"))
     body.unionByName(head).repartition("person_id").sortWithinPartitions("person_id", "part", "c", "pos").select(
         "person_id", "value").write.partitionBy("person_id").text(path)
 
