@@ -269,39 +269,45 @@ def _encoded(batches, path_a: str, path_b: str, schema: pa.Schema):
         pairs, link = np.unique(aligner.pairs[ragged(aligner.at[own], links)], return_inverse=True)
         weights = np.zeros(len(pairs), np.int64)
         np.add.at(weights, link, np.repeat(times, links))
-        rows = len(column)
-        codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(local, pa.int32()))
-        columns = {"slice": pa.array(np.full(rows + 1, base + n)), "key": pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)]),
-                   "codes": pa.concat_arrays([codes, pa.nulls(1, codes.type)])}
-        lists = {"texts": [aligner.texts[i] for i in own], "n_a": aligner.n_a[own], "n_b": aligner.n_b[own], "n_links": links, "links": link, "pairs": pairs, "times": weights}
-        for name, values in lists.items():
-            kind = schema.field(name).type
-            columns[name] = pa.concat_arrays([pa.nulls(rows, kind), pa.array([values], kind)])
-        yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+        lists = {"sizes": counts, "codes": local, "texts": [aligner.texts[i] for i in own], "n_a": aligner.n_a[own], "n_b": aligner.n_b[own], "n_links": links, "links": link}
+        packed = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(lists.values(), _PACKED)], schema=_PACKED)
+        keys = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), batch.column(0))
+        row = [pa.array([base + n]), keys, pa.array([_compressed(packed)], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([weights], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(row, schema)], schema=schema)
+
+
+#: What a slice keeps for itself: pieces of each document, and text, numbers and links of each distinct piece.
+_PACKED = pa.schema([("sizes", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32())), ("texts", pa.list_(pa.string())), *[(c, pa.list_(pa.int32())) for c in ("n_a", "n_b", "n_links", "links")]])
+
+
+def _compressed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _put_together(rows: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Table:
     """Documents of one slice from its list of pieces and the counts of its pairs."""
-    is_list = rows.column("pairs").is_valid()
-    pieces = rows.filter(is_list).slice(0, 1).combine_chunks()
-    documents = rows.filter(pc.invert(is_list)).combine_chunks()
+    packed = pa.ipc.open_stream(rows.column("packed")[0].as_buffer()).read_all()
+    keys = pc.list_flatten(rows.column("keys"))
 
-    def values(table: pa.Table, name: str) -> np.ndarray:
-        return pc.list_flatten(table.column(name)).to_numpy()
+    def values(name: str) -> np.ndarray:
+        return pc.list_flatten(packed.column(name)).to_numpy()
 
-    n_links = values(pieces, "n_links").astype(np.int64)
-    link = values(pieces, "links")
+    n_links = values("n_links").astype(np.int64)
+    link = values("links")
     place = answers.column("pos").to_numpy()
     count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     count[place], best[place] = answers.column("pair_count").to_numpy(), answers.column("best").to_numpy(zero_copy_only=False)
-    scores = {"n_a": values(pieces, "n_a"), "n_b": values(pieces, "n_b"), "n_groups": n_links, "n_links": n_links,
+    scores = {"n_a": values("n_a"), "n_b": values("n_b"), "n_groups": n_links, "n_links": n_links,
               "n_best": _sums(best[link], n_links), "count_sum": _sums(count[link], n_links)}
-    codes, sizes = values(documents, "codes"), documents.column("codes").combine_chunks().value_lengths().to_numpy().astype(np.int64)
-    texts = pc.list_flatten(pieces.column("texts")).to_pylist()
+    codes, sizes = values("codes"), values("sizes")
+    texts = pc.list_flatten(packed.column("texts")).to_pylist()
     ends = np.cumsum(sizes).tolist()
     order = codes.tolist()
     groups = [";".join([texts[c] for c in order[a:b]]) for a, b in zip([0, *ends[:-1]], ends)]
-    out = {"key": documents.column("key"), **{k: pa.array(_sums(v[codes], sizes), pa.int64()) for k, v in scores.items()}, "groups": pa.array(groups, pa.large_string())}
+    out = {"key": keys, **{k: pa.array(_sums(v[codes], sizes), pa.int64()) for k, v in scores.items()}, "groups": pa.array(groups, pa.large_string())}
     return pa.table([out[f.name] for f in schema], names=schema.names).cast(schema)
 
 
@@ -319,11 +325,11 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id"
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    layout = f"slice long, key {kind}, codes array<int>, texts array<string>, n_a array<int>, n_b array<int>, n_links array<int>, links array<int>, pairs array<bigint>, times array<bigint>"
+    layout = f"slice long, keys array<{kind}>, packed binary, pairs array<bigint>, times array<bigint>"
     encoded_schema = to_arrow_schema(StructType.fromDDL(layout))
     slices = written(rows.mapInArrow(lambda batches: _encoded(batches, path_a, path_b, encoded_schema), layout), "alignment")
 
-    lists = slices.filter(F.col("pairs").isNotNull())
+    lists = slices.select("slice", "pairs", "times")
     b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     found = lists.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("pair_count"))
     counts = written(found.withColumn("b", b_id), "pairs")
@@ -334,6 +340,5 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id"
 
     result = f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     result_schema = to_arrow_schema(StructType.fromDDL(result))
-    payload = slices.select("slice", "key", "codes", "texts", "n_a", "n_b", "n_links", "links", F.when(F.col("pairs").isNotNull(), F.lit(True)).alias("pairs"))
-    whole = payload.groupBy("slice").cogroup(answers.groupBy("of"))
+    whole = slices.select("slice", "keys", "packed").groupBy("slice").cogroup(answers.groupBy("of"))
     return whole.applyInArrow(lambda mine, theirs: _put_together(mine, theirs, result_schema), result).withColumnRenamed("key", key)
