@@ -1,8 +1,8 @@
 """Coverage model: expected coverage per allele from a low-rank fit of the locus by person matrix.
 
-The matrix is never dense and never leaves the executors. Its leading right singular vectors come from subspace
+The matrix is never dense and never leaves the executors. Its leading right singular vectors come from block Krylov
 iteration written as joins and sums over the long table: multiply by the person vectors, sum per locus, multiply
-back, sum per person. Only a (components x components) matrix visits the driver.
+back, sum per person. Only a matrix of the size of the basis (``MAX_BASIS`` at most, both ways) visits the driver.
 """
 
 from __future__ import annotations
@@ -35,17 +35,14 @@ def _vec(prefix: str, k: int) -> list[str]:
     return [f"{prefix}{j}" for j in range(k)]
 
 
-def _apply(cov: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Rows ``locus_id, y0..`` of A V for the person table ``person_id, v0..``."""
-    return cov.join(vectors, "person_id").groupBy("locus_id").agg(
-        *[F.sum(F.col("cov") * F.col(v)).alias(y) for v, y in zip(_vec("v", k), _vec("y", k))]
-    )
+def _product(cov: DataFrame, vectors: DataFrame, key: str, other: str, k: int, out: str = "v") -> DataFrame:
+    """Rows ``other, out0..``: the matrix times the vectors ``key, v0..``."""
+    return cov.join(vectors, key).groupBy(other).agg(*[F.sum(F.col("cov") * F.col(v)).alias(y) for v, y in zip(_vec("v", k), _vec(out, k))])
 
 
-def _apply_transposed(cov: DataFrame, left: DataFrame, k: int) -> DataFrame:
-    return cov.join(left, "locus_id").groupBy("person_id").agg(
-        *[F.sum(F.col("cov") * F.col(y)).alias(v) for v, y in zip(_vec("v", k), _vec("y", k))]
-    )
+def _apply(cov: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Rows ``locus_id, y0..`` of A V for the person table ``person_id, v0..``."""
+    return _product(cov, vectors, "person_id", "locus_id", k, "y")
 
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -72,55 +69,95 @@ def _gram(table: DataFrame, names: list[str]) -> np.ndarray:
 
 
 def _rotate(table: DataFrame, key: str, names: list[str], matrix: np.ndarray, out: list[str]) -> DataFrame:
-    """New columns = old columns times a small matrix."""
+    """New columns = old columns times a small matrix; columns of ``table`` that are not named stay beside them."""
+    rest = [c for c in table.columns if c not in {key, *names, *out}]
 
     def turn(batches):
         for batch in batches:
             x = _matrix(batch, names) @ matrix
-            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(x[:, j]) for j in range(len(out))]], [key, *out])
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[batch.column(c) for c in rest], *[pa.array(x[:, j]) for j in range(len(out))]], [key, *rest, *out])
 
     kind = table.schema[key].dataType.simpleString()
-    return table.select(key, *names).mapInArrow(turn, ", ".join([f"{key} {kind}", *[f"{n} double" for n in out]]))
+    return table.select(key, *rest, *names).mapInArrow(turn, ", ".join([f"{key} {kind}", *[f"{n} double" for n in [*rest, *out]]]))
 
 
-def _orthonormal(table: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]:
-    """Orthonormal columns spanning the same space (directions lost to rank are dropped), and the squared lengths along them."""
-    values, vectors = np.linalg.eigh(_gram(table, _vec("v", k)))
+def _whitening(gram: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Small matrix that makes columns with this Gram matrix orthonormal; directions lost to rank, or no longer than ``least``, are dropped."""
+    values, vectors = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1]
     values, vectors = values[order], vectors[:, order]
-    kept = values > max(values[0], 1e-300) * 1e-12
-    size = int(kept.sum())
-    return _rotate(table, "person_id", _vec("v", k), vectors[:, kept] / np.sqrt(values[kept]), _vec("v", size)), size, values[kept]
+    kept = (values > max(values[0], 1e-300) * 1e-12) & (values > least * least)
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
+MAX_BASIS = 160  # columns of the basis before it is put together anew
+LOST = 1e-6  # squared singular values below this share of the largest are lost to rank
 
 
 def singular_vectors(cov: DataFrame, k: int, extra: int = 8, tolerance: float = 1e-9, rounds: int = 200, seed: int = 7) -> tuple[DataFrame, np.ndarray, float]:
     """Leading ``k`` right singular vectors (``person_id, v0..``), singular values of the long matrix ``cov``, and the residual.
 
-    Rounds go on until no leading value moves by more than ``tolerance`` of the largest; the residual is the last such move. A matrix
-    that has not settled after ``rounds`` is an error.
+    Block Krylov iteration in the space of loci or of people, whichever are fewer: every round multiplies the newest block forth and back,
+    adds what is new to an orthonormal basis, and takes the values of the matrix over the whole basis. The basis holds the space after
+    at most its dimension over the block size rounds, whatever the gaps between the values; a basis of ``MAX_BASIS`` columns begins anew from its
+    leading vectors. Rounds go on until no leading value moves by more than ``tolerance`` of the largest; the residual is the last such move, 0 when
+    nothing new is left. A matrix that has not settled after ``rounds`` is an error.
     """
-    cov = written(cov, "cov")  # read twice per round
+    cov = cov.filter(F.col("locus_id").isNotNull() & F.col("person_id").isNotNull())
+    cov = written(cov.select("locus_id", "person_id", F.col("cov").cast("double").alias("cov")), "cov")  # read twice per round
     n_people, n_loci = cov.select(F.count_distinct("person_id"), F.count_distinct("locus_id")).first()
+    key, other = ("locus_id", "person_id") if n_loci < n_people else ("person_id", "locus_id")
     size = min(k + extra, n_people, n_loci)
-    start = [(F.pmod(F.xxhash64(F.lit(seed + j), "person_id"), F.lit(2000003)) / 1000001.5 - 1).alias(f"v{j}") for j in range(size)]
-    vectors, size, _ = _orthonormal(written(cov.select("person_id").distinct().select("person_id", *start), "v"), size)
+    start = [(F.pmod(F.xxhash64(F.lit(seed + j), key), F.lit(2000003)) / 1000001.5 - 1).alias(f"v{j}") for j in range(size)]
+    block = written(cov.select(key).distinct().select(key, *start), "v")
+    turn = _whitening(_gram(block, _vec("v", size)))
+    block, new = _rotate(block, key, _vec("v", size), turn, _vec("v", turn.shape[1])), turn.shape[1]
+    basis, m = None, 0  # key, q0.. (orthonormal), w0.. (each multiplied forth and back)
     last, residual = np.zeros(0), np.inf
     for _ in range(rounds):
-        product = written(_apply_transposed(cov, _apply(cov, vectors, size), size), "v")
-        vectors, size, squares = _orthonormal(product, size)
-        found = np.sqrt(np.sqrt(squares))[:k]
+        block = written(block, "v")
+        image = _product(cov, _product(cov, block, key, other, new), other, key, new, "x")
+        added = block.join(image, key).select(key, *[F.col(f"v{j}").alias(f"q{m + j}") for j in range(new)], *[F.col(f"x{j}").alias(f"w{m + j}") for j in range(new)])
+        basis = written(added if basis is None else basis.join(added, key), "basis")
+        m += new
+        gram = _gram(basis, _vec("q", m) + _vec("w", m))
+        white = _whitening(gram[:m, :m])
+        within = white.T @ gram[:m, m:] @ white
+        squares, turn = np.linalg.eigh((within + within.T) / 2)
+        order = np.argsort(squares)[::-1]
+        squares, turn = np.maximum(squares[order], 0), white @ turn[:, order]
+        lead = squares[:k][squares[:k] > squares[0] * LOST]
+        found = np.sqrt(lead)
         if len(found) == len(last):
             residual = float(np.abs(found - last).max() / max(found[0], 1e-300))
         last = found
         if residual <= tolerance:
             break
+        # what the newest images add to the basis, made orthogonal to it twice
+        names = _vec("q", m) + _vec("x", new)
+        away = np.vstack([-white @ white.T @ gram[:m, 2 * m - new:], np.eye(new)])
+        rest = basis.select(key, *_vec("q", m), *[F.col(f"w{m - new + j}").alias(f"x{j}") for j in range(new)])
+        rest = _rotate(rest, key, names, np.hstack([np.eye(m + new)[:, :m], away]), names)
+        twice = _gram(rest, names)
+        again = np.vstack([-white @ white.T @ twice[:m, m:], np.eye(new)])
+        turned = _whitening(again.T @ twice @ again, squares[0] * 1e-11)
+        if not turned.shape[1]:
+            residual = 0.0
+            break
+        if m + turned.shape[1] > MAX_BASIS and m > size:
+            top = min(size, turn.shape[1])
+            block, new, basis, m = _rotate(basis.select(key, *_vec("q", m)), key, _vec("q", m), turn[:, :top], _vec("v", top)), top, None, 0
+        else:
+            new = turned.shape[1]
+            block = _rotate(rest, key, names, again @ turned, _vec("v", new))
     else:
         raise RuntimeError(f"the singular values still move by {residual:.1e} after {rounds} rounds")
-    vectors = written(vectors, "v")
-    values, turn = np.linalg.eigh(_gram(_apply(cov, vectors, size), _vec("y", size)))
-    order = np.argsort(values)[::-1][: min(k, size)]
-    rotated = _rotate(vectors, "person_id", _vec("v", size), turn[:, order], _vec("v", len(order)))
-    return written(rotated, "v"), np.sqrt(np.maximum(values[order], 0)), residual
+    size = len(last)
+    vectors = written(_rotate(basis.select(key, *_vec("q", m)), key, _vec("q", m), turn[:, :size], _vec("v", size)), "v")
+    if key == "locus_id":
+        longer = _product(cov, vectors, key, other, size)
+        vectors = written(longer.select(other, *[(F.col(f"v{j}") / F.lit(float(last[j]))).alias(f"v{j}") for j in range(size)]), "v")
+    return vectors, last, residual
 
 
 def singular_values(cov: DataFrame, k: int) -> DataFrame:
@@ -131,12 +168,18 @@ def singular_values(cov: DataFrame, k: int) -> DataFrame:
     return lengths.groupBy((F.col("component") + 1).alias("component")).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("singular_value"))
 
 
-def resampled(cov: DataFrame, seed: int) -> DataFrame:
+def numbered_cells(cov: DataFrame) -> DataFrame:
+    """Cells with a dense number ``cell``, stored."""
+    return written(number_rows(cov.select("locus_id", "person_id", "cov"), ["locus_id", "person_id"], "cell"), "cells")
+
+
+def resampled(cov: DataFrame, seed: int, cells: DataFrame | None = None) -> DataFrame:
     """Matrix of the same shape whose cells are drawn with replacement from the cells of ``cov``.
 
     Cells are numbered densely and every cell draws the number of the cell whose value it takes. Deterministic for a seed.
+    Several draws share the numbered ``cells``.
     """
-    cells = written(number_rows(cov.select("locus_id", "person_id", "cov"), ["locus_id", "person_id"], "cell"), "cells")
+    cells = numbered_cells(cov) if cells is None else cells
     n = cells.count()
     drawn = cells.select("locus_id", "person_id", F.pmod(F.xxhash64(F.lit(seed), "cell"), F.lit(n)).alias("cell"))
     return drawn.join(cells.select("cell", "cov"), "cell").select("locus_id", "person_id", "cov")
@@ -145,10 +188,11 @@ def resampled(cov: DataFrame, seed: int) -> DataFrame:
 def choose_components(cov: DataFrame, draws: int = 5, most: int = MAX_COMPONENTS) -> int:
     """Largest k whose singular value beats the same value of every resampled matrix; at least 1."""
     cov = written(cov, "cov")
+    cells = numbered_cells(cov)
     _, observed, _ = singular_vectors(cov, most, tolerance=1e-4)
     beats = np.ones(len(observed), bool)
     for seed in range(draws):
-        _, random, _ = singular_vectors(resampled(cov, seed), most, tolerance=1e-4)
+        _, random, _ = singular_vectors(resampled(cov, seed, cells), most, tolerance=1e-4)
         size = min(len(observed), len(random))
         beats[:size] &= observed[:size] > random[:size]
     hits = np.flatnonzero(beats)

@@ -261,6 +261,17 @@ def test_singular_values_equal_numpy(spark):
     assert [r.singular_value for r in CV.singular_values(cov, 3).orderBy("component").collect()] == pytest.approx(values[:3], rel=1e-6)
 
 
+def test_singular_values_without_gaps(spark):
+    """Values that lie close together settle after the few rounds that fill the space."""
+    rng = np.random.default_rng(6)
+    a = np.sqrt(np.linspace(1.0, 1.02, 20))[:, None] * np.linalg.qr(rng.normal(size=(32, 20)))[0].T
+    cov = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(20) for j in range(32)], "locus_id INT, person_id INT, cov DOUBLE")
+    vectors, values, _ = CV.singular_vectors(cov, 2, extra=3, rounds=8)
+    assert values == pytest.approx(np.linalg.svd(a, compute_uv=False)[:2], rel=1e-9)
+    v = np.array([[r.v0, r.v1] for r in vectors.orderBy("person_id").collect()])
+    assert v.T @ v == pytest.approx(np.eye(2), abs=1e-8) and np.linalg.norm(a @ v, axis=0) == pytest.approx(values, rel=1e-9)
+
+
 def test_equilibrium_of_all_degrees(spark):
     """P-values of odd degrees are there too, and people's counts leave out loci out of equilibrium."""
     import math
