@@ -8,6 +8,7 @@ from ..operators import population as PO
 from ..operators import profile as P
 from ..registry import oracle, query
 from ..session import scratch_path
+from ..sources.text import write_person_files
 from .profiles import PROFILE, located, profiles
 
 LOCUS = "chrom, start, motif"
@@ -71,7 +72,7 @@ def _(v):
 def _(v):
     # people who have no profile file: files hold the long alleles only here, so that some people are missing
     path = scratch_path(v.spark, "profiles")
-    profiles(v).filter("length > 14").write.partitionBy("person_id").csv(path, sep="\t", compression="gzip")
+    write_person_files(profiles(v).filter("length > 14"), path)
     found = v.spark.read.csv(path, sep="\t").select("person_id")
     return PO.missing_people(v.person, found).select("person_id", "family_id", "relation")
 

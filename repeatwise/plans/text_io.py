@@ -156,7 +156,7 @@ def _(v):
 
 def _profile_files(v):
     path = _path(v, "profiles")
-    reads = P.dedup_reads(located(v))
+    reads = written(P.dedup_reads(located(v)), "profile-reads")  # read for the rows and for the names
     IO.write_profiles(P.with_reference(P.with_read_names(P.flank_table(reads), reads), v.ref_tract), path)
     return IO.read_profiles(v.spark, path)
 

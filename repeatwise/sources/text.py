@@ -184,11 +184,21 @@ PROFILE_SCHEMA = (
 )
 
 
+def write_person_files(rows: DataFrame, path: str) -> None:
+    """Tab-separated gzip files, one folder and one file per person.
+
+    A person's rows, at most a few for each locus, are dealt to one task, so that the number of files is the number of people whatever the number
+    of tasks. Tasks move their own files into place; ``path`` is new for each write and is read only once the write has ended.
+    """
+    files = rows.repartition("person_id").write.partitionBy("person_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    files.csv(path, sep="\t", compression="gzip")
+
+
 def write_profiles(rows: DataFrame, path: str) -> None:
     """Profile files, one folder per person, gzip; ``read_names`` is left empty where rows come without."""
     if "read_names" not in rows.columns:
         rows = rows.withColumn("read_names", F.lit(None).cast("string"))
-    rows.select("person_id", *[c.split()[0] for c in PROFILE_SCHEMA.split(", ")]).write.partitionBy("person_id").csv(path, sep="\t", compression="gzip")
+    write_person_files(rows.select("person_id", *[c.split()[0] for c in PROFILE_SCHEMA.split(", ")]), path)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:

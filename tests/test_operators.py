@@ -261,6 +261,27 @@ def test_singular_values_equal_numpy(spark):
     assert [r.singular_value for r in CV.singular_values(cov, 3).orderBy("component").collect()] == pytest.approx(values[:3], rel=1e-6)
 
 
+def test_one_file_per_person(spark, tmp_path):
+    """Rows of a person that lie in many partitions come in one file."""
+    from repeatwise.sources import text as IO
+
+    rows = spark.range(120).selectExpr("id % 3 AS person_id", "id AS x").repartition(8, "x")
+    IO.write_person_files(rows, str(tmp_path / "people"))
+    assert [len(list((tmp_path / "people" / f"person_id={i}").glob("part-*"))) for i in range(3)] == [1, 1, 1]
+    assert spark.read.csv(str(tmp_path / "people")).groupBy("person_id").count().collect() and spark.read.csv(str(tmp_path / "people")).count() == 120
+
+
+def test_long_batches_are_searched_in_steps():
+    """A batch is cut into steps of bounded size that hold all its rows in order; a row longer than a step is one of its own."""
+    import pyarrow as pa
+
+    texts = ["ACGT" * n for n in (10, 0, 500, 3, 700, 1)] + [None, "AC"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "seq"])
+    steps = list(TR._steps(batch, "seq", 1000))
+    assert [i for s in steps for i in s.column("i").to_pylist()] == list(range(len(texts)))
+    assert len(steps) > 2 and all(s.num_rows == 1 or sum(len(t or "") for t in s.column("seq").to_pylist()) <= 1000 for s in steps)
+
+
 def test_singular_values_without_gaps(spark):
     """Values that lie close together settle after the few rounds that fill the space."""
     rng = np.random.default_rng(6)
