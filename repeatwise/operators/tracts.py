@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -75,6 +76,19 @@ _ACGT = np.zeros(256, bool)
 _ACGT[list(b"ACGT")] = True
 
 
+STEP = 1 << 20  # bytes of text searched at a time
+
+
+def _steps(batch: pa.RecordBatch, seq: str, size: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in order, in parts of at most ``size`` bytes of text (or one row): the search takes many times the room of its text."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(seq)).to_numpy(zero_copy_only=False).astype(float))
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _joined(column: pa.Array, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts of a column one after another with ``gap`` zero bytes around each, where each begins, and their lengths.
 
@@ -139,9 +153,7 @@ def _tract_rows(df: DataFrame, keys: list[str], seq: str, limits: Thresholds) ->
     ]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (part for whole in batches for part in _steps(whole, seq)):
             joined, offsets, sizes = _joined(batch.column(seq), limits.max_unit)
             contexts = batch.column("ctx").to_numpy().astype(np.int64)
             first = batch.column("first").to_numpy()
@@ -324,7 +336,7 @@ def carry_tracts(reads: DataFrame, seq: str = "seq", limits: Thresholds = Thresh
     schema = T.StructType([*reads.schema.fields, T.StructField("tracts", T.ArrayType(T.StructType(fields)))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _steps(whole, "_upper")):
             joined, offsets, sizes = _joined(batch.column("_upper"), limits.max_unit)
             n = batch.num_rows
             row, start, stop, period, _ = _search(joined, offsets, sizes, np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool), limits)
