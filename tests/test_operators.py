@@ -282,6 +282,22 @@ def test_long_batches_are_searched_in_steps():
     assert len(steps) > 2 and all(s.num_rows == 1 or sum(len(t or "") for t in s.column("seq").to_pylist()) <= 1000 for s in steps)
 
 
+def test_genotyper_input_is_put_together_once(spark, tmp_path, monkeypatch):
+    """Steps on the same data share the person rows, which equal those of the views."""
+    from repeatwise.fixtures import Views
+    from repeatwise.plans import genotypes as GT
+
+    lines = spark.range(60).selectExpr(
+        "id AS l_orderkey", "id % 5 AS l_partkey", "id % 4 AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber", "CAST(id AS DOUBLE) AS l_quantity", "0.05 AS l_discount",
+        "0.01 AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    v, made, build = Views(spark, str(tmp_path)), [], G.person_rows
+    want = build(v.allele_cov, v.expected, G.ranked_alleles(v.allele_cov))
+    monkeypatch.setattr(G, "person_rows", lambda *a: made.append(1) or build(*a))
+    first, second = GT.start(v)[0], GT.start(v)[0]
+    assert len(made) == 1 and sorted(map(str, first.collect())) == sorted(map(str, second.collect())) == sorted(map(str, want.collect()))
+
+
 def test_singular_values_without_gaps(spark):
     """Values that lie close together settle after the few rounds that fill the space."""
     rng = np.random.default_rng(6)
