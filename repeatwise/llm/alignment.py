@@ -5,9 +5,9 @@ successors are doubled until every token holds the terminal token of its compone
 
 1. A text is cut at single spaces where neither tokenizer can join the two sides, and each distinct piece, with the space in front of it, is
    encoded and aligned once.
-   A slice of documents keeps its documents as numbers of pieces beside a list of its distinct pieces and linked id pairs.
+   A slice of documents keeps its documents as numbers of pieces beside the groups of its distinct pieces as text.
 2. The pairs of all slices are summed by a shuffle; a pair is there once a slice however often it occurs, so hot pairs stay small.
-3. Each slice gets its pairs' counts back and puts its documents together.
+3. Each slice gets its pairs' counts back, reads the linked ids from the text of its groups and puts its documents together.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from ..session import written
 from .token_counts import PATTERN, encode
 from .words import ragged, text_slices
 
-SLICE = 4_000_000  # bytes of text that share a list of pieces
-CACHE = 200_000  # distinct pieces kept between slices
-FRESH = 20_000  # pieces encoded at a time
+SLICE = 2_000_000  # bytes of text that share a list of pieces
+CACHE = 100_000  # distinct pieces kept between slices
+FRESH = 10_000  # pieces encoded at a time
 SPACE = "▁"
 #: Characters before and behind a single space at which no token of a byte-level vocabulary goes on: no blank is among them, and all of those
 #: beyond ASCII are letters or signs by any table of characters.
@@ -162,6 +162,23 @@ def rendered(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
     return grid[shown], np.cumsum(shown.sum(axis=1))[ends]
 
 
+def linked(groups: np.ndarray) -> np.ndarray:
+    """Id pairs (A's in the upper half) that end each of the groups in the bytes of ``a1,a2|b1;a3|b2,b3;``."""
+
+    def ids_before(ends: np.ndarray) -> np.ndarray:
+        ids, scale, at = np.zeros(len(ends), np.int64), 1, ends - 1
+        more = np.ones(len(ends), bool)
+        while True:
+            digit = groups[np.maximum(at, 0)].astype(np.int64) - ord("0")
+            more &= (at >= 0) & (digit >= 0) & (digit < 10)
+            if not more.any():
+                return ids
+            ids[more] += digit[more] * scale
+            scale, at = scale * 10, at - 1
+
+    return ids_before(np.flatnonzero(groups == ord("|"))) << 32 | ids_before(np.flatnonzero(groups == ord(";")))
+
+
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in lists], np.int64)
     return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
@@ -269,15 +286,15 @@ def _encoded(batches, path_a: str, path_b: str, schema: pa.Schema):
         pairs, link = np.unique(aligner.pairs[ragged(aligner.at[own], links)], return_inverse=True)
         weights = np.zeros(len(pairs), np.int64)
         np.add.at(weights, link, np.repeat(times, links))
-        lists = {"sizes": counts, "codes": local, "texts": [aligner.texts[i] for i in own], "n_a": aligner.n_a[own], "n_b": aligner.n_b[own], "n_links": links, "links": link}
+        lists = {"sizes": counts, "codes": local, "texts": [aligner.texts[i] for i in own], "n_a": aligner.n_a[own], "n_b": aligner.n_b[own], "n_links": links}
         packed = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(lists.values(), _PACKED)], schema=_PACKED)
         keys = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), batch.column(0))
         row = [pa.array([base + n]), keys, pa.array([_compressed(packed)], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([weights], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(row, schema)], schema=schema)
 
 
-#: What a slice keeps for itself: pieces of each document, and text, numbers and links of each distinct piece.
-_PACKED = pa.schema([("sizes", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32())), ("texts", pa.list_(pa.string())), *[(c, pa.list_(pa.int32())) for c in ("n_a", "n_b", "n_links", "links")]])
+#: What a slice keeps for itself: pieces of each document, and text and numbers of each distinct piece. Its links are read from the text.
+_PACKED = pa.schema([("sizes", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32())), ("texts", pa.list_(pa.string())), *[(c, pa.list_(pa.int32())) for c in ("n_a", "n_b", "n_links")]])
 
 
 def _compressed(batch: pa.RecordBatch) -> bytes:
@@ -296,14 +313,16 @@ def _put_together(rows: pa.Table, answers: pa.Table, schema: pa.Schema) -> pa.Ta
         return pc.list_flatten(packed.column(name)).to_numpy()
 
     n_links = values("n_links").astype(np.int64)
-    link = values("links")
-    place = answers.column("pos").to_numpy()
-    count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    count[place], best[place] = answers.column("pair_count").to_numpy(), answers.column("best").to_numpy(zero_copy_only=False)
+    texts = pc.list_flatten(packed.column("texts")).to_pylist()
+    shown = "".join([t + ";" for t in texts if t]).encode()
+    pairs = answers.column("pair").to_numpy()
+    order = np.argsort(pairs)
+    link = np.searchsorted(pairs, linked(np.frombuffer(shown, np.uint8)), sorter=order)
+    count = answers.column("pair_count").to_numpy()[order]
+    best = answers.column("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)
     scores = {"n_a": values("n_a"), "n_b": values("n_b"), "n_groups": n_links, "n_links": n_links,
               "n_best": _sums(best[link], n_links), "count_sum": _sums(count[link], n_links)}
     codes, sizes = values("codes"), values("sizes")
-    texts = pc.list_flatten(packed.column("texts")).to_pylist()
     ends = np.cumsum(sizes).tolist()
     order = codes.tolist()
     groups = [";".join([texts[c] for c in order[a:b]]) for a, b in zip([0, *ends[:-1]], ends)]
@@ -335,8 +354,8 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, key: str = "doc_id"
     counts = written(found.withColumn("b", b_id), "pairs")
     highest = counts.groupBy("b").agg(F.max("pair_count").alias("highest"))
     judged = counts.join(highest, "b").select("pair", "pair_count", (F.col("pair_count") == F.col("highest")).alias("best"))
-    asked = lists.select(F.col("slice").alias("of"), F.posexplode("pairs").alias("pos", "pair"))
-    answers = asked.join(judged, "pair").select("of", "pos", "pair_count", "best")
+    asked = lists.select(F.col("slice").alias("of"), F.explode("pairs").alias("pair"))
+    answers = asked.join(judged, "pair").select("of", "pair", "pair_count", "best")
 
     result = f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     result_schema = to_arrow_schema(StructType.fromDDL(result))

@@ -8,7 +8,7 @@ import tokenizers
 from hypothesis import given, settings, strategies as st
 
 from repeatwise.llm import alignment
-from repeatwise.llm.alignment import Aligner, align, align_documents, byte_alphabet, rendered, terminals
+from repeatwise.llm.alignment import Aligner, align, align_documents, byte_alphabet, linked, rendered, terminals
 from repeatwise.llm.queries import op11, tokenizer
 
 A, B = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
@@ -111,6 +111,14 @@ def test_small_slices_give_the_same(documents, texts, monkeypatch):
     assert few.b.cuts
 
 
+def test_links_are_read_from_groups():
+    """A slice keeps no links beside its groups: the ids that end a group's text are its pair."""
+    text = b"1,22|50000,4;32000|0;7|8,9,31999;"
+    assert linked(np.frombuffer(text, np.uint8)).tolist() == [22 << 32 | 4, 32000 << 32, 7 << 32 | 31999]
+    assert linked(np.frombuffer(b"", np.uint8)).tolist() == []
+    assert "links" not in alignment._PACKED.names and alignment.SLICE <= 2_000_000 and alignment.CACHE <= 100_000
+
+
 def test_query(spark, texts):
     for r in op11(spark, "/root/testdata/sf0.001").collect():
         *counts, groups = brute([texts[r.doc_id]])[0]
