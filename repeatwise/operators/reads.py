@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import seq as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 MIN_QUALITY = 20
 MIN_DETECT_LENGTH = 10
 MAX_N = 3
@@ -23,23 +30,41 @@ def trim_barcode(df: DataFrame, size: int) -> DataFrame:
     )
 
 
+STEP = 1 << 20  # characters of qualities walked at a time
+
+
+def area_cuts(codes: np.ndarray, sizes: np.ndarray, min_quality: int) -> np.ndarray:
+    """Bases cut from the 3' end of each of the strings (none empty) whose code points lie one after another in ``codes``."""
+    deficits = min_quality + 33 - codes[::-1].astype(np.int64)
+    lengths = sizes[::-1]
+    starts = np.cumsum(lengths) - lengths
+    inside = lambda running, own: running - np.repeat(running[starts] - own[starts], lengths)
+    area = inside(np.cumsum(deficits), deficits)
+    stopped = (area < 0).astype(np.int64)
+    alive = inside(np.cumsum(stopped), stopped) == 0
+    best = np.maximum.reduceat(np.where(alive, area, 0), starts)
+    seen = np.arange(len(area)) - np.repeat(starts, lengths) + 1
+    peak = alive & (area == np.repeat(best, lengths))
+    first = np.minimum.reduceat(np.where(peak, seen, len(area) + 1), starts)
+    return np.where(best > 0, first, 0)[::-1]
+
+
 def _trim_area(qual: Column, min_quality: int) -> Column:
     """Kept length under the running-sum rule: walk from the 3' end, cut where the deficit peaks."""
-    deficits = F.reverse(F.transform(S.phred_array(qual), lambda q: F.lit(min_quality) - q))
-    start = F.struct(
-        F.lit(0).alias("area"), F.lit(0).alias("best"), F.lit(0).alias("cut"), F.lit(0).alias("seen"), F.lit(True).alias("going")
-    )
-
-    def step(a: Column, d: Column) -> Column:
-        area = F.when(a["going"], a["area"] + d).otherwise(a["area"])
-        better = a["going"] & (area > a["best"])
-        return F.struct(
-            area.alias("area"), F.when(better, area).otherwise(a["best"]).alias("best"),
-            F.when(better, a["seen"] + 1).otherwise(a["cut"]).alias("cut"), (a["seen"] + 1).alias("seen"),
-            (a["going"] & (area >= 0)).alias("going"),
-        )
 
-    return F.length(qual) - F.aggregate(deficits, start, step, lambda a: a["cut"])
+    def cuts(column: pa.Array) -> pa.Array:
+        texts = column.cast(pa.large_string()).fill_null("").to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        out = np.where(sizes == 0, int(min_quality + 33 > 0), 0)  # an empty string counts as one base of code 0
+        filled = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes[filled])
+        for part in np.split(filled, np.flatnonzero(np.diff(ends // STEP)) + 1):
+            if len(part):
+                codes = np.frombuffer("".join([texts[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                out[part] = area_cuts(codes, sizes[part], min_quality)
+        return pa.array(out.astype(np.int32))
+
+    return F.length(qual) - F.arrow_udf(cuts, "int")(qual)
 
 
 def kept_length(qual: Column, style: str, min_quality: int = MIN_QUALITY) -> Column:

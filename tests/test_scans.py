@@ -177,3 +177,24 @@ def test_exact_quantiles(spark):
         for k, xs in groups.items():
             assert got[k] == pytest.approx(np.quantile(xs, share), rel=1e-12, abs=0), (k, share)
     assert "percentile" not in os.linesep.join(plan(exact_quantiles(df, ["k"], "x")))
+
+
+def test_area_trim_walks_many_strings_at_once(spark):
+    """The cut of every string is that of a walk from its 3' end, whatever stands beside it; no expression per base."""
+    from repeatwise.operators import reads as R
+
+    def walk(text):
+        area = best = cut = 0
+        for seen, c in enumerate(reversed(text), 1):
+            area += 20 - (ord(c) - 33)
+            if area < 0:
+                break
+            if area > best:
+                best, cut = area, seen
+        return len(text) - cut
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("#$+567IHé😀") for _ in range(rng.randint(1, 50))) for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, qual string").select("i", R.kept_length(F.col("qual"), "area").alias("kept"))
+    assert {r.i: r.kept for r in df.collect()} == {i: None if t is None else walk(t) for i, t in enumerate(texts)}
+    assert "lambdafunction" not in df._jdf.queryExecution().toString()
