@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import seq as S
 from ..functions.scan import exclusive_scan
+from ..session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -211,7 +212,7 @@ def detect_blocks(pieces: DataFrame, keys: list[str], seq: str, limits: Threshol
     """Tracts of sequences that come as blocks: ``keys, blk, first`` (1-based), ``is_last, ctx`` and ``seq``, upper case, which begins with the ``ctx``
     (``max_unit``, or all there are) bases before the block."""
     limits = limits.checked()
-    rows = _tract_rows(pieces, keys, seq, limits)
+    rows = written(_tract_rows(pieces, keys, seq, limits), "runs")  # both kinds of runs are read from it
     return _passing(_join_borders(rows, keys, limits), keys, limits)
 
 
@@ -226,18 +227,18 @@ def _passing(rows: DataFrame, keys: list[str], limits: Thresholds) -> DataFrame:
 def _join_borders(rows: DataFrame, keys: list[str], limits: Thresholds) -> DataFrame:
     """Join runs that continue over a block border and settle the smallest period among them.
 
-    Complete runs keep a group of their own block, so no window or group ever holds a whole chromosome of tracts.
+    Runs that are complete in their block have met their limits and their smallest period there; only the few at borders go through a window.
     """
-    part = F.when(F.col("border"), F.lit(-1)).otherwise(F.col("blk"))
+    found = [*keys, "start", "stop", "period", "unit"]
     # run positions (not tract positions) are what continues: run start = tract start + period
-    by = Window.partitionBy(*keys, "period", "part").orderBy("start")
-    marked = rows.withColumn("part", part).withColumn(
+    by = Window.partitionBy(*keys, "period").orderBy("start")
+    marked = rows.filter("border").withColumn(
         "new", F.when(F.lag("stop").over(by) + 1 == F.col("start") + F.col("period"), 0).otherwise(1)
     )
-    runs = marked.withColumn("grp", F.sum("new").over(by)).groupBy(*keys, "part", "period", "grp").agg(
+    runs = marked.withColumn("grp", F.sum("new").over(by)).groupBy(*keys, "period", "grp").agg(
         F.min_by("unit", "start").alias("unit"), F.min("start").alias("start"), F.max("stop").alias("stop")
     )
-    whole = runs.filter(F.col("stop") - F.col("start") - F.col("period") + 1 >= limits.max_unit)
+    whole = rows.filter("NOT border").select(*found).unionByName(runs.select(*found)).filter(F.col("stop") - F.col("start") - F.col("period") + 1 >= limits.max_unit)
     return whole.groupBy(*keys, "start", "stop").agg(F.min_by("unit", "period").alias("unit"))
 
 
