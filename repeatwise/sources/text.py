@@ -5,9 +5,14 @@ All readers are Spark text or CSV scans; gzip is transparent. Writers are ``df.w
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.numbering import number_rows
@@ -17,6 +22,8 @@ from ..operators.profile import chrom_number
 from ..operators.reads import parse_header
 from ..session import written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """Sequence lines of FASTA files: ``rec`` (number of the record), ``chrom``, ``at`` (bases of the record before the line) and ``bases`` in upper case.
@@ -85,7 +92,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Four-line records as ``file, rec, l1..l4``, found by line number, never by ``@`` (it is a quality too).
 
     Lines get (file, byte-range partition, line in partition); files start at line 0 of their first partition and
-    later partitions are shifted by the lines before them, so any split size works and no file is one task.
+    later partitions are shifted by the lines before them, so any split size works and no file is one task. Records are put together in the
+    order of the lines; only lines at the ends of batches are shuffled.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value"
@@ -95,10 +103,30 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     shift = F.sum("size").over(Window.partitionBy("file").orderBy("block")) - F.col("size")
     starts = sizes.select("file", "block", "first", shift.alias("shift"))
     line_no = F.col("mid") - F.col("first") + F.col("shift")
-    numbered = kept.join(starts, ["file", "block"]).select("file", line_no.alias("no"), "value")
-    return numbered.groupBy("file", F.floor(F.col("no") / 4).alias("rec")).agg(
-        *[F.max(F.when(F.col("no") % 4 == i, F.col("value"))).alias(f"l{i + 1}") for i in range(4)]
-    )
+    numbered = kept.join(written(starts, "fastq-starts"), ["file", "block"]).select("file", line_no.alias("no"), "value")
+    parts = written(numbered.mapInArrow(_fastq_parts, "file STRING, rec BIGINT, l1 STRING, l2 STRING, l3 STRING, l4 STRING, whole BOOLEAN"), "fastq-records")
+    loose = parts.filter("NOT whole").groupBy("file", "rec").agg(*[F.max(f"l{i}").alias(f"l{i}") for i in range(1, 5)])
+    return parts.filter("whole").drop("whole").unionByName(loose)
+
+
+def _fastq_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records whose four lines follow one another in a batch, and every other line in a row of its own."""
+    for batch in batches:
+        file, value = batch.column("file"), batch.column("value")
+        no = batch.column("no").to_numpy()
+        n = len(no)
+        follows = np.zeros(n, bool)  # the line is the next one of the same file
+        if n > 1:
+            follows[1:] = (np.diff(no) == 1) & pc.equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero((no[: max(0, n - 3)] % 4 == 0) & follows[1 : n - 2] & follows[2 : n - 1] & follows[3:]) if n > 3 else np.zeros(0, np.int64)
+        used = np.zeros(n, bool)
+        for i in range(4):
+            used[first + i] = True
+        rest = np.flatnonzero(~used)
+        lines = [pa.concat_arrays([value.take(pa.array(first + i)), value.take(pa.array(rest, pa.int64(), mask=no[rest] % 4 != i))]) for i in range(4)]
+        at = np.concatenate([first, rest])
+        yield pa.RecordBatch.from_arrays(
+            [file.take(pa.array(at)), pa.array(no[at] // 4), *lines, pa.array(np.arange(len(at)) < len(first))], names=["file", "rec", "l1", "l2", "l3", "l4", "whole"])
 
 
 def fastq_reads(records: DataFrame) -> DataFrame:

@@ -212,3 +212,22 @@ def test_only_border_runs_meet_in_windows(spark):
     rows = spark.createDataFrame([(1, 0, 5, 20, 1, "A", False), (1, 0, 30, 50, 2, "AC", False)], "k long, blk int, start long, stop long, period int, unit string, border boolean")
     plan = TR._join_borders(rows, ["k"], TR.Thresholds())._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Union" in plan
+
+
+def test_fastq_records_are_put_together_in_order(spark, tmp_path):
+    """Whole records need no shuffle or sort; those over batches, byte ranges and a cut end of the file come out as well."""
+    records = [(f"@r{i}", "ACGT" * (i % 5), "+", "@" * (i % 7)) for i in range(3001)]
+    (tmp_path / "a.fastq").write_text("\n".join("\n".join(r) for r in records) + "\n@last\nAC\n")
+    (tmp_path / "b.fastq").write_text("@b\n\n+\n\n")
+    want = {("a", i, *r) for i, r in enumerate(records)} | {("a", 3001, "@last", "AC", None, None), ("b", 0, "@b", "", "+", "")}
+    for size, batch in (("128m", "10000"), ("5k", "7")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            df = IO.read_fastq(spark, str(tmp_path))
+            found = [(r.file.split("/")[-1][0], r.rec, r.l1, r.l2, r.l3, r.l4) for r in df.collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == len(want) and set(found) == want
+    assert "Union" in df._jdf.queryExecution().optimizedPlan().toString()
