@@ -199,7 +199,27 @@ def choose_components(cov: DataFrame, draws: int = 5, most: int = MAX_COMPONENTS
     return int(hits[-1]) + 1 if len(hits) else 1
 
 
-BLOCKS = 64  # people and loci are dealt to so many blocks each; the product is made for each pair of blocks
+SIDE = 256  # people, or loci, of a block about; the product is made for each pair of blocks
+PAIRS = 64  # pairs of blocks that a task makes at most, about
+
+
+def _product_rows(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+    """``locus_id, person_id, raw``: the rows ``locus_id, y0..`` times the rows ``person_id, v0..``.
+
+    A block of people is packed once and copied for each block of loci only, so copies grow with the result over ``SIDE``. The packed side is far
+    larger than its file and would be taken for one to broadcast, so the pairs are merged and dealt to a number of tasks that grows with them.
+    """
+    loci, people = (max(1, -(-df.count() // SIDE)) for df in (left, right))
+    pairs = loci * people
+    tasks = min(pairs, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    listed = right.select(F.struct("person_id", F.array(*_vec("v", size)).alias("v")).alias("p"))
+    packed = listed.groupBy(dealt("p.person_id", people).alias("block")).agg(F.collect_list("p").alias("ps")).select("block", "ps", every(loci).alias("loci"))
+    keyed = left.select("locus_id", F.array(*_vec("y", size)).alias("y"), dealt("locus_id", loci).alias("loci"), every(people).alias("block"))
+    both = keyed.repartition(tasks, "loci", "block").hint("merge").join(packed.repartition(tasks, "loci", "block"), ["loci", "block"])
+    dot = F.aggregate(F.zip_with("y", F.col("p.v"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return both.select("locus_id", "y", F.explode("ps").alias("p")).select("locus_id", "p.person_id", dot.alias("raw"))
 
 
 def expected_coverage(cov: DataFrame, k: int) -> DataFrame:
@@ -210,16 +230,8 @@ def expected_coverage(cov: DataFrame, k: int) -> DataFrame:
     cov = written(cov, "cov")
     vectors, values, _ = singular_vectors(cov, k)
     size = len(values)
-    left = _apply(cov, vectors, size)
-    people = vectors.select(F.struct("person_id", F.array(*_vec("v", size)).alias("v")).alias("p"))
-    # every locus needs every person: each person block is packed once and meets each block of loci
-    every = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    packed = people.groupBy(F.pmod(F.xxhash64("p.person_id"), F.lit(BLOCKS)).cast("int").alias("block")).agg(F.collect_list("p").alias("ps"))
-    packed = packed.select("block", "ps", F.explode(every).alias("loci"))
-    keyed = left.select("locus_id", F.array(*_vec("y", size)).alias("y"), F.pmod(F.xxhash64("locus_id"), F.lit(BLOCKS)).cast("int").alias("loci"), F.explode(every).alias("block"))
-    dot = F.aggregate(F.zip_with("y", F.col("p.v"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    product = keyed.join(packed, ["loci", "block"]).select("locus_id", "y", F.explode("ps").alias("p"))
-    wide = written(product.select("locus_id", "p.person_id", dot.alias("raw")), "expected")
+    left = written(_apply(cov, vectors, size), "left")  # counted and read
+    wide = written(_product_rows(left, vectors, size), "expected")
     floor = wide.filter("raw > 0").agg(F.min("raw")).first()[0]
     return wide.select("locus_id", "person_id", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("exp_cov"))
 

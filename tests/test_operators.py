@@ -176,6 +176,21 @@ def test_low_rank_equals_svd(spark):
     assert max(abs(got[i, j] - low[i, j]) for i in range(25) for j in range(12)) < 1e-3
 
 
+def test_low_rank_product_is_not_broadcast(spark, monkeypatch):
+    """Packed people are far larger than their file, so no pair of blocks goes through the driver; several blocks give the whole product."""
+    plans, store = {}, CV.written
+    monkeypatch.setattr(CV, "written", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or store(df, label))
+    monkeypatch.setattr(CV, "SIDE", 5, raising=False)
+    a = np.random.default_rng(5).gamma(3, 2, (12, 18))
+    cov = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(18)], "locus_id INT, person_id INT, cov DOUBLE")
+    u, d, vt = np.linalg.svd(a)
+    low = (u[:, :3] * d[:3]) @ vt[:3]
+    low[low < 0] = low[low > 0].min()
+    got = {(r.locus_id, r.person_id): r.exp_cov for r in CV.expected_coverage(cov, 3).collect()}
+    assert len(got) == 12 * 18 and max(abs(got[i, j] - low[i, j]) for i in range(12) for j in range(18)) < 1e-3
+    assert "BroadcastExchange" not in plans["expected"]
+
+
 def test_sequence_blocks_are_dealt_out(spark):
     df = spark.createDataFrame([(1, "ACACACACAC" * 20)], "id INT, seq STRING")
     plan = TR.detect(df, ["id"], "seq", block=50)._jdf.queryExecution().executedPlan().toString()
