@@ -8,7 +8,7 @@ from ..operators import population as PO
 from ..operators import profile as P
 from ..registry import oracle, query
 from ..session import scratch_path
-from ..sources.text import write_person_files
+from ..sources.text import read_person_files, write_person_files
 from .profiles import PROFILE, located, profiles
 
 LOCUS = "chrom, start, motif"
@@ -73,7 +73,7 @@ def _(v):
     # people who have no profile file: files hold the long alleles only here, so that some people are missing
     path = scratch_path(v.spark, "profiles")
     write_person_files(profiles(v).filter("length > 14"), path)
-    found = v.spark.read.csv(path, sep="\t").select("person_id")
+    found = read_person_files(v.spark, path, "chrom STRING, start INT, motif STRING, length INT, n BIGINT, ref_length INT", ["person_id"])
     return PO.missing_people(v.person, found).select("person_id", "family_id", "relation")
 
 

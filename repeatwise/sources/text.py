@@ -20,7 +20,7 @@ from ..operators import tracts as TR, vcf as V
 from ..operators.population import relation_code
 from ..operators.profile import chrom_number
 from ..operators.reads import parse_header
-from ..session import written
+from ..session import scratch_path, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -212,14 +212,80 @@ PROFILE_SCHEMA = (
 )
 
 
+GROUP = 8192  # people, about, whose folders lie in one folder and are listed together
+PEOPLE = 512  # people, about, whose files one task writes
+
+
 def write_person_files(rows: DataFrame, path: str) -> None:
-    """Tab-separated gzip files, one folder and one file per person.
+    """Tab-separated gzip files, one folder and one file per person; for more than ``GROUP`` people the folders lie in folders ``people=k``.
+
+    A person's rows, at most a few for each locus, are dealt to one of a number of tasks that grows with the people, so that the number of files is the
+    number of people whatever the number of tasks. Tasks move their own files into place; ``path`` is new for each write and is read only once the write
+    has ended.
+    """
+    spark, rows = rows.sparkSession, written(rows, "person-rows")  # counted and dealt out
+    people = rows.select("person_id").distinct().count()
+    groups, tasks = -(-people // GROUP), max(1, min(people, max(int(spark.conf.get("spark.sql.shuffle.partitions")), people // PEOPLE)))
+    dealt = rows.repartition(tasks, "person_id")
+    if groups > 1:
+        dealt = dealt.withColumn("people", F.pmod(F.xxhash64("person_id"), F.lit(groups)).cast("int"))
+    folders = ["people", "person_id"][groups <= 1 :]
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() == "file" and isinstance(rows.schema["person_id"].dataType, T.IntegralType):
+        # in a shared folder tasks write by themselves: Spark's writer starts two processes (chmod) for each file there
+        store.mkdirs(target)
+        _write_local(dealt, folders, store.makeQualified(target).toUri().getPath())
+    else:
+        dealt.write.partitionBy(*folders).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path, sep="\t", compression="gzip")
+
+
+def _write_local(rows: DataFrame, folders: list[str], path: str) -> None:
+    """The files of ``write_person_files`` in a folder that all executors share. A file gets its name when it is whole; a task that runs again replaces it."""
+    line = F.to_csv(F.struct(*[c for c in rows.columns if c not in folders]), {"sep": "\t"})
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in folders])
+
+    def put(batches):
+        import gzip
+        import os
+
+        at, file, n = None, None, 0
+
+        def close():
+            file.close()
+            os.replace(file.name, f"{path}/{at}/part-00000.csv.gz")
+
+        for batch in batches:
+            for where, text in zip(batch.column("folder").to_pylist(), batch.column("line").to_pylist()):
+                if where != at:
+                    if file is not None:
+                        close()
+                    os.makedirs(f"{path}/{where}", exist_ok=True)
+                    at, file, n = where, gzip.open(f"{path}/{where}/_{uuid.uuid4().hex}", "wb", 6), n + 1
+                file.write(f"{text}\n".encode())
+        if file is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    rows.select(folder.alias("folder"), line.alias("line")).sortWithinPartitions("folder").mapInArrow(put, "files long").agg(F.sum("files")).collect()
+
+
+def read_person_files(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the files of ``write_person_files``; ``person_id`` comes from the folder.
 
-    A person's rows, at most a few for each locus, are dealt to one task, so that the number of files is the number of people whatever the number
-    of tasks. Tasks move their own files into place; ``path`` is new for each write and is read only once the write has ended.
+    Groups of people are read one after the other and stored, so that the driver never holds the list of all files. A session of its own lists a
+    group's folders in a few tasks and reads many files in one, where Spark would start a task for each folder and for a few files.
     """
-    files = rows.repartition("person_id").write.partitionBy("person_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    files.csv(path, sep="\t", compression="gzip")
+    groups = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/people=*")
+    found = groups.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(groups)
+    reader = spark.newSession()
+    reader.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    reader.conf.set("spark.sql.files.openCostInBytes", "64k")
+    stored = scratch_path(spark, "person-files")
+    for at in [x.getPath().toString() for x in found] or [path]:
+        rows = reader.read.csv(at, sep="\t", schema=f"{schema}, person_id BIGINT").select(*columns)
+        rows.write.mode("append").parquet(stored)
+    return spark.read.schema(rows.schema).parquet(stored)
 
 
 def write_profiles(rows: DataFrame, path: str) -> None:
@@ -229,8 +295,9 @@ def write_profiles(rows: DataFrame, path: str) -> None:
     write_person_files(rows.select("person_id", *[c.split()[0] for c in PROFILE_SCHEMA.split(", ")]), path)
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=PROFILE_SCHEMA + ", person_id BIGINT")
+def read_profiles(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """``columns`` of profile files, or all."""
+    return read_person_files(spark, path, PROFILE_SCHEMA, list(columns) or [c.split()[0] for c in PROFILE_SCHEMA.split(", ")] + ["person_id"])
 
 
 def profile_lengths(profiles: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, and plan checks."""
 
+import gzip
 import itertools
 import math
 import random
@@ -286,6 +287,39 @@ def test_one_file_per_person(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "people")).groupBy("person_id").count().collect() and spark.read.csv(str(tmp_path / "people")).count() == 120
 
 
+def test_people_are_listed_in_groups(spark, tmp_path, monkeypatch):
+    """Folders of many people lie in groups, which are read one after the other; files written by tasks hold the lines of Spark's writer."""
+    from repeatwise.sources import text as IO
+
+    monkeypatch.setattr(IO, "GROUP", 3)
+    texts = ["a", "", None, 'q"x', "two\twords", " lead", "\\", "#c"]
+    rows = spark.createDataFrame([(None if i == 13 else i % 13, texts[i % 8], i, None if i % 3 else 0.5) for i in range(91)], "person_id LONG, t STRING, x LONG, y DOUBLE").repartition(8, "x")
+    for kind in ("LONG", "STRING"):  # by the tasks, and by Spark
+        IO.write_person_files(rows.withColumn("person_id", F.col("person_id").cast(kind)), str(tmp_path / kind))
+    for kind in ("LONG", "STRING"):
+        files = list((tmp_path / kind).glob("people=*/person_id=*/part-*"))
+        assert len(files) == 14 and len({f.parts[-3] for f in files}) > 1 and not list((tmp_path / kind).glob("people=*/person_id=*/_*"))
+    lines = [sorted((f.parts[-2], line) for f in (tmp_path / k).glob("people=*/*/part-*") for line in gzip.open(f, "rt")) for k in ("LONG", "STRING")]
+    assert lines[0] == lines[1] and len(lines[0]) == 91
+    reads, csv = [], type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, at, **a: reads.append(at) or csv(self, at, **a))
+    back = IO.read_person_files(spark, str(tmp_path / "LONG"), "t STRING, x LONG, y DOUBLE", ["person_id", "x", "y"])
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.select("person_id", "x", "y").collect()))
+    assert len(reads) == len(list((tmp_path / "LONG").glob("people=*"))) and all("people=" in at for at in reads)
+
+
+def test_files_of_few_people_are_written_by_many_tasks(spark, tmp_path):
+    """However small the rows are, people are dealt to as many tasks as the session asks for."""
+    from repeatwise.sources import text as IO
+
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    IO.write_person_files(spark.range(0, 40, 1, 1).selectExpr("id AS person_id", "id AS x"), str(tmp_path / "people"))
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in set(status.getJobIdsForGroup(None)) - set(before) for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 8
+    assert len(list((tmp_path / "people").glob("person_id=*/part-*"))) == 40
+
+
 def test_long_batches_are_searched_in_steps():
     """A batch is cut into steps of bounded size that hold all its rows in order; a row longer than a step is one of its own."""
     import pyarrow as pa
