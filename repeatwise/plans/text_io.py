@@ -154,27 +154,27 @@ def _(v):
     return IO.read_fastq(v.spark, path).select("l1", "l2", "l3", "l4")
 
 
-def _profile_files(v):
+def _profile_files(v, *columns):
     path = _path(v, "profiles")
     reads = written(P.dedup_reads(located(v)), "profile-reads")  # read for the rows and for the names
     IO.write_profiles(P.with_reference(P.with_read_names(P.flank_table(reads), reads), v.ref_tract), path)
-    return IO.read_profiles(v.spark, path)
+    return IO.read_profiles(v.spark, path, *columns)
 
 
 @query("io14_profile_sink", oracle(OBS, f"""SELECT {KEY}, flank, flank_count, CAST(num_flanks AS INT) AS num_flanks, CAST("rank" AS INT) AS "rank", histogram FROM flank_rows""", PROFILE + [FLANK_ROWS]))
 def _(v):
-    return _profile_files(v).select(*P.KEY, "flank", "flank_count", "num_flanks", "rank", "histogram")
+    return _profile_files(v, *P.KEY, "flank", "flank_count", "num_flanks", "rank", "histogram")
 
 
 @query("io14_profile_read_names", oracle(OBS, f"""SELECT {KEY}, flank, names AS read_names FROM flank_rows JOIN (SELECT {KEY}, flank, string_agg(CAST(read_name AS VARCHAR), ',' ORDER BY CAST(read_name AS VARCHAR)) AS names
   FROM (SELECT {KEY}, flank, read_name FROM kept UNION ALL SELECT {KEY}, 'all', read_name FROM kept) GROUP BY {KEY}, flank) USING ({KEY}, flank)""", PROFILE + [FLANK_ROWS]))
 def _(v):
-    return _profile_files(v).select(*P.KEY, "flank", "read_names")
+    return _profile_files(v, *P.KEY, "flank", "read_names")
 
 
 @query("io15_profile_source", oracle(OBS, f"SELECT {KEY}, length, CAST(COUNT(*) AS BIGINT) AS n FROM kept GROUP BY {KEY}, length", PROFILE))
 def _(v):
-    return IO.profile_lengths(_profile_files(v)).select(*P.KEY, "length", "n")
+    return IO.profile_lengths(_profile_files(v, *P.KEY, "ref_length", "rank", "histogram")).select(*P.KEY, "length", "n")
 
 
 @query("io16_duplicate_sink", oracle(OBS, "SELECT person_id, CAST(COUNT(*) AS BIGINT) AS sets, CAST(SUM(size) AS BIGINT) AS reads FROM (SELECT person_id, chrom, start, motif, lo_pos, hi_pos, COUNT(*) AS size FROM ends GROUP BY ALL HAVING bool_or(is_dup) AND COUNT(*) > 1) GROUP BY person_id", PROFILE))
