@@ -165,6 +165,41 @@ def test_batched_sums_equal_row_sums(spark):
     assert np.allclose(people.s, 1)
 
 
+def test_packed_people_reach_python_in_small_batches(spark, monkeypatch):
+    """However many rows a task has, Python holds a few of the packed rows at a time, and the session's own setting stays."""
+    key, seen, store = "spark.sql.execution.arrow.maxBytesPerBatch", [], G.written
+
+    def watched(df, label, *more):
+        out = store(df, label, *more)
+        if label == "genotypes":
+            seen.extend(more)
+        return out
+
+    monkeypatch.setattr(G, "written", watched)
+    cov = spark.range(4000).selectExpr("CAST(id % 2 AS INT) AS locus_id", "id AS person_id", "CAST(8 + id % 3 AS INT) AS allele_len", "id % 9 + 1 AS n")
+    loci = G.ranked_alleles(cov)
+    rows = G.person_rows(cov, cov.groupBy("locus_id", "person_id").agg((F.sum("n") / 2.0).alias("exp_cov")), loci)
+    own = spark.conf.get(key, None)
+    assert G.calls(rows, G.start_model(loci)).count() == 4000 and seen == [G.BATCH] and spark.conf.get(key, None) == own
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    from repeatwise.session import written
+
+    wide = spark.range(0, 64, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(20000)), lambda x: x.cast("double") + F.col("id")).alias("x"))  # 10 MB in a task
+    assert max(r["size"] for r in written(wide.mapInArrow(sizes, "size long"), "sizes", "1m").collect()) < 2 << 20
+    spark.conf.set(key, "32m")
+    try:
+        written(wide.mapInArrow(sizes, "size long"), "sizes", "1m")
+        assert spark.conf.get(key) == "32m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_low_rank_equals_svd(spark):
     rng = np.random.default_rng(4)
     a = rng.gamma(3, 2, (25, 12)) * rng.gamma(3, 1, (25, 1))
