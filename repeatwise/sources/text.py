@@ -233,7 +233,7 @@ def write_person_files(rows: DataFrame, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if store.getUri().getScheme() == "file" and isinstance(rows.schema["person_id"].dataType, T.IntegralType):
-        # in a shared folder tasks write by themselves: Spark's writer starts two processes (chmod) for each file there
+        # in a shared folder tasks write by themselves: Spark's writer starts processes (chmod) for each file there
         store.mkdirs(target)
         _write_local(dealt, folders, store.makeQualified(target).toUri().getPath())
     else:
